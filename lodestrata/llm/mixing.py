@@ -57,7 +57,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = 1.5,
     """
     keep = keep or []
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[docs[c].alias(f"_k_{c}") for c in keep])
-    pieces = scratch.write(sized.repartitionByRange(F.col("source"), F.col("size"), F.col("doc_id")).withColumn("piece", F.spark_partition_id()))
+    pieces = scratch.write(scratch.write(sized).repartitionByRange(F.col("source"), F.col("size"), F.col("doc_id")).withColumn("piece", F.spark_partition_id()))
     per = pieces.groupBy("source", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("source", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

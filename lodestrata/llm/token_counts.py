@@ -79,7 +79,7 @@ def leaves(text: str) -> list[str]:
 
 
 def _count(encoder: WordEncoder, texts: list[str]) -> list[int]:
-    return [len(x) for x in encoder.encode(texts)]
+    return encoder.count(texts)
 
 
 def build_tree(text: str, encoder: WordEncoder) -> CountTree:
@@ -119,7 +119,7 @@ def build(docs: DataFrame, tokenizer: str) -> DataFrame:
         encoder = WordEncoder.of(tokenizer)
         for b in it:
             trees, n = [], []
-            for some in batches(((t.as_py() or "",) for t in b.column("text")), 1 << 20, lambda r: len(r[0]) + 64):
+            for some in batches(((t.as_py() or "",) for t in b.column("text")), 1 << 22, lambda r: len(r[0]) + 64):
                 parts = [leaves(t) for (t,) in some]
                 counts = iter(_count(encoder, [p for ps in parts for p in ps]))
                 for ps in parts:

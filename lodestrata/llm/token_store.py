@@ -16,12 +16,14 @@ the payload.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,24 +106,36 @@ class Segment:
         return self.slice(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+#: ASCII punctuation that never shares a pre-token with a letter before it; the apostrophe can.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS = re.compile("[\u0300-\u036f]")
+
+
 class WordEncoder:
     """Encodes texts by way of their white-space-delimited pieces, keeping the ids of pieces met before.
 
-    Only for tokenizers that drop white space and never let a token or a normalisation cross it. There
-    the ids of a text are the ids of its pieces in order; texts are cut at U+0020 and U+000A alone,
-    which such tokenizers treat as white space. Two generations of ``most`` pieces bound the memory.
+    Only for tokenizers that lower-case, drop white space and never let a token or a normalisation cross
+    it. There the ids of a text are the ids of its pieces in order, whatever the case of A-Z (where no
+    combining mark follows that could compose with one case only). Texts are cut at U+0009-000D and
+    U+0020. New words of letters alone are encoded as one text and told apart by the tokens that end a
+    word; letters with ASCII punctuation after them are those letters and that punctuation, which are
+    kept apart. Two generations of ``most`` pieces bound the memory.
     """
 
     _held: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.vocab = self.tokenizer.get_vocab_size()
+        vocab = self.tokenizer.get_vocab()
+        self.vocab = max(vocab.values()) + 1
         self.kind = "<u2" if self.vocab <= 1 << 16 else "<u4"
-        self.new: dict[str, bytes] = {}
+        self.width = np.dtype(self.kind).itemsize
+        self.ends = np.zeros(self.vocab, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
     @classmethod
@@ -131,25 +145,78 @@ class WordEncoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Makes ``self.new`` know every piece of a batch."""
+    def _slowly(self, some: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def _words(self, some: list[str]) -> list[bytes]:
+        """Ids of words of letters; the slow way if some word isn't one pre-token after normalisation."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(some) or ends[-1] != len(ids):
+            return self._slowly(some)
+        data, at = ids.tobytes(), (ends * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *at], at, strict=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        words, odd = [], []
+        for w in pieces:
+            (words if w.isalpha() else odd).append(w)
+        for group, how in ((words, self._words), (odd, self._slowly)):
+            for i in range(0, len(group), 1000):
+                some = group[i : i + 1000]
+                self.new.update(zip(some, how(some), strict=True))
+
+    def _known(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
-        miss = pieces.difference(self.new)
-        if self.old:
-            again = miss.intersection(self.old)
-            self.new.update((w, self.old[w]) for w in again)
-            miss -= again
-        words = list(miss)
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.new[w] = np.array(e.ids, self.kind).tobytes()
+        new, old = self.new, self.old
+        found = list(map(new.get, pieces))
+        open_ = [i for i, f in enumerate(found) if f is None]
+        cut, need = {}, set()
+        for i in open_:
+            w = pieces[i]
+            stem = w.rstrip(SIGNS)
+            if stem is not w and stem.isalpha() and len(stem[-1].lower()) == 1:
+                cut[i] = stem, w[len(stem) :]
+                need.update(cut[i])
+            else:
+                need.add(w)
+        need = [w for w in need if w not in new]
+        if old:
+            new.update((w, old[w]) for w in need if w in old)
+            need = [w for w in need if w not in new]
+        self._learn(need)
+        for i in open_:
+            found[i] = new[cut[i][0]] + new[cut[i][1]] if i in cut else new[pieces[i]]
+        return found
+
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the distinct pieces in a row, their lengths, each piece's number, where texts' pieces begin and end."""
+        marked = [not t.isascii() and _MARKS.search(t) is not None for t in texts]
+        low = pc.ascii_lower(pa.array(texts, pa.large_string()))
+        if any(marked):
+            low = pc.if_else(pa.array(marked), pa.array(texts, pa.large_string()), low)
+        lists = pc.ascii_split_whitespace(low)
+        coded = lists.flatten().dictionary_encode()
+        found = self._known(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), "i8", len(found)) // self.width
+        return np.frombuffer(b"".join(found), self.kind), sizes, coded.indices.to_numpy(), lists.offsets.to_numpy()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*parts))
-        return [np.frombuffer(b"".join(map(self.new.__getitem__, p)), self.kind) for p in parts]
+        if not texts:
+            return []
+        flat, sizes, at, ends = self._parts(texts)
+        n = sizes[at]
+        stop = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (stop - n), n) + np.arange(n.sum())]
+        return np.split(ids, np.concatenate([[0], stop])[ends[1:-1]])
+
+    def count(self, texts: list[str]) -> list[int]:
+        if not texts:
+            return []
+        _, sizes, at, ends = self._parts(texts)
+        return np.diff(np.concatenate([[0], np.cumsum(sizes[at])])[ends]).tolist()
 
 
 def _rows(it: Iterator[pa.RecordBatch], *names: str):
@@ -173,7 +240,7 @@ def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch)
         def out():
             return pa.record_batch([[part], [seq], [len(held)], [size], [np.array([k or 0 for k in keys], "<i8").tobytes()], [np.array([k is not None for k in keys], "u1").tobytes()], [write_segment(held, bits)]], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("segment", pa.binary())]))
 
-        for some in batches(_rows(it, "doc_id", "text"), 1 << 21, lambda r: len(r[1] or "") + 64):
+        for some in batches(_rows(it, "doc_id", "text"), 1 << 23, lambda r: len(r[1] or "") + 64):
             for (key, _), ids in zip(some, encoder.encode([t or "" for _, t in some]), strict=True):
                 held.append(np.concatenate([ids, tail]))
                 keys.append(key)
