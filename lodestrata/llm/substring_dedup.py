@@ -2,11 +2,12 @@
 
 Suffixes are told apart only through ``LENGTH`` bytes, in passes from the most significant digit. The
 first digit is a suffix's anchor: the least-hashed ``GRAM`` bytes among its first ``LENGTH``. Equal windows
-have equal anchors, so suffixes whose anchor occurs once in the corpus drop out after this pass; runs of
-suffixes share an anchor, which makes the pass a twenty-fifth of the text. The second digit is the
-whole window, as 96 bits of two independent hashes. Suffixes equal in both are a repeated window; the
-first of them (smaller doc_id, then earlier start) stays, and all others cover bytes that go.
-Documents that are copies as a whole are found by one key each and need no windows.
+have equal anchors, and neighbouring suffixes share theirs in runs, so this pass handles a
+twenty-fifth of the text. The bytes that a run's windows span are the second digit: where every run of
+an anchor spans the same bytes, all its windows are settled at once. Only anchors with runs that differ
+go on to the last digit, the window itself, as 96 bits of two independent hashes. Suffixes equal
+in all digits are a repeated window; the first of them (smaller doc_id, then earlier start) stays, and
+all others cover bytes that go. Documents that are copies as a whole are found by one key each.
 """
 
 from __future__ import annotations
@@ -84,43 +85,54 @@ def _slide(x: np.ndarray, span: int, op) -> np.ndarray:
 
 
 class Batch:
-    """Some documents' bytes in a row, with the anchor of every window inside a document."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        self.data, self.n = data, len(data)
-        self.sums = _sums(data, 0)
-        if self.n < LENGTH:
-            self.at = np.zeros(0, "i8")
-            self.anchor = self.selected = np.zeros(0, "u8")
-            return
-        gram = _hashes(self.sums, slice(None), GRAM, 0)
-        low = _slide(gram, LENGTH - GRAM + 1, np.minimum)
-        edge = np.zeros(self.n + 1, "i4")
+    """Some documents' bytes in a row, with the runs of windows (inside a document) that share an anchor.
+
+    Of each run: ``anchor``, ``context`` (a hash of the bytes it spans, never 0), ``start`` of its first window,
+    ``size`` in windows. With ``look``, ``twice`` tells runs whose anchor stands at two places in them, the
+    only ones that can hold equal windows.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, look: bool):
+        self.data = data
+        self.sums, self.others = _sums(data, 0), _sums(data, 1)
+        edge = np.zeros(len(data) + 1, "i4")
         has = ends - starts >= LENGTH
         np.add.at(edge, starts[has], 1)
         np.add.at(edge, ends[has] - LENGTH + 1, -1)
+        if len(data) < LENGTH or not has.any():
+            self.anchor = self.context = np.zeros(0, "u8")
+            self.start = self.size = np.zeros(0, "i8")
+            self.twice = np.zeros(0, bool)
+            return
+        gram = _hashes(self.sums, slice(None), GRAM, 0)
+        low = _slide(gram, LENGTH - GRAM + 1, np.minimum)
         inside = np.cumsum(edge[: len(low)]) > 0
-        self.at = np.flatnonzero(inside)
-        self.anchor = low[self.at]
-        # Grams that are some window's anchor: equal to the greatest of the least hashes around them.
-        around = np.zeros(len(gram) + LENGTH - GRAM, "u8")
-        around[LENGTH - GRAM :][: len(low)] = np.where(inside, low, 0)
-        self.selected = gram[(_slide(around, LENGTH - GRAM + 1, np.maximum) == gram) & (gram > 0)]
-
-    def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where runs of windows with one anchor begin, and their lengths."""
-        begin = np.flatnonzero(np.concatenate([[True], self.anchor[1:] != self.anchor[:-1]])) if len(self.anchor) else np.zeros(0, "i8")
-        return begin, np.diff(np.append(begin, len(self.anchor)))
-
-    def windows(self, known: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and 96-bit names of the windows whose anchor occurs again."""
-        begin, length = self.runs()
-        own = repeated[np.searchsorted(known, self.anchor[begin])] if len(begin) else np.zeros(0, bool)
-        at = self.at[np.repeat(own, length)]
-        return at, _hashes(self.sums, at, LENGTH, 0), (_hashes(_sums(self.data, 1), at, LENGTH, 1) >> np.uint64(32)).astype("<u4")
-
-
-def _batches(chunk: Chunk, skip: np.ndarray | None = None):
+        at = np.flatnonzero(inside)
+        least = low[at]
+        begin = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)]))
+        self.size = np.diff(np.append(begin, len(at)))
+        self.start, self.anchor = at[begin], least[begin]
+        stop = self.start + self.size - 1 + LENGTH
+        span = (self.others[stop] - self.others[self.start]) * _held.down[1][self.start]
+        self.context = np.maximum(_mix(span ^ (stop - self.start).astype("u8") * np.uint64(_BASE[0])), np.uint64(1))
+        if look:
+            # Grams that are some window's anchor: equal to the greatest of the least hashes around them.
+            around = np.zeros(len(gram) + LENGTH - GRAM, "u8")
+            around[LENGTH - GRAM :][: len(low)] = np.where(inside, low, 0)
+            place = np.flatnonzero(_slide(around, LENGTH - GRAM + 1, np.maximum) == gram)
+            order = np.lexsort((place, gram[place]))
+            place, value = place[order], gram[place[order]]
+            near = (value[1:] == value[:-1]) & (place[1:] - place[:-1] <= LENGTH - GRAM + 1)
+            self.twice = np.isin(self.anchor, value[1:][near])
+
+    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and 96-bit names of the windows of some runs."""
+        n = self.size[runs]
+        at = np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return at, _hashes(self.sums, at, LENGTH, 0), (_hashes(self.others, at, LENGTH, 1) >> np.uint64(32)).astype("<u4")
+
+
+def _batches(chunk: Chunk, skip: np.ndarray, look: bool):
     """(first byte in the chunk, Batch) over whole documents; those to skip have no windows."""
     data, starts, ends = np.frombuffer(chunk.data, "u1"), chunk.starts, chunk.ends
     k = 0
@@ -128,10 +140,9 @@ def _batches(chunk: Chunk, skip: np.ndarray | None = None):
         j = max(k + 1, int(np.searchsorted(ends, starts[k] + BATCH, "right")))
         lo = int(starts[k])
         own = np.arange(k, j)
-        if skip is not None:
-            own = own[~skip[own]]
+        own = own[~skip[own]]
         if len(own):
-            yield lo, Batch(data[lo : int(ends[j - 1])], starts[own] - lo, ends[own] - lo)
+            yield lo, Batch(data[lo : int(ends[j - 1])], starts[own] - lo, ends[own] - lo, look)
         k = j
 
 
@@ -151,54 +162,86 @@ def _named(keys: np.ndarray, checks: np.ndarray):
     return k[new], c[new], order[new], number
 
 
+STAYS, COPY, MIXED = 0, 1, 2
+
+
 def _reduce(kind: int, rows: list[tuple]):
-    """Anchors: 1 if it occurs at two places. Others: 1 for the first chunk that has the key."""
+    """Of whole documents and windows: STAYS for the first chunk that has it, else COPY. Of anchors the same, or MIXED if their runs differ."""
     sizes = [len(r[1]) // 8 for r in rows]
     keys = np.concatenate([np.frombuffer(r[1], "<u8") for r in rows])
+    answer = np.full(len(keys), COPY, "u1")
     if kind == ANCHOR:
-        _, at = np.unique(keys, return_inverse=True)
-        flag = np.bincount(at, weights=np.concatenate([np.frombuffer(r[3], "u1") for r in rows]))[at] >= 2
+        contexts = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])
+        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        answer[first] = STAYS  # rows come in the order of chunks, and the first place is the least
+        mixed = np.bincount(at, weights=(contexts != contexts[first][at]) | (contexts == 0)) > 0
+        answer[mixed[at]] = MIXED
     else:
         _, _, first, _ = _named(keys, np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]))
-        flag = np.zeros(len(keys), bool)
-        flag[first] = True  # rows come in the order of chunks, and lexsort is stable
+        answer[first] = STAYS
     ends = np.cumsum(sizes)
     for r, a, b in zip(rows, ends - sizes, ends, strict=True):
-        yield r[0], flag[a:b].astype("u1").tobytes()
+        yield r[0], answer[a:b].tobytes()
 
 
-class Judged:
-    """A chunk with its answers: documents that are later copies, and windows of the others whose anchor repeats."""
+class Runs:
+    """A chunk's whole-document keys, which documents are copies of earlier ones in it, and the runs of the others."""
 
-    def __init__(self, chunk: Chunk, found: list[dict]):
+    def __init__(self, chunk: Chunk, look: bool):
         self.chunk = chunk
-        keys, checks = _whole(chunk)
-        _, _, first, number = _named(keys, checks)
-        mine = np.frombuffer(of_kind(found, WHOLE), "u1").astype(bool)
-        is_first = np.zeros(len(keys), bool)
-        is_first[first] = True
-        size = chunk.ends - chunk.starts
-        self.copy = (size >= LENGTH) & ~(is_first & mine[number]) if len(keys) else np.zeros(0, bool)
-        known = np.unique(np.concatenate([np.zeros(0, "u8"), *[b.selected for _, b in _batches(chunk)]]))
-        repeated = np.frombuffer(of_kind(found, ANCHOR), "u1").astype(bool)
-        at, keys, checks = [np.zeros(0, "i8")], [np.zeros(0, "u8")], [np.zeros(0, "u4")]
-        for lo, b in _batches(chunk, self.copy):
-            a, k, c = b.windows(known, repeated)
-            at.append(a + lo)
+        self.whole, self.whole_checks, first, self.whole_number = _named(*_whole(chunk))
+        copy = np.ones(len(self.whole_number), bool)
+        copy[first] = False
+        self.copy = copy & (chunk.ends - chunk.starts >= LENGTH)
+        self.batches = list(_batches(chunk, self.copy, look))
+        cols = [np.concatenate([np.zeros(0, kind), *[getattr(b, name) for _, b in self.batches]]) for name, kind in (("anchor", "u8"), ("context", "u8"), ("size", "i8"))]
+        self.anchor, self.context, self.size = cols
+        self.start = np.concatenate([np.zeros(0, "i8"), *[b.start + lo for lo, b in self.batches]])
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's distinct anchors, and the context of each; 0 if its runs differ or one may hold equal windows."""
+        twice = np.concatenate([np.zeros(0, bool), *[b.twice for _, b in self.batches]])
+        known, first, at = np.unique(self.anchor, return_index=True, return_inverse=True)
+        context = self.context[first]
+        return known, np.where(np.bincount(at, weights=(self.context != context[at]) | twice, minlength=len(known)) > 0, np.uint64(0), context)
+
+
+class Judged(Runs):
+    """Runs with their answers; ``at``, ``keys`` and ``checks`` are the windows left to the last digit."""
+
+    def __init__(self, chunk: Chunk, found: list[dict]):
+        super().__init__(chunk, False)
+        known = np.unique(self.anchor)
+        verdict = np.frombuffer(of_kind(found, ANCHOR), "u1")[np.searchsorted(known, self.anchor)] if len(self.anchor) else np.zeros(0, "u1")
+        _, _, first, _ = _named(self.anchor, self.context)
+        leads = np.zeros(len(self.anchor), bool)
+        leads[first] = True
+        self.gone = ~leads | (verdict == COPY)
+        # A copy of another chunk's document took part as that one does, which is enough: none of its windows stays.
+        again = (np.frombuffer(of_kind(found, WHOLE), "u1")[self.whole_number] == COPY) & (chunk.ends - chunk.starts >= LENGTH)
+        self.copy |= again
+        open_ = leads & (verdict == MIXED) & ~again[np.searchsorted(chunk.ends, self.start, "right")]
+        at, keys, checks, lo = [np.zeros(0, "i8")], [np.zeros(0, "u8")], [np.zeros(0, "u4")], 0
+        for begin, b in self.batches:
+            a, k, c = b.windows(np.flatnonzero(open_[lo : lo + len(b.anchor)]))
+            at.append(a + begin)
             keys.append(k)
             checks.append(c)
+            lo += len(b.anchor)
         self.at = np.concatenate(at)
         self.keys, self.checks, self.first, self.number = _named(np.concatenate(keys), np.concatenate(checks))
 
-    def removed(self, mine: np.ndarray) -> np.ndarray:
-        """1 for each byte of the chunk that goes; ``mine``: of each distinct window, whether this chunk has the first."""
+    def removed(self, last: np.ndarray) -> np.ndarray:
+        """True for each byte of the chunk that goes; ``last``: the answers for the distinct windows."""
         chunk = self.chunk
         stays = np.zeros(len(self.at), bool)
-        stays[self.first] = mine
+        stays[self.first] = last == STAYS
         edge = np.zeros(len(chunk.data) + 1, "i4")
-        gone = self.at[~stays]
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + LENGTH, -1)
+        at = self.at[~stays]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + LENGTH, -1)
+        np.add.at(edge, self.start[self.gone], 1)
+        np.add.at(edge, (self.start + self.size - 1 + LENGTH)[self.gone], -1)
         out = np.cumsum(edge[:-1]) > 0
         for k in np.flatnonzero(self.copy).tolist():
             out[chunk.starts[k] : chunk.ends[k]] = True
@@ -221,12 +264,10 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
 
     def anchors(it):
         for number, *rest in _rows(it, "chunk", *body):
-            chunk = Chunk(*rest)
-            found = [b.selected for _, b in _batches(chunk)]
-            keys, n = np.unique(np.concatenate([np.zeros(0, "u8"), *found]), return_counts=True)
-            yield ask(number, ANCHOR, spans_for(total / 24), keys, None, np.minimum(n, 2).astype("u1"))
-            keys, checks, _, _ = _named(*_whole(chunk))
-            yield ask(number, WHOLE, spans_for(total / 2048), keys, checks)
+            r = Runs(Chunk(*rest), True)
+            keys, contexts = r.anchors()
+            yield ask(number, ANCHOR, spans_for(total / 26), keys, None, contexts)
+            yield ask(number, WHOLE, spans_for(total / 2048), r.whole, r.whole_checks)
 
     first = scratch.write(answer(chunks.select("chunk", *body).mapInArrow(anchors, ASKED), _reduce))
     scratch.release()
@@ -235,7 +276,7 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
     def windows(it):
         for number, *rest, found in _rows(it, "chunk", *body, "found"):
             j = Judged(Chunk(*rest), found)
-            yield ask(number, WINDOW, spans_for(total / 5), j.keys, j.checks)
+            yield ask(number, WINDOW, spans_for(total / 26), j.keys, j.checks)
 
     second = scratch.write(answer(read.select("chunk", *body, "found").mapInArrow(windows, ASKED), _reduce))
     scratch.release()

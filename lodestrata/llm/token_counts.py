@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import batches, with_fields
-from .token_store import WordEncoder, _rows
+from .token_store import WordEncoder
 
 LEAF = 32
 _GAP = re.compile("[ \n]+")
@@ -87,29 +87,39 @@ def build_tree(text: str, encoder: WordEncoder) -> CountTree:
     return CountTree.over(np.array([[len(p) for p in parts], _count(encoder, parts)], "<i8"))
 
 
+class Edit:
+    """An edit of ``text[start:end]`` under way: ``parts`` is what has to be encoded, ``settle`` takes its counts."""
+
+    def __init__(self, text: str, tree: CountTree, start: int, end: int, put: str):
+        self.tree = tree
+        start = min(max(start, 0), len(text))
+        end = min(max(end, start), len(text))
+        self.first, begin = tree.find(start)
+        self.last, at = tree.find(max(start, end - 1))
+        stop = at + int(tree.node[0, tree.size + self.last])
+        region = text[begin:start] + put + text[end:stop]
+        while stop < len(text) and region[-1:] not in (" ", "\n"):
+            self.last += 1
+            more = int(tree.node[0, tree.size + self.last])
+            region, stop = region + text[stop : stop + more], stop + more
+        self.text = text[:begin] + region + text[stop:]
+        self.encoded, self.parts = len(region), leaves(region)
+
+    def settle(self, counts: list[int]) -> CountTree:
+        tree, first, last, parts = self.tree, self.first, self.last, self.parts
+        if len(parts) <= last - first + 1:
+            for k in range(first, last + 1):
+                i = k - first
+                tree.put(k, len(parts[i]) if i < len(parts) else 0, counts[i] if i < len(parts) else 0)
+            return tree
+        old = tree.node[:, tree.size : 2 * tree.size]
+        return CountTree.over(np.concatenate([old[:, :first], np.array([[len(p) for p in parts], counts], "<i8"), old[:, last + 1 :]], axis=1))
+
+
 def edit(text: str, tree: CountTree, start: int, end: int, put: str, encoder: WordEncoder) -> tuple[str, CountTree, int]:
     """Replaces text[start:end]; returns the text, its tree and how many characters were encoded again."""
-    start = min(max(start, 0), len(text))
-    end = min(max(end, start), len(text))
-    first, begin = tree.find(start)
-    last, at = tree.find(max(start, end - 1))
-    stop = at + int(tree.node[0, tree.size + last])
-    region = text[begin:start] + put + text[end:stop]
-    while stop < len(text) and region[-1:] not in (" ", "\n"):
-        last += 1
-        more = int(tree.node[0, tree.size + last])
-        region, stop = region + text[stop : stop + more], stop + more
-    new = text[:begin] + region + text[stop:]
-    parts = leaves(region)
-    counts = _count(encoder, parts)
-    if len(parts) <= last - first + 1:
-        for k in range(first, last + 1):
-            i = k - first
-            tree.put(k, len(parts[i]) if i < len(parts) else 0, counts[i] if i < len(parts) else 0)
-    else:
-        old = tree.node[:, tree.size : 2 * tree.size]
-        tree = CountTree.over(np.concatenate([old[:, :first], np.array([[len(p) for p in parts], counts], "<i8"), old[:, last + 1 :]], axis=1))
-    return new, tree, len(region)
+    e = Edit(text, tree, start, end, put)
+    return e.text, e.settle(_count(encoder, e.parts)), e.encoded
 
 
 def build(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -145,16 +155,20 @@ def apply(trees: DataFrame, tokenizer: str) -> DataFrame:
     def run(it):
         encoder = WordEncoder.of(tokenizer)
         for b in it:
-            out = []
-            for doc_id, text, edits, data, n in _rows([b], "doc_id", "text", "edits", "tree", "n_tokens"):
-                text, tree, again, made = text or "", CountTree.load(data), 0, 0
-                for e in edits or []:
-                    if e is None:
-                        continue
-                    start = e["start"] or 0
-                    text, tree, k = edit(text, tree, start, start if e["stop"] is None else e["stop"], e["put"] or "", encoder)
-                    again, made = again + k, made + 1
-                out.append((doc_id, n, tree.tokens, len(text), again, made))
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, names=["doc_id", "n_tokens", "n_edited", "n_chars", "n_encoded", "n_edits"])
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            trees = [CountTree.load(t) for t in b.column("tree").to_pylist()]
+            edits = [[e for e in es or [] if e is not None] for es in b.column("edits").to_pylist()]
+            again = [0] * len(texts)
+            for k in range(max(map(len, edits), default=0)):  # the k-th edits of all documents are encoded together
+                under_way = []
+                for i, es in enumerate(edits):
+                    if k < len(es):
+                        start = es[k]["start"] or 0
+                        under_way.append((i, Edit(texts[i], trees[i], start, start if es[k]["stop"] is None else es[k]["stop"], es[k]["put"] or "")))
+                counts = iter(_count(encoder, [p for _, e in under_way for p in e.parts]))
+                for i, e in under_way:
+                    texts[i], trees[i] = e.text, e.settle([next(counts) for _ in e.parts])
+                    again[i] += e.encoded
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), *[pa.array(c, pa.int64()) for c in ([t.tokens for t in trees], list(map(len, texts)), again, list(map(len, edits)))]], names=["doc_id", "n_tokens", "n_edited", "n_chars", "n_encoded", "n_edits"])
 
     return trees.mapInArrow(run, EDITED)
