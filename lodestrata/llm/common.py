@@ -7,11 +7,14 @@ executor shares; they cut lineage, so a lost executor costs a re-read and not a
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,6 +72,25 @@ class Scratch:
             return
 
 
+def lean(fn):
+    """``fn`` for mapInArrow in a worker that gives memory back: large arrays are mapped one by one, and freed pages returned at a partition's end."""
+
+    def run(it):
+        libc = None
+        with contextlib.suppress(OSError, AttributeError):  # another C library has no such calls
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)
+        try:
+            yield from fn(it)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return run
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns of ``df``; columns beyond them, clashing names included, are left behind."""
     return df.select(*[df[n] for n in names])

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, with_fields
+from .common import lean, with_fields, Scratch
 
 WINDOW, GRAM = 10, 5
 #: Slots of the fixed-size filter of benchmark fingerprints that every task gets: 2 MB at any size.
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *keep: str) ->
                 if len(fps := item_fingerprints(words)):
                     yield pa.RecordBatch.from_arrays([pa.array([b.column("item_id")[i].as_py()] * len(fps), pa.int64()), pa.array([t] * len(fps)), pa.array([min(len(words), WINDOW)] * len(fps), pa.int32()), pa.array(fps.view("i8"))], names=["item_id", "item", "n", "h"])
 
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(prints, "item_id long, item string, n int, h long")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(lean(prints), "item_id long, item string, n int, h long")
     items = scratch.write(items)
     lengths = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most nine
     slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
@@ -128,7 +128,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *keep: str) ->
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(rid, pa.int64()), pa.array(n_words, pa.int64()), pa.array(passed, pa.list_(pa.int64())), pa.array([t if len(p) else None for t, p in zip(texts, passed, strict=True)], pa.string())], names=[*keep, "rid", "n_words", "h", "words"])
 
     schema = with_fields(docs.select(*keep), "rid long, n_words long, h array<long>, words string")
-    rows = scratch.write(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(pick, schema))
+    rows = scratch.write(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(pick), schema))
 
     met = rows.where("words is not null").select("rid", F.explode("h").alias("h")).join(items.select("h", "item_id", "item").distinct(), "h")
     met = met.select("rid", "item_id", "item").distinct().groupBy("rid").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
@@ -143,7 +143,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *keep: str) ->
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["rid", "n_hit", "n_items", "items_sha256"])
 
-    hits = rows.where("words is not null").select("rid", "words").join(met, "rid").mapInArrow(verify, "rid long, n_hit long, n_items long, items_sha256 string")
+    hits = rows.where("words is not null").select("rid", "words").join(met, "rid").mapInArrow(lean(verify), "rid long, n_hit long, n_items long, items_sha256 string")
     none = hashlib.sha256(b"").hexdigest()
     out = rows.select(*keep, "rid", "n_words").join(hits, "rid", "left")
     return out.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components, split_hot
+from .common import components, lean, split_hot, Forest, Scratch
 
 TABLES, KEY_BITS, CAP, SIGMA = 20, 10, 1024, 4.0
 
@@ -86,12 +86,12 @@ def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, tables:
     rows = rows.withColumn("v", F.when(F.col("label").isNotNull(), F.transform("v", lambda x: x + F.lit(0.0))))
     rows = scratch.write(rows.withColumn("c", F.xxhash64("label", "v", F.lit(1)).cast("string")).withColumn("c", F.concat_ws("-", "c", F.xxhash64(F.lit(2), "v", "label"))))
     classes = scratch.write(rows.groupBy("c").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    keyed = classes.where("label is not null").select("c", "label", "v").mapInArrow(index, "c string, label long, dim int, keys binary, v binary")
+    keyed = classes.where("label is not null").select("c", "label", "v").mapInArrow(lean(index), "c string, label long, dim int, keys binary, v binary")
     keyed = keyed.join(classes.select("c", "copies"), "c").select("*", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
     keyed = keyed.withColumn("key", F.hex(F.expr("substring(keys, t * 4 + 1, 4)")))
     tasks = split_hot(keyed, ["label", "dim", "t", "key"], "c", cap)
     group = ["label", "dim", "t", "key", "lo", "hi"]
-    found = scratch.write(tasks.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda it: _meet(it, group, threshold), "c string, other string, n long"))
+    found = scratch.write(tasks.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(lambda it: _meet(it, group, threshold)), "c string, other string, n long"))
     counts = found.where("n > 0").groupBy("c").agg(F.sum("n").alias("n"))
     roots = scratch.write(components(found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")), scratch))
     named = classes.join(counts, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))

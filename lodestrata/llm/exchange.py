@@ -18,10 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches, shuffle_partitions
+from .common import batches, lean, shuffle_partitions, Scratch
 from .token_store import _rows
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Keys a range's task holds at a time, about.
 RANGE_KEYS = 1 << 20
 PACKED = "chunk long, doc_ids binary, known binary, ends binary, data binary, bytes long"
@@ -65,7 +65,7 @@ def pack_chunks(docs: DataFrame, scratch: Scratch, ordered: bool = False, chunk_
             yield pa.record_batch([pa.array([part << 24 | seq]), pa.array([ids.tobytes()]), pa.array([known.tobytes()]), pa.array([ends.tobytes()]), pa.array([data], pa.binary()), pa.array([len(data)])], names=["chunk", "doc_ids", "known", "ends", "data", "bytes"])
 
     name = f"lodestrata_{uuid.uuid4().hex}"
-    rows.mapInArrow(run, PACKED).write.option("compression", "zstd").option("path", scratch.path()).bucketBy(shuffle_partitions(spark), "chunk").sortBy("chunk").saveAsTable(name)
+    rows.mapInArrow(lean(run), PACKED).write.option("compression", "zstd").option("path", scratch.path()).bucketBy(shuffle_partitions(spark), "chunk").sortBy("chunk").saveAsTable(name)
     return spark.table(name)
 
 
@@ -102,7 +102,7 @@ def answer(asked: DataFrame, reduce: Callable[[int, list[tuple]], Iterator[tuple
         if held:
             yield flush()
 
-    return asked.repartition("kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(run, ANSWERED)
+    return asked.repartition("kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(lean(run), ANSWERED)
 
 
 def gathered(answers: DataFrame, name: str) -> DataFrame:

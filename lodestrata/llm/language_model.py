@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import lean, Scratch
 from .exchange import ASKED, Chunk, answer, ask, from_small_ints, gathered, pack_chunks, small_ints, spans_for
 from .token_store import _rows
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 u, n = _distinct(keys, t.trained)
                 yield ask(chunk, kind, spans, u, None, n)
 
-    answers = scratch.write(answer(chunks.select("chunk", "doc_ids", "known", "ends", "data").mapInArrow(request, ASKED), _reduce))
+    answers = scratch.write(answer(chunks.select("chunk", "doc_ids", "known", "ends", "data").mapInArrow(lean(request), ASKED), _reduce))
     scratch.release()
     sums = [np.frombuffer(r.answer, "<i8") for r in answers.where("chunk < 0 and kind = 0").select("answer").collect()]  # one row a range
     v, n = (int(sum(s[i] for s in sums)) for i in (0, 1))
@@ -170,7 +170,7 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
             cell, count = cells(Counts.of(t, found, documents), t.trained, n)
             yield pa.record_batch([pa.array(cell), pa.array(count)], names=["cell", "n"])
 
-    hist = read.mapInArrow(histogram, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    hist = read.mapInArrow(lean(histogram), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     weights = learn(np.array([r.cell for r in hist], "i8"), np.array([r.n for r in hist], "f8"), v)
 
     def judge(it):
@@ -184,4 +184,4 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
             add = lambda x: np.add.reduceat(x, t.first)
             yield pa.record_batch([chunk.ids(), pa.array(t.held), pa.array(np.bincount(t.doc)), pa.array(add((c.token > 0).astype("i8"))), pa.array(np.full(len(t.held), n)), pa.array(add(base)), pa.array(add(np.log10(p)))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return read.mapInArrow(judge, OUT)
+    return read.mapInArrow(lean(judge), OUT)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, ascii_words, components, split_hot, with_fields
+from .common import ascii_words, components, lean, split_hot, with_fields, Forest, Scratch
 
 SHINGLE, SEED, BITS, CAP = 4, 42, 4, 4096
 
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
             fps = np.array([fingerprint(t.as_py()) for t in b.column("text")], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(fps, pa.int64())], names=[*keep, "fp"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, with_fields(docs.select(*keep), "fp long"))
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), with_fields(docs.select(*keep), "fp long"))
 
 
 def links(fps: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
@@ -65,7 +65,7 @@ def links(fps: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("k", "key"))
     tasks = split_hot(keyed, ["k", "key"], "fp", cap)
     group = ["k", "key", "lo", "hi"]
-    return tasks.repartition(*group).sortWithinPartitions(*group).mapInArrow(lambda it: _meet(it, bits), "a long, b long")
+    return tasks.repartition(*group).sortWithinPartitions(*group).mapInArrow(lean(lambda it: _meet(it, bits)), "a long, b long")
 
 
 def _meet(it, bits: int):

@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import lean, Scratch
 from .exchange import ASKED, Chunk, answer, ask, gathered, of_kind, pack_chunks, spans_for
 from .token_store import _rows
 
 LENGTH, GRAM = 100, 50
 #: Bytes of whole documents that are hashed at a time.
-BATCH = 1 << 19
+BATCH = 1 << 18
 ANCHOR, WHOLE, WINDOW = 0, 1, 2
 
 _rng = np.random.default_rng(20240229)
@@ -269,7 +269,7 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
             yield ask(number, ANCHOR, spans_for(total / 26), keys, None, contexts)
             yield ask(number, WHOLE, spans_for(total / 2048), r.whole, r.whole_checks)
 
-    first = scratch.write(answer(chunks.select("chunk", *body).mapInArrow(anchors, ASKED), _reduce))
+    first = scratch.write(answer(chunks.select("chunk", *body).mapInArrow(lean(anchors), ASKED), _reduce))
     scratch.release()
     read = chunks.join(gathered(first, "found"), "chunk")
 
@@ -278,7 +278,7 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
             j = Judged(Chunk(*rest), found)
             yield ask(number, WINDOW, spans_for(total / 26), j.keys, j.checks)
 
-    second = scratch.write(answer(read.select("chunk", *body, "found").mapInArrow(windows, ASKED), _reduce))
+    second = scratch.write(answer(read.select("chunk", *body, "found").mapInArrow(lean(windows), ASKED), _reduce))
     scratch.release()
 
     def finish(it):
@@ -295,4 +295,4 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
             yield pa.record_batch([chunk.ids(), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3]), pa.array(cols[4], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(cols[5], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     both = read.join(gathered(second, "last"), "chunk", "left").select(*body, "found", "last")
-    return both.mapInArrow(finish, OUT)
+    return both.mapInArrow(lean(finish), OUT)

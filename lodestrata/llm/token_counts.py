@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, with_fields
+from .common import batches, lean, with_fields
 from .token_store import WordEncoder
 
 LEAF = 32
@@ -138,7 +138,7 @@ def build(docs: DataFrame, tokenizer: str) -> DataFrame:
                     n.append(tree.tokens)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(trees, pa.binary()), pa.array(n, pa.int64())], names=[*b.schema.names, "tree", "n_tokens"])
 
-    return docs.mapInArrow(run, with_fields(docs, "tree binary, n_tokens long"))
+    return docs.mapInArrow(lean(run), with_fields(docs, "tree binary, n_tokens long"))
 
 
 EDITED = "doc_id long, n_tokens long, n_edited long, n_chars long, n_encoded long, n_edits long"
@@ -171,4 +171,4 @@ def apply(trees: DataFrame, tokenizer: str) -> DataFrame:
                     again[i] += e.encoded
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), *[pa.array(c, pa.int64()) for c in ([t.tokens for t in trees], list(map(len, texts)), again, list(map(len, edits)))]], names=["doc_id", "n_tokens", "n_edited", "n_chars", "n_encoded", "n_edits"])
 
-    return trees.mapInArrow(run, EDITED)
+    return trees.mapInArrow(lean(run), EDITED)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, batches, only, running_total
+from .common import batches, lean, only, running_total, Scratch
 
 MAGIC, VERSION, BLOCK = b"LSTK", 1, 4096
 _HEAD = struct.Struct("<4sHHQQQ")
@@ -124,7 +124,7 @@ class WordEncoder:
 
     _held: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -240,7 +240,7 @@ def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch)
         def out():
             return pa.record_batch([[part], [seq], [len(held)], [size], [np.array([k or 0 for k in keys], "<i8").tobytes()], [np.array([k is not None for k in keys], "u1").tobytes()], [write_segment(held, bits)]], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("segment", pa.binary())]))
 
-        for some in batches(_rows(it, "doc_id", "text"), 1 << 23, lambda r: len(r[1] or "") + 64):
+        for some in batches(_rows(it, "doc_id", "text"), 1 << 22, lambda r: len(r[1] or "") + 64):
             for (key, _), ids in zip(some, encoder.encode([t or "" for _, t in some]), strict=True):
                 held.append(np.concatenate([ids, tail]))
                 keys.append(key)
@@ -252,7 +252,7 @@ def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch)
             yield out()
 
     sorted_docs = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.write(sorted_docs.mapInArrow(encode, CONTAINER))
+    return scratch.write(sorted_docs.mapInArrow(lean(encode), CONTAINER))
 
 
 def read_back(container: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def read_back(container: DataFrame) -> DataFrame:
     w = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     base = container.select("part", "seq", F.coalesce(F.sum("ids").over(w), F.lit(0)).alias("inside")).join(parts.select("part", "before"), "part")
     base = base.select("part", "seq", (F.col("inside") + F.col("before")).alias("base"))
-    rows = container.select("part", "seq", "doc_ids", "known", "segment").mapInArrow(decode, ROWS)
+    rows = container.select("part", "seq", "doc_ids", "known", "segment").mapInArrow(lean(decode), ROWS)
     return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 

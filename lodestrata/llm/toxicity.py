@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_fields
+from .common import lean, with_fields
 
 #: Bounds of the model: examples of each label, terms, neighbours, postings' block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 4000, 768, 15, 64
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     n1, n0 = (int(sample.where(f"y = {y}").count()) for y in (1, 0))
     if not n1 + n0:
         return Index({}, np.zeros(0), np.zeros((0, 0), "f4"), np.zeros(0), np.zeros(0), np.zeros(0, "i8"), 0.0)
-    df = sample.mapInArrow(sets, "term binary, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(f"a + b >= {LEAST_DF}")
+    df = sample.mapInArrow(lean(sets), "term binary, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(f"a + b >= {LEAST_DF}")
     a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
     chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(float(max(n1 * n0, 1))) + F.lit(1e-9))
     top = df.withColumn("chi", chi.cast("double")).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "term").limit(TERMS).collect()  # bounded by TERMS
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
             got = [bare.vector(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([x for x, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], names=["doc_id", "y", "k", "w"])
 
-    rows = sorted(sample.mapInArrow(vectors, "doc_id long, y int, k array<long>, w array<double>").collect(), key=lambda r: (r.y, r.k, r.doc_id))  # alike ones share blocks
+    rows = sorted(sample.mapInArrow(lean(vectors), "doc_id long, y int, k array<long>, w array<double>").collect(), key=lambda r: (r.y, r.k, r.doc_id))  # alike ones share blocks
     sample.unpersist()
     x = np.zeros((len(rows), len(top)), "f4")
     for i, r in enumerate(rows):
@@ -207,4 +207,4 @@ def score(docs: DataFrame, index: Index, *keep: str, evidence: bool = False) ->
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s), pa.array((s >= 0.5).astype("i4")), *more], names=[*keep, "score", "predicted", *["evidence"] * evidence])
 
     schema = with_fields(docs.select(*keep), "score double, predicted int" + f", evidence {EVIDENCE}" * evidence)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), schema)
