@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..runtime import ready
+
 _made: dict[str, SparkSession] = {}
 
 
@@ -37,7 +39,7 @@ class Scratch:
     """Tables one query writes on its way; each can be dropped as soon as its successor is written."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = ready(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._clear)
 
     def path(self) -> str:
@@ -97,7 +99,7 @@ def only(df: DataFrame, *names: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ascii_words(text: str | None) -> list[bytes]:

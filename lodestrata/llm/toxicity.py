@@ -10,6 +10,7 @@ weighted by distance are calibrated on the sample itself, each example judged wi
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +32,11 @@ def tokens(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(_KEEP).split() if text else []
 
 
+def family(words: list[bytes], n: int = 4) -> int:
+    """The least hash of the runs of n words: copies and near-copies mostly share it, other texts don't."""
+    return min(zlib.crc32(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1)))
+
+
 def terms(word: bytes) -> list[bytes]:
     """The word, and its beginnings of 4 to 6 bytes; inflected forms share those."""
     return [b"=" + word, *[b"^" + word[:k] for k in PREFIXES if len(word) >= k]]
@@ -154,16 +160,21 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     def sets(it):
         for b in it:
             for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                found = {x for w in set(tokens(t)) for x in terms(w)}
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.binary()), pa.array([y] * len(found), pa.int32())], names=["term", "y"])
-
-    n1, n0 = (int(sample.where(f"y = {y}").count()) for y in (1, 0))
+                words = tokens(t)
+                found = [b"", *sorted({x for w in set(words) for x in terms(w)})]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32()), pa.array([family(words)] * len(found), pa.int64())], names=["term", "y", "family"])
+
+    # Copies of one document would make its rare words look telling: families count, not documents.
+    by_term = sample.mapInArrow(lean(sets), "term binary, y int, family long").distinct().groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    by_term = by_term.persist()
+    n1, n0 = next(((int(r.a), int(r.b)) for r in by_term.where(F.col("term") == F.lit(b"")).collect()), (0, 0))
     if not n1 + n0:
         return Index({}, np.zeros(0), np.zeros((0, 0), "f4"), np.zeros(0), np.zeros(0), np.zeros(0, "i8"), 0.0)
-    df = sample.mapInArrow(lean(sets), "term binary, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where(f"a + b >= {LEAST_DF}")
+    df = by_term.where(f"a + b >= {LEAST_DF}").where(F.col("term") != F.lit(b""))
     a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
     chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(float(max(n1 * n0, 1))) + F.lit(1e-9))
     top = df.withColumn("chi", chi.cast("double")).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "term").limit(TERMS).collect()  # bounded by TERMS
+    by_term.unpersist()
     vocabulary = {bytes(r.term): i for i, r in enumerate(top)}
     idf = np.array([math.log(1 + (n1 + n0) / (r.a + r.b)) for r in top])
     bare = Index(vocabulary, idf, np.zeros((0, len(top)), "f4"), np.zeros(0), np.zeros(0), np.zeros(0, "i8"), 0.0)
@@ -179,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
     for i, r in enumerate(rows):
         x[i, r.k] = r.w
     y = np.array([r.y for r in rows], "f8")
-    weights = np.where(y == 1, totals.get(1, 0) / max(n1, 1), totals.get(0, 0) / max(n0, 1))
+    weights = np.where(y == 1, totals.get(1, 0) / max((y == 1).sum(), 1), totals.get(0, 0) / max((y == 0).sum(), 1))
     bare_rows = np.array([not r.k for r in rows])
     prior = float(((weights * y)[bare_rows].sum() + 0.5 * totals.get(1, 0) / max(1, sum(totals.values()))) / (weights[bare_rows].sum() + 1))
     index = Index(vocabulary, idf, x, y, weights, np.array([r.doc_id for r in rows]), prior)
