@@ -23,7 +23,7 @@ from .common import lean, with_fields
 #: Bounds of the model: examples of each label, terms, neighbours, postings' block.
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 4000, 768, 15, 64
 #: A term must be in so many examples, and its signed evidence (chi-square, one degree) at least this.
-LEAST_DF, LEAST_CHI = 8, 40.0
+LEAST_DF, LEAST_CHI = 4, 25.0
 PREFIXES = (4, 5, 6)
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
