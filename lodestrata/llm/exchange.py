@@ -73,13 +73,23 @@ def spans_for(keys: float) -> int:
     return max(8, int(keys / RANGE_KEYS) + 1)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte plane by byte plane, so that the planes of high zeros compress away."""
+    return np.diff(keys, prepend=np.uint64(0)).view("u1").reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, "u1").reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype="u8")
+
+
 def ask(chunk: int, kind: int, spans: int, keys: np.ndarray, checks: np.ndarray | None = None, counts: np.ndarray | None = None) -> pa.RecordBatch:
     """One row for each range of the sorted distinct ``keys``, with check bits and counts beside them."""
     width = (1 << 64) // spans + 1
     cuts = np.searchsorted(keys, np.array([min(i * width, (1 << 64) - 1) for i in range(1, spans)], "u8")) if spans > 1 else np.zeros(0, "i8")
     bounds = [0, *cuts.tolist(), len(keys)]
     own = [(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
-    cols = [[x[a:b].tobytes() if x is not None else b"" for _, a, b in own] for x in (keys, checks, counts)]
+    cols = [[pack_keys(keys[a:b]) for _, a, b in own], *[[x[a:b].tobytes() if x is not None else b"" for _, a, b in own] for x in (checks, counts)]]
     return pa.record_batch([pa.array([chunk] * len(own), pa.int64()), pa.array([kind] * len(own), pa.int32()), pa.array([i for i, _, _ in own], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["chunk", "kind", "span", "keys", "checks", "counts"])
 
 

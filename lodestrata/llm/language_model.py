@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, Scratch
-from .exchange import ASKED, Chunk, answer, ask, from_small_ints, gathered, pack_chunks, small_ints, spans_for
+from .exchange import ASKED, Chunk, answer, ask, from_small_ints, gathered, pack_chunks, small_ints, spans_for, unpack_keys
 from .token_store import _rows
 
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -69,7 +69,7 @@ def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _reduce(kind: int, rows: list[tuple]):
     """Training counts of each chunk's keys; and as chunk -1 how many distinct keys were trained on and their tokens."""
-    keys = [np.frombuffer(r[1], "<u8") for r in rows]
+    keys = [unpack_keys(r[1]) for r in rows]
     u, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]), minlength=len(u)).astype("i8")
     ends = np.cumsum([len(k) for k in keys])
@@ -146,7 +146,7 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     (32 x 3 numbers) and three totals are all that the driver sees, besides a histogram of at most
     32 x 64 x 64 cells.
     """
-    chunks = pack_chunks(docs, scratch)
+    chunks = pack_chunks(docs, scratch, chunk_bytes=4 << 20)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
     spans = spans_for(total / 6)
 

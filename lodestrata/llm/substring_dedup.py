@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, Scratch
-from .exchange import ASKED, Chunk, answer, ask, gathered, of_kind, pack_chunks, spans_for
+from .exchange import ASKED, Chunk, answer, ask, gathered, of_kind, pack_chunks, spans_for, unpack_keys
 from .token_store import _rows
 
 LENGTH, GRAM = 100, 50
@@ -168,7 +168,7 @@ STAYS, COPY, MIXED = 0, 1, 2
 def _reduce(kind: int, rows: list[tuple]):
     """Of whole documents and windows: STAYS for the first chunk that has it, else COPY. Of anchors the same, or MIXED if their runs differ."""
     sizes = [len(r[1]) // 8 for r in rows]
-    keys = np.concatenate([np.frombuffer(r[1], "<u8") for r in rows])
+    keys = np.concatenate([unpack_keys(r[1]) for r in rows])
     answer = np.full(len(keys), COPY, "u1")
     if kind == ANCHOR:
         contexts = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])
