@@ -91,6 +91,10 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def _like(regex: str):
+    return lambda x: x.rlike(regex)
+
+
 def skipped(rel_path: Column, patterns: list[str]) -> Column:
     """Whether a path below its root, or a directory above it, matches a pattern.
 
@@ -103,9 +107,9 @@ def skipped(rel_path: Column, patterns: list[str]) -> Column:
         regex = glob_regex(p)
         if "/" in p:
             prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat_ws("/", F.slice(parts, 1, n)))
-            found = found | F.exists(prefixes, lambda x, r=regex: x.rlike(r))
+            found = found | F.exists(prefixes, _like(regex))
         else:
-            found = found | F.exists(parts, lambda x, r=regex: x.rlike(r))
+            found = found | F.exists(parts, _like(regex))
     return found
 
 
@@ -121,7 +125,7 @@ def topmost_skipped(rel_path: Column, patterns: list[str]) -> Column:
             out = out | (prefix if "/" in p else name).rlike(glob_regex(p))
         return out
 
-    return F.element_at(F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), prefix_hit), lambda n: F.concat_ws("/", F.slice(parts, 1, n))), F.lit(1)) if patterns else F.lit(None).cast("string")
+    return F.try_element_at(F.transform(F.filter(F.sequence(F.lit(1), F.size(parts)), prefix_hit), lambda n: F.concat_ws("/", F.slice(parts, 1, n))), F.lit(1)) if patterns else F.lit(None).cast("string")
 
 
 def in_metadata_dir(rel_path: Column, name: str = METADATA_DIR) -> Column:

@@ -1,9 +1,473 @@
-"""Queries of the file-library operators."""
+"""Queries of the file-library operators over the driver's tables, and the same in DuckDB SQL.
+
+Documents stand for files: their path is source/lang/doc_id, their content the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import dates, geo, names, paths
+from .operators import cascade, ledger, pairing, tallies, verify
+from .plans import settings, target, undo
+from .runtime import ready
+from .sources import generator, journal, manifest
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+K = 512
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        _QUERIES[fn.__name__] = fn
+        if sql:
+            _SQL[fn.__name__] = sql
+        return fn
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content"))
+
+
+FILES = "f AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || doc_id AS path, encode(text) AS c FROM documents)"
+FIRST = "min({'d': len(string_split(path, '/')), 'p': string_split(path, '/'), 'f': path})"
+
+
+@query("SELECT octet_length(encode(text))::BIGINT AS size, count(*)::BIGINT AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def a1_size_groups(spark, sf_dir):
+    """A1: sizes that more than one file has."""
+    return files(spark, sf_dir).where("content is not null").groupBy(F.octet_length("content").cast("long").alias("size")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query(f"WITH {FILES} SELECT doc_id, CASE WHEN octet_length(c) <= {K} THEN 'whole' WHEN octet_length(c) <= {2 * K} THEN 'head' ELSE 'head_tail' END AS band, sha256(CASE WHEN octet_length(c) <= {2 * K} THEN c[1:{K}] ELSE c[1:{K}] || c[-{K}:] END) AS digest FROM f")
+def a2_partial_hash(spark, sf_dir):
+    """Partial digests by band."""
+    f = files(spark, sf_dir)
+    return f.select("doc_id", cascade.band(F.octet_length("content"), K).alias("band"), F.sha2(cascade.partial_bytes(F.col("content"), K), 256).alias("digest"))
+
+
+@query(f"""WITH {FILES}, g AS (SELECT *, octet_length(c) AS size, count(*) OVER (PARTITION BY octet_length(c)) AS ns, sha256(CASE WHEN octet_length(c) <= {2 * K} THEN c[1:{K}] ELSE c[1:{K}] || c[-{K}:] END) AS pd FROM f),
+h AS (SELECT *, count(*) OVER (PARTITION BY size, pd) AS np FROM g),
+k AS (SELECT *, CASE WHEN ns > 1 AND size <= {K} THEN pd WHEN np > 1 THEN sha256(c) END AS kh FROM h),
+o AS (SELECT kh, size, count(*) AS n, {FIRST} AS o FROM k WHERE kh IS NOT NULL GROUP BY 1, 2)
+SELECT doc_id, k.kh AS known_hash, CASE WHEN k.size IS NULL THEN 'skipped' WHEN coalesce(n, 1) = 1 THEN 'unique' WHEN path = o.f THEN 'original' ELSE 'duplicate' END AS role, coalesce(n, 1)::BIGINT AS copies FROM k LEFT JOIN o ON k.kh = o.kh AND k.size = o.size""")
+def a5_duplicate_roles(spark, sf_dir):
+    """Every file with its role in the cascade."""
+    return cascade.classify(files(spark, sf_dir), k=K).select("doc_id", "known_hash", "role", "copies")
+
+
+@query(f"WITH {FILES} SELECT sha256(c) AS hash, octet_length(c)::BIGINT AS size, count(*)::BIGINT AS copies, ({FIRST}).f AS original, (row_number() OVER (ORDER BY sha256(c)) - 1)::BIGINT AS number FROM f WHERE c IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
+def a5_duplicate_groups(spark, sf_dir):
+    """Duplicate groups with their originals and numbers."""
+    return _groups(spark, sf_dir)
+
+
+def _groups(spark, sf_dir):
+    # Without k the partial digest of a small file is its whole one, so hashes are those of contents.
+    return cascade.groups(cascade.classify(files(spark, sf_dir), k=K).where("copies > 1").withColumn("known_hash", F.sha2("content", 256)))
+
+
+@query(f"""WITH {FILES}, g AS (SELECT sha256(c) AS h, count(*) AS n, ({FIRST}).f AS o, row_number() OVER (ORDER BY sha256(c)) - 1 AS k FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT path, 'duplicates/' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '/' || string_split(path, '/')[-1] AS destination FROM f JOIN g ON sha256(c) = h WHERE path <> o""")
+def e3_plan_duplicates(spark, sf_dir):
+    """Where each duplicate goes."""
+    dup = cascade.classify(files(spark, sf_dir), k=K).where("role = 'duplicate'").withColumn("hash", F.sha2("content", 256)).select("path", "hash")
+    g = _groups(spark, sf_dir).select("hash", "number")
+    return dup.join(g, "hash").select("path", F.concat(cascade.group_directory(F.col("number")), F.lit("/"), paths.file_name(F.col("path"))).alias("destination"))
+
+
+@query(f"WITH {FILES}, g AS (SELECT sha256(c) AS h, count(*) AS n, octet_length(any_value(c)) AS s FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT count(*)::BIGINT AS n_groups, coalesce(sum(n - 1), 0)::BIGINT AS n_duplicates, coalesce(sum((n - 1) * s), 0)::BIGINT AS bytes_reclaimable FROM g")
+def a9_duplicate_counters(spark, sf_dir):
+    """Groups, duplicates and the bytes they hold."""
+    return tallies.duplicates(_groups(spark, sf_dir))
+
+
+@query("""SELECT page_id, e AS extension, CASE WHEN e IN ('html', 'htm') THEN 'image' WHEN e IN ('example', 'php') THEN 'video' WHEN e = 'xmp' THEN 'sidecar' END AS kind FROM
+(SELECT page_id, lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '^.+\\.([^.]*)$', 1)) AS e FROM pages)""")
+def f1_kind_filter(spark, sf_dir):
+    """extensions without case, and the kind by configured lists."""
+    name = paths.file_name(F.regexp_replace("url", "[?#].*$", ""))
+    e = paths.extension(name)
+    return table(spark, sf_dir, "pages").select("page_id", e.alias("extension"), paths.kind(e, ("html", "htm"), ("example", "php"), ("xmp",)).alias("kind"))
+
+
+@query("""SELECT page_id, len(list_filter(p, lambda x: regexp_matches(x, '^m\\.'))) > 0 OR regexp_matches(array_to_string(p, '/'), '^[^/]*/es(/|$)') AS skipped,
+CASE WHEN regexp_matches(p[1], '^m\\.') THEN p[1] WHEN p[2] = 'es' THEN p[1] || '/' || p[2] ELSE NULL END AS topmost FROM
+(SELECT page_id, string_split(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://', ''), '/') AS p FROM pages)""")
+def f3_skip_globs(spark, sf_dir):
+    """Patterns against names and against paths with their ancestors; what a pruned entry is counted by."""
+    rel = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://", "")
+    patterns = ["m.*", "*/es"]
+    return table(spark, sf_dir, "pages").select("page_id", paths.skipped(rel, patterns).alias("skipped"), paths.topmost_skipped(rel, patterns).alias("topmost"))
+
+
+@query("SELECT c_custkey, abs(c_acctbal / 50) <= 90 AND abs(c_acctbal / 40) <= 180 AS valid FROM customer")
+def f10_coordinates(spark, sf_dir):
+    """coordinates within range."""
+    return table(spark, sf_dir, "customer").select("c_custkey", geo.valid(F.col("c_acctbal") / 50, F.col("c_acctbal") / 40).alias("valid"))
+
+
+@query("SELECT p_partkey, regexp_replace(replace(p_name || '/' || p_type || '.' || p_brand, ' ', '-'), '[^\\p{L}\\p{N}_-]', '_', 'g') AS clean FROM part")
+def x1_sanitise(spark, sf_dir):
+    """Names as safe components."""
+    return table(spark, sf_dir, "part").select("p_partkey", names.sanitise(F.concat("p_name", F.lit("/"), "p_type", F.lit("."), "p_brand")).alias("clean"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(list_filter(string_split('/' || p_name || '//' || p_brand || '/', '/'), lambda x: x <> ''), lambda x: regexp_replace(replace(x, ' ', '-'), '[^\\p{L}\\p{N}_-]', '_', 'g')), '/') AS clean FROM part")
+def x2_components(spark, sf_dir):
+    """Each component sanitised, empty ones dropped."""
+    path = F.concat(F.lit("/"), "p_name", F.lit("//"), "p_brand", F.lit("/"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws("/", names.sanitised_components(path)).alias("clean"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y/%m-%d') AS a, strftime(o_orderdate, '%Y-%j') AS b, strftime(o_orderdate, 'shot-%Y%%') AS raw FROM orders")
+def x3_date_directory(spark, sf_dir):
+    """Date directories by strftime formats (the last without sanitising)."""
+    ts = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", names.date_directory(ts, "%Y/%m-%d").alias("a"), names.date_directory(ts, "%Y-%j").alias("b"), F.date_format(ts, names.strftime_pattern("shot-%Y%%")).alias("raw"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || '-' || strftime(o_orderdate, '%H%M%S') || '-' || regexp_replace(replace(o_orderpriority, ' ', '-'), '[^\\p{L}\\p{N}_-]', '_', 'g') || '-US.jpg' AS name FROM orders")
+def x4_filename(spark, sf_dir):
+    """The default template with a place."""
+    ts = F.col("o_orderdate")
+    values = {"date": F.date_format(ts, "yyyy-MM-dd"), "time": F.date_format(ts, "HHmmss"), "location": names.location_part(F.col("o_orderpriority"), F.lit("US")), "ext": F.lit("jpg"), "original_stem": F.lit("x")}
+    return table(spark, sf_dir, "orders").select("o_orderkey", names.render("{date}-{time}{location}.{ext}", values).alias("name"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN regexp_replace(replace(o_orderpriority, ' ', '-'), '[^\\p{L}\\p{N}_-]', '_', 'g') ELSE 'unknown' END || '.jpg' AS name FROM orders")
+def x8_unsorted_name(spark, sf_dir):
+    """The stem stays only where a date was refused."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", names.unsorted_name(F.col("o_orderpriority"), F.lit("JPG"), F.col("o_orderstatus") == "F").alias("name"))
+
+
+@query("SELECT p_partkey, p_type || '-' || p_size || '.jpg' AS with_ext, p_type || '-' || p_size AS without FROM part")
+def x9_collision_candidate(spark, sf_dir):
+    """Stem-N.ext and stem-N."""
+    n = F.col("p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", names.collision_candidate(F.concat("p_type", F.lit(".jpg")), n).alias("with_ext"), names.collision_candidate(F.col("p_type"), n).alias("without"))
+
+
+@query("SELECT doc_id, replace(replace(text, chr(10), '\\n'), chr(13), '\\r') AS escaped FROM documents WHERE NOT coalesce(regexp_matches(text, '[\\x00-\\x09\\x0b\\x0c\\x0e-\\x1f\\x7f]'), false)")
+def x11_manifest_escape(spark, sf_dir):
+    """X11: control characters in whole texts."""
+    d = table(spark, sf_dir, "documents").where(~F.coalesce(F.col("text").rlike(r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f]"), F.lit(False)))
+    return d.select("doc_id", names.manifest_escape(F.col("text")).alias("escaped"))
+
+
+@query()
+def x12_elide(spark, sf_dir):
+    """Texts over 160 bytes, cut on a character's edge."""
+    return table(spark, sf_dir, "documents").select("doc_id", names.elide(F.col("text")).alias("short"))
+
+
+@query("SELECT doc_id, substr(sha256(encode(text)), 1, 12) AS undo, substr(sha256(encode(text)), 1, 16) AS report FROM documents")
+def x13_abbreviate(spark, sf_dir):
+    """Digests as they are shown."""
+    h = F.sha2(F.encode("text", "UTF-8"), 256)
+    return table(spark, sf_dir, "documents").select("doc_id", names.abbreviate(h).alias("undo"), names.abbreviate(h, 16).alias("report"))
+
+
+@query("""SELECT o_orderkey, (o_orderdate + INTERVAL (o_orderkey % 86400) SECOND)::TIMESTAMP AS naive, CASE o_orderkey % 4 WHEN 2 THEN 28800 WHEN 3 THEN -12600 ELSE 99999 END AS offset_s FROM orders""")
+def d1_wall_clock(spark, sf_dir):
+    """The four spellings of a wall clock."""
+    k = F.col("o_orderkey") % 4
+    ts = F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
+    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(k == 0, F.date_format(ts, "yyyy:MM:dd HH:mm:ss")).when(k == 1, iso).when(k == 2, F.concat(iso, F.lit("+08:00"))).otherwise(F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("-0330")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.wall_clock(text).alias("w")).select("o_orderkey", "w.naive", F.coalesce("w.offset_s", F.lit(99999)).alias("offset_s"))
+
+
+@query("""SELECT event_id, s AS offset_s, (ts - INTERVAL (s) SECOND)::TIMESTAMP AS utc FROM (SELECT event_id, ts, ((json_extract(props, '$.k')::BIGINT % 25) - 12) * 3600 AS s FROM events)""")
+def d4_instants(spark, sf_dir):
+    """Offsets, and instants beside digits that don't move."""
+    h = F.get_json_object("props", "$.k").cast("long") % 25 - 12
+    text = F.concat(F.when(h < 0, "-").otherwise("+"), F.lpad(F.abs(h).cast("string"), 2, "0"))
+    s = dates.offset_seconds(text)
+    return table(spark, sf_dir, "events").select("event_id", s.cast("long").alias("offset_s"), dates.instant(F.col("ts"), s).alias("utc"))
+
+
+@query()
+def d5_zone_offsets(spark, sf_dir):
+    """Readings in a named zone, gaps and overlaps included."""
+    e = table(spark, sf_dir, "events")
+    kind = F.element_at(F.array(F.lit("wall_clock"), F.lit("zoned"), F.lit("instant")), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select("event_id", dates.resolve(kind, F.col("ts"), F.lit(3600), "Europe/Lisbon").alias("r")).select("event_id", "r.local_ts", "r.offset_s", "r.tz_source")
+
+
+def _dated(spark, sf_dir):
+    """Orders as media: a recorded date unless the key ends in 0-2, companions' dates from line items, else the file's."""
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 < 2").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_shipdate"))).alias("c"))
+    met = o.join(li, o.o_orderkey == li.l_orderkey, "left")
+    k = F.col("o_orderkey") % 10
+    file_ts = F.when(F.col("o_orderkey") % 100 != 2, F.expr("o_orderdate + interval 1 day"))
+    fallback = dates.fallback_source(F.when(F.col("o_orderkey") % 3 == 0, "absent").otherwise("error"), F.col("o_orderstatus") == "F", F.lit(10))
+    picked = dates.prioritised(F.when(k > 2, F.col("o_orderdate")), F.transform(F.coalesce("c", F.array().cast("array<struct<l_linenumber:int,l_shipdate:timestamp_ntz>>")), lambda x: x["l_shipdate"]), file_ts, fallback)
+    return met.select("o_orderkey", "o_orderpriority", picked.alias("p")).select("o_orderkey", "o_orderpriority", "p.ts", F.col("p.source").alias("date_source"))
+
+
+DATED = """c AS (SELECT l_orderkey, min({'n': l_linenumber, 'd': l_shipdate}).d AS s FROM lineitem WHERE l_orderkey % 10 < 2 GROUP BY 1),
+p AS (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 10 > 2 THEN o_orderdate WHEN s IS NOT NULL THEN s WHEN o_orderkey % 100 <> 2 THEN o_orderdate + INTERVAL 1 DAY END::TIMESTAMP AS ts,
+CASE WHEN o_orderkey % 10 > 2 THEN 'exif' WHEN s IS NOT NULL THEN 'sidecar' WHEN o_orderkey % 100 <> 2 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'filesystem' WHEN o_orderstatus = 'F' THEN 'unreadable' ELSE 'unsupported' END ELSE 'none' END AS date_source FROM orders LEFT JOIN c ON o_orderkey = l_orderkey)"""
+
+
+@query(f"WITH {DATED} SELECT o_orderkey, ts, date_source FROM p")
+def d13_date_priority(spark, sf_dir):
+    """Recorded, else companion, else file system, with the reason."""
+    return _dated(spark, sf_dir).select("o_orderkey", "ts", "date_source")
+
+
+def _planned(spark, sf_dir):
+    d = _dated(spark, sf_dir).withColumns({"original_stem": F.col("o_orderpriority"), "ext": F.lit("jpg"), "place": F.lit(None).cast("string"), "country": F.lit(None).cast("string"), "lat": F.lit(1.0), "lon": F.when(F.col("o_orderkey") % 2 == 0, 2.0)})
+    return target.target(d, target.Layout(embedded_only=True))
+
+
+@query(f"""WITH {DATED} SELECT o_orderkey, CASE WHEN date_source IN ('exif', 'sidecar') THEN strftime(ts, '%Y-%m-%d') ELSE 'unsorted' END AS directory,
+CASE WHEN date_source IN ('exif', 'sidecar') THEN strftime(ts, '%Y-%m-%d-%H%M%S') ELSE CASE WHEN ts IS NOT NULL THEN regexp_replace(replace(o_orderpriority, ' ', '-'), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') ELSE 'unknown' END END || '.jpg' AS name,
+date_source NOT IN ('exif', 'sidecar') AS unsorted, o_orderkey % 2 = 0 AS has_location FROM p""")
+def e2_target_path(spark, sf_dir):
+    """Dated or unsorted targets under the embedded-only policy."""
+    return _planned(spark, sf_dir).select("o_orderkey", "directory", "name", "unsorted", "has_location")
+
+
+@query(f"""WITH {DATED}, t AS (SELECT count(*) FILTER (date_source = 'exif') AS n_exif, count(*) FILTER (date_source = 'sidecar') AS n_sidecar, count(*) FILTER (date_source = 'filesystem') AS n_filesystem, count(*) FILTER (date_source = 'unreadable') AS n_unreadable,
+count(*) FILTER (date_source = 'unsupported') AS n_unsupported, count(*) FILTER (date_source = 'none') AS n_none, count(*) FILTER (date_source NOT IN ('exif', 'sidecar')) AS n_unsorted FROM p)
+SELECT *, n_filesystem + n_unreadable + n_unsupported AS from_filesystem, n_exif + n_sidecar + n_filesystem + n_unreadable + n_unsupported AS dated, ((n_filesystem + n_unreadable + n_unsupported) * 100 // (n_exif + n_sidecar + n_filesystem + n_unreadable + n_unsupported))::BIGINT AS percent,
+(n_filesystem + n_unreadable + n_unsupported) * 100 > 20 * (n_exif + n_sidecar + n_filesystem + n_unreadable + n_unsupported) AS warns FROM t""")
+def a7_date_warning(spark, sf_dir):
+    """The tally of date sources and its strict threshold."""
+    return tallies.warning(tallies.date_sources(_planned(spark, sf_dir)))
+
+
+@query("SELECT count(*) FILTER (event_id % 4 = 0)::BIGINT AS tz_recorded, count(*) FILTER (event_id % 4 = 1)::BIGINT AS tz_configured, count(*) FILTER (event_id % 4 = 2)::BIGINT AS tz_system, count(*) FILTER (event_id % 4 = 3)::BIGINT AS tz_assumed_utc FROM events")
+def a8_zone_tally(spark, sf_dir):
+    """Time zones by where they came from."""
+    src = F.element_at(F.array(*map(F.lit, ("exif", "config", "system", "utc"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return tallies.time_zones(table(spark, sf_dir, "events").select(src.alias("tz_source")))
+
+
+def _pairs(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    media = p.where("p_partkey % 3 < 2").select(F.concat("p_brand", F.lit("/"), "p_name", F.lit(".jpg")).alias("path"))
+    companions = p.where("p_partkey % 3 > 0").select(F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", F.lit("/"), F.upper("p_name"), F.lit(".xmp"))).otherwise(F.concat("p_brand", F.lit("/"), "p_name", F.lit(".JPG.xmp"))).alias("path")).distinct()
+    return media, companions
+
+
+PAIRS = """m AS (SELECT p_brand || '/' || p_name || '.jpg' AS m, p_brand AS d, p_name || '.jpg' AS f, p_name AS s FROM part WHERE p_partkey % 3 < 2),
+c AS (SELECT DISTINCT p_brand AS d, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '/' || upper(p_name) || '.xmp' ELSE p_brand || '/' || p_name || '.JPG.xmp' END AS path, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_name || '.jpg' END AS k FROM part WHERE p_partkey % 3 > 0),
+j AS (SELECT path, (SELECT count(*) FROM m WHERE m.d = c.d AND m.f = c.k) AS nf, (SELECT count(*) FROM m WHERE m.d = c.d AND m.s = c.k) AS ns, c.d || '/' || regexp_replace(k, '\\.jpg$', '') || '.jpg' AS pm FROM c),
+q AS (SELECT path, CASE WHEN nf = 1 OR nf = 0 AND ns = 1 THEN pm END AS parent, CASE WHEN nf = 1 THEN 'full_name' WHEN nf = 0 AND ns = 1 THEN 'stem' END AS convention, CASE WHEN nf = 0 AND ns = 0 THEN 'no_parent' WHEN nf > 1 OR nf = 0 AND ns > 1 THEN 'ambiguous' END AS reason FROM j)"""
+
+
+@query(f"WITH {PAIRS} SELECT * FROM q")
+def j1_pairing(spark, sf_dir):
+    """Companions and their parents, or why there is none."""
+    return pairing.pair(*_pairs(spark, sf_dir))
+
+
+@query(f"WITH {PAIRS} SELECT count(parent)::BIGINT AS paired, count(reason)::BIGINT AS orphans FROM q")
+def a15_paired_orphans(spark, sf_dir):
+    """How many paired and how many orphans."""
+    return pairing.pair(*_pairs(spark, sf_dir)).agg(F.count("parent").alias("paired"), F.count("reason").alias("orphans"))
+
+
+@query(f"WITH {PAIRS}, u AS (SELECT DISTINCT m AS path FROM m) SELECT path, count(q.parent)::BIGINT AS n, min(q.path) AS first FROM (SELECT path FROM u) u LEFT JOIN (SELECT path AS p, parent FROM q) x ON u.path = x.parent LEFT JOIN q ON q.path = x.p GROUP BY u.path".replace("SELECT path, count(q.parent)", "SELECT u.path, count(q.parent)"))
+def j5_companions_of(spark, sf_dir):
+    """Each parent's companions in order."""
+    media, companions = _pairs(spark, sf_dir)
+    of = pairing.for_parents(media.distinct(), pairing.pair(media, companions))
+    return of.select("path", F.size("companions").cast("long").alias("n"), F.try_element_at(F.col("companions.path"), F.lit(1)).alias("first"))
+
+
+def _journal(spark, sf_dir):
+    """Orders as runs: an intent each, and by status a commit, a duplicate or nothing; one completion for even runs."""
+    o = table(spark, sf_dir, "orders").withColumns({"run_id": (F.col("o_custkey") % 20).cast("string"), "seq": F.col("o_orderkey")})
+    nul = lambda t: F.lit(None).cast(t)
+    src, dst = F.concat(F.lit("in/"), F.col("seq").cast("string")), F.concat(F.lit("out/"), F.col("seq").cast("string"))
+    cols = lambda kind, line, **f: [F.col("run_id"), line.alias("line_no"), F.lit(kind).alias("type"), f.get("seq", F.col("seq")).alias("seq"), f.get("source", nul("string")).alias("source"), f.get("destination", nul("string")).alias("destination"), f.get("source_size", nul("long")).alias("source_size"), nul("string").alias("source_hash"), f.get("final", nul("string")).alias("final_destination"), *[f.get(x, nul("long")).alias(x) for x in ("moved", "failed", "skipped")]]
+    line = F.col("seq") * 2 + 2
+    intents = o.where("o_orderkey % 50 <> 7").select(*cols("move_intent", line, source=src, destination=dst, source_size=F.col("seq") % 1000))
+    commits = o.where("o_orderstatus = 'F'").select(*cols("move_committed", line + 1, final=F.concat(dst, F.lit("-1"))))
+    dups = o.where("o_orderstatus = 'O' and o_orderkey % 5 = 0").select(*cols("duplicate_moved", line + 1, source=src, destination=dst))
+    ends = o.groupBy("run_id").agg(F.max("seq").alias("seq"), F.count_if(F.col("o_orderstatus") == "F").alias("f")).where("cast(run_id as int) % 2 = 0")
+    done = ends.select(*cols("run_completed", F.col("seq") * 2 + 10, seq=nul("long"), moved=F.col("f"), failed=F.lit(0).cast("long"), skipped=F.lit(1).cast("long")))
+    return intents.union(commits).union(dups).union(done)
+
+
+@query("""SELECT (o_custkey % 20)::VARCHAR AS run_id, o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 'move_committed' ELSE 'duplicate_moved' END AS type, 'in/' || o_orderkey AS source, 'out/' || o_orderkey || CASE o_orderstatus WHEN 'F' THEN '-1' ELSE '' END AS destination, CASE WHEN o_orderkey % 50 <> 7 THEN o_orderkey % 1000 END AS size
+FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 50 <> 7 OR o_orderstatus = 'O' AND o_orderkey % 5 = 0""")
+def j2_restore_plan(spark, sf_dir):
+    """Steps that take a run back."""
+    return undo.restore_plan(_journal(spark, sf_dir)).select("run_id", "seq", "type", "source", "destination", "size")
+
+
+@query("SELECT (o_custkey % 20)::VARCHAR AS run_id, o_orderkey AS seq, 'in/' || o_orderkey AS source FROM orders WHERE o_orderkey % 50 <> 7 AND NOT (o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_orderkey % 5 = 0)")
+def j3_unresolved(spark, sf_dir):
+    """Intents without an outcome."""
+    return undo.unresolved(_journal(spark, sf_dir)).select("run_id", "seq", "source")
+
+
+@query("""SELECT (o_custkey % 20)::VARCHAR AS run_id, count(*) FILTER (o_orderstatus = 'F' OR o_orderstatus = 'O' AND o_orderkey % 5 = 0)::BIGINT AS n_restorable, (o_custkey % 20) % 2 = 1 AS interrupted,
+CASE WHEN (o_custkey % 20) % 2 = 0 THEN count(*) FILTER (o_orderstatus = 'F') ELSE -1 END::BIGINT AS moved, CASE WHEN (o_custkey % 20) % 2 = 0 THEN 0 ELSE -1 END::BIGINT AS failed, CASE WHEN (o_custkey % 20) % 2 = 0 THEN 1 ELSE -1 END::BIGINT AS skipped FROM orders GROUP BY o_custkey % 20""")
+def a13_runs(spark, sf_dir):
+    """Runs with what can be restored and whether they were interrupted."""
+    return undo.runs(_journal(spark, sf_dir)).select("run_id", "n_restorable", "interrupted", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("moved", "failed", "skipped")])
+
+
+@query("""SELECT o_custkey, CASE WHEN t = '' THEN NULL ELSE t END AS shortfall FROM (SELECT o_custkey, concat_ws(', ', CASE WHEN f > 0 THEN f || ' could not be restored' END, CASE WHEN p > 0 THEN p || ' skipped (missing)' END, CASE WHEN o > 2 THEN o || ' never attempted' END) AS t FROM
+(SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'P') AS p, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders GROUP BY 1))""")
+def a14_shortfall(spark, sf_dir):
+    """Non-zero counters as text."""
+    g = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s) for s in "FPO"])
+    zero = F.lit(0)
+    counts = {"failed": F.col("F"), "skipped_missing": F.col("P"), "skipped_modified": zero, "conflicted": zero, "unprocessed": F.when(F.col("O") > 2, F.col("O")).otherwise(0)}
+    return g.select("o_custkey", tallies.shortfall(counts).alias("shortfall"))
+
+
+_PLACES = ", ".join(f"('{n}', '{c}', {a}::DOUBLE, {o}::DOUBLE)" for n, c, a, o in generator.PLACES)
+
+
+@query(f"""WITH places(name, country, lat, lon) AS (VALUES {_PLACES}), s AS (SELECT c_custkey, (c_custkey * 37 % 1799) / 10.0 - 90 + 0.0137 AS lat, (c_custkey * 91 % 3599) / 10.0 - 180 + 0.0071 AS lon FROM customer)
+SELECT c_custkey, arg_min(name, pow(cos(radians(s.lat)) * cos(radians(s.lon)) - cos(radians(p.lat)) * cos(radians(p.lon)), 2) + pow(cos(radians(s.lat)) * sin(radians(s.lon)) - cos(radians(p.lat)) * sin(radians(p.lon)), 2) + pow(sin(radians(s.lat)) - sin(radians(p.lat)), 2)) AS place FROM s CROSS JOIN places p GROUP BY 1""")
+def j4_nearest(spark, sf_dir):
+    """The nearest place of each point."""
+    at = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 1799 / 10.0 - 90 + 0.0137).alias("lat"), (F.col("c_custkey") * 91 % 3599 / 10.0 - 180 + 0.0071).alias("lon"))
+    return geo.nearest(at, generator.places(spark), "c_custkey").select("c_custkey", "place")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 200 <= 90 THEN (c_custkey % 200) + 0.5 * (c_custkey % 2) END::DOUBLE AS lat FROM customer WHERE c_custkey % 200 <> 90 OR c_custkey % 2 = 0")
+def m5_iso6709(spark, sf_dir):
+    """Latitudes out of ISO 6709 strings, altitude ignored."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 200 <> 90 or c_custkey % 2 = 0")
+    lat = F.format_string("%+d.%d", F.col("c_custkey") % 200, (F.col("c_custkey") % 2 * 5).cast("int"))
+    return c.select("c_custkey", geo.iso6709(F.concat(lat, F.lit("+010.25"), F.when(F.col("c_custkey") % 3 == 0, "+35.6").otherwise(""), F.lit("/")))["lat"].alias("lat"))
+
+
+@query("SELECT c_custkey, (CASE WHEN c_custkey % 2 = 1 THEN -1 ELSE 1 END * (c_custkey % 90 + (c_custkey % 60) / 60.0::DOUBLE + (c_custkey % 50) / 3600.0::DOUBLE))::DOUBLE AS degrees FROM customer")
+def m4_degrees(spark, sf_dir):
+    """M4: degrees, minutes and seconds."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", geo.decimal_degrees((k % 90).cast("double"), (k % 60).cast("double"), (k % 50).cast("double"), F.when(k % 2 == 1, "s").otherwise("N")).alias("degrees"))
+
+
+@query("""SELECT o_orderkey, d AS directory, CASE WHEN n = 1 THEN b || '.jpg' ELSE b || '-' || (n - 1) || '.jpg' END AS final_name FROM
+(SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS d, o_orderstatus AS b, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m'), o_orderstatus ORDER BY o_orderkey) AS n FROM orders)""")
+def w4_ledger(spark, sf_dir):
+    """Collision-free names, directory by directory."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("directory"), F.concat("o_orderstatus", F.lit(".jpg")).alias("name"))
+    return ledger.assign(o, ["o_orderkey"]).select("o_orderkey", "directory", "final_name")
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 100)::BIGINT AS chunk FROM orders")
+def w7_chunks(spark, sf_dir):
+    """Rows in chunks of a hundred."""
+    return ledger.chunks(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")], 100)
+
+
+@query("""WITH o AS (SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 5 <> 0 THEN sha256('v' || n_nationkey) END AS d FROM nation), c AS (SELECT c_nationkey AS group_id, CASE WHEN c_custkey % 97 = 0 THEN 'x' ELSE sha256('v' || c_nationkey) END AS d FROM customer WHERE c_nationkey <> 3)
+SELECT o.group_id, count(c.d)::BIGINT AS n_copies, count(*) FILTER (o.d = c.d)::BIGINT AS n_matching, CASE WHEN any_value(o.d) IS NULL THEN 'original_missing' WHEN count(*) FILTER (o.d = c.d) < count(c.d) THEN 'mismatch' ELSE 'confirmed' END AS verdict FROM o LEFT JOIN c USING (group_id) GROUP BY 1""")
+def a11_verdicts(spark, sf_dir):
+    """Groups whose copies match, don't, or have lost their original."""
+    digest = lambda k: F.sha2(F.concat(F.lit("v"), k.cast("string")), 256)
+    o = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), F.when(F.col("n_nationkey") % 5 != 0, digest(F.col("n_nationkey"))).alias("digest"))
+    c = table(spark, sf_dir, "customer").where("c_nationkey <> 3").select(F.col("c_nationkey").alias("group_id"), F.when(F.col("c_custkey") % 97 == 0, "x").otherwise(digest(F.col("c_nationkey"))).alias("digest"))
+    return verify.group_verdicts(o, c)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'missing' WHEN p_partkey % 4 = 1 THEN 'unverifiable' WHEN p_size % 5 = 0 OR p_partkey % 8 = 2 THEN 'modified' ELSE 'intact' END AS status FROM part""")
+def e10_verify_steps(spark, sf_dir):
+    """Restore steps against the listing, size before digest."""
+    p = table(spark, sf_dir, "part")
+    dest = F.concat(F.lit("out/"), F.col("p_partkey").cast("string"))
+    steps = p.select("p_partkey", dest.alias("destination"), F.col("p_size").cast("long").alias("size"), F.when(F.col("p_partkey") % 8 == 2, "a").alias("hash"))
+    listing = p.where("p_partkey % 4 > 0").select(dest.alias("path"), (F.col("p_partkey") % 4 != 1).alias("is_file"), F.when(F.col("p_size") % 5 == 0, 0).otherwise(F.col("p_size")).cast("long").alias("size"), F.lit("b").alias("hash"))
+    return verify.verify_steps(steps, listing).select("p_partkey", "status")
+
+
+@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size FROM documents")
+def m3_keyed_digest(spark, sf_dir):
+    """M3: the independent digest; checked by size here as its key is private to the engine."""
+    f = files(spark, sf_dir)
+    ok = F.length(verify.keyed_digest(F.coalesce("content", F.lit(b"")))) == 128
+    return f.select("doc_id", F.when(ok, F.octet_length("content")).cast("long").alias("size"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS seq, event_id % 10 = 9 AS corrupt FROM events")
+def c1_journal_lines(spark, sf_dir):
+    """Journal lines as entries, torn ones kept as text."""
+    whole = F.concat(F.lit('{"type":"move_failed","seq":'), F.get_json_object("props", "$.k"), F.lit(',"reason":"x"}'))
+    line = F.when(F.col("event_id") % 10 == 9, F.substring(whole, 1, 12)).otherwise(whole)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.lit(2).alias("line_no"), line.alias("line"), F.get_json_object("props", "$.k").cast("long").alias("k"))
+    parsed = journal.parse(e).select("run_id", "seq", F.col("corrupt").isNotNull().alias("corrupt"))
+    return parsed.join(e.select("run_id", "k"), "run_id").select(F.col("run_id").alias("event_id"), F.coalesce("seq", "k").alias("seq"), "corrupt")
+
+
+@query("""SELECT c_nationkey AS group_id, max('out/' || c_custkey) FILTER (c_custkey = m) AS original, count(*)::BIGINT AS n FROM (SELECT *, max(c_custkey) OVER (PARTITION BY c_nationkey) AS m FROM customer) GROUP BY 1""")
+def s9_manifest(spark, sf_dir):
+    """Manifests written and read back; "moved to" wins."""
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("group_id")).agg(F.max("c_custkey").alias("m"), F.collect_list(F.concat(F.lit("in/"), F.col("c_custkey").cast("string"))).alias("duplicates"))
+    g = c.select("group_id", F.col("group_id").alias("number"), F.lit("ab").alias("hash"), F.lit(1).alias("size"), F.lit("in/kept").alias("original"), "duplicates", "m")
+    texts = manifest.render(g).join(g.select("group_id", "m"), "group_id")
+    moved = texts.select("group_id", F.concat("text", F.lit(f"{manifest.MOVED}out/"), F.col("m").cast("string"), F.lit("\n")).alias("text"))
+    return manifest.parse(moved).select("group_id", "original", F.size("duplicates").cast("long").alias("n"))
+
+
+@query("""WITH l AS (SELECT 'k' || (o_orderkey % 100) AS key, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS priority, o_orderstatus AS layer, max(CASE WHEN o_orderkey % 7 > 2 THEN o_orderpriority END) AS value FROM orders GROUP BY 1, 2, 3)
+SELECT key, arg_max(value, priority) FILTER (value IS NOT NULL) AS value, arg_max(layer, priority) FILTER (value IS NOT NULL) AS layer FROM l GROUP BY key""")
+def c4_settings(spark, sf_dir):
+    """The layer that decides each setting."""
+    o = table(spark, sf_dir, "orders")
+    rank = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "O", 1).otherwise(0)
+    layers = o.groupBy(F.concat(F.lit("k"), (F.col("o_orderkey") % 100).cast("string")).alias("key"), rank.alias("priority"), F.col("o_orderstatus").alias("layer")).agg(F.max(F.when(F.col("o_orderkey") % 7 > 2, F.col("o_orderpriority"))).alias("value"))
+    return settings.deciding(layers)
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN '[FS: UNREADABLE]' WHEN 'click' THEN '[EXIF]' WHEN 'view' THEN '[SIDECAR]' ELSE '[NO DATE]' END AS tag, '[tz:' || event_type || ']' AS zone FROM events")
+def x15_tags(spark, sf_dir):
+    """Tags of dates and zones."""
+    t = F.col("event_type")
+    src = F.when(t == "error", "unreadable").when(t == "click", "exif").when(t == "view", "sidecar").otherwise("none")
+    return table(spark, sf_dir, "events").select("event_id", names.date_tag(src).alias("tag"), names.zone_tag(t).alias("zone"))
+
+
+@query(f"""WITH {FILES}, g AS (SELECT *, count(*) OVER (PARTITION BY sha256(c)) AS n FROM f)
+SELECT count(*)::BIGINT AS n_files, coalesce(sum(octet_length(c)), 0)::BIGINT AS bytes, count(*) FILTER (c IS NOT NULL AND n > 1)::BIGINT AS in_groups, count(*) FILTER (c IS NULL)::BIGINT AS skipped FROM g""")
+def a10_summary(spark, sf_dir):
+    """A10: one row over the whole cascade."""
+    c = cascade.classify(files(spark, sf_dir), k=K)
+    return c.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("copies") > 1).alias("in_groups"), F.count_if(F.col("role") == "skipped").alias("skipped"))
+
+
+@query(f"WITH {FILES} SELECT path, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY len(string_split(path, '/')), string_split(path, '/'))::BIGINT AS place FROM f")
+def w3_path_order(spark, sf_dir):
+    """Files in the order of paths, within their root."""
+    f = files(spark, sf_dir).select("path")
+    w = Window.partitionBy(F.element_at(paths.components(F.col("path")), 1)).orderBy(*paths.path_key(F.col("path")))
+    return f.select("path", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT l.o_orderkey AS o_orderkey, l.d || '/' || l.s || CASE WHEN l.o_orderkey % 2 = 0 THEN '.jpg.xmp' ELSE '.xmp' END AS destination FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS d, o_orderstatus AS s FROM orders) l")
+def x10_companion_name(spark, sf_dir):
+    """Companions beside their parents' destinations."""
+    parent = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("/"), "o_orderstatus", F.lit(".jpg"))
+    how = F.when(F.col("o_orderkey") % 2 == 0, "full_name").otherwise("stem")
+    return table(spark, sf_dir, "orders").select("o_orderkey", pairing.beside(parent, F.lit("in/a.XMP"), how).alias("destination"))

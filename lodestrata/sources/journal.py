@@ -43,7 +43,7 @@ def state(numbered: DataFrame, key: str = "run_id") -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The journal files at ``path`` as entries with run_id; raises on a bad header, a newer version or a bad inner line."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.jsonl)?$", 1).alias("run_id"), F.col("value").alias("text"))
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.jsonl)?$", 1).alias("run_id"), F.col("value").alias("text"))
     numbered = lines(whole)
     wrong = whole.select("run_id").join(state(numbered), "run_id", "left").where("header_ok is null or not header_ok or newer or bad_line is not null").limit(1).collect()
     if wrong:
@@ -69,8 +69,8 @@ class Writer:
         os.write(self.fd, (json.dumps(entry, ensure_ascii=False) + "\n").encode())
         os.fsync(self.fd)
 
-    def append(self, kind: str, **fields) -> None:
-        self._put({"type": kind, **fields})
+    def append(self, what: str, /, **fields) -> None:
+        self._put({"type": what, **fields})
 
     def close(self) -> None:
         os.close(self.fd)
