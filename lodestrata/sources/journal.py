@@ -43,6 +43,11 @@ def state(numbered: DataFrame, key: str = "run_id") -> DataFrame:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The journal files at ``path`` as entries with run_id; raises on a bad header, a newer version or a bad inner line."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:  # readers leave empty files out
+        if f.isFile() and f.getLen() == 0:
+            raise JournalError(f"{f.getPath().getName()}: no header")
     whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.jsonl)?$", 1).alias("run_id"), F.col("value").alias("text"))
     numbered = lines(whole)
     wrong = whole.select("run_id").join(state(numbered), "run_id", "left").where("header_ok is null or not header_ok or newer or bad_line is not null").limit(1).collect()
