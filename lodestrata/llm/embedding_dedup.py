@@ -52,6 +52,17 @@ def _usable(v: list | None) -> bool:
     return bool(v) and None not in v and bool(np.isfinite(v := np.asarray(v, "f8")).all()) and bool((v != 0).any())
 
 
+def _shortest(v: np.ndarray) -> bytes:
+    """Single-precision bytes where they lose nothing."""
+    with np.errstate(over="ignore"):
+        low = v.astype("f4")
+    return low.tobytes() if (low == v).all() else v.tobytes()
+
+
+def _vectors(data: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([np.frombuffer(d, "f4" if len(d) == 4 * dim else "f8").astype("f8") for d in data])
+
+
 def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -78,7 +89,7 @@ def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, tables:
                 sides = (_unit(x) @ planes(dim, tables, bits).T > 0).reshape(len(rows), tables, bits)
                 keys = (sides * (1 << np.arange(bits))).sum(axis=2)
                 yield pa.record_batch(
-                    [b.column("c").take(pa.array(rows)), pa.array([labels[i] for i in rows], pa.int64()), pa.array([dim] * len(rows), pa.int32()), pa.array([k.astype("<i4").tobytes() for k in keys]), pa.array([r.tobytes() for r in x])],
+                    [b.column("c").take(pa.array(rows)), pa.array([labels[i] for i in rows], pa.int64()), pa.array([dim] * len(rows), pa.int32()), pa.array([k.astype("<i4").tobytes() for k in keys]), pa.array([_shortest(r) for r in x])],
                     names=["c", "label", "dim", "keys", "v"],
                 )
 
@@ -109,7 +120,7 @@ def _meet(it, group: list[str], threshold: float):
 
     def flush(rows):
         dim, t = rows[0]["dim"], rows[0]["t"]
-        x = _unit(np.frombuffer(b"".join(r["v"] for r in rows), "f8").reshape(-1, dim))
+        x = _unit(_vectors([r["v"] for r in rows], dim))
         keys = np.frombuffer(b"".join(r["keys"] for r in rows), "<i4").reshape(len(rows), -1)
         part, copies = np.array([r["part"] for r in rows]), np.array([r["copies"] for r in rows])
         rot = rotation_of(dim)
