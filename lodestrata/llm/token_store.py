@@ -124,7 +124,7 @@ class WordEncoder:
 
     _held: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -209,7 +209,9 @@ class WordEncoder:
         flat, sizes, at, ends = self._parts(texts)
         n = sizes[at]
         stop = np.cumsum(n)
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (stop - n), n) + np.arange(n.sum())]
+        small = np.int32 if max(len(flat), int(stop[-1]) if len(stop) else 0) < 1 << 31 else np.int64
+        shift = ((np.cumsum(sizes) - sizes)[at] - (stop - n)).astype(small)
+        ids = flat[np.repeat(shift, n) + np.arange(n.sum(), dtype=small)]
         return np.split(ids, np.concatenate([[0], stop])[ends[1:-1]])
 
     def count(self, texts: list[str]) -> list[int]:
@@ -240,7 +242,7 @@ def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch)
         def out():
             return pa.record_batch([[part], [seq], [len(held)], [size], [np.array([k or 0 for k in keys], "<i8").tobytes()], [np.array([k is not None for k in keys], "u1").tobytes()], [write_segment(held, bits)]], schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.binary()), ("known", pa.binary()), ("segment", pa.binary())]))
 
-        for some in batches(_rows(it, "doc_id", "text"), 1 << 22, lambda r: len(r[1] or "") + 64):
+        for some in batches(_rows(it, "doc_id", "text"), 1 << 23, lambda r: len(r[1] or "") + 64):
             for (key, _), ids in zip(some, encoder.encode([t or "" for _, t in some]), strict=True):
                 held.append(np.concatenate([ids, tail]))
                 keys.append(key)
