@@ -1,15 +1,18 @@
 """The duplicate cascade: sizes, then digests of heads and tails, then digests of whole contents.
 
-Each step sees only rows the step before left open: a size that occurs once is never read, and contents
-are digested in full only where size and partial digest agree. Grouping by (size, digest) of the whole
-gives the same groups; the cascade saves the reading.
+A size that occurs once needs no digest, and whole contents count only where size and partial digest
+agree. Files on disk (``classify_paths``) are opened no further than that; contents in a table
+(``classify``), which a scan reads anyhow, are digested there so that only narrow rows move.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..functions.paths import path_key
+from ..sources.readers import full_digest_udf, partial_digest_udf
+from .numbering import numbered
 
 K = 64 * 1024
 
@@ -25,31 +28,57 @@ def band(size: Column, k: int) -> Column:
 
 
 def classify(files: DataFrame, content: str = "content", path: str = "path", k: int = K) -> DataFrame:
-    """Adds size, partial_digest, covers_whole, known_hash, copies, rank and role to ``files``.
+    """Adds size, partial_digest, covers_whole, known_hash, copies, original_path and role to ``files``.
 
     ``role`` is unique, original (first of its group by depth, then path components), duplicate or, for
-    null content, skipped. Counts by size and by (size, partial digest) are aggregates joined back,
-    so a size that a third of all files share is combined before it is shuffled.
+    null content, skipped. Digests are taken where the content is scanned, so that only narrow rows
+    are shuffled unless the caller keeps the content. Counts are aggregates joined back, so a size that
+    a third of all files share is combined before it is shuffled.
+    """
+    head = F.sha2(partial_bytes(F.col(content), k), 256)
+    size = F.octet_length(content).cast("long")
+    read = files.withColumns({"size": size, "covers_whole": size <= k, "_part": head, "_full": F.when(size <= k, head).otherwise(F.sha2(F.col(content), 256))})
+    return _roles(read, path)
+
+
+def classify_paths(files: DataFrame, k: int = K) -> DataFrame:
+    """``classify`` for ``files(path, size)`` that are still on disk: each step opens only what the step before left open.
+
+    Adds ``skip_reason``; files that can't be read or whose size has changed are skipped.
     """
-    sized = files.withColumn("size", F.octet_length(content).cast("long"))
-    by_size = sized.where("size is not null").groupBy("size").agg((F.count("*") > 1).alias("_shared")).where("_shared")
-    part = sized.join(by_size, "size", "left").withColumn("covers_whole", F.col("size") <= k)
-    part = part.withColumn("partial_digest", F.when(F.col("_shared"), F.sha2(partial_bytes(F.col(content), k), 256)))
-    by_part = part.where("_shared").groupBy("size", "partial_digest").agg((F.count("*") > 1).alias("_again")).where("_again")
-    full = part.join(by_part, ["size", "partial_digest"], "left")
-    known = F.when(F.col("_shared") & F.col("covers_whole"), F.col("partial_digest")).when(F.col("_again"), F.sha2(F.col(content), 256))
-    full = full.withColumn("known_hash", known)
-    groups = full.where("known_hash is not null").groupBy("size", "known_hash").agg(F.count("*").alias("copies"), F.min(F.struct(F.size(F.split(path, "/")).alias("depth"), F.split(path, "/").alias("parts"), F.col(path).alias("first"))).alias("_o"))
-    out = full.join(groups, ["size", "known_hash"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    role = F.when(F.col("size").isNull(), "skipped").when(F.col("copies") == 1, "unique").when(F.col(path) == F.col("_o.first"), "original").otherwise("duplicate")
-    return out.withColumn("role", role).withColumn("original_path", F.when(F.col("copies") > 1, F.col("_o.first"))).drop("_shared", "_again", "_o")
+    shared = files.join(_repeated(files, "size"), "size", "left_semi").select("path", "size").withColumn("p", partial_digest_udf(k)("path", "size"))
+    part = shared.select("path", "size", F.col("p.digest").alias("_part"), F.col("p.reason").alias("_why")).persist()
+    again = part.where(F.col("size") > k).join(_repeated(part.where("_part is not null"), "size", "_part"), ["size", "_part"], "left_semi")
+    full = again.select("path", full_digest_udf("path").alias("f")).select("path", F.col("f.digest").alias("_digest"), F.col("f.reason").alias("_later")).persist()
+    met = files.join(part.drop("size"), "path", "left").join(full, "path", "left")
+    met = met.withColumns({"covers_whole": F.col("size") <= k, "_full": F.when(F.col("size") <= k, F.col("_part")).otherwise(F.col("_digest")), "skip_reason": F.coalesce("_why", "_later")})
+    return _roles(met.drop("_why", "_later", "_digest"), "path", F.col("skip_reason").isNull())
+
+
+def _repeated(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+
+
+def _roles(read: DataFrame, path: str, good: Column | None = None) -> DataFrame:
+    """Roles of rows with size, covers_whole, _part and _full; the digests that a step would not have taken are nulled."""
+    counted = F.col("size").isNotNull() if good is None else good & F.col("size").isNotNull()
+    by_size = _repeated(read.where("size is not null"), "size").withColumn("_shared", F.lit(True))
+    by_part = _repeated(read.where(counted & F.col("_part").isNotNull()), "size", "_part").withColumn("_again", F.lit(True))
+    met = read.join(by_size, "size", "left").join(by_part, ["size", "_part"], "left")
+    known = F.when(counted & F.col("_shared") & (F.col("covers_whole") | F.col("_again")), F.col("_full"))
+    full = met.withColumns({"known_hash": known, "partial_digest": F.when(F.col("_shared"), F.col("_part"))}).drop("_part", "_full", "_shared", "_again")
+    first = F.min(F.struct(F.size(F.split(path, "/")).alias("depth"), F.split(path, "/").alias("parts"), F.col(path).alias("first")))
+    of = full.where("known_hash is not null").groupBy("size", "known_hash").agg(F.count("*").alias("copies"), first.alias("_o"))
+    out = full.join(of, ["size", "known_hash"], "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    role = F.when(~counted, "skipped").when(F.col("copies") == 1, "unique").when(F.col(path) == F.col("_o.first"), "original").otherwise("duplicate")
+    return out.withColumns({"role": role, "original_path": F.when(F.col("copies") > 1, F.col("_o.first"))}).drop("_o")
 
 
 def groups(classified: DataFrame, path: str = "path") -> DataFrame:
     """One row a duplicate group: hash, size, copies, original, number (0-based by hash, then first path)."""
     g = classified.where("copies > 1").groupBy("known_hash", "size", "original_path").agg(F.count("*").alias("copies"))
-    number = F.row_number().over(Window.orderBy("known_hash", F.size(F.split("original_path", "/")), F.split("original_path", "/"))) - 1
-    return g.select(F.col("known_hash").alias("hash"), "size", "copies", F.col("original_path").alias("original"), number.cast("long").alias("number"))
+    g = g.select(F.col("known_hash").alias("hash"), "size", "copies", F.col("original_path").alias("original"))
+    return numbered(g, ["hash", *path_key(F.col("original"))], F.substring("hash", 1, 3), "number")
 
 
 def group_directory(number: Column, root: str = "duplicates") -> Column:

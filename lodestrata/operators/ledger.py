@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .numbering import numbered
 
 ATTEMPTS = 10_000
 
@@ -57,7 +58,8 @@ def assign(planned: DataFrame, order: list[str], existing: DataFrame | None = No
     return calm.unionByName(busy.groupBy("directory").applyInPandas(settle, schema))
 
 
-def chunks(planned: DataFrame, order: list, size: int) -> DataFrame:
-    """Numbers rows into chunks of ``size``; 0 is one chunk."""
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return planned.withColumn("chunk", F.floor(n / size).cast("long") if size else F.lit(0).cast("long"))
+def chunks(planned: DataFrame, order: list, size: int, bucket: Column) -> DataFrame:
+    """Numbers rows into chunks of ``size`` by ``order``; 0 is one chunk. ``bucket`` follows the order, as ``numbered`` needs it."""
+    if not size:
+        return planned.withColumn("chunk", F.lit(0).cast("long"))
+    return numbered(planned, order, bucket, "_row").withColumn("chunk", F.floor(F.col("_row") / size).cast("long")).drop("_row")

@@ -81,15 +81,14 @@ def a5_duplicate_groups(spark, sf_dir):
 
 
 def _groups(spark, sf_dir):
-    # Without k the partial digest of a small file is its whole one, so hashes are those of contents.
-    return cascade.groups(cascade.classify(files(spark, sf_dir), k=K).where("copies > 1").withColumn("known_hash", F.sha2("content", 256)))
+    return cascade.groups(cascade.classify(files(spark, sf_dir), k=K))
 
 
 @query(f"""WITH {FILES}, g AS (SELECT sha256(c) AS h, count(*) AS n, ({FIRST}).f AS o, row_number() OVER (ORDER BY sha256(c)) - 1 AS k FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
 SELECT path, 'duplicates/' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '/' || string_split(path, '/')[-1] AS destination FROM f JOIN g ON sha256(c) = h WHERE path <> o""")
 def e3_plan_duplicates(spark, sf_dir):
     """Where each duplicate goes."""
-    dup = cascade.classify(files(spark, sf_dir), k=K).where("role = 'duplicate'").withColumn("hash", F.sha2("content", 256)).select("path", "hash")
+    dup = cascade.classify(files(spark, sf_dir), k=K).where("role = 'duplicate'").select("path", F.col("known_hash").alias("hash"))
     g = _groups(spark, sf_dir).select("hash", "number")
     return dup.join(g, "hash").select("path", F.concat(cascade.group_directory(F.col("number")), F.lit("/"), paths.file_name(F.col("path"))).alias("destination"))
 
@@ -380,7 +379,7 @@ def w4_ledger(spark, sf_dir):
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 100)::BIGINT AS chunk FROM orders")
 def w7_chunks(spark, sf_dir):
     """Rows in chunks of a hundred."""
-    return ledger.chunks(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")], 100)
+    return ledger.chunks(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")], 100, F.floor(F.col("o_orderkey") / 65536))
 
 
 @query("""WITH o AS (SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 5 <> 0 THEN sha256('v' || n_nationkey) END AS d FROM nation), c AS (SELECT c_nationkey AS group_id, CASE WHEN c_custkey % 97 = 0 THEN 'x' ELSE sha256('v' || c_nationkey) END AS d FROM customer WHERE c_nationkey <> 3)
