@@ -133,7 +133,7 @@ def companion_name(parent_name: Column, companion_ext: Column, full_name: Column
 def manifest_escape(path: Column) -> Column:
     r"""Newlines as \n, carriage returns as \r, other controls as \u{hex}; a backslash stays."""
     out = F.replace(F.replace(path, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
-    for code in [*range(32), 127]:
+    for code in [*range(32), *range(127, 160)]:
         if chr(code) not in "\n\r":
             out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{{{code:x}}}"))
     return out

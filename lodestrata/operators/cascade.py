@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_key
+from ..runtime import cut
 from ..sources.readers import full_digest_udf, partial_digest_udf
 from .numbering import numbered
 
@@ -47,9 +48,9 @@ def classify_paths(files: DataFrame, k: int = K) -> DataFrame:
     Adds ``skip_reason``; files that can't be read or whose size has changed are skipped.
     """
     shared = files.join(_repeated(files, "size"), "size", "left_semi").select("path", "size").withColumn("p", partial_digest_udf(k)("path", "size"))
-    part = shared.select("path", "size", F.col("p.digest").alias("_part"), F.col("p.reason").alias("_why")).persist()
+    part = cut(shared.select("path", "size", F.col("p.digest").alias("_part"), F.col("p.reason").alias("_why")))
     again = part.where(F.col("size") > k).join(_repeated(part.where("_part is not null"), "size", "_part"), ["size", "_part"], "left_semi")
-    full = again.select("path", full_digest_udf("path").alias("f")).select("path", F.col("f.digest").alias("_digest"), F.col("f.reason").alias("_later")).persist()
+    full = cut(again.select("path", full_digest_udf("path").alias("f")).select("path", F.col("f.digest").alias("_digest"), F.col("f.reason").alias("_later")))
     met = files.join(part.drop("size"), "path", "left").join(full, "path", "left")
     met = met.withColumns({"covers_whole": F.col("size") <= k, "_full": F.when(F.col("size") <= k, F.col("_part")).otherwise(F.col("_digest")), "skip_reason": F.coalesce("_why", "_later")})
     return _roles(met.drop("_why", "_later", "_digest"), "path", F.col("skip_reason").isNull())

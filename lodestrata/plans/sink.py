@@ -11,6 +11,7 @@ from pathlib import Path
 
 from ..operators.ledger import ATTEMPTS, candidate
 from ..sources.journal import Writer
+from ..sources.manifest import Manifests
 from ..sources.readers import full_digest
 
 
@@ -59,16 +60,19 @@ class Outcome:
     moved: int = 0
     failed: int = 0
     skipped: int = 0
+    sidecars: int = 0
+    unprocessed: int = 0
     landed: dict[str, str] = field(default_factory=dict)
 
 
-def execute(rows: Iterable, journal: Writer, chunk_size: int = 100, go_on: Callable[[int], bool] = lambda n: True) -> Outcome:
+def execute(rows: Iterable, journal: Writer, chunk_size: int = 100, go_on: Callable[[int], bool] = lambda n: True, manifests: Manifests | None = None) -> Outcome:
     """Moves rows (source, destination, size, hash, group, companions) in order; ``go_on`` is asked before each chunk.
 
     An intent is on disk before its move and an outcome after it. Companions follow to where their
-    parent landed. A failure costs one file; a journal that can't be written stops the run.
+    parent landed. A failure costs one file; a journal that can't be written stops the run, and a
+    manifest that can't be written stops its group.
     """
-    out, seq = Outcome(), 0
+    out, seq, stopped = Outcome(), 0, set()
 
     def move(source: str, destination: str, size, digest, kind: str, group=None) -> str | None:
         nonlocal seq
@@ -92,15 +96,27 @@ def execute(rows: Iterable, journal: Writer, chunk_size: int = 100, go_on: Calla
         if chunk_size and n % chunk_size == 0 and not go_on(n // chunk_size):
             break
         group = row["group"] if "group" in row else None
+        if group is not None and group in stopped:
+            out.unprocessed += 1
+            continue
         if not os.path.lexists(row["source"]):
             out.skipped += 1
             continue
         at = move(row["source"], row["destination"], row["size"], row["hash"], "organise" if group is None else "duplicate", group)
+        if at and manifests is not None:
+            try:
+                if group is None:
+                    manifests.original_moved(row["source"], at)
+                else:
+                    manifests.moved(group, row["source"], at)
+            except OSError:
+                out.failed += 1
+                stopped.add(group)
         for c in (row["companions"] or []) if at else ():
             base = os.path.basename(at) if c["convention"] == "full_name" else os.path.splitext(os.path.basename(at))[0]
             ext = os.path.splitext(c["path"])[1].lower()
             if os.path.lexists(c["path"]):
-                move(c["path"], os.path.join(os.path.dirname(at), base + ext), None, None, "sidecar")
+                out.sidecars += bool(move(c["path"], os.path.join(os.path.dirname(at), base + ext), None, None, "sidecar"))
     journal.append("run_completed", moved=out.moved, failed=out.failed, skipped=out.skipped, ended_at=None)
     return out
 

@@ -1,11 +1,14 @@
-"""Making the package importable to Spark's Python workers."""
+"""Making the package importable to Spark's Python workers, and cutting plans."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +20,18 @@ def ready(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and checkpointed, so that what follows neither repeats it nor carries its plan.
+
+    Goes to the folder that ``spark.checkpoint.dir`` names; only where none is set, to a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = sc.getConf().get("spark.checkpoint.dir", "")
+        if not at:
+            at = tempfile.mkdtemp(prefix="lodestrata-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+        sc.setCheckpointDir(at)
+    return df.checkpoint()

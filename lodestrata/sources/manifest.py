@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+from collections.abc import Iterable
+from typing import TextIO
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from ..functions.names import manifest_escape
 
 # The comment lines that carry paths.
 KEPT, MOVED = "# Original kept at: ", "# Original moved to: "
+NAME = "manifest.txt"
 
 
 def parse(texts: DataFrame) -> DataFrame:
@@ -29,3 +35,70 @@ def render(groups: DataFrame) -> DataFrame:
     head = F.format_string("# Duplicate group %03d\n# SHA-256: %s\n# File size: %d bytes\n" + KEPT + "%s\n", "number", "hash", "size", manifest_escape(F.col("original")))
     body = F.concat_ws("\n", F.transform(F.array_sort("duplicates"), manifest_escape))
     return groups.select("group_id", F.concat(head, F.lit("#\n"), body, F.lit("\n")).alias("text"))
+
+
+def _escaped(path: str) -> str:
+    """``manifest_escape`` for one path on the driver."""
+    short = {"\n": "\\n", "\r": "\\r"}
+    return "".join(short.get(c) or (f"\\u{{{ord(c):x}}}" if ord(c) < 32 or 127 <= ord(c) < 160 else c) for c in path)
+
+
+def original_of(lines: Iterable[str]) -> str | None:
+    """The original's path: the last "moved to", else the last "kept at"."""
+    kept = moved = None
+    for line in lines:
+        line = line.rstrip("\n")
+        if line.startswith(MOVED):
+            moved = line.removeprefix(MOVED)
+        elif line.startswith(KEPT):
+            kept = line.removeprefix(KEPT)
+    return moved or kept
+
+
+class Manifests:
+    """The manifests of one run's groups: intentions before the first move, outcomes as they happen, each on disk at once."""
+
+    def __init__(self, root: str):
+        self.root, self.group, self.file, self.of = root, None, None, {}
+
+    def path(self, group: int) -> str:
+        return os.path.join(self.root, f"{group:03d}", NAME)
+
+    def begin(self, rows: Iterable[dict]) -> None:
+        """Writes what is meant for rows (group, source, hash, size, copies, original) that come group by group."""
+        for group, members in itertools.groupby(rows, key=lambda r: r["group"]):
+            first = next(members)
+            self.of[first["original"]] = group
+            os.makedirs(os.path.dirname(self.path(group)), exist_ok=True)
+            with open(self.path(group), "x", encoding="utf-8") as f:
+                f.write(f"# Duplicate group {group:03d}\n# SHA-256: {first['hash']}\n# File size: {first['size']} bytes\n{KEPT}{_escaped(first['original'])}\n# Meant for this directory: {first['copies']}\n#\n")
+                for r in itertools.chain([first], members):
+                    f.write(_escaped(r["source"]) + "\n")
+                f.write("\n# Outcomes\n")
+                f.flush()
+                os.fsync(f.fileno())
+
+    def _append(self, f: TextIO, line: str) -> None:
+        f.write(line + "\n")
+        f.flush()
+        os.fsync(f.fileno())
+
+    def record(self, group: int, line: str) -> None:
+        """Adds an outcome; raises where it can't be written."""
+        if group != self.group:
+            self.close()
+            self.group, self.file = group, open(self.path(group), "a", encoding="utf-8")
+        self._append(self.file, line)
+
+    def moved(self, group: int, source: str, at: str) -> None:
+        self.record(group, f"# moved: {_escaped(source)} -> {_escaped(at)}")
+
+    def original_moved(self, source: str, at: str) -> None:
+        """Notes where a group's original went, if ``source`` is one."""
+        if source in self.of:
+            self.record(self.of[source], MOVED + _escaped(at))
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+        self.group = self.file = None
