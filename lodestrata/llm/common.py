@@ -144,21 +144,23 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps (each a min per node and one join) and writes the edges
     to the scratch folder after each round, until the edges stop changing. No neighbour list is ever
-    gathered, so a hub costs rows and not memory.
+    gathered, so a hub costs rows and not memory. The minima are written before they are joined: only
+    joins of plain shuffles are split when one node holds many of the edges.
     """
     kind = edges.schema["a"].dataType.simpleString()
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     for _ in range(most):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.write(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("b > a").join(least, both.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < u").select("u", "m")).distinct()
-        low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        large = scratch.write(large)
+        low = scratch.write(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
         small = large.join(low, large.a == low.u)
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("u", "m")).distinct()
         new = scratch.write(new)
         mark = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(20)"))).first()
-        scratch.drop(now)
+        scratch.drop(now, least, large, low)
         now = new
         if mark == last:
             break

@@ -110,7 +110,7 @@ def group(docs: DataFrame, scratch: Scratch, *keep: str, bits: int = BITS, cap:
     fps = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = scratch.write(components(links(fps.select("fp"), bits, cap), scratch))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = scratch.write(named.groupBy("root").agg(F.min("least").alias("component_id")))  # a plain table: a hot root's rows can then be split
     by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
     return rows.join(by_fp, "fp").select(*dict.fromkeys(["doc_id", *keep]), "fp", "component_id", "root")
 
@@ -122,7 +122,7 @@ def distinct_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     in both one stays. The rest of each component goes by an anti-join on (doc_id, hash of text).
     """
     rows = group(docs.withColumn("th", F.xxhash64("text")), scratch, "th")
-    one = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("s"))
+    one = scratch.write(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("s")))
     keys = rows.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n")).join(one, "root")
     best = (F.col("doc_id").eqNullSafe(F.col("s.doc_id"))) & (F.col("th") == F.col("s.th"))
     keys = scratch.write(keys.select(F.coalesce("doc_id", F.lit(0)).alias("d"), F.col("doc_id").isNull().alias("dn"), "th", best.alias("best"), "n"))
