@@ -116,8 +116,8 @@ class WordEncoder:
 
     Only for tokenizers that lower-case, drop white space and never let a token or a normalisation cross
     it. There the ids of a text are the ids of its pieces in order, whatever the case of A-Z (where no
-    combining mark follows that could compose with one case only). Texts are cut at U+0009-000D and
-    U+0020. New words of letters alone are encoded as one text and told apart by the tokens that end a
+    combining mark follows that could compose with one case only, and no added token, which is met in its
+    own case only, is spelt in any case). Texts are cut at U+0009-000D and U+0020. New words of letters alone are encoded as one text and told apart by the tokens that end a
     word; letters with ASCII punctuation after them are those letters and that punctuation, which are
     kept apart. Two generations of ``most`` pieces bound the memory.
     """
@@ -135,6 +135,7 @@ class WordEncoder:
         self.width = np.dtype(self.kind).itemsize
         self.ends = np.zeros(self.vocab, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.added = sorted({t.content.encode().lower().decode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -193,10 +194,12 @@ class WordEncoder:
 
     def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the distinct pieces in a row, their lengths, each piece's number, where texts' pieces begin and end."""
-        marked = [not t.isascii() and _MARKS.search(t) is not None for t in texts]
-        low = pc.ascii_lower(pa.array(texts, pa.large_string()))
-        if any(marked):
-            low = pc.if_else(pa.array(marked), pa.array(texts, pa.large_string()), low)
+        raw, cased = pa.array(texts, pa.large_string()), pa.array([not t.isascii() and _MARKS.search(t) is not None for t in texts], pa.bool_())
+        low = pc.ascii_lower(raw)
+        for t in self.added:
+            cased = pc.or_(cased, pc.match_substring(low, t))
+        if pc.any(cased).as_py():
+            low = pc.if_else(cased, raw, low)
         lists = pc.ascii_split_whitespace(low)
         coded = lists.flatten().dictionary_encode()
         found = self._known(coded.dictionary.to_pylist())

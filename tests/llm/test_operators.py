@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -66,6 +66,19 @@ def test_encoder_is_the_tokenizer(text):
     assert e.encode([text])[0].tolist() == want and e.count([text]) == [len(want)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|StartOfText|>", "<|endofte\u212at|>", "<|", "Word", "É", "e\u0301", "'S", " ", "\n", "."]), max_size=8).map("".join))
+@example("a <|ENDOFTEXT|> b")
+@example("A<|endoftext|>B <|ENDOFTEXT|>")
+def test_encoder_keeps_the_case_of_added_tokens(text):
+    from lodestrata.llm.token_store import WordEncoder
+
+    e = WordEncoder.of(tokenizer())
+    texts = ["plain Words before", text, text.lower(), text]
+    want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [i.tolist() for i in e.encode(texts)] == want and e.count(texts) == list(map(len, want))
+
+
 def test_token_store(spark, corpus, scratch, plain, tmp_path):
     container = token_store.store(corpus, tokenizer(), 2, scratch)
     got = sorted(token_store.read_back(container).collect(), key=lambda r: r.start)
