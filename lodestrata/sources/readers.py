@@ -231,11 +231,74 @@ def find_exif(data: bytes) -> bytes | None:
             at += 2 + size
         return None
     if data[4:8] == b"ftyp":
-        at = data.find(b"Exif\0\0")
-        return data[at + 6 :] if at >= 0 else None
+        return heif_exif(data)
     raise ValueError("no known container")
 
 
+def heif_exif(data: bytes) -> bytes | None:
+    """The TIFF structure of the Exif item that meta's iinf names and iloc places; None if there is none."""
+    for kind, a, b in boxes(data):
+        if kind != b"meta":
+            continue
+        parts = {k: (c, d) for k, c, d in boxes(data, a + 4, b)}
+        if b"iinf" not in parts or b"iloc" not in parts:
+            return None
+        wanted = _exif_items(data, *parts[b"iinf"])
+        item = _item(data, wanted, *parts[b"iloc"], parts.get(b"idat")) if wanted else None
+        if item is None:
+            return None
+        (skip,) = struct.unpack_from(">I", item)
+        return item[4 + skip :]
+    return None
+
+
+def _exif_items(data: bytes, at: int, end: int) -> set[int]:
+    """Ids of the items of type Exif; of that name in entries from before there were types."""
+    found = set()
+    for kind, a, b in boxes(data, at + (6 if data[at] == 0 else 8), end):
+        if kind != b"infe":
+            continue
+        version = data[a]
+        (item,) = struct.unpack_from(">I" if version == 3 else ">H", data, a + 4)
+        rest = data[a + (10 if version == 3 else 8) : b]
+        if rest[:4] == b"Exif" if version >= 2 else rest.split(b"\0")[0] == b"Exif":
+            found.add(item)
+    return found
+
+
+def _item(data: bytes, wanted: set[int], at: int, end: int, idat: tuple[int, int] | None) -> bytes | None:
+    """The extents of the first wanted item of iloc, joined; an error if they don't lie in the file."""
+
+    def number(size: int) -> int:
+        nonlocal at
+        if at + size > end:
+            raise ValueError("iloc ends within an entry")
+        at += size
+        return int.from_bytes(data[at - size : at], "big")
+
+    version, _ = number(1), number(3)
+    sizes = number(2)
+    offset_size, length_size, base_size, index_size = sizes >> 12, sizes >> 8 & 15, sizes >> 4 & 15, sizes & 15 if version else 0
+    for _ in range(number(4 if version == 2 else 2)):
+        item = number(4 if version == 2 else 2)
+        method = number(2) & 15 if version else 0
+        elsewhere, base = number(2), number(base_size)
+        extents = []
+        for _ in range(number(2)):
+            number(index_size)
+            extents.append((base + number(offset_size), number(length_size)))
+        if item not in wanted:
+            continue
+        if elsewhere or method > 1 or method == 1 and idat is None:
+            raise ValueError("the item isn't in this file")
+        low, high = idat if method == 1 else (0, len(data))
+        spans = [(low + a, low + a + n if n else high) for a, n in extents]
+        if any(a > b or b > high for a, b in spans) or sum(b - a for a, b in spans) > len(data):
+            raise ValueError("an item ends outside its file")
+        return b"".join(data[a:b] for a, b in spans)
+    return None
+
+
 def image_metadata(data: bytes) -> dict:
     """naive, offset_s, lat, lon and status: ok, absent, unreadable or unsupported."""
     none = {"naive": None, "offset_s": None, "lat": None, "lon": None}

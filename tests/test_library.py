@@ -164,6 +164,48 @@ def test_image_and_video_metadata():
     assert (v["naive"], v["kind"], v["lat"]) == (datetime(2024, 1, 1), "instant", 48.8577)
 
 
+def heif(tiff: bytes, infe: int = 2, name: bytes = b"Exif\0", iloc: int = 0, method: int = 0, head: bytes = b"Exif\0\0", cut: int | None = None) -> bytes:
+    """As the reference's synth_heif; also other versions of infe and iloc, an item in idat, and one in two extents."""
+    box = lambda k, b: struct.pack(">I4s", 8 + len(b), k) + b
+    full = lambda k, v, b: box(k, struct.pack(">I", v << 24) + b)
+    item = struct.pack(">I", len(head)) + head + tiff
+    entry = full(b"infe", infe, struct.pack(">IH" if infe == 3 else ">HH", 7, 0) + (b"Exif" if infe > 1 else b"") + name)
+    iinf = full(b"iinf", 0, struct.pack(">H", 2) + full(b"infe", 2, struct.pack(">HH", 1, 0) + b"hvc1\0") + entry)
+    wide = ">I" if iloc == 2 else ">H"
+
+    def located(number: int, extents: list[tuple[int, int]], how: int) -> bytes:
+        return struct.pack(wide, number) + (struct.pack(">H", how) if iloc else b"") + struct.pack(">HH", 0, len(extents)) + b"".join(struct.pack(">II", *e) for e in extents)
+
+    def whole(at: int) -> bytes:
+        extents = [(at, len(item))] if cut is None else [(at, cut), (at + cut, len(item) - cut)]
+        body = b"\x44\0" + struct.pack(wide, 2) + located(1, [(0, 4)], 0) + located(7, extents, method)
+        meta = full(b"meta", 0, full(b"hdlr", 0, b"\0" * 4 + b"pict" + b"\0" * 13) + iinf + full(b"iloc", iloc, body) + (box(b"idat", item) if method else b""))
+        return box(b"ftyp", b"heic\0\0\0\0heicmif1") + meta + box(b"free", b"x")
+
+    start = 0 if method else len(whole(0)) + 8
+    return whole(start) + (b"" if method else box(b"mdat", item))
+
+
+@pytest.mark.parametrize("how", [{}, {"name": b"\0"}, {"name": b"", "head": b""}, {"infe": 0}, {"infe": 3, "iloc": 2}, {"iloc": 1, "method": 1}, {"iloc": 1, "cut": 9}], ids=str)
+def test_exif_in_heif(how):
+    data = generator.photo("2020:01:02 03:04:05", "+09:00", (-33.8688, 151.2093))
+    tiff = readers.find_exif(data)
+    assert readers.image_metadata(heif(tiff, **how)) == readers.image_metadata(data) and readers.image_metadata(data)["status"] == "ok"
+
+
+def test_heif_without_exif():
+    tiff = readers.find_exif(jpeg(b"2024:01:02 03:04:05"))
+    status = lambda data: readers.image_metadata(data)["status"]
+    assert status(heif(tiff, infe=0, name=b"other\0")) == "absent" == status(b"\0\0\0\x0cftypheic")
+    assert status(heif(tiff)[:-1]) == "unreadable" == status(heif(tiff, iloc=1, method=2))
+
+
+@given(st.binary(max_size=60), st.integers(0, 400))
+def test_malformed_heif_never_raises(data, at):
+    whole = heif(readers.find_exif(jpeg(b"2024:01:02 03:04:05")))
+    assert readers.image_metadata(whole[:at] + data + whole[at + len(data) :])["status"] in ("ok", "absent", "unreadable", "unsupported")
+
+
 @given(st.binary(max_size=200))
 def test_malformed_media_never_raises(data):
     for prefix in (b"", b"\xff\xd8", b"II*\0\x08\0\0\0", b"\0\0\0\x08ftyp"):
