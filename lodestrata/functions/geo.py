@@ -60,14 +60,14 @@ def _least(met: DataFrame) -> DataFrame:
 
 
 def _by_rings(spots: DataFrame, places: DataFrame) -> DataFrame:
-    """Cells of 1, 8 and 64 degrees of latitude and longitude, then the rest against the places of all cells' own nearest."""
+    """Cells of 1, 8 and 60 degrees of latitude and longitude, which divide 360, then the rest against all places."""
     done, left = None, spots
-    for size in (1.0, 8.0, 64.0):
-        own = places.withColumns({"a": F.floor(F.col("p_lat") / size), "b": F.floor(F.col("p_lon") / size)})
+    for size in (1.0, 8.0, 60.0):
+        columns = int(360 / size)
+        own = places.withColumns({"a": F.floor(F.col("p_lat") / size), "b": F.pmod(F.floor((F.col("p_lon") + 180) / size), F.lit(columns))})
         steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
         around = left.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-        columns = int(360 / size) or 1
-        around = around.withColumns({"a": F.floor(F.col("lat") / size) + F.col("i"), "b": F.pmod(F.floor(F.col("lon") / size) + F.col("j") + columns // 2, F.lit(columns)) - columns // 2})
+        around = around.withColumns({"a": F.floor(F.col("lat") / size) + F.col("i"), "b": F.pmod(F.floor((F.col("lon") + 180) / size) + F.col("j"), F.lit(columns))})
         found = _least(around.join(own, ["a", "b"]).drop("a", "b", "i", "j"))
         # Sure if nearer than the narrowest way out of the three cells.
         width = F.radians(F.lit(size)) * F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + size, F.lit(90.0)))), F.lit(0.0))

@@ -1,5 +1,7 @@
 import json
+import math
 import os
+import random
 import struct
 import unicodedata
 from datetime import datetime
@@ -111,6 +113,27 @@ def test_geo(spark):
         geo.BROADCAST_PLACES = held
 
 
+def test_nearest_by_cells_is_the_nearest(spark, monkeypatch):
+    monkeypatch.setattr(geo, "BROADCAST_PLACES", 0)
+    r = random.Random(5)
+    where = lambda lon: (r.uniform(-90, 90), lon)
+    sparse = [(0.0, -179.5), (0.0, -172.0)]  # the advice's example
+    pacific = [*sparse, *(where(r.uniform(-180, -128)) for _ in range(25)), *(where(r.uniform(150, 180)) for _ in range(25)), (10.0, 180.0), (20.0, -180.0), (90.0, 7.0), (-90.0, 7.0)]
+    world = [where(r.uniform(-180, 180)) for _ in range(60)]
+    points = [(0.0, -177.0), (0.0, 179.9), (10.0, -180.0), (20.0, 180.0), (89.0, -170.0), (-89.5, 100.0), *(where(r.choice([r.uniform(-180, -120), r.uniform(120, 180), r.uniform(-180, 180)])) for _ in range(150))]
+
+    def xyz(lat, lon):
+        a, b = math.radians(lat), math.radians(lon)
+        return math.cos(a) * math.cos(b), math.cos(a) * math.sin(b), math.sin(a)
+
+    for spots in (sparse, pacific, pacific + world):
+        places = spark.createDataFrame([(str(i), "x", *s) for i, s in enumerate(spots)], "name string, country string, lat double, lon double")
+        got = {row.k: row.place for row in geo.nearest(spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "k int, lat double, lon double"), places, "k").collect()}
+        for k, p in enumerate(points):
+            far = [math.dist(xyz(*p), xyz(*s)) for s in spots]
+            assert far[int(got[k])] <= min(far) + 1e-12, (p, spots[int(got[k])])
+
+
 def test_settings_layers(tmp_path):
     s = conf.merge({"user": {"chunk_size": 5, "extensions": {"video": ["mp4"]}}, "environment": conf.env_layer({"LODESTRATA_CHUNK_SIZE": "7", "OTHER": "x"})})
     assert s.values["chunk_size"] == 7 and s.source["chunk_size"] == "environment"
