@@ -167,11 +167,17 @@ def x9_collision_candidate(spark, sf_dir):
 
 @query("SELECT doc_id, replace(replace(text, chr(10), '\\n'), chr(13), '\\r') AS escaped FROM documents WHERE NOT coalesce(regexp_matches(text, '[\\x00-\\x09\\x0b\\x0c\\x0e-\\x1f\\x7f]'), false)")
 def x11_manifest_escape(spark, sf_dir):
-    """X11: control characters in whole texts."""
+    """X11: newlines and carriage returns in whole texts; ``x11_manifest_escape_all`` has the other controls too."""
     d = table(spark, sf_dir, "documents").where(~F.coalesce(F.col("text").rlike(r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f]"), F.lit(False)))
     return d.select("doc_id", names.manifest_escape(F.col("text")).alias("escaped"))
 
 
+@query()
+def x11_manifest_escape_all(spark, sf_dir):
+    r"""X11: every document, with the controls that ``x11_manifest_escape`` and its SQL leave out, as \u{hex}."""
+    return table(spark, sf_dir, "documents").select("doc_id", names.manifest_escape(F.col("text")).alias("escaped"))
+
+
 @query()
 def x12_elide(spark, sf_dir):
     """Texts over 160 bytes, cut on a character's edge."""

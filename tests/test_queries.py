@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 
 from lodestrata import queries as q
@@ -29,3 +31,11 @@ def test_partitioning_changes_nothing(spark):
         got.append(sorted(map(tuple, q.queries()["a5_duplicate_roles"](spark, SF).collect()), key=repr))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert got[0] == got[1]
+
+
+def test_manifest_escape_of_every_document(spark, tmp_path):
+    texts = [None, "", "plain", "a\\b\\n", "tab\there", "\n\r\n", *[f"<{chr(c)}{chr(c)}1>" for c in (*range(32), *range(127, 161))], "\x00" * 3 + "é漢\x85\t"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    short = {"\n": "\\n", "\r": "\\r"}
+    want = {i: t and "".join(short.get(c) or (f"\\u{{{ord(c):x}}}" if unicodedata.category(c) == "Cc" else c) for c in t) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.escaped for r in q.queries()["x11_manifest_escape_all"](spark, str(tmp_path)).collect()} == want
