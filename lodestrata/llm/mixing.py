@@ -52,12 +52,12 @@ def mix(docs: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float = 1.5,
 
     A null text has size 0; null is a source of its own, ordered last; equal rows are
     interchangeable, so reruns agree. The order within a source is a range exchange on (source, size,
-    doc_id): ranks are counted within its pieces and shifted by the pieces before, so a source with a
+    doc_id, nulls last): ranks are counted within its pieces and shifted by the pieces before, so a source with a
     third of the rows is spread over a third of the pieces.
     """
     keep = keep or []
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[docs[c].alias(f"_k_{c}") for c in keep])
-    pieces = scratch.write(scratch.write(sized).repartitionByRange(F.col("source"), F.col("size"), F.col("doc_id")).withColumn("piece", F.spark_partition_id()))
+    pieces = scratch.write(scratch.write(sized).repartitionByRange(F.col("source"), F.col("size"), F.col("doc_id").asc_nulls_last()).withColumn("piece", F.spark_partition_id()))
     per = pieces.groupBy("source", "piece").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("source", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

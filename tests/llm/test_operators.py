@@ -96,6 +96,20 @@ def test_token_store(spark, corpus, scratch, plain, tmp_path):
 # ---- mixing ---------------------------------------------------------------------------------------
 
 
+def test_mix_puts_null_ids_last_across_cuts(spark, scratch):
+    df = spark.createDataFrame([(None if i % 3 == 0 else i, "four words in each", "s") for i in range(600)], "doc_id long, text string, source string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mixing.mix(df, scratch, share=0.3713).select("doc_id", "copies").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rate, u = 0.3713, mixing.offset(F.lit("s"), 17)
+    u = spark.range(1).select(u.alias("u")).first().u
+    ids = sorted((i for i in range(600) if i % 3)) + [None] * 200
+    want = [(d, math.floor(rate * (k + 1) + u) - math.floor(rate * k + u)) for k, d in enumerate(ids)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_mix(spark, corpus, scratch):
     got = mixing.mix(corpus, scratch).collect()
     assert len(got) == corpus.count()
