@@ -416,6 +416,12 @@ def m3_keyed_digest(spark, sf_dir):
     return f.select("doc_id", F.when(ok, F.octet_length("content")).cast("long").alias("size"))
 
 
+@query()
+def m3_keyed_digest_value(spark, sf_dir):
+    """M3: the independent digest itself."""
+    return files(spark, sf_dir).select("doc_id", verify.keyed_digest(F.col("content")).alias("digest"))
+
+
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS seq, event_id % 10 = 9 AS corrupt FROM events")
 def c1_journal_lines(spark, sf_dir):
     """Journal lines as entries, torn ones kept as text."""
@@ -423,7 +429,7 @@ def c1_journal_lines(spark, sf_dir):
     line = F.when(F.col("event_id") % 10 == 9, F.substring(whole, 1, 12)).otherwise(whole)
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.lit(2).alias("line_no"), line.alias("line"), F.get_json_object("props", "$.k").cast("long").alias("k"))
     parsed = journal.parse(e).select("run_id", "seq", F.col("corrupt").isNotNull().alias("corrupt"))
-    return parsed.join(e.select("run_id", "k"), "run_id").select(F.col("run_id").alias("event_id"), F.coalesce("seq", "k").alias("seq"), "corrupt")
+    return parsed.join(e.select("run_id", "k"), "run_id").select(F.col("run_id").alias("event_id"), F.when(F.col("corrupt"), F.col("k")).otherwise(F.col("seq")).alias("seq"), "corrupt")
 
 
 @query("""SELECT c_nationkey AS group_id, max('out/' || c_custkey) FILTER (c_custkey = m) AS original, count(*)::BIGINT AS n FROM (SELECT *, max(c_custkey) OVER (PARTITION BY c_nationkey) AS m FROM customer) GROUP BY 1""")

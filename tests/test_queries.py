@@ -1,8 +1,12 @@
+import hashlib
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata import queries as q
+from lodestrata.operators import verify
+from lodestrata.sources import journal
 from tests.oracle import compare
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +43,17 @@ def test_manifest_escape_of_every_document(spark, tmp_path):
     short = {"\n": "\\n", "\r": "\\r"}
     want = {i: t and "".join(short.get(c) or (f"\\u{{{ord(c):x}}}" if unicodedata.category(c) == "Cc" else c) for c in t) for i, t in enumerate(texts)}
     assert {r.doc_id: r.escaped for r in q.queries()["x11_manifest_escape_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_keyed_digests_are_those_of_hashlib(spark):
+    texts = {r.doc_id: r.text for r in q.table(spark, SF, "documents").select("doc_id", "text").collect()}
+    key = verify.KEY if isinstance(verify.KEY, bytes) else verify.KEY.encode()
+    want = {i: None if t is None else hashlib.sha512(key + t.encode()).hexdigest() for i, t in texts.items()}
+    assert {r.doc_id: r.digest for r in q.queries()["m3_keyed_digest_value"](spark, SF).collect()} == want
+
+
+def test_a_parser_that_loses_seq_is_seen(spark, monkeypatch):
+    run, parse = q.queries()["c1_journal_lines"], journal.parse
+    monkeypatch.setattr(journal, "parse", lambda *a: parse(*a).withColumn("seq", F.lit(None).cast("long")))
+    with pytest.raises(AssertionError):
+        compare(spark, run, q.oracle_sql()["c1_journal_lines"], SF)
