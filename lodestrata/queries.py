@@ -219,14 +219,14 @@ def d5_zone_offsets(spark, sf_dir):
 
 
 def _dated(spark, sf_dir):
-    """Orders as media: a recorded date unless the key ends in 0-2, companions' dates from line items, else the file's."""
+    """Orders as media: a recorded date unless the key ends in 0-2, companions' dates from line items unless it ends in 2, else the file's."""
     o = table(spark, sf_dir, "orders")
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 < 2").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_shipdate"))).alias("c"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_shipdate"))).alias("c"))
     met = o.join(li, o.o_orderkey == li.l_orderkey, "left")
     k = F.col("o_orderkey") % 10
     file_ts = F.when(F.col("o_orderkey") % 100 != 2, F.expr("o_orderdate + interval 1 day"))
     fallback = dates.fallback_source(F.when(F.col("o_orderkey") % 3 == 0, "absent").otherwise("error"), F.col("o_orderstatus") == "F", F.lit(10))
-    picked = dates.prioritised(F.when(k > 2, F.col("o_orderdate")), F.transform(F.coalesce("c", F.array().cast("array<struct<l_linenumber:int,l_shipdate:timestamp_ntz>>")), lambda x: x["l_shipdate"]), file_ts, fallback)
+    picked = dates.prioritised(F.when(k > 2, F.col("o_orderdate")), F.transform(F.coalesce(F.when(k != 2, F.col("c")), F.array().cast("array<struct<l_linenumber:int,l_shipdate:timestamp_ntz>>")), lambda x: x["l_shipdate"]), file_ts, fallback)
     return met.select("o_orderkey", "o_orderpriority", picked.alias("p")).select("o_orderkey", "o_orderpriority", "p.ts", F.col("p.source").alias("date_source"))
 
 

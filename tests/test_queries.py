@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata import queries as q
+from lodestrata.functions import dates
 from lodestrata.operators import verify
 from lodestrata.sources import journal
 from tests.oracle import compare
@@ -57,3 +58,11 @@ def test_a_parser_that_loses_seq_is_seen(spark, monkeypatch):
     monkeypatch.setattr(journal, "parse", lambda *a: parse(*a).withColumn("seq", F.lit(None).cast("long")))
     with pytest.raises(AssertionError):
         compare(spark, run, q.oracle_sql()["c1_journal_lines"], SF)
+
+
+def test_a_companion_over_a_recorded_date_is_seen(spark, monkeypatch):
+    run, picked = q.queries()["d13_date_priority"], dates.prioritised
+    compare(spark, run, q.oracle_sql()["d13_date_priority"], SF)
+    monkeypatch.setattr(dates, "prioritised", lambda ts, c, *rest: picked(F.when(F.size(c) == 0, ts), c, *rest))
+    with pytest.raises(AssertionError):
+        compare(spark, run, q.oracle_sql()["d13_date_priority"], SF)
