@@ -1,35 +1,38 @@
 """Toxicity from the nearest labelled examples.
 
-A bounded sample of labelled documents is turned into TF-IDF vectors over the words and word
-beginnings that tell the labels apart. Each text is compared with the examples by exact cosine: an
-inverted index, cut into blocks with each term's greatest weight, gives an upper bound for each block,
-and blocks are opened from the highest bound down until no closed one can hold a nearer example. Votes
-weighted by distance are calibrated on the sample itself, each example judged without itself.
+A bounded sample of labelled documents is turned into TF-IDF vectors over all of their words; a word's
+weight is also scaled by its association with the labels (the phi coefficient), so that neighbours are
+near in what tells the labels apart. No word is left out, however rare. Each text is compared with the
+examples by exact cosine: an inverted index holds the postings of each word in blocks of examples with
+the block's greatest weight. The sum of a text's weights times these maxima bounds every cosine in a
+block, and blocks are opened until no closed one can hold a nearer example. Votes weighted by distance
+are calibrated on the sample itself, each example judged without itself.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, with_fields
 
-#: Bounds of the model: examples of each label, terms, neighbours, postings' block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 4000, 768, 15, 64
-#: A term must be in so many examples, and its signed evidence (chi-square, one degree) at least this.
-LEAST_DF, LEAST_CHI = 4, 25.0
-PREFIXES = (4, 5, 6)
+#: Bounds of the sample: examples of each label, and bytes of their texts together.
+EXAMPLES, EXAMPLE_BYTES = 4000, 24 << 20
+#: Neighbours that vote, examples in a block of postings, blocks opened before the bound is first used.
+NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def tokens(text: str | None) -> list[bytes]:
-    return text.lower().encode().translate(_KEEP).split() if text else []
+    """Runs of letters in lower case: a-z and everything beyond ASCII."""
+    return text.lower().encode(errors="replace").translate(_KEEP).split() if text else []
 
 
 def family(words: list[bytes], n: int = 4) -> int:
@@ -37,164 +40,223 @@ def family(words: list[bytes], n: int = 4) -> int:
     return min(zlib.crc32(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1)))
 
 
-def terms(word: bytes) -> list[bytes]:
-    """The word, and its beginnings of 4 to 6 bytes; inflected forms share those."""
-    return [b"=" + word, *[b"^" + word[:k] for k in PREFIXES if len(word) >= k]]
+def _weights(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Weight of words that are in a of n1 families of label 1 and b of n0 of label 0; 0 for words in none."""
+    c, d = n1 - a, n0 - b
+    phi = np.abs(a * d - b * c) / np.sqrt(np.maximum((a + b) * (c + d) * n1 * n0, 1e-9)) if n1 > 0 and n0 > 0 else 1.0
+    return np.where(a + b > 0, np.log(1 + (n1 + n0) / np.maximum(a + b, 1)) * phi, 0.0)
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges lo..hi in a row, and how many each range has."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum()), n
 
 
 @dataclass
 class Index:
-    """Examples in blocks: unit vectors (examples x terms) and the greatest weight of each term in each block."""
+    """Postings of the examples' unit vectors, and what their votes mean.
+
+    Word w has segments ``word_at[w]..word_at[w + 1]``, one for each block that holds it; segment s has
+    the block ``block[s]``, its greatest weight ``most[s]`` and the postings ``at[s]..at[s + 1]``, which
+    are ``example`` and ``value``. Examples are numbered so that alike ones share blocks.
+    """
 
     vocabulary: dict[bytes, int]
-    idf: np.ndarray
-    vectors: np.ndarray
-    labels: np.ndarray
-    weights: np.ndarray
+    weight: np.ndarray
+    word_at: np.ndarray
+    block: np.ndarray
+    most: np.ndarray
+    at: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
     ids: np.ndarray
+    labels: np.ndarray
+    shares: np.ndarray
     prior: float
+    bare: float
+    without: np.ndarray | None
     knots: np.ndarray = field(default_factory=lambda: np.array([[0.0, 0.0], [1.0, 1.0]]))
 
-    def __post_init__(self):
-        n = -(-len(self.vectors) // BLOCK)
-        full = np.zeros((n * BLOCK, len(self.idf)), "f4")
-        full[: len(self.vectors)] = self.vectors
-        self.block_max = full.reshape(n, BLOCK, len(self.idf)).max(axis=1).T.copy()
-        self.memo: dict[bytes, tuple[int, ...]] = {}
-        self.seen: dict[tuple, tuple] = {}
-
-    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and weights of a text's unit vector; none if it has no term."""
-        counts: dict[int, int] = {}
-        memo = self.memo
-        for w in tokens(text):
-            known = memo.get(w)
-            if known is None:
-                if len(memo) > 200_000:
-                    memo.clear()
-                known = memo[w] = tuple(self.vocabulary[t] for t in terms(w) if t in self.vocabulary)
-            for k in known:
-                counts[k] = counts.get(k, 0) + 1
-        at = np.array(sorted(counts), "i8")
-        w = (1 + np.log([counts[k] for k in at.tolist()])) * self.idf[at] if len(at) else np.zeros(0)
-        return at, w / np.linalg.norm(w) if len(at) else w
+    @classmethod
+    def build(cls, ids: list[int], labels: list[int], families: list[int], words: list[list[bytes]], counts: list[np.ndarray], totals: tuple[int, int]) -> Index:
+        """From each example's distinct words and their counts; ``totals`` are the rows of label 0 and 1 in the population."""
+        y = np.array(labels, "i8")
+        shares = np.where(y == 1, totals[1] / max((y == 1).sum(), 1), totals[0] / max((y == 0).sum(), 1))
+        prior = totals[1] / max(1, sum(totals))
+        coded = pa.array([w for some in words for w in some], pa.binary()).dictionary_encode()
+        word, own = coded.indices.to_numpy().astype("i8"), np.repeat(np.arange(len(y)), [len(w) for w in words])
+        size = len(coded.dictionary)
+        # Copies of one document would make its rare words look telling: families count, not documents.
+        kin, kin_at = np.unique(np.stack([np.array(families, "i8").reshape(len(y)), y]), axis=1, return_inverse=True)
+        pairs = np.unique(word * max(1, kin.shape[1]) + kin_at[own])
+        a = np.bincount(pairs // max(1, kin.shape[1]), weights=kin[1][pairs % max(1, kin.shape[1])], minlength=size)
+        b = np.bincount(pairs // max(1, kin.shape[1]), minlength=size) - a
+        n1, n0 = float(kin[1].sum()), float((1 - kin[1]).sum())
+        weight = _weights(a, b, n1, n0)
+        without = np.stack([_weights(a, np.maximum(b - 1, 0), n1, n0 - 1), _weights(np.maximum(a - 1, 0), b, n1 - 1, n0)])
+        value = (1 + np.log(np.concatenate([np.zeros(0), *counts]))) * weight[word]
+        norm = np.sqrt(np.bincount(own, value**2, len(y)))
+        value /= np.where(norm > 0, norm, 1)[own]
+        bare = norm == 0
+        # Numbered by label, then by their heaviest word.
+        first = np.full(len(y), -1)
+        order = np.lexsort((value, own))
+        first[own[order]] = word[order]
+        rank = np.empty(len(y), "i8")
+        by = np.lexsort((np.array(ids, "i8"), first, y))
+        rank[by] = np.arange(len(y))
+        held = value > 0
+        word, own, value = word[held], rank[own][held], value[held]
+        order = np.lexsort((own, word))
+        word, own, value = word[order], own[order], value[order].astype("f4")
+        new = np.ones(len(word), bool)
+        new[1:] = (word[1:] != word[:-1]) | (own[1:] // BLOCK != own[:-1] // BLOCK)
+        start = np.flatnonzero(new)
+        most = np.maximum.reduceat(value, start) if len(start) else value
+        word_at = np.searchsorted(word[start], np.arange(size + 1))
+        of_bare = float(((shares * y)[bare].sum() + prior) / (shares[bare].sum() + 1))
+        vocabulary = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
+        return cls(vocabulary, weight, word_at, (own[start] // BLOCK).astype("i4"), most, np.append(start, len(word)).astype("i8"), own.astype("i4"), value, np.array(ids, "i8")[by], y[by].astype("f8"), shares[by], prior, of_bare, without)
+
+    def vector(self, text: str | None, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and weights of a text's unit vector over the known words; none if it has none that weighs.
+
+        For example ``but`` as the other examples see it: words weigh what they would without it, on both
+        sides of the product.
+        """
+        known = self.vocabulary.get
+        found = [(k, n) for w, n in Counter(tokens(text)).items() if (k := known(w)) is not None]
+        at = np.array([k for k, _ in found], "i8")
+        w = (1 + np.log(np.array([n for _, n in found], "f8"))) * (self.weight if but < 0 else self.without[int(self.labels[but])])[at]
+        order = np.argsort(at)
+        order = order[w[order] > 0]
+        at, w = at[order], w[order] / max(np.linalg.norm(w), 1e-300)
+        return at, w if but < 0 else w * self.without[int(self.labels[but])][at] / np.maximum(self.weight[at], 1e-300)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, ties by place, as (places, cosines)."""
-        bound = w @ self.block_max[at]
-        order = np.argsort(-bound, kind="stable")
+        """The k examples of greatest cosine above 0, ties by number, as (numbers, cosines); example ``but`` is passed over."""
+        blocks = -(-len(self.ids) // BLOCK)
+        segments, n = _ranges(self.word_at[at], self.word_at[at + 1])
+        own, block = np.repeat(w, n), self.block[segments]
+        bound = np.bincount(block, own * self.most[segments], blocks)
+        closed = bound > 0
         best, score = np.zeros(0, "i8"), np.zeros(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or len(score) == k and bound[b] < score[-1] - 1e-6:
-                break
-            lo = b * BLOCK
-            s = self.vectors[lo : lo + BLOCK][:, at] @ w
-            own = np.flatnonzero(s > 0)
-            own = own[own + lo != but]
-            best, score = np.concatenate([best, own + lo]), np.concatenate([score, s[own]])
+        open_ = np.argsort(-bound, kind="stable")[:FIRST]
+        open_ = open_[closed[open_]]
+        while len(open_):
+            closed[open_] = False
+            now = np.zeros(blocks, bool)
+            now[open_] = True
+            use = np.flatnonzero(now[block])
+            posts, n = _ranges(self.at[segments[use]], self.at[segments[use] + 1])
+            cosine = np.bincount(self.example[posts], np.repeat(own[use], n) * self.value[posts], len(self.ids))
+            found = np.flatnonzero(cosine > 0)
+            found = found[found != but]
+            best, score = np.concatenate([best, found]), np.concatenate([score, cosine[found]])
             top = np.lexsort((best, -score))[:k]
             best, score = best[top], score[top]
+            open_ = np.flatnonzero(closed & (bound >= (score[-1] - 1e-6 if len(score) == k else 0)))
         return best, score
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
-        """Share of label 1, by 1 / (distance + 0.1) and the label's weight in the population."""
-        if not len(best):
-            return self.prior
-        w = self.weights[best] / (1.1 - np.minimum(score, 1.0))
+        """Share of label 1, by 1 / (distance + 0.1) and the label's share in the population."""
+        w = self.shares[best] / (1.1 - np.minimum(score, 1.0))
         return float((w * self.labels[best]).sum() / w.sum())
 
     def judge(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        """Score and neighbours. A text without a word that weighs is scored as the examples without one are."""
         at, w = self.vector(text)
-        key = (at.tobytes(), w.tobytes())
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            if len(at):
-                best, score = self.nearest(at, w)
-                self.seen[key] = (float(np.interp(self.vote(best, score), *self.knots.T)), best, score)
-            else:
-                self.seen[key] = (self.prior, np.zeros(0, "i8"), np.zeros(0))
-        return self.seen[key]
-
-    def calibrate(self, with_terms: np.ndarray) -> None:
-        """Isotonic regression (pool adjacent violators) of labels on votes, each example without itself."""
-        use = np.flatnonzero(with_terms)
-        if not len(use):
-            return
-        votes = np.empty(len(use))
-        for n, i in enumerate(use.tolist()):
-            at = np.flatnonzero(self.vectors[i])
-            votes[n] = self.vote(*self.nearest(at, self.vectors[i][at].astype("f8"), but=i))
+        best, score = self.nearest(at, w)
+        if not len(best):
+            return self.bare, best, score
+        return float(np.interp(self.vote(best, score), *self.knots.T)), best, score
+
+    def calibrated(self, number: np.ndarray, votes: np.ndarray) -> np.ndarray:
+        """Isotonic regression (pool adjacent violators) of the labels of some examples on their votes; one knot for each vote.
+
+        Examples of one vote are one pool from the start, so a stray label among them shifts it by its share only.
+        A pool's value is drawn towards the prior by the weight of one example.
+        """
+        if not len(votes):
+            return self.knots
+        x, at = np.unique(votes, return_inverse=True)
+        w = np.bincount(at, self.shares[number])
         pools: list[list[float]] = []
-        for n in np.argsort(votes, kind="stable"):
-            w, y = float(self.weights[use[n]]), float(self.labels[use[n]])
-            pools.append([votes[n], votes[n], w * y, w])
+        for lo, s, n in zip(x, np.bincount(at, (self.shares * self.labels)[number]), w, strict=True):
+            pools.append([lo, lo, s, n])
             while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
                 last = pools.pop()
                 pools[-1] = [pools[-1][0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
-        total = self.weights[use].mean()
-        fit = [(lo, hi, (s + 0.5 * total) / (w + total)) for lo, hi, s, w in pools]
-        self.knots = np.array([(x, y) for lo, hi, y in fit for x in ((lo, hi) if hi > lo else (lo,))])
-        self.knots[:, 1] = np.maximum.accumulate(self.knots[:, 1])
+        one = float(self.shares[number].mean())
+        knots = np.array([(v, (s + self.prior * one) / (n + one)) for lo, hi, s, n in pools for v in ((lo, hi) if hi > lo else (lo,))])
+        knots[:, 1] = np.maximum.accumulate(knots[:, 1])
+        return knots
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
+def _fitting(rows: list, most: int) -> list[int]:
+    """doc_ids of the rows (doc_id, y, bytes), in order, that fit into ``most`` bytes of each label together."""
+    left, out = {0: most // 2, 1: most // 2}, []
+    for r in rows:
+        if r.bytes <= left[r.y]:
+            left[r.y] -= r.bytes
+            out.append(r.doc_id)
+    return out
+
+
+BAGS = "doc_id long, y int, family long, words binary, counts binary"
+
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES) -> Index:
     """Learns from ``labels(doc_id, toxic)`` outside the held-out fold.
 
-    A doc_id with several labels has the greatest; null labels are none. Of each label the ``examples``
-    with the least hash of doc_id are taken, whole texts; each weighs as many as its label has for each
-    taken. All that reaches the driver is bounded by ``examples`` and ``TERMS``.
+    A doc_id with several labels has the greatest; null labels are none; of several texts of one doc_id
+    the least is taken. Of each label the ``examples`` with the least hash of doc_id are taken, whole
+    texts, as far as they fit into half of ``example_bytes``; each weighs as many as its label has for
+    each taken. These two bounds hold for all that reaches the driver or is broadcast.
     """
-    lab = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    spark = docs.sparkSession
+    lab = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
     totals = {r.y: r["count"] for r in lab.groupBy("y").count().collect()}
     picks = [lab.where(f"y = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples).collect() for y in (0, 1)]  # bounded by ``examples``
-    schema = "doc_id long, y int"
-    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for p in picks for r in p], schema)
-    sample = docs.select("doc_id", "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    chosen = spark.createDataFrame([(r.doc_id, r.y) for p in picks for r in p], "doc_id long, y int")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     sample = sample.persist()  # at most 2 x ``examples`` rows; Spark recomputes what a lost executor held
+    sizes = sample.select("doc_id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.xxhash64("doc_id").alias("h")).collect()
+    kept = spark.createDataFrame([(k,) for k in _fitting(sorted(sizes, key=lambda r: (r.h, r.doc_id)), example_bytes)], "doc_id long")
+    taken = sample.join(F.broadcast(kept), "doc_id")
 
-    def sets(it):
+    def bags(it):
         for b in it:
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                words = tokens(t)
-                found = [b"", *sorted({x for w in set(words) for x in terms(w)})]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32()), pa.array([family(words)] * len(found), pa.int64())], names=["term", "y", "family"])
-
-    # Copies of one document would make its rare words look telling: families count, not documents.
-    by_term = sample.mapInArrow(lean(sets), "term binary, y int, family long").distinct().groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    by_term = by_term.persist()
-    n1, n0 = next(((int(r.a), int(r.b)) for r in by_term.where(F.col("term") == F.lit(b"")).collect()), (0, 0))
-    if not n1 + n0:
-        return Index({}, np.zeros(0), np.zeros((0, 0), "f4"), np.zeros(0), np.zeros(0), np.zeros(0, "i8"), 0.0)
-    df = by_term.where(f"a + b >= {LEAST_DF}").where(F.col("term") != F.lit(b""))
-    a, b, c, d = F.col("a"), F.col("b"), n1 - F.col("a"), n0 - F.col("b")
-    chi = (n1 + n0) * F.pow(a * d - b * c, F.lit(2)) / ((a + b) * (c + d) * F.lit(float(max(n1 * n0, 1))) + F.lit(1e-9))
-    top = df.withColumn("chi", chi.cast("double")).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), "term").limit(TERMS).collect()  # bounded by TERMS
-    by_term.unpersist()
-    vocabulary = {bytes(r.term): i for i, r in enumerate(top)}
-    idf = np.array([math.log(1 + (n1 + n0) / (r.a + r.b)) for r in top])
-    bare = Index(vocabulary, idf, np.zeros((0, len(top)), "f4"), np.zeros(0), np.zeros(0), np.zeros(0, "i8"), 0.0)
-
-    def vectors(it):
+            texts = [tokens(t) for t in b.column("text").to_pylist()]
+            some = [Counter(t) for t in texts]
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(map(family, texts), pa.int64()), pa.array([b" ".join(c) for c in some], pa.binary()), pa.array([np.fromiter(c.values(), "<u4", len(c)).tobytes() for c in some], pa.binary())], names=["doc_id", "y", "family", "words", "counts"])
+
+    got = taken.select("doc_id", "y", "text").mapInArrow(lean(bags), BAGS).toArrow().sort_by("doc_id")
+    ids, y, families, words, counts = (got.column(c).to_pylist() for c in ("doc_id", "y", "family", "words", "counts"))
+    index = Index.build(ids, y, families, [w.split() for w in words], [np.frombuffer(c, "<u4") for c in counts], (totals.get(0, 0), totals.get(1, 0)))
+    del got, words, counts
+    shared, number = spark.sparkContext.broadcast(index), {int(k): i for i, k in enumerate(index.ids)}
+
+    def alone(it):
+        own = shared.value
+        numbers = {int(k): i for i, k in enumerate(own.ids)}
         for b in it:
-            got = [bare.vector(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array([x for x, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.float64()))], names=["doc_id", "y", "k", "w"])
-
-    rows = sorted(sample.mapInArrow(lean(vectors), "doc_id long, y int, k array<long>, w array<double>").collect(), key=lambda r: (r.y, r.k, r.doc_id))  # alike ones share blocks
+            votes = []
+            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                best, score = own.nearest(*own.vector(t, numbers[k]), but=numbers[k])
+                votes.append(own.vote(best, score) if len(best) else None)
+            yield pa.record_batch([b.column("doc_id"), pa.array(votes, pa.float64())], names=["doc_id", "vote"])
+
+    judged = taken.select("doc_id", "text").mapInArrow(lean(alone), "doc_id long, vote double").where("vote is not null").collect()
+    index.knots = index.calibrated(np.array([number[r.doc_id] for r in judged], "i8"), np.array([r.vote for r in judged], "f8"))
+    index.without = None
+    shared.unpersist()
     sample.unpersist()
-    x = np.zeros((len(rows), len(top)), "f4")
-    for i, r in enumerate(rows):
-        x[i, r.k] = r.w
-    y = np.array([r.y for r in rows], "f8")
-    weights = np.where(y == 1, totals.get(1, 0) / max((y == 1).sum(), 1), totals.get(0, 0) / max((y == 0).sum(), 1))
-    bare_rows = np.array([not r.k for r in rows])
-    prior = float(((weights * y)[bare_rows].sum() + 0.5 * totals.get(1, 0) / max(1, sum(totals.values()))) / (weights[bare_rows].sum() + 1))
-    index = Index(vocabulary, idf, x, y, weights, np.array([r.doc_id for r in rows]), prior)
-    index.calibrate(~bare_rows)
     return index
 
 
@@ -204,15 +266,25 @@ EVIDENCE = "array<struct<doc_id:long,cosine:double,toxic:int>>"
 def score(docs: DataFrame, index: Index, *keep: str, evidence: bool = False) -> DataFrame:
     """``docs(text)`` with the columns of ``keep``, ``score`` and ``predicted``, and the neighbours if asked for.
 
-    A null, empty or wordless text has no term and gets the share of label 1 among examples without
-    terms. The text is the only input.
+    A null, empty or wordless text, or one without a word of the examples, has no neighbour and gets
+    the share of label 1 among examples without words. The text is the only input. Equal texts are
+    judged once for each task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, index.idf, index.vectors, index.labels, index.weights, index.ids, index.prior, index.knots))  # bounded by 2 * EXAMPLES * TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and EXAMPLE_BYTES
 
     def run(it):
-        own = Index(*shared.value)
+        own, seen = shared.value, {}
+
+        def judge(text):
+            key = xxhash.xxh3_128_digest((text or "").encode(errors="replace"))
+            if key not in seen:
+                if len(seen) >= 20_000:
+                    seen.clear()
+                seen[key] = own.judge(text)[: 3 if evidence else 1]
+            return seen[key]
+
         for b in it:
-            got = [own.judge(t.as_py()) for t in b.column("text")]
+            got = [judge(t.as_py()) for t in b.column("text")]
             s = np.array([g[0] for g in got], "f8")
             more = [pa.array([[{"doc_id": int(own.ids[i]), "cosine": float(c), "toxic": int(own.labels[i])} for i, c in zip(best, cos, strict=True)] for _, best, cos in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))] if evidence else []
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s), pa.array((s >= 0.5).astype("i4")), *more], names=[*keep, "score", "predicted", *["evidence"] * evidence])

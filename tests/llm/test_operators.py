@@ -129,33 +129,132 @@ def test_mix(spark, corpus, scratch):
 # ---- toxicity -------------------------------------------------------------------------------------
 
 
-def brute_nearest(index, at, w, k):
-    q = np.zeros(len(index.idf))
-    q[at] = w
-    s = index.vectors.astype("f8") @ q
-    order = [i for i in np.lexsort((np.arange(len(s)), -s)) if s[i] > 0][:k]
-    return s[order]
-
-
-def test_toxicity(spark):
-    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
-    rng = np.random.default_rng(5)
-    rows = [(i, " ".join(rng.choice(words, 60)).replace("w", "word") + (" vile nasty vileness" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
-    docs = spark.createDataFrame([r[:2] for r in rows] + [(1000, None), (1001, ""), (None, "vile nasty vileness")], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows] + [(None, 1, 1), (3, None, 1), (2, 0, 0)], "doc_id long, toxic int, quality int")
-    index = toxicity.fit(docs, labels, examples=200)
-    for _, text, _ in rows[:40]:
-        at, w = index.vector(text)
-        if len(at):
-            assert np.allclose(index.nearest(at, w)[1], brute_nearest(index, at, w, toxicity.NEIGHBOURS), atol=1e-6)
-    got = {r.doc_id: r for r in toxicity.score(docs, index, "doc_id", evidence=True).collect()}
-    assert len(got) == 603 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
-    held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert sum(got[i].predicted == int(i % 4 == 0) for i in held) >= 0.97 * len(held)
-    assert got[1000].predicted == got[1001].predicted == 0 and got[None].predicted == 1 and got[None].evidence[0].toxic == 1
-    assert docs.sparkSession.createDataFrame([(i,) for i in held], "doc_id long").where(toxicity.held_out(F.col("doc_id"))).count() == len(held)
-    none = toxicity.fit(docs, labels.where("false"))
-    assert toxicity.score(docs, none, "doc_id").where("predicted = 1").count() == 0
+def brute_toxicity(train, texts):
+    """Scores by the definition, in plain Python: train (doc_id, text, label), all of it examples."""
+    bags = [(Counter(toxicity.tokens(t)), y, toxicity.family(toxicity.tokens(t))) for _, t, y in train]
+    kin = {(f, y) for _, y, f in bags}
+    n1, n0 = sum(y for _, y in kin), sum(1 - y for _, y in kin)
+    a, b = Counter(), Counter()
+    for w, _, y in {(w, f, y) for c, y, f in bags for w in c}:
+        (a if y else b)[w] += 1
+
+    def weight(w, a_less=0, b_less=0):
+        p, q, m1, m0 = max(a[w] - a_less, 0), max(b[w] - b_less, 0), n1 - a_less, n0 - b_less
+        if p + q == 0:
+            return 0.0
+        phi = abs(p * (m0 - q) - q * (m1 - p)) / math.sqrt(max((p + q) * (m1 + m0 - p - q) * m1 * m0, 1e-9)) if m1 > 0 and m0 > 0 else 1.0
+        return math.log(1 + (m1 + m0) / (p + q)) * phi
+
+    def unit(c, less=(0, 0)):
+        v = {w: (1 + math.log(n)) * weight(w, *less) for w, n in c.items() if a[w] + b[w]}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items() if x > 0}
+
+    rows = [unit(c) for c, _, _ in bags]
+    y = [l for _, l, _ in bags]
+
+    def vote(q, but=None):
+        near = sorted(((-sum(x * rows[i].get(w, 0) for w, x in q.items()), i) for i in range(len(rows)) if i != but))
+        near = [(-s, i) for s, i in near if s < -1e-12][: toxicity.NEIGHBOURS]
+        return sum(y[i] / (1.1 - min(s, 1)) for s, i in near) / sum(1 / (1.1 - min(s, 1)) for s, i in near) if near else None
+
+    votes = []
+    for i, (c, l, _) in enumerate(bags):
+        less = (l, 1 - l)
+        q = {w: x * weight(w, *less) / weight(w) for w, x in unit(c, less).items() if weight(w) > 0}
+        if (v := vote(q, i)) is not None:
+            votes.append((v, l))
+    pools = []
+    for x in sorted({v for v, _ in votes}):
+        own = [l for v, l in votes if v == x]
+        pools.append([x, x, sum(own), len(own)])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            _, hi, s, n = pools.pop()
+            pools[-1] = [pools[-1][0], hi, pools[-1][2] + s, pools[-1][3] + n]
+    prior = sum(y) / len(y)
+    knots = [(x, (s + prior) / (n + 1)) for lo, hi, s, n in pools for x in sorted({lo, hi})]
+    knots = np.array([knots[0], *knots[1:]])
+    knots[:, 1] = np.maximum.accumulate(knots[:, 1])
+    bare = [l for r, l in zip(rows, y, strict=True) if not r]
+    none = (sum(bare) + prior) / (len(bare) + 1)
+    return [none if (v := vote(unit(Counter(toxicity.tokens(t))))) is None else float(np.interp(v, *knots.T)) for t in texts]
+
+
+def made_up(n, seed, toxic=lambda i: i % 4 == 0, bad=("vile", "nasty", "scoundrel")):
+    """Documents of invented words; those that ``toxic`` picks hold bad words besides."""
+    rng = np.random.default_rng(seed)
+    words = ["word" + a + b for a in "abcdefghij" for b in "klmnopqrst"]
+    return [(i, " ".join([*rng.choice(words, int(rng.integers(3, 60))), *(rng.choice(bad, 2) if toxic(i) else [])]), int(toxic(i))) for i in range(n)]
+
+
+def tables(spark, rows, more=()):
+    docs = spark.createDataFrame([(i, t, "en", 1) for i, t, _ in rows] + [(i, t, None, None) for i, t in more], "doc_id long, text string, y string, score int")
+    return docs, spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, toxic int, quality int")
+
+
+def learnt(rows):
+    return [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+
+
+def test_toxicity_is_the_brute_force(spark):
+    rows = made_up(160, 3)
+    rows += [(1000 + i, rows[4 * i][1], 1) for i in range(6)] + [(1010, None, 0), (1011, "", 1), (1012, "wordak " * 30_000 + "vile", 1)]
+    odd = [(None, "vile nasty"), (None, None), (7, "second text of an id that is taken"), (2000, "12 34 !!"), (2001, "wordak wordbl " * 20_000), (2002, "unheard of")]
+    docs, labels = tables(spark, rows, odd)
+    index = toxicity.fit(docs, labels)
+    train = [(i, min(t or "", "second text of an id that is taken") if i == 7 else t, y) for i, t, y in learnt(rows)]
+    texts = [t for _, t, _ in rows] + [t for _, t in odd]
+    want = brute_toxicity(sorted(train, key=lambda r: index.ids.tolist().index(r[0])), texts)
+    got = {}
+    for r in toxicity.score(docs, index, "doc_id", "y", "text").collect():
+        got.setdefault(r.text, set()).add(round(r.score, 6))
+        assert r.predicted == (r.score >= 0.5)
+    assert {t: {round(s, 6)} for t, s in zip(texts, want, strict=True)} == got
+
+
+def test_toxicity_keeps_clean_texts_clean_beside_strays(spark):
+    """One toxic example among clean neighbours and one clean among toxic ones don't turn the others."""
+    rows = made_up(400, 5)
+    rows += [(1001, "worddm wordeo wordfn wordhq", 1), (1002, "vile wordal nasty", 0)]
+    docs, labels = tables(spark, rows)
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels), "doc_id", evidence=True).collect()}
+    held = [r for r in rows[:400] if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert sum(got[i].predicted == y for i, _, y in held) >= 0.97 * len(held)
+    assert sum(got[i].predicted for i, _, y in held if not y) <= 0.01 * len(held)
+    assert all(len(got[i].evidence) and got[i].evidence[0].cosine <= 1 + 1e-9 for i, _, _ in held)
+
+
+def test_toxicity_meets_rare_words(spark):
+    """A word of ten toxic examples among many is evidence enough: no word is too rare for the index."""
+    rows = made_up(800, 6)
+    rows = [(i, t + " blackguard" if y and i % 80 == 0 else t, y) for i, t, y in rows]
+    rows = [(i, t.replace(" vile", "").replace(" nasty", "").replace(" scoundrel", "") if i % 80 == 0 else t, y) for i, t, y in rows]
+    docs, labels = tables(spark, rows, [(5000, "worddm wordeo blackguard wordfn"), (5001, "worddm wordeo wordfn")])
+    got = {r.doc_id: r.predicted for r in toxicity.score(docs, toxicity.fit(docs, labels), "doc_id").collect()}
+    assert got[5000] == 1 and got[5001] == 0
+
+
+def test_toxicity_bounds_and_empty_tables(spark):
+    docs, labels = tables(spark, made_up(200, 7))
+    assert len(toxicity.fit(docs, labels, examples=20).ids) == 40
+    small = toxicity.fit(docs, labels, example_bytes=4000)
+    assert 0 < len(small.ids) < 160 and len(toxicity.fit(docs, labels, example_bytes=0).ids) == 0
+    twice = labels.union(labels.select("doc_id", F.lit(None).cast("int"), "quality")).union(spark.createDataFrame([(None, 1, 1)], "doc_id long, toxic int, quality int"))
+    assert toxicity.fit(docs, twice).ids.tolist() == toxicity.fit(docs, labels).ids.tolist()
+    for index in (toxicity.fit(docs, labels.where("false")), toxicity.fit(docs.where("false"), labels), toxicity.fit(docs, labels.where("toxic = 1")), toxicity.fit(docs, labels.where("toxic = 0"))):
+        assert all(0 <= r.score <= 1 for r in toxicity.score(docs, index, "doc_id").collect())
+        assert toxicity.score(docs.where("false"), index, "doc_id").count() == 0
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert spark.range(400).where(toxicity.held_out(F.col("id"))).count() == len(ids)
+
+
+def test_op3_query_holds_out_and_agrees_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries()["op3_toxicity"](spark, sf).collect()}
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert len(got) == 1000 and all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    held = [(r.predicted, truth[i]) for i, r in got.items() if r.held_out and i in truth]
+    assert sum(p for p, t in held if not t) <= 0.03 * len(held) and sum(p for p, t in held if t) >= 0.6 * sum(t for _, t in held)
 
 
 # ---- language model -------------------------------------------------------------------------------
