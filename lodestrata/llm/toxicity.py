@@ -4,16 +4,19 @@ A bounded sample of labelled documents is turned into TF-IDF vectors over all of
 weight is also scaled by its association with the labels (the phi coefficient), so that neighbours are
 near in what tells the labels apart. No word is left out, however rare. Each text is compared with the
 examples by exact cosine: an inverted index holds the postings of each word in blocks of examples with
-the block's greatest weight. The sum of a text's weights times these maxima bounds every cosine in a
-block, and blocks are opened until no closed one can hold a nearer example. Votes weighted by distance
-are calibrated on the sample itself, each example judged without itself.
+the block's greatest weight; the most common words, whose postings would name nearly every example,
+are plain rows instead and multiplied for many texts at a time. Words are added up from the one that
+can add most; a block is opened for the rest only if the sum of their weights times its maxima can lift
+one of its examples among the nearest. Votes weighted by distance are calibrated on the sample itself, each example judged without itself.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,12 @@ from .common import lean, with_fields
 
 #: Bounds of the sample: examples of each label, and bytes of their texts together.
 EXAMPLES, EXAMPLE_BYTES = 4000, 24 << 20
-#: Neighbours that vote, examples in a block of postings, blocks opened before the bound is first used.
-NEIGHBOURS, BLOCK, FIRST = 15, 64, 8
+#: Neighbours that vote, examples in a block of postings.
+NEIGHBOURS, BLOCK = 15, 64
+#: Words held as rows over all examples (64 bits each), and texts multiplied with them at a time.
+COMMON, TEXTS = 512, 64
+#: Words added up before the bound is first used, and the share of the k-th best sum that the others must stay below.
+FIRST, SHARE = 64, 0.5
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -55,14 +62,15 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Postings of the examples' unit vectors, and what their votes mean.
+    """The examples' unit vectors, and what their votes mean.
 
-    Word w has segments ``word_at[w]..word_at[w + 1]``, one for each block that holds it; segment s has
+    Words are numbered from the most common one down; the first have ``rows`` over all examples. Each other word w has segments ``word_at[w]..word_at[w + 1]``, one for each block that holds it; segment s has
     the block ``block[s]``, its greatest weight ``most[s]`` and the postings ``at[s]..at[s + 1]``, which
-    are ``example`` and ``value``. Examples are numbered so that alike ones share blocks.
+    are ``example`` and ``value``. ``top[w]`` is the greatest of all of a word's weights. Examples are numbered so that alike ones share blocks.
     """
 
     vocabulary: dict[bytes, int]
+    rows: np.ndarray
     weight: np.ndarray
     word_at: np.ndarray
     block: np.ndarray
@@ -70,6 +78,7 @@ class Index:
     at: np.ndarray
     example: np.ndarray
     value: np.ndarray
+    top: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     shares: np.ndarray
@@ -87,6 +96,10 @@ class Index:
         coded = pa.array([w for some in words for w in some], pa.binary()).dictionary_encode()
         word, own = coded.indices.to_numpy().astype("i8"), np.repeat(np.arange(len(y)), [len(w) for w in words])
         size = len(coded.dictionary)
+        common = np.argsort(-np.bincount(word, minlength=size), kind="stable")
+        number = np.empty(size, "i8")
+        number[common] = np.arange(size)
+        word = number[word]
         # Copies of one document would make its rare words look telling: families count, not documents.
         kin, kin_at = np.unique(np.stack([np.array(families, "i8").reshape(len(y)), y]), axis=1, return_inverse=True)
         pairs = np.unique(word * max(1, kin.shape[1]) + kin_at[own])
@@ -106,8 +119,12 @@ class Index:
         rank = np.empty(len(y), "i8")
         by = np.lexsort((np.array(ids, "i8"), first, y))
         rank[by] = np.arange(len(y))
-        held = value > 0
-        word, own, value = word[held], rank[own][held], value[held]
+        own = rank[own]
+        rows = np.zeros((min(size, COMMON), len(y)))
+        held = word < len(rows)
+        rows[word[held], own[held]] = value[held]
+        held = (value > 0) & ~held
+        word, own, value = word[held], own[held], value[held]
         order = np.lexsort((own, word))
         word, own, value = word[order], own[order], value[order].astype("f4")
         new = np.ones(len(word), bool)
@@ -115,9 +132,11 @@ class Index:
         start = np.flatnonzero(new)
         most = np.maximum.reduceat(value, start) if len(start) else value
         word_at = np.searchsorted(word[start], np.arange(size + 1))
+        top = np.zeros(size, "f4")
+        np.maximum.at(top, word[start], most)
         of_bare = float(((shares * y)[bare].sum() + prior) / (shares[bare].sum() + 1))
-        vocabulary = {w: i for i, w in enumerate(coded.dictionary.to_pylist())}
-        return cls(vocabulary, weight, word_at, (own[start] // BLOCK).astype("i4"), most, np.append(start, len(word)).astype("i8"), own.astype("i4"), value, np.array(ids, "i8")[by], y[by].astype("f8"), shares[by], prior, of_bare, without)
+        vocabulary = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(common)).to_pylist())}
+        return cls(vocabulary, rows, weight, word_at, (own[start] // BLOCK).astype("i4"), most, np.append(start, len(word)).astype("i8"), own.astype("i4"), value, top, np.array(ids, "i8")[by], y[by].astype("f8"), shares[by], prior, of_bare, without)
 
     def vector(self, text: str | None, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and weights of a text's unit vector over the known words; none if it has none that weighs.
@@ -125,52 +144,80 @@ class Index:
         For example ``but`` as the other examples see it: words weigh what they would without it, on both
         sides of the product.
         """
-        known = self.vocabulary.get
-        found = [(k, n) for w, n in Counter(tokens(text)).items() if (k := known(w)) is not None]
-        at = np.array([k for k, _ in found], "i8")
-        w = (1 + np.log(np.array([n for _, n in found], "f8"))) * (self.weight if but < 0 else self.without[int(self.labels[but])])[at]
+        words = Counter(tokens(text))
+        at = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), "i8", len(words))
+        n = np.fromiter(words.values(), "f8", len(words))[at >= 0]
+        at = at[at >= 0]
+        w = (1 + np.log(n)) * (self.weight if but < 0 else self.without[int(self.labels[but])])[at]
         order = np.argsort(at)
         order = order[w[order] > 0]
         at, w = at[order], w[order] / max(np.linalg.norm(w), 1e-300)
         return at, w if but < 0 else w * self.without[int(self.labels[but])][at] / np.maximum(self.weight[at], 1e-300)
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, ties by number, as (numbers, cosines); example ``but`` is passed over."""
-        blocks = -(-len(self.ids) // BLOCK)
-        segments, n = _ranges(self.word_at[at], self.word_at[at + 1])
-        own, block = np.repeat(w, n), self.block[segments]
-        bound = np.bincount(block, own * self.most[segments], blocks)
-        closed = bound > 0
-        best, score = np.zeros(0, "i8"), np.zeros(0)
-        open_ = np.argsort(-bound, kind="stable")[:FIRST]
-        open_ = open_[closed[open_]]
-        while len(open_):
-            closed[open_] = False
-            now = np.zeros(blocks, bool)
-            now[open_] = True
-            use = np.flatnonzero(now[block])
-            posts, n = _ranges(self.at[segments[use]], self.at[segments[use] + 1])
-            cosine = np.bincount(self.example[posts], np.repeat(own[use], n) * self.value[posts], len(self.ids))
-            found = np.flatnonzero(cosine > 0)
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each vector the k examples of greatest cosine above 0, ties by number, as (numbers, cosines); the vector's example in ``but`` is passed over."""
+        for lo in range(0, len(vectors), TEXTS):
+            some = vectors[lo : lo + TEXTS]
+            weights = np.zeros((len(some), len(self.rows)))
+            cuts = [int(np.searchsorted(at, len(self.rows))) for at, _ in some]
+            for i, ((at, w), n) in enumerate(zip(some, cuts, strict=True)):
+                weights[i, at[:n]] = w[:n]
+            for i, (cosine, (at, w), n) in enumerate(zip(weights @ self.rows, some, cuts, strict=True)):
+                yield self._rest(cosine, at[n:], w[n:], k, but[lo + i] if but else -1)
+
+    def _rest(self, cosine: np.ndarray, at: np.ndarray, w: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """``nearest`` for one vector, ``cosine`` being what its common words add up to.
+
+        The words that can add most are added up over all their postings, until the others together can add less than a share
+        of the k-th best sum. For those the blocks' maxima bound what an example can still gain; only blocks
+        with an example that may be among the k are opened for them.
+        """
+        adds = w * self.top[at]
+        order = np.argsort(-adds, kind="stable")
+        at, w = at[order], w[order]
+        rest = np.append(np.cumsum(adds[order][::-1])[::-1], 0.0)
+        least, j = 0.0, 0
+        if but >= 0:
+            cosine[but] = 0
+        if len(cosine) > k:
+            least = np.partition(cosine, -k)[-k]
+        while j < len(at) and rest[j] >= SHARE * least:
+            some = slice(j, max(2 * j, FIRST))
+            lo, hi = self.at[self.word_at[at[some]]], self.at[self.word_at[at[some] + 1]]
+            posts = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            value = np.repeat(w[some], hi - lo)
+            value *= np.concatenate([self.value[p] for p in posts])
+            cosine += np.bincount(np.concatenate([self.example[p] for p in posts]), value, len(cosine))
+            if but >= 0:
+                cosine[but] = 0
+            least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
+            j = max(2 * j, FIRST)
+        if j < len(at):
+            segments, n = _ranges(self.word_at[at[j:]], self.word_at[at[j:] + 1])
+            own, block = np.repeat(w[j:], n), self.block[segments]
+            room = np.bincount(block, own * self.most[segments], -(-len(cosine) // BLOCK))
+            found = np.flatnonzero(cosine + np.repeat(room, BLOCK)[: len(cosine)] >= least - 1e-6)
             found = found[found != but]
-            best, score = np.concatenate([best, found]), np.concatenate([score, cosine[found]])
-            top = np.lexsort((best, -score))[:k]
-            best, score = best[top], score[top]
-            open_ = np.flatnonzero(closed & (bound >= (score[-1] - 1e-6 if len(score) == k else 0)))
-        return best, score
+            open_ = np.zeros(len(room), bool)
+            open_[found // BLOCK] = True
+            use = np.flatnonzero(open_[block])
+            posts, n = _ranges(self.at[segments[use]], self.at[segments[use] + 1])
+            cosine += np.bincount(self.example[posts], np.repeat(own[use], n) * self.value[posts], len(cosine))
+        else:
+            found = np.flatnonzero(cosine >= least)
+        found = found[cosine[found] > 0]
+        found = found[np.lexsort((found, -cosine[found]))][:k]
+        return found, cosine[found]
 
     def vote(self, best: np.ndarray, score: np.ndarray) -> float:
         """Share of label 1, by 1 / (distance + 0.1) and the label's share in the population."""
         w = self.shares[best] / (1.1 - np.minimum(score, 1.0))
         return float((w * self.labels[best]).sum() / w.sum())
 
-    def judge(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score and neighbours. A text without a word that weighs is scored as the examples without one are."""
-        at, w = self.vector(text)
-        best, score = self.nearest(at, w)
-        if not len(best):
-            return self.bare, best, score
-        return float(np.interp(self.vote(best, score), *self.knots.T)), best, score
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """Score and neighbours of each text. A text without a word that weighs is scored as the examples without one are."""
+        for best, score in self.nearest([self.vector(t) for t in texts]):
+            yield float(np.interp(self.vote(best, score), *self.knots.T)) if len(best) else self.bare, best, score
 
     def calibrated(self, number: np.ndarray, votes: np.ndarray) -> np.ndarray:
         """Isotonic regression (pool adjacent violators) of the labels of some examples on their votes; one knot for each vote.
@@ -246,10 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_by
         own = shared.value
         numbers = {int(k): i for i, k in enumerate(own.ids)}
         for b in it:
-            votes = []
-            for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                best, score = own.nearest(*own.vector(t, numbers[k]), but=numbers[k])
-                votes.append(own.vote(best, score) if len(best) else None)
+            but = [numbers[k] for k in b.column("doc_id").to_pylist()]
+            near = own.nearest([own.vector(t, i) for t, i in zip(b.column("text").to_pylist(), but, strict=True)], but=but)
+            votes = [own.vote(best, score) if len(best) else None for best, score in near]
             yield pa.record_batch([b.column("doc_id"), pa.array(votes, pa.float64())], names=["doc_id", "vote"])
 
     judged = taken.select("doc_id", "text").mapInArrow(lean(alone), "doc_id long, vote double").where("vote is not null").collect()
@@ -274,17 +320,14 @@ def score(docs: DataFrame, index: Index, *keep: str, evidence: bool = False) ->
 
     def run(it):
         own, seen = shared.value, {}
-
-        def judge(text):
-            key = xxhash.xxh3_128_digest((text or "").encode(errors="replace"))
-            if key not in seen:
-                if len(seen) >= 20_000:
-                    seen.clear()
-                seen[key] = own.judge(text)[: 3 if evidence else 1]
-            return seen[key]
-
         for b in it:
-            got = [judge(t.as_py()) for t in b.column("text")]
+            texts = [t.as_py() or "" for t in b.column("text")]
+            keys = [xxhash.xxh3_128_digest(t.encode(errors="replace")) for t in texts]
+            if len(seen) >= 20_000:
+                seen = {}
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}
+            seen.update(zip(new, (g[: 3 if evidence else 1] for g in own.judge(list(new.values()))), strict=True))
+            got = [seen[k] for k in keys]
             s = np.array([g[0] for g in got], "f8")
             more = [pa.array([[{"doc_id": int(own.ids[i]), "cosine": float(c), "toxic": int(own.labels[i])} for i, c in zip(best, cos, strict=True)] for _, best, cos in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))] if evidence else []
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s), pa.array((s >= 0.5).astype("i4")), *more], names=[*keep, "score", "predicted", *["evidence"] * evidence])
