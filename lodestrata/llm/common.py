@@ -10,7 +10,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,26 +19,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..runtime import ready
-
-_made: dict[str, SparkSession] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local temporary folder only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if found:
-        return found.rstrip("/")
-    if not _made.get("local"):
-        _made["local"] = tempfile.mkdtemp(prefix="lodestrata-")
-    return f"file://{_made['local']}"
-
+from ..runtime import ready, shared_dir
 
 class Scratch:
-    """Tables one query writes on its way; each can be dropped as soon as its successor is written."""
+    """Tables one query writes on its way; each can be dropped as soon as its successor is written.
+
+    What a result still reads stays until ``close``, or the end of the process: a plan can outlive the frame it came from.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = ready(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.named: list[str] = []
         atexit.register(self._clear)
 
     def path(self) -> str:
@@ -53,6 +43,19 @@ class Scratch:
         out._lodestrata_path = path
         return out
 
+    def bucketed(self, df: DataFrame, buckets: int, key: str) -> DataFrame:
+        """Writes ``df`` in buckets of ``key``, sorted by it; the catalogue names the table until ``close``."""
+        self.named.append(name := f"lodestrata_{uuid.uuid4().hex}")
+        df.write.option("compression", "zstd").option("path", self.path()).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        return self.spark.table(name)
+
+    def close(self) -> None:
+        """Deletes all tables; for when nothing reads a result any more that was made with them."""
+        for name in self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.named.clear()
+        self._delete(self.root)
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             self._delete(df._lodestrata_path)
@@ -69,7 +72,7 @@ class Scratch:
 
     def _clear(self) -> None:
         try:
-            self._delete(self.root)
+            self.close()
         except Exception:  # noqa: BLE001 - the session is gone at exit, and its folder with it
             return
 

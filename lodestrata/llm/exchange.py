@@ -9,7 +9,6 @@ without moving its text.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +21,8 @@ from .common import batches, lean, shuffle_partitions, Scratch
 from .token_store import _rows
 
 CHUNK_BYTES = 2 << 20
+#: Bytes of text in a bucket of chunks at least; more text makes more buckets, not larger ones.
+BUCKET_BYTES = 64 << 20
 #: Keys a range's task holds at a time, about.
 RANGE_KEYS = 1 << 20
 PACKED = "chunk long, doc_ids binary, known binary, ends binary, data binary, bytes long"
@@ -48,13 +49,14 @@ class Chunk:
 def pack_chunks(docs: DataFrame, scratch: Scratch, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` as a table of chunks, bucketed by chunk; with ``ordered``, chunks ascend with doc_id (nulls last), then text.
 
-    Null texts are empty. A text longer than a chunk is a chunk of its own.
+    Null texts are empty. A text longer than a chunk is a chunk of its own. The buckets follow the bytes.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
     if ordered:
         key = F.col("doc_id").asc_nulls_last()
-        rows = rows.repartitionByRange(key).sortWithinPartitions(key, "text")
+        rows = rows.repartitionByRange(buckets, key).sortWithinPartitions(key, "text")
 
     def run(it):
         part = TaskContext.get().partitionId()
@@ -64,9 +66,7 @@ def pack_chunks(docs: DataFrame, scratch: Scratch, ordered: bool = False, chunk_
             ids, known = np.array([k or 0 for k, _ in some], "<i8"), np.array([k is not None for k, _ in some], "u1")
             yield pa.record_batch([pa.array([part << 24 | seq]), pa.array([ids.tobytes()]), pa.array([known.tobytes()]), pa.array([ends.tobytes()]), pa.array([data], pa.binary()), pa.array([len(data)])], names=["chunk", "doc_ids", "known", "ends", "data", "bytes"])
 
-    name = f"lodestrata_{uuid.uuid4().hex}"
-    rows.mapInArrow(lean(run), PACKED).write.option("compression", "zstd").option("path", scratch.path()).bucketBy(shuffle_partitions(spark), "chunk").sortBy("chunk").saveAsTable(name)
-    return spark.table(name)
+    return scratch.bucketed(rows.mapInArrow(lean(run), PACKED), buckets, "chunk")
 
 
 def spans_for(keys: float) -> int:
@@ -84,11 +84,13 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def ask(chunk: int, kind: int, spans: int, keys: np.ndarray, checks: np.ndarray | None = None, counts: np.ndarray | None = None) -> pa.RecordBatch:
-    """One row for each range of the sorted distinct ``keys``, with check bits and counts beside them."""
-    width = (1 << 64) // spans + 1
-    cuts = np.searchsorted(keys, np.array([min(i * width, (1 << 64) - 1) for i in range(1, spans)], "u8")) if spans > 1 else np.zeros(0, "i8")
-    bounds = [0, *cuts.tolist(), len(keys)]
-    own = [(i, a, b) for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+    """One row for each range that holds some of the sorted distinct ``keys``, with check bits and counts beside them.
+
+    The work follows the keys, however many ranges there are.
+    """
+    of = keys // np.uint64((1 << 64) // spans + 1)
+    cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(keys)]
+    own = [(int(of[a]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
     cols = [[pack_keys(keys[a:b]) for _, a, b in own], *[[x[a:b].tobytes() if x is not None else b"" for _, a, b in own] for x in (checks, counts)]]
     return pa.record_batch([pa.array([chunk] * len(own), pa.int64()), pa.array([kind] * len(own), pa.int32()), pa.array([i for i, _, _ in own], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["chunk", "kind", "span", "keys", "checks", "counts"])
 

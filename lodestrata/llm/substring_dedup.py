@@ -5,7 +5,7 @@ first digit is a suffix's anchor: the least-hashed ``GRAM`` bytes among its firs
 have equal anchors, and neighbouring suffixes share theirs in runs, so this pass handles a
 twenty-fifth of the text. The bytes that a run's windows span are the second digit: where every run of
 an anchor spans the same bytes, all its windows are settled at once. Only anchors with runs that differ
-go on to the last digit, the window itself, as 96 bits of two independent hashes. Suffixes equal
+go on to the last digit, the window itself, as 128 bits of two independent hashes. Suffixes equal
 in all digits are a repeated window; the first of them (smaller doc_id, then earlier start) stays, and
 all others cover bytes that go. Documents that are copies as a whole are found by one key each.
 """
@@ -126,10 +126,10 @@ class Batch:
             self.twice = np.isin(self.anchor, value[1:][near])
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and 96-bit names of the windows of some runs."""
+        """Starts and 128-bit names of the windows of some runs."""
         n = self.size[runs]
         at = np.repeat(self.start[runs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return at, _hashes(self.sums, at, LENGTH, 0), (_hashes(self.others, at, LENGTH, 1) >> np.uint64(32)).astype("<u4")
+        return at, _hashes(self.sums, at, LENGTH, 0), _hashes(self.others, at, LENGTH, 1)
 
 
 def _batches(chunk: Chunk, skip: np.ndarray, look: bool):
@@ -147,9 +147,9 @@ def _batches(chunk: Chunk, skip: np.ndarray, look: bool):
 
 
 def _whole(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Names of whole documents: 64 and 32 bits."""
+    """Names of whole documents: 64 and 64 bits."""
     h = [xxhash.xxh3_128_intdigest(t) for t in chunk.texts()]
-    return np.array([x & (1 << 64) - 1 for x in h], "u8"), np.array([x >> 96 for x in h], "u4")
+    return np.array([x & (1 << 64) - 1 for x in h], "u8"), np.array([x >> 64 for x in h], "u8")
 
 
 def _named(keys: np.ndarray, checks: np.ndarray):
@@ -177,7 +177,7 @@ def _reduce(kind: int, rows: list[tuple]):
         mixed = np.bincount(at, weights=(contexts != contexts[first][at]) | (contexts == 0)) > 0
         answer[mixed[at]] = MIXED
     else:
-        _, _, first, _ = _named(keys, np.concatenate([np.frombuffer(r[2], "<u4") for r in rows]))
+        _, _, first, _ = _named(keys, np.concatenate([np.frombuffer(r[2], "<u8") for r in rows]))
         answer[first] = STAYS
     ends = np.cumsum(sizes)
     for r, a, b in zip(rows, ends - sizes, ends, strict=True):
@@ -221,7 +221,7 @@ class Judged(Runs):
         again = (np.frombuffer(of_kind(found, WHOLE), "u1")[self.whole_number] == COPY) & (chunk.ends - chunk.starts >= LENGTH)
         self.copy |= again
         open_ = leads & (verdict == MIXED) & ~again[np.searchsorted(chunk.ends, self.start, "right")]
-        at, keys, checks, lo = [np.zeros(0, "i8")], [np.zeros(0, "u8")], [np.zeros(0, "u4")], 0
+        at, keys, checks, lo = [np.zeros(0, "i8")], [np.zeros(0, "u8")], [np.zeros(0, "u8")], 0
         for begin, b in self.batches:
             a, k, c = b.windows(np.flatnonzero(open_[lo : lo + len(b.anchor)]))
             at.append(a + begin)

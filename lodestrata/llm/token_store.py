@@ -225,8 +225,11 @@ class WordEncoder:
 
 
 def _rows(it: Iterator[pa.RecordBatch], *names: str):
+    """Rows one by one: a cell of a chunk table is megabytes, and is copied only when its row's turn comes."""
     for b in it:
-        yield from zip(*[b.column(n).to_pylist() for n in names], strict=True)
+        columns = [b.column(n) for n in names]
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in columns)
 
 
 def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch) -> DataFrame:
