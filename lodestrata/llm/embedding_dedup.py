@@ -1,15 +1,18 @@
 """Near-duplicate vectors by randomised-rotation binary codes with correction factors.
 
 A unit vector is rotated at random and kept as its signs; with the stored factor <o, code>, the code
-gives an unbiased estimate of an inner product and a confidence bound. Signs of further rotations
-name the buckets in which vectors meet (``tables`` keys of ``bits`` bits). Within a bucket the bound
-rules pairs out; every pair it leaves is recomputed in double precision, so no pair below the threshold
-is linked. A pair at the threshold agrees in a sign with probability 1 - acos(0.93) / pi = 0.88 and so
-shares a bucket of the default index with probability 1 - (1 - 0.88^10)^20 > 0.998.
+gives an unbiased estimate of an inner product and a confidence bound. Code and factor are made once
+for each vector and travel with it. Signs of further rotations name the buckets in which vectors meet. Their
+number follows the vectors of a label, so that buckets don't grow with the data: up to ``TARGET``
+vectors all meet, beyond that keys have a bit for each doubling, and as many tables are used as find a
+pair at the threshold with probability ``RECALL``. Within a bucket the bound rules pairs out; every pair it
+leaves is recomputed in double precision, so no pair below the threshold is linked.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +20,20 @@ from pyspark.sql import functions as F
 
 from .common import components, lean, split_hot, Forest, Scratch
 
-TABLES, KEY_BITS, CAP, SIGMA = 20, 10, 1024, 4.0
+TARGET, CAP, RECALL, SIGMA = 2048, 2048, 0.998, 4.0
+
+
+def plan(n: int, threshold: float, target: int = TARGET, recall: float = RECALL) -> tuple[int, int]:
+    """Key bits and tables for n vectors that may meet.
+
+    A pair at the threshold agrees in a sign with probability p = 1 - acos(threshold) / pi, and so shares a bucket
+    of some table with probability 1 - (1 - p^bits)^tables.
+    """
+    bits = min(30, max(0, math.ceil(math.log2(max(n, 1) / target))))
+    if not bits:
+        return 0, 1
+    p = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - p**bits)))) if p < 1 else 1
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -40,12 +56,14 @@ def encode(x: np.ndarray, rot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, axis=1, bitorder="little").view("<u8"), factor
 
 
-def upper_bound(query: np.ndarray, codes: np.ndarray, factor: np.ndarray, sigma: float) -> np.ndarray:
-    """Upper confidence bounds of <query, o>, for rotated queries (m, d) and coded vectors (n)."""
+def signs_of(codes: np.ndarray, d: int) -> np.ndarray:
+    return np.unpackbits(codes.view("u1").reshape(len(codes), -1), axis=1, bitorder="little")[:, :d] * 2.0 - 1.0
+
+
+def upper_bound(query: np.ndarray, signs: np.ndarray, factor: np.ndarray, sigma: float) -> np.ndarray:
+    """Upper confidence bounds of <query, o>, for rotated queries (m, d) and vectors with these signs and factors (n)."""
     d = query.shape[1]
-    signs = np.unpackbits(codes.view("u1").reshape(len(codes), -1), axis=1, bitorder="little")[:, :d] * 2.0 - 1.0
-    estimate = (query @ signs.T) / np.sqrt(d) / factor
-    return estimate + sigma * np.sqrt((1 - factor**2) / factor**2 / max(1, d - 1))
+    return (query @ signs.T) / (np.sqrt(d) * factor) + sigma * np.sqrt((1 - factor**2) / factor**2 / max(1, d - 1))
 
 
 def _usable(v: list | None) -> bool:
@@ -68,37 +86,45 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, tables: int = TABLES, bits: int = KEY_BITS, cap: int = CAP) -> DataFrame:
+INDEXED = "c string, label string, dim int, copies long, keys binary, code binary, factor double, v binary"
+
+
+def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, target: int = TARGET, cap: int = CAP, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding, label)``.
 
-    Vectors meet only if their labels are equal and not null. Null, empty and zero vectors and those
+    Vectors meet only if their labels, of any type, are equal and not null. Null, empty and zero vectors and those
     with null or non-finite components link with nothing; vectors of different lengths don't meet.
-    Equal vectors are one row of the index with a count, so a common vector costs nothing. A null
-    vec_id is left out of the smallest id of its component unless it is alone.
+    Equal vectors are one row of the index with a count, so a common vector costs nothing. Rows of one
+    vec_id are rows like others. A null vec_id is left out of the smallest id of its component unless it is alone.
     """
 
     def index(it):
         for b in it:
-            labels, raws = b.column("label").to_pylist(), b.column("v").to_pylist()
-            by_dim: dict[int, list[int]] = {}
-            for i, v in enumerate(raws):
+            raws = b.column("v").to_pylist()
+            by_plan: dict[tuple[int, int, int], list[int]] = {}
+            for i, (v, n) in enumerate(zip(raws, b.column("n").to_pylist(), strict=True)):
                 if _usable(v):
-                    by_dim.setdefault(len(v), []).append(i)
-            for dim, rows in by_dim.items():
+                    by_plan.setdefault((len(v), *plan(n, threshold, target, recall)), []).append(i)
+            for (dim, bits, tables), rows in by_plan.items():
                 x = np.array([raws[i] for i in rows], "f8")
-                sides = (_unit(x) @ planes(dim, tables, bits).T > 0).reshape(len(rows), tables, bits)
+                u = _unit(x)
+                sides = (u @ planes_of(dim, tables, bits).T > 0).reshape(len(rows), tables, bits)
                 keys = (sides * (1 << np.arange(bits))).sum(axis=2)
+                codes, factor = encode(u, rotation_of(dim))
+                own = b.select(["c", "label", "copies"]).take(pa.array(rows))
                 yield pa.record_batch(
-                    [b.column("c").take(pa.array(rows)), pa.array([labels[i] for i in rows], pa.int64()), pa.array([dim] * len(rows), pa.int32()), pa.array([k.astype("<i4").tobytes() for k in keys]), pa.array([_shortest(r) for r in x])],
-                    names=["c", "label", "dim", "keys", "v"],
+                    [own.column("c"), own.column("label"), pa.array([dim] * len(rows), pa.int32()), own.column("copies"), pa.array([k.astype("<i4").tobytes() for k in keys]), pa.array([k.tobytes() for k in codes]), pa.array(factor), pa.array([_shortest(r) for r in x])],
+                    names=["c", "label", "dim", "copies", "keys", "code", "factor", "v"],
                 )
 
-    rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(F.col("label").isNotNull(), F.transform("v", lambda x: x + F.lit(0.0))))
     rows = scratch.write(rows.withColumn("c", F.xxhash64("label", "v", F.lit(1)).cast("string")).withColumn("c", F.concat_ws("-", "c", F.xxhash64(F.lit(2), "v", "label"))))
     classes = scratch.write(rows.groupBy("c").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
-    keyed = classes.where("label is not null").select("c", "label", "v").mapInArrow(lean(index), "c string, label long, dim int, keys binary, v binary")
-    keyed = keyed.join(classes.select("c", "copies"), "c").select("*", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("t"))
+    sizes = scratch.write(classes.where("label is not null and v is not null").groupBy("label").agg(F.count("*").alias("n")))  # read back, so that its size decides how it is joined
+    meeting = classes.where("v is not null").select("c", "label", "v", "copies").join(sizes, "label").select("c", "label", "v", "copies", "n")
+    keyed = scratch.write(meeting.mapInArrow(lean(index), INDEXED))
+    keyed = keyed.select("*", F.explode(F.sequence(F.lit(0), F.expr("cast(length(keys) / 4 as int) - 1"))).alias("t"))
     keyed = keyed.withColumn("key", F.hex(F.expr("substring(keys, t * 4 + 1, 4)")))
     tasks = split_hot(keyed, ["label", "dim", "t", "key"], "c", cap)
     group = ["label", "dim", "t", "key", "lo", "hi"]
@@ -115,7 +141,7 @@ def link(vectors: DataFrame, scratch: Scratch, threshold: float = 0.93, tables:
 
 
 def _meet(it, group: list[str], threshold: float):
-    """For each task: rows (c, null, other documents linked) and spanning edges (c, other, 0)."""
+    """For each task: rows (c, null, other vectors linked) and spanning edges (c, other, 0)."""
     held = []
 
     def flush(rows):
@@ -123,14 +149,13 @@ def _meet(it, group: list[str], threshold: float):
         x = _unit(_vectors([r["v"] for r in rows], dim))
         keys = np.frombuffer(b"".join(r["keys"] for r in rows), "<i4").reshape(len(rows), -1)
         part, copies = np.array([r["part"] for r in rows]), np.array([r["copies"] for r in rows])
-        rot = rotation_of(dim)
-        codes, factor = encode(x, rot)
-        query, n, forest, cut = x @ rot.T, np.zeros(len(rows), "i8"), Forest(len(rows)), rows[0]["lo"] != rows[0]["hi"]
+        signs, factor = signs_of(np.frombuffer(b"".join(r["code"] for r in rows), "<u8").reshape(len(rows), -1), dim), np.array([r["factor"] for r in rows])
+        query, n, forest, cut = x @ rotation_of(dim).T, np.zeros(len(rows), "i8"), Forest(len(rows)), rows[0]["lo"] != rows[0]["hi"]
         for lo in range(0, len(rows), 256):
             hi = min(len(rows), lo + 256)
-            i, j = np.nonzero(upper_bound(query[lo:hi], codes, factor, SIGMA) >= threshold)
-            i += lo
+            i, j = np.nonzero(upper_bound(query[lo:hi], signs[lo:], factor[lo:], SIGMA) >= threshold)
             use = i < j
+            i, j = i + lo, j + lo
             if cut:
                 use &= part[i] != part[j]
             i, j = i[use], j[use]
@@ -157,6 +182,17 @@ def _meet(it, group: list[str], threshold: float):
         yield flush(held)
 
 
+_planes: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def planes_of(dim: int, tables: int, bits: int) -> np.ndarray:
+    if (dim, tables, bits) not in _planes:
+        if len(_planes) > 16:
+            _planes.clear()
+        _planes[dim, tables, bits] = planes(dim, tables, bits) if bits else np.zeros((0, dim))
+    return _planes[dim, tables, bits]
+
+
 _rotations: dict[int, np.ndarray] = {}
 
 

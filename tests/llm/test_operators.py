@@ -454,7 +454,8 @@ def test_token_counts(spark, corpus, plain):
 # ---- embeddings -----------------------------------------------------------------------------------
 
 
-def test_embeddings(spark, scratch):
+@pytest.mark.parametrize(("target", "cap"), [(2048, 2048), (2048, 6), (4, 6), (1, 64)])
+def test_embeddings(spark, scratch, target, cap):
     rng = np.random.default_rng(4)
     rows = []
     for g in range(30):
@@ -462,7 +463,7 @@ def test_embeddings(spark, scratch):
         rows += [(len(rows) + k, (c + rng.standard_normal(24) * s).astype("f4").tolist(), g % 2) for k, s in enumerate((0, 0, 0.1, 0.25, 0.35))]
     n = len(rows)
     rows += [(n, None, 1), (n + 1, [0.0] * 24, 1), (n + 2, [float("nan")] * 24, 1), (n + 3, [None] * 24, 1), (n + 4, rows[0][1], None), (n + 5, [], 0), (n + 6, [float("inf")] + [1.0] * 23, 0), (n + 7, rows[0][1], 0), (n + 8, None, 1)]
-    got = {r.vec_id: r for r in embedding_dedup.link(spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<float>, label int, c string"), scratch, cap=6).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.link(spark.createDataFrame([(*r, "c") for r in rows], "vec_id long, embedding array<float>, label int, c string"), scratch, target=target, cap=cap).collect()}
     good = [(i, np.array(v, "f8"), y) for i, v, y in rows if v and None not in v and np.isfinite(v).all() and any(v) and y is not None]
     links, near = Counter(), []
     for a, (i, v, y) in enumerate(good):
@@ -477,6 +478,35 @@ def test_embeddings(spark, scratch):
     assert embedding_dedup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), scratch).count() == 0
 
 
+@pytest.mark.parametrize(("n", "target"), [(300, 2048), (1500, 64), (4000, 16)])
+def test_embedding_recall(spark, scratch, n, target):
+    """Planted pairs just above the threshold, in labels of text, at sizes with few and many key bits."""
+    rng = np.random.default_rng(n)
+    x = rng.standard_normal((n, 32))
+    x[1::3] = x[::3][: len(x[1::3])] + rng.standard_normal((len(x[1::3]), 32)) * 0.35
+    label = np.repeat(rng.integers(0, 2, n // 3 + 1), 3)[:n]
+    rows = [(int(i), v.tolist(), f"label {y}", None) for i, (v, y) in enumerate(zip(x, label, strict=True))]
+    rows += [(0, rows[1][1], rows[1][2], 1), (0, rows[0][1], rows[0][2], 1)]  # repeated ids
+    got = embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, dim int"), scratch, target=target).collect()
+    v, y = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (v @ v.T >= 0.93) & (y[:, None] == y)
+    np.fill_diagonal(near, False)
+    assert len(got) == len(rows) and 0.99 * near.sum() <= sum(r.n_links for r in got) <= near.sum()
+    want = near.sum(axis=1)
+    per = {}
+    for i, r in enumerate(rows):
+        per.setdefault(r[0], []).append(want[i])
+    assert all(r.n_links <= max(per[r.vec_id]) for r in got)
+
+
+def test_embedding_plan_follows_the_rows():
+    assert embedding_dedup.plan(2048, 0.93) == (0, 1)
+    found = [embedding_dedup.plan(2048 << k, 0.93) for k in range(1, 25)]
+    assert [b for b, _ in found] == list(range(1, 25)) and [t for _, t in found] == sorted(t for _, t in found)
+    assert all((1 - (1 - math.acos(0.93) / math.pi) ** b) ** t <= 0.002 for b, t in found)
+
+
 def test_code_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((400, 64))
@@ -484,6 +514,7 @@ def test_code_estimates_are_unbiased_and_bounded():
     rot = embedding_dedup.rotation(64, 7)
     codes, factor = embedding_dedup.encode(x, rot)
     true = x @ x.T
+    codes = embedding_dedup.signs_of(codes, 64)
     mean = embedding_dedup.upper_bound(x @ rot.T, codes, factor, 0.0)
     off = ~np.eye(400, dtype=bool)
     assert abs((mean - true)[off].mean()) < 0.01
