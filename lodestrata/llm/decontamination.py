@@ -2,8 +2,9 @@
 
 Of every ``WINDOW - GRAM + 1`` consecutive word ``GRAM``-grams the least hash is kept, on both sides. Two texts
 that share ``WINDOW`` words share all the grams in them and so keep the same least one: joining the kept
-hashes finds every such pair. Hits are then extended on the words themselves. Items shorter than a
-window are looked for whole, with every gram of their length kept.
+hashes finds every such pair. A hit is extended to the window on the words themselves, which are part of
+the join; windows that items share are one row there, and items come in last, once for each set of
+windows that documents hit. Items shorter than a window are looked for whole, with every gram of their length kept.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ def grams(words: list[bytes], n: int, hashed: np.ndarray | None = None) -> np.nd
 
 
 def winnow(hashes: np.ndarray, span: int) -> np.ndarray:
-    """The distinct least hashes of all runs of ``span``."""
+    """The least hash of each run of ``span``."""
     if len(hashes) < span:
         return np.zeros(0, "u8")
     low, width = hashes, 1
@@ -53,59 +54,48 @@ def winnow(hashes: np.ndarray, span: int) -> np.ndarray:
         step = min(width, span - width)
         low = np.minimum(low[: len(low) - step], low[step:])
         width += step
-    return np.unique(low)
+    return low
 
 
-def fingerprints(words: list[bytes], lengths: Iterable[int]) -> np.ndarray:
-    """What a document keeps: winnowed grams, and every gram of the short items' lengths."""
+def fingerprints(words: list[bytes], lengths: Iterable[int]) -> list[tuple[int, np.ndarray]]:
+    """(words in a window, fingerprint of the window at each word): winnowed for whole windows, every gram for the short ``lengths``."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
-    return np.unique(np.concatenate([winnow(grams(words, GRAM, h), WINDOW - GRAM + 1), *[grams(words, n, h) for n in lengths]]))
+    return [(WINDOW, winnow(grams(words, GRAM, h), WINDOW - GRAM + 1)), *[(n, grams(words, n, h)) for n in lengths]]
 
 
-def item_fingerprints(words: list[bytes]) -> np.ndarray:
-    return fingerprints(words, []) if len(words) >= WINDOW else np.unique(grams(words, len(words))) if words else np.zeros(0, "u8")
-
-
-def occurrences(words: list[bytes], items: list[tuple[int | None, list[bytes]]]) -> tuple[int, set[int | None]]:
-    """Words inside windows of ``items``, and the ids of items whose windows occur."""
-    windows: dict[int, dict[bytes, set[int | None]]] = {}
-    for item_id, own in items:
-        n = min(len(own), WINDOW)
-        for i in range(len(own) - n + 1) if n else ():
-            windows.setdefault(n, {}).setdefault(b" ".join(own[i : i + n]), set()).add(item_id)
-    hit, found = np.zeros(len(words) + 1, "i8"), set()
-    for n, known in windows.items():
-        for i in range(len(words) - n + 1):
-            if ids := known.get(b" ".join(words[i : i + n])):
-                hit[i] += 1
-                hit[i + n] -= 1
-                found |= ids
-    return int((np.cumsum(hit) > 0).sum()), found
+def item_windows(words: list[bytes]) -> list[tuple[int, str]]:
+    """Distinct (fingerprint, words) of an item's windows; one that is shorter than a window is one as a whole."""
+    n = min(len(words), WINDOW)
+    if not n:
+        return []
+    found = fingerprints(words, [n] if n < WINDOW else [])[-1][1]
+    return sorted({(int(h), b" ".join(words[i : i + n]).decode()) for i, h in enumerate(found.view("i8"))})
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *keep: str) -> DataFrame:
     """(``keep``, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs(text)`` against ``benchmark(item_id, text)``.
 
     Null and wordless texts have no words and no windows. Equal benchmark rows count once; an item
-    without an id marks words but isn't listed. Only documents that keep a hash the filter passes
-    carry their text on; the join on hashes and the one that brings the items' texts are ordinary
-    shuffle joins, so the benchmark may be of any size.
+    without an id marks words but isn't listed. Documents move only the windows whose hash the filter
+    passes; joins are ordinary ones of plain tables, which Spark splits where a passage is in many documents,
+    so the benchmark may be of any size.
     """
     spark = docs.sparkSession
 
     def prints(it):
         for b in it:
-            for i, t in enumerate(b.column("text").to_pylist()):
-                words = item_words(t)
-                if len(fps := item_fingerprints(words)):
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column("item_id")[i].as_py()] * len(fps), pa.int64()), pa.array([t] * len(fps)), pa.array([min(len(words), WINDOW)] * len(fps), pa.int32()), pa.array(fps.view("i8"))], names=["item_id", "item", "n", "h"])
-
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(lean(prints), "item_id long, item string, n int, h long")
-    items = scratch.write(items)
-    lengths = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())  # at most nine
+            got = [(i, h, w) for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True) for h, w in item_windows(item_words(t))]
+            cols = list(zip(*got, strict=True)) if got else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["item_id", "h", "w"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct().mapInArrow(lean(prints), "item_id long, h long, w string")
+    items = scratch.write(items.distinct())
+    windows = scratch.write(items.select("h", "w").distinct())
+    n_words = F.size(F.split("w", " "))
+    lengths = sorted(r.n for r in windows.select(n_words.alias("n")).where(F.col("n") < WINDOW).distinct().collect())  # at most nine
     slot = F.col("h").bitwiseAND(F.lit(SLOTS - 1))
     one = F.expr(f"shiftleft(1L, cast(h & {SLOTS - 1} & 63 as int))")
-    filled = items.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(one).alias("v")).collect()  # at most SLOTS / 64 rows
+    filled = windows.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(one).alias("v")).collect()  # at most SLOTS / 64 rows
     bits = np.zeros(SLOTS // 64, "i8")
     bits[[r.w for r in filled]] = [r.v for r in filled]
     known = spark.sparkContext.broadcast(bits.view("u8"))
@@ -114,38 +104,32 @@ def scan(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, *keep: str) ->
         at, part = 0, TaskContext.get().partitionId()
         table = known.value
         for b in it:
-            texts = b.column("text").to_pylist()
-            n_words, passed = [], []
-            for t in texts:
-                words = item_words(t)
-                fps = fingerprints(words, lengths)
-                s = fps & np.uint64(SLOTS - 1)
-                fps = fps[(table[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1)).astype(bool)]
-                n_words.append(len(words))
-                passed.append(fps.view("i8"))
-            rid = (part << 33) + at + np.arange(len(texts))
-            at += len(texts)
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(rid, pa.int64()), pa.array(n_words, pa.int64()), pa.array(passed, pa.list_(pa.int64())), pa.array([t if len(p) else None for t, p in zip(texts, passed, strict=True)], pa.string())], names=[*keep, "rid", "n_words", "h", "words"])
-
-    schema = with_fields(docs.select(*keep), "rid long, n_words long, h array<long>, words string")
+            sizes, met = [], []
+            for t in b.column("text").to_pylist():
+                words, own = item_words(t), []
+                for n, fps in fingerprints(words, lengths):
+                    s = fps & np.uint64(SLOTS - 1)
+                    starts = np.flatnonzero(table[s >> np.uint64(6)] >> (s & np.uint64(63)) & np.uint64(1))
+                    own += [{"at": i, "n": n, "h": h, "w": b" ".join(words[i : i + n]).decode()} for i, h in zip(starts.tolist(), fps.view("i8")[starts].tolist(), strict=True)]
+                sizes.append(len(words))
+                met.append(own)
+            rid = (part << 33) + at + np.arange(len(sizes))
+            at += len(sizes)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(rid, pa.int64()), pa.array(sizes, pa.int64()), pa.array(met, pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("w", pa.string())])))], names=[*keep, "__ls_rid", "n_words", "met"])
+
+    schema = with_fields(docs.select(*keep), "__ls_rid long, n_words long, met array<struct<at:int,n:int,h:long,w:string>>")
     rows = scratch.write(docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(pick), schema))
 
-    met = rows.where("words is not null").select("rid", F.explode("h").alias("h")).join(items.select("h", "item_id", "item").distinct(), "h")
-    met = met.select("rid", "item_id", "item").distinct().groupBy("rid").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
-
-    def verify(it):
-        for b in it:
-            out = []
-            for rid, text, found in zip(*[b.column(c).to_pylist() for c in ("rid", "words", "items")], strict=True):
-                n, ids = occurrences(item_words(text), [(x["item_id"], item_words(x["item"])) for x in found])
-                ids = sorted(str(i) for i in ids if i is not None)
-                out.append((rid, n, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["rid", "n_hit", "n_items", "items_sha256"])
-
-    hits = rows.where("words is not null").select("rid", "words").join(met, "rid").mapInArrow(lean(verify), "rid long, n_hit long, n_items long, items_sha256 string")
+    hits = rows.select("__ls_rid", F.explode("met").alias("m")).select("__ls_rid", "m.*").join(windows, ["h", "w"], "left_semi")
+    # Of spans in the order of their starts: the words up to ``stop`` are counted in ``n``.
+    covered = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "n"))), F.struct(F.lit(0).alias("stop"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a.stop, x["at"] + x["n"]).alias("stop"), (a["n"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(a.stop, x["at"]))).alias("n")))
+    by_row = scratch.write(hits.groupBy("__ls_rid").agg(covered["n"].cast("long").alias("n_hit"), F.array_sort(F.collect_set("w")).alias("ws")).withColumn("sid", F.sha2(F.array_join("ws", "\n"), 256)))
+    sets = by_row.groupBy("sid").agg(F.first("ws").alias("ws")).select("sid", F.explode("ws").alias("w"))
+    ids = scratch.write(items.where("item_id is not null").select("w", F.col("item_id").cast("string").alias("item_id")).distinct())
+    listed = scratch.write(sets).join(ids, "w").groupBy("sid").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    listed = scratch.write(listed.select("sid", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256")))
+    out = rows.select(*keep, "__ls_rid", "n_words").join(by_row.select("__ls_rid", "n_hit", "sid").join(listed, "sid", "left"), "__ls_rid", "left")
     none = hashlib.sha256(b"").hexdigest()
-    out = rows.select(*keep, "rid", "n_words").join(hits, "rid", "left")
     return out.select(*keep, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 

@@ -75,9 +75,11 @@ def expand(docs: DataFrame, scratch: Scratch, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, ``how`` being what ``mix`` takes.
 
     The mix is worked out on ids, sizes and a hash of each row and joined back once. Rows equal in all
-    columns are interchangeable: one stands for them all and has the sum of their copies.
+    columns are interchangeable: one stands for them all and has the sum of their copies. Columns of any type
+    are carried; maps, which have no hash, count by their JSON.
     """
-    mine = docs.withColumns({"__ls_row": F.xxhash64(*[docs[c] for c in docs.columns]), "__ls_id": F.coalesce("doc_id", F.lit(-1))})
+    whole = [F.to_json(F.struct(docs[c])) if "map<" in kind or "variant" in kind else docs[c] for c, kind in docs.dtypes]
+    mine = docs.withColumns({"__ls_row": F.xxhash64(*whole), "__ls_id": F.coalesce("doc_id", F.lit(-1))})
     narrow = mine.select("doc_id", "text", "source", "__ls_row", "__ls_id")
     taken = mix(narrow, scratch, keep=["__ls_row", "__ls_id"], **how)
     taken = scratch.write(taken.groupBy("__ls_row", "__ls_id").agg(F.sum("copies").alias("__ls_copies"), F.count("*").alias("__ls_rows")).where("__ls_copies > 0"))

@@ -123,7 +123,8 @@ def edit(text: str, tree: CountTree, start: int, end: int, put: str, encoder: Wo
 
 
 def build(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Adds ``tree`` (binary) and ``n_tokens`` to ``docs(doc_id, text, edits)``; null texts are empty."""
+    """Adds ``tree`` (binary) and ``n_tokens`` to ``docs(doc_id, text, edits)``, in place of columns of these names; null texts are empty."""
+    docs = docs.drop("tree", "n_tokens")
 
     def run(it):
         encoder = WordEncoder.of(tokenizer)

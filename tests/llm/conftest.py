@@ -6,6 +6,7 @@ from lodestrata.llm.common import Scratch
 TEXTS = [
     None, "", " \t\n", "one", "Two words", "the same text twice over, in full", "the same text twice over, in full", "The SAME text twice over, in full",
     "é" * 40 + " ünï cödé " * 9, "a" * 700, "x y z " * 400, "repeat this line of twelve words again and again until it stops now\n" * 12,
+    " ".join(f"w{i * 7919 % 9973}" for i in range(20_000)),
     *[f"document number {i} holds words {i * 7} and {i * 13} but otherwise repeats a long shared passage that runs on for well over a hundred bytes in every one of them {'tail ' * (i % 4)}" for i in range(30)],
 ]
 

@@ -123,6 +123,8 @@ def test_mix(spark, corpus, scratch):
     assert math.isclose(sum(t for _, t in per), 1.5 * sum(s for s, _ in per))
     kept = mixing.expand(corpus, scratch)
     assert kept.columns == corpus.columns and kept.count() == sum(r.copies for r in got)
+    odd = corpus.withColumns({"m": F.create_map(F.lit("k"), F.col("doc_id")), "size": F.lit("x"), "copies": F.lit(None), "piece": F.array(F.create_map(F.lit(1), F.lit(2)))})
+    assert mixing.expand(odd, scratch).columns == odd.columns and mixing.expand(odd, scratch).count() == sum(r.copies for r in got)
     assert mixing.mix(corpus.where("false"), scratch).count() == 0
 
 
@@ -281,6 +283,48 @@ def test_language_model(spark, corpus, scratch):
     assert language_model.score(corpus.where("false"), scratch).count() == 0
 
 
+def brute_model(docs):
+    """Scores by the definition: counts, EM on the histogram of training tokens (each without itself), interpolation, in plain Python."""
+    toks = [(i, [*(t or "").encode().lower().split(), 0]) for i, t in docs]
+    train = [w for i, w in toks if not language_model.is_held_out(i)]
+    one, two, ctx = Counter(), Counter(), Counter()
+    for w in train:
+        for x, y in zip([None, *w], w, strict=False):
+            one[y] += 1
+            two[x, y] += 1
+            ctx[x] += 1
+    n, v = sum(one.values()), len(one)
+    bucket = lambda c: 1 + int(math.log2(c)) if c else 0
+    level = lambda p: None if p == 0 else max(-62, round(2 * math.log2(p)))
+    hist = Counter()
+    for w in train:
+        for x, y in zip([None, *w], w, strict=False):
+            hist[bucket(ctx[x] - 1), level((one[y] - 1) / max(n - 1, 1)), level((two[x, y] - 1) / max(ctx[x] - 1, 1))] += 1
+    value = lambda k: 0.0 if k is None else 2 ** (k / 2)
+    w = {b: [1 / 3] * 3 for b in range(language_model.BUCKETS)} | {0: [0.5, 0.5, 0.0]}
+    for _ in range(200):
+        new = {b: [1e-3, 1e-3, 0.0] for b in w}
+        for (b, p1, p2), k in hist.items():
+            parts = [w[b][0] / (v + 1), w[b][1] * value(p1), w[b][2] * value(p2)]
+            for j in range(3):
+                new[b][j] += k * parts[j] / sum(parts)
+        new = {b: [x / sum(r) for x in r] for b, r in new.items()}
+        if max(abs(x - y) for b in w for x, y in zip(w[b], new[b], strict=True)) < 1e-7:
+            break
+        w = new
+    seen = sorted({b for b, _, _ in hist} | {0})
+    at = lambda c: w[max(b for b in seen if b <= bucket(c))]
+    return [(i, sum(math.log10(at(ctx[x])[0] / (v + 1) + at(ctx[x])[1] * one[y] / n + (at(ctx[x])[2] * two[x, y] / ctx[x] if ctx[x] else 0)) for x, y in zip([None, *t], t, strict=False))) for i, t in toks]
+
+
+def test_language_model_scores_are_the_brute_force(spark, corpus, scratch):
+    docs = [(i, t) for i, t in docs_of(corpus) if t is None or len(t) < 10_000]
+    got = language_model.score(spark.createDataFrame(docs, "doc_id long, text string"), scratch).collect()
+    want = brute_model(docs)
+    for a, b in zip(sorted((r.score for r in got)), sorted(s for _, s in want), strict=True):
+        assert math.isclose(a, b, rel_tol=2e-4), (a, b)
+
+
 def test_weights_are_distributions():
     w = language_model.learn(np.array([0, 70, 5000]), np.array([1.0, 5.0, 2.0]), 10)
     assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0, 2] == 0
@@ -437,7 +481,8 @@ def test_split_hot_lets_every_pair_meet(spark):
 def test_token_counts(spark, corpus, plain):
     edits = [(0, 3, "New start "), (10, 10, "insert"), (5, 40, ""), (10**6, 10**6, " end"), (None, None, None)]
     col = F.array(*[F.struct(F.lit(a).cast("int").alias("start"), F.lit(b).cast("int").alias("stop"), F.lit(p).cast("string").alias("put")) for a, b, p in edits], F.lit(None))
-    df = corpus.select("doc_id", "text", col.alias("edits"))
+    df = corpus.select("doc_id", "text", col.alias("edits"), F.lit("x").alias("tree"), F.lit(1).alias("n_tokens"))
+    assert token_counts.build(df, tokenizer()).columns == ["doc_id", "text", "edits", "tree", "n_tokens"]
     got = sorted(((r.doc_id, r.n_tokens, r.n_edited, r.n_chars) for r in token_counts.apply(token_counts.build(df, tokenizer()), tokenizer()).collect()), key=str)
     want = []
     for k, t in docs_of(corpus):
@@ -519,3 +564,88 @@ def test_code_estimates_are_unbiased_and_bounded():
     off = ~np.eye(400, dtype=bool)
     assert abs((mean - true)[off].mean()) < 0.01
     assert (embedding_dedup.upper_bound(x @ rot.T, codes, factor, embedding_dedup.SIGMA) >= true - 1e-9).mean() > 0.999
+
+
+# ---- the registered queries -----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def given_docs(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+
+
+def test_op1_query(spark, given_docs, plain):
+    want, at = {}, 0
+    for i, t in given_docs:
+        ids = [*plain(t), 2]
+        want[i] = (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries()["op1_token_store"](spark, SF).collect()} == want
+
+
+def test_op4_query(spark, given_docs):
+    got = {r.doc_id: r for r in queries()["op4_language_model"](spark, SF).collect()}
+    want = dict(brute_model(given_docs))
+    assert set(got) == set(want) and all(math.isclose(got[i].score, want[i], rel_tol=2e-4) for i in want)
+
+
+def test_op5_query(spark, given_docs):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    known = {}
+    for i, t in items:
+        w = decontamination.item_words(t)
+        for k in range(max(1, len(w) - 9) if w else 0):
+            known.setdefault(tuple(w[k : k + 10]), set()).add(i)
+    lengths = {len(w) for w in known}
+    got = {r.doc_id: r for r in queries()["op5_decontaminate"](spark, SF).collect()}
+    assert len(got) == len(given_docs)
+    for i, t in given_docs:
+        w, hit, ids = decontamination.item_words(t), set(), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                if found := known.get(tuple(w[k : k + n])):
+                    hit.update(range(k, k + n))
+                    ids |= found
+        sha = hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(ids), sha, bool(hit))
+
+
+def test_op6_query(spark, given_docs):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries()["op6_substring_dedup"](spark, SF).collect()}
+    assert got == {i: tuple(more) for i, *more, _ in brute_substrings(given_docs)}
+
+
+def test_op8_query(spark, given_docs):
+    fps = [brute_fingerprint(t) for _, t in given_docs]
+    lab = brute_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    want = {i: (f"{f:016x}", min(k for (k, _), y in zip(given_docs, lab, strict=True) if y == x)) for (i, _), f, x in zip(given_docs, fps, lab, strict=True)}
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in queries()["op8_simhash"](spark, SF).collect()} == want
+
+
+def test_op9_query(spark, given_docs, plain):
+    got = {r.doc_id: r for r in queries()["op9_token_counts"](spark, SF).collect()}
+    for i, t in given_docs:
+        x, n = t or "", len(t or "")
+        for a, b, p in ((n // 3, n // 3 + 7, "edited words "), (n // 2, n // 2 + 10, ""), (n, n, " the end.")):
+            x = x[: min(a, len(x))] + p + x[min(b, len(x)) :]
+        assert (got[i].n_tokens, got[i].n_edited, got[i].n_chars) == (len(plain(t)), len(plain(x)), len(x))
+
+
+def test_op10_query_on_planted_pairs(spark, tmp_path):
+    """The given vectors hold no pair at the threshold, so near ones are added to them."""
+    given_rows = [tuple(r) for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    rng = np.random.default_rng(8)
+    near = [(10_000 + i, [float(np.float32(x + e)) for x, e in zip(v, rng.standard_normal(len(v)) * 0.2 * np.std(v), strict=True)], y) for i, (_, v, y) in enumerate(given_rows[:100])]
+    spark.createDataFrame(given_rows + near, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in queries()["op10_embedding_dedup"](spark, str(tmp_path)).collect()}
+    ids = [i for i, _, _ in given_rows + near]
+    v = np.array([v for _, v, _ in given_rows + near], "f4").astype("f8")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    y = np.array([y for _, _, y in given_rows + near])
+    link = (v @ v.T >= 0.93) & (y[:, None] == y)
+    np.fill_diagonal(link, False)
+    assert link.sum() > 150 and {i: r.n_links for i, r in got.items()} == dict(zip(ids, link.sum(axis=1).tolist(), strict=True))
+    lab = brute_components(len(ids), lambda i, j: link[i, j])
+    least = {x: min(i for i, z in zip(ids, lab, strict=True) if z == x) for x in lab}
+    assert all(got[i].component_id == least[x] and got[i].kept == (least[x] == i) for i, x in zip(ids, lab, strict=True))
