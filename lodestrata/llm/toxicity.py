@@ -21,6 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,14 +88,26 @@ class Index:
     without: np.ndarray | None
     knots: np.ndarray = field(default_factory=lambda: np.array([[0.0, 0.0], [1.0, 1.0]]))
 
+    #: The index on the executors, once it is there; ``without`` and the first knots go with it.
+    shared: Broadcast | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"shared": None}
+
+    def share(self, sc: SparkContext) -> Broadcast:
+        """Broadcasts the index, whose size EXAMPLES and EXAMPLE_BYTES bound, once."""
+        if self.shared is None:
+            self.shared = sc.broadcast(self)
+        return self.shared
+
     @classmethod
-    def build(cls, ids: list[int], labels: list[int], families: list[int], words: list[list[bytes]], counts: list[np.ndarray], totals: tuple[int, int]) -> Index:
-        """From each example's distinct words and their counts; ``totals`` are the rows of label 0 and 1 in the population."""
+    def build(cls, ids: list[int], labels: list[int], families: list[int], words: pa.ListArray, counts: np.ndarray, totals: tuple[int, int]) -> Index:
+        """From each example's distinct words and the counts of all in a row; ``totals`` are the rows of label 0 and 1 in the population."""
         y = np.array(labels, "i8")
         shares = np.where(y == 1, totals[1] / max((y == 1).sum(), 1), totals[0] / max((y == 0).sum(), 1))
         prior = totals[1] / max(1, sum(totals))
-        coded = pa.array([w for some in words for w in some], pa.binary()).dictionary_encode()
-        word, own = coded.indices.to_numpy().astype("i8"), np.repeat(np.arange(len(y)), [len(w) for w in words])
+        coded = words.flatten().dictionary_encode()
+        word, own = coded.indices.to_numpy().astype("i8"), np.repeat(np.arange(len(y)), np.diff(words.offsets.to_numpy()))
         size = len(coded.dictionary)
         common = np.argsort(-np.bincount(word, minlength=size), kind="stable")
         number = np.empty(size, "i8")
@@ -108,7 +121,7 @@ class Index:
         n1, n0 = float(kin[1].sum()), float((1 - kin[1]).sum())
         weight = _weights(a, b, n1, n0)
         without = np.stack([_weights(a, np.maximum(b - 1, 0), n1, n0 - 1), _weights(np.maximum(a - 1, 0), b, n1 - 1, n0)])
-        value = (1 + np.log(np.concatenate([np.zeros(0), *counts]))) * weight[word]
+        value = (1 + np.log(counts)) * weight[word]
         norm = np.sqrt(np.bincount(own, value**2, len(y)))
         value /= np.where(norm > 0, norm, 1)[own]
         bare = norm == 0
@@ -120,7 +133,7 @@ class Index:
         by = np.lexsort((np.array(ids, "i8"), first, y))
         rank[by] = np.arange(len(y))
         own = rank[own]
-        rows = np.zeros((min(size, COMMON), len(y)))
+        rows = np.zeros((min(size, COMMON), len(y)), "f4")
         held = word < len(rows)
         rows[word[held], own[held]] = value[held]
         held = (value > 0) & ~held
@@ -156,6 +169,8 @@ class Index:
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each vector the k examples of greatest cosine above 0, ties by number, as (numbers, cosines); the vector's example in ``but`` is passed over."""
+        if self.rows.dtype != np.float64:
+            self.rows = self.rows.astype("f8")  # weights are single precision, sums are not
         for lo in range(0, len(vectors), TEXTS):
             some = vectors[lo : lo + TEXTS]
             weights = np.zeros((len(some), len(self.rows)))
@@ -255,7 +270,7 @@ def _fitting(rows: list, most: int) -> list[int]:
     return out
 
 
-BAGS = "doc_id long, y int, family long, words binary, counts binary"
+BAGS = "doc_id long, y int, family long, words array<binary>, counts array<int>"
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_bytes: int = EXAMPLE_BYTES) -> Index:
@@ -281,13 +296,14 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_by
         for b in it:
             texts = [tokens(t) for t in b.column("text").to_pylist()]
             some = [Counter(t) for t in texts]
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(map(family, texts), pa.int64()), pa.array([b" ".join(c) for c in some], pa.binary()), pa.array([np.fromiter(c.values(), "<u4", len(c)).tobytes() for c in some], pa.binary())], names=["doc_id", "y", "family", "words", "counts"])
+            yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(map(family, texts), pa.int64()), pa.array([list(c) for c in some], pa.list_(pa.binary())), pa.array([list(c.values()) for c in some], pa.list_(pa.int32()))], names=["doc_id", "y", "family", "words", "counts"])
 
-    got = taken.select("doc_id", "y", "text").mapInArrow(lean(bags), BAGS).toArrow().sort_by("doc_id")
-    ids, y, families, words, counts = (got.column(c).to_pylist() for c in ("doc_id", "y", "family", "words", "counts"))
-    index = Index.build(ids, y, families, [w.split() for w in words], [np.frombuffer(c, "<u4") for c in counts], (totals.get(0, 0), totals.get(1, 0)))
+    got = taken.select("doc_id", "y", "text").mapInArrow(lean(bags), BAGS).toArrow().sort_by("doc_id").combine_chunks()
+    ids, y, families = (got.column(c).to_pylist() for c in ("doc_id", "y", "family"))
+    words, counts = (pa.concat_arrays([pa.array([], got.schema.field(c).type), *got.column(c).chunks]) for c in ("words", "counts"))
+    index = Index.build(ids, y, families, words, counts.flatten().to_numpy().astype("f8"), (totals.get(0, 0), totals.get(1, 0)))
     del got, words, counts
-    shared, number = spark.sparkContext.broadcast(index), {int(k): i for i, k in enumerate(index.ids)}
+    shared, number = index.share(spark.sparkContext), {int(k): i for i, k in enumerate(index.ids)}
 
     def alone(it):
         own = shared.value
@@ -301,7 +317,6 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_by
     judged = taken.select("doc_id", "text").mapInArrow(lean(alone), "doc_id long, vote double").where("vote is not null").collect()
     index.knots = index.calibrated(np.array([number[r.doc_id] for r in judged], "i8"), np.array([r.vote for r in judged], "f8"))
     index.without = None
-    shared.unpersist()
     sample.unpersist()
     return index
 
@@ -316,10 +331,11 @@ def score(docs: DataFrame, index: Index, *keep: str, evidence: bool = False) ->
     the share of label 1 among examples without words. The text is the only input. Equal texts are
     judged once for each task.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES and EXAMPLE_BYTES
+    shared, knots = index.share(docs.sparkSession.sparkContext), index.knots
 
     def run(it):
         own, seen = shared.value, {}
+        own.knots = knots
         for b in it:
             texts = [t.as_py() or "" for t in b.column("text")]
             keys = [xxhash.xxh3_128_digest(t.encode(errors="replace")) for t in texts]
