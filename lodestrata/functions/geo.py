@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Beyond so many places they are met by grid cells instead of being broadcast.
-BROADCAST_PLACES = 200_000
+#: Sides of nested cells in degrees; each divides the one before it, the first 180.
+CELLS = (60.0, 12.0, 3.0, 1.0, 0.25, 0.05)
 
 
 def valid(lat: Column, lon: Column) -> Column:
@@ -39,41 +40,41 @@ def squared_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Col
 def nearest(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """(key, place, country) of the nearest of ``places(name, country, lat, lon)`` for each point with valid (lat, lon).
 
-    A table of up to ``BROADCAST_PLACES`` places, counted first, goes to every task and is held against
-    each distinct point there. A larger one meets the points in grid cells: rings of cells widen until
-    a point has a place no farther than its ring is wide.
+    Branch and bound over nested cells, by joins: of the cells that hold places a point keeps those whose nearest
+    possible place is no farther than the farthest possible one of its best cell, and goes on to their
+    parts. Only places of the last cells are measured, so a point meets a few rows at each level,
+    however many places there are. Ties go to the first by name, then country.
     """
     spots = points.where(valid(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct()
-    p = places.select(F.col("name").alias("place"), "country", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    if p.limit(BROADCAST_PLACES + 1).count() <= BROADCAST_PLACES:
-        met = spots.join(F.broadcast(p))
-        best = _least(met)
-    else:
-        best = _by_rings(spots, p)
-    return points.join(best, ["lat", "lon"], "left").select(key, "place", "country")
+    p = places.where(valid(F.col("lat"), F.col("lon"))).select(F.col("name").alias("place"), "country", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
+    for k, size in enumerate(CELLS):
+        p = p.withColumn(f"c{k}", _cell(F.col("p_lat"), F.col("p_lon"), size))
+    at = spots.withColumn("c0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(round(180 / CELLS[0]) * round(360 / CELLS[0]) - 1).cast("long"))))
+    for k, size in enumerate(CELLS):
+        cells = p.select(*[f"c{j}" for j in range(max(0, k - 1), k + 1)]).distinct()
+        met = at.join(cells, f"c{max(0, k - 1)}")
+        met = met.withColumn("angle", _angle(*_centre(F.col(f"c{k}"), size)))
+        reach = F.radians(F.lit(size * 0.70711))  # from a cell's centre to its corners at most
+        far = F.min("angle").over(Window.partitionBy("lat", "lon")) + reach
+        at = met.withColumn("far", far).where(F.col("angle") - reach <= F.col("far") + 1e-9).select("lat", "lon", f"c{k}")
+    last = f"c{len(CELLS) - 1}"
+    d = squared_chord(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
+    best = at.join(p.select(last, "place", "country", "p_lat", "p_lon"), last).groupBy("lat", "lon").agg(F.min(F.struct(d.alias("d"), "place", "country")).alias("m"))
+    return points.join(best.select("lat", "lon", "m.place", "m.country"), ["lat", "lon"], "left").select(key, "place", "country")
 
 
-def _least(met: DataFrame) -> DataFrame:
-    d = squared_chord(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    least = met.groupBy("lat", "lon").agg(F.min(F.struct(d.alias("d"), "place", "country", "p_lat", "p_lon")).alias("m"))
-    return least.select("lat", "lon", "m.place", "m.country", "m.d")
-
-
-def _by_rings(spots: DataFrame, places: DataFrame) -> DataFrame:
-    """Cells of 1, 8 and 60 degrees of latitude and longitude, which divide 360, then the rest against all places."""
-    done, left = None, spots
-    for size in (1.0, 8.0, 60.0):
-        columns = int(360 / size)
-        own = places.withColumns({"a": F.floor(F.col("p_lat") / size), "b": F.pmod(F.floor((F.col("p_lon") + 180) / size), F.lit(columns))})
-        steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-        around = left.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-        around = around.withColumns({"a": F.floor(F.col("lat") / size) + F.col("i"), "b": F.pmod(F.floor((F.col("lon") + 180) / size) + F.col("j"), F.lit(columns))})
-        found = _least(around.join(own, ["a", "b"]).drop("a", "b", "i", "j"))
-        # Sure if nearer than the narrowest way out of the three cells.
-        width = F.radians(F.lit(size)) * F.greatest(F.cos(F.radians(F.least(F.abs(F.col("lat")) + size, F.lit(90.0)))), F.lit(0.0))
-        sure = found.where(F.col("d") < F.pow(2 * F.sin(F.least(width, F.lit(3.0)) / 2), F.lit(2)))
-        done = sure if done is None else done.union(sure)
-        left = left.join(sure.select("lat", "lon"), ["lat", "lon"], "left_anti")
-    bands = left.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(255))))
-    rest = _least(bands.join(places.withColumn("k", F.pmod(F.xxhash64("place", "p_lat", "p_lon"), F.lit(256)).cast("int")), "k").drop("k"))
-    return done.union(rest)
+def _cell(lat: Column, lon: Column, size: float) -> Column:
+    """Number of a point's cell, row by row from the south; the poles and the antimeridian are in their last cells."""
+    rows, columns = round(180 / size), round(360 / size)
+    row = F.least(F.floor((lat + 90) / size), F.lit(rows - 1))
+    return row * columns + F.least(F.floor((lon + 180) / size), F.lit(columns - 1))
+
+
+def _centre(cell: Column, size: float) -> tuple[Column, Column]:
+    columns = F.lit(round(360 / size))
+    return (F.floor(cell / columns) + 0.5) * size - 90, (cell % columns + 0.5) * size - 180
+
+
+def _angle(lat: Column, lon: Column) -> Column:
+    d = squared_chord(F.col("lat"), F.col("lon"), lat, lon)
+    return 2 * F.asin(F.least(F.sqrt(d) / 2, F.lit(1.0)))

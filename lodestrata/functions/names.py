@@ -45,6 +45,16 @@ def refuse(pattern: str) -> str:
     return pattern
 
 
+def refusal(pattern: Column) -> Column:
+    """Why a pattern can't be used, as ``refuse`` says it; null if it can."""
+    return (
+        F.when(pattern == "", "the pattern is empty")
+        .when(F.contains(pattern, F.lit("\0")), "the pattern holds a NUL")
+        .when(F.startswith(pattern, F.lit("/")), "the pattern is absolute")
+        .when(F.contains(pattern, F.lit("..")), "the pattern holds ..")
+    )
+
+
 def strftime_pattern(fmt: str) -> str:
     """A strftime format as a Spark date pattern."""
     out, i = "", 0
@@ -100,6 +110,12 @@ def parse_template(template: str) -> list[tuple[str, str]]:
     return pieces
 
 
+def is_template(template: Column) -> Column:
+    """Whether ``parse_template`` takes a template."""
+    pieces = r"^([^{}/]|\{\{|\}\}|\{(" + "|".join(TOKENS) + r")\})+$"
+    return template.rlike("(?s)" + pieces) & refusal(template).isNull()
+
+
 def render(template: str, values: dict[str, Column]) -> Column:
     """The template as one expression; token values are sanitised, literals are not. ``location`` carries its own dash."""
     cols = [F.lit(text) if what == "literal" else F.coalesce(sanitise(values[text]), F.lit("")) for what, text in parse_template(template)]
@@ -133,18 +149,19 @@ def companion_name(parent_name: Column, companion_ext: Column, full_name: Column
 def manifest_escape(path: Column) -> Column:
     r"""Newlines as \n, carriage returns as \r, other controls as \u{hex}; a backslash stays."""
     out = F.replace(F.replace(path, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    rest = out
     for code in [*range(32), *range(127, 160)]:
         if chr(code) not in "\n\r":
-            out = F.replace(out, F.lit(chr(code)), F.lit(f"\\u{{{code:x}}}"))
-    return out
+            rest = F.replace(rest, F.lit(chr(code)), F.lit(f"\\u{{{code:x}}}"))
+    return F.when(path.rlike("[\\x00-\\x09\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"), rest).otherwise(out)
 
 
 def elide(text: Column, most: int = 160) -> Column:
-    """Text of over ``most`` bytes cut on a character's edge, with an ellipsis."""
+    """Text of over ``most`` bytes cut on a character's edge, with an ellipsis and how many bytes there were."""
     cut = F.substring(F.encode(text, "UTF-8"), 1, most)
     # Take off up to three bytes of a character that the cut went through.
     whole = F.coalesce(*[F.try_validate_utf8(F.substring(cut, 1, most - k).cast("string")) for k in range(4)])
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit("…")))
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(whole, F.lit("… ("), F.octet_length(text).cast("string"), F.lit(" bytes)")))
 
 
 def abbreviate(digest: Column, n: int = 12) -> Column:

@@ -235,13 +235,20 @@ def take_back(spark: SparkSession, directory: str, run: str | None = None, commi
 
 
 def recorded_runs(spark: SparkSession, directory: str) -> list[dict]:
-    """The runs in ``directory``, newest first; one that can't be read is a row with what is wrong."""
+    """The runs in ``directory``, newest first; one that can't be read is a row with what is wrong. All journals are read at once."""
+    found = journal.newest_first(directory)
+    if not found:
+        return []
+    numbered = cut(journal.file_lines(ready(spark), f"{directory}/*.jsonl"))
+    states = {r.run_id: r for r in journal.state(numbered).collect()}  # one row a run
+    made = {r.run_id: r for r in undo.runs(journal.parse(numbered).where("corrupt is null")).collect()}
     out = []
-    for p in journal.newest_first(directory):
+    for p in found:
+        state, run = states.get(p.stem), made.get(p.stem)
         try:
-            head = header(p)
-            made = undo.runs(journal.read(ready(spark), str(p))).first()
-            out.append({"run_id": p.stem, "started_at": head["started_at"], "n_restorable": made.n_restorable if made else 0, "interrupted": made.interrupted if made else True, "error": None})
+            if wrong := journal.fault(state) if state else "no header":
+                raise journal.JournalError(f"{p.stem}: {wrong}")
+            out.append({"run_id": p.stem, "started_at": header(p)["started_at"], "n_restorable": run.n_restorable if run else 0, "interrupted": run.interrupted if run else True, "error": None})
         except (journal.JournalError, KeyError) as e:
             out.append({"run_id": p.stem, "started_at": None, "n_restorable": 0, "interrupted": True, "error": str(e)})
     return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..runtime import cut
 from .numbering import numbered
 
 ATTEMPTS = 10_000
@@ -33,21 +35,47 @@ def claim(names: list[str], taken: set[str]) -> list[str]:
     return out
 
 
+def candidate_column(name: Column, attempt: Column) -> Column:
+    """``candidate`` as an expression."""
+    split = r"^(.+)(\.[^.]*)$"
+    whole = name.rlike("(?s)" + split)
+    stem, ext = F.when(whole, F.regexp_extract(name, "(?s)" + split, 1)).otherwise(name), F.when(whole, F.regexp_extract(name, "(?s)" + split, 2)).otherwise("")
+    return F.when(attempt == 0, name).otherwise(F.concat(stem, F.lit("-"), attempt.cast("string"), ext))
+
+
+def family(name: Column) -> Column:
+    """The name without any numbers that candidates could have put to it: a name's candidates are of its own family."""
+    return F.regexp_replace(name, r"(?s)^(.+?)(?:-[0-9]+)+(\.[^.]*)?$", "$1$2")
+
+
 def assign(planned: DataFrame, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Adds ``final_name`` to ``planned(directory, name)``; ``existing(directory, name)`` is what the directories hold already.
 
-    Names that can't meet another's candidate are settled by windows alone: the first of each name, if
-    nothing in its directory takes it. Only directories with a clash of names go through the
-    sequential ledger, as their own claims decide later ones.
+    A claim can only meet claims of its own family of names (the name with or without numbers put to it).
+    Where a family is one name only, the n-th row by ``order`` has its n-th candidate, counted in pieces
+    of a range exchange, so a name that a third of all rows have is no single task. Only the other families go
+    through the sequential ledger, one family of one directory at a time, as their claims decide later ones.
     """
-    held = planned.select("directory", "name") if existing is None else planned.select("directory", "name").union(existing.select("directory", "name"))
-    clashing = held.groupBy("directory", "name").agg(F.count("*").alias("n")).where("n > 1").select("directory").distinct()
-    calm = planned.join(clashing, "directory", "left_anti").withColumn("final_name", F.col("name"))
-    busy = planned.join(clashing, "directory", "left_semi").withColumn("_existing", F.lit(False))
+    mine = planned.withColumn("_family", family(F.col("name")))
+    held = mine.select("directory", "_family", "name", F.lit(0).alias("_there"))
+    if existing is not None:
+        held = held.union(existing.select("directory", family(F.col("name")), "name", F.lit(1)))
+    key = ["directory", "_family"]
+    families = held.groupBy(*key).agg((F.min("name") != F.max("name")).alias("_busy"), F.max("_there").alias("_there"))
+    marked = cut(mine.join(families, key).repartitionByRange("directory", "name", *order).withColumn("_piece", F.spark_partition_id()))
+    calm = marked.where("not _busy")
+    per = calm.groupBy("directory", "name", "_piece").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("directory", "name").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select("directory", "name", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("directory", "name", "_piece").orderBy(*order)) - 1
+    calm = calm.withColumn("_place", place).join(starts, ["directory", "name", "_piece"])
+    attempt = F.col("_start") + F.col("_place") + F.col("_there")
+    calm = calm.withColumn("final_name", F.when(attempt < ATTEMPTS, candidate_column(F.col("name"), attempt)).otherwise(F.col("name"))).select(*planned.columns, "final_name")
+    busy = marked.where("_busy").select(*planned.columns, "_family", F.lit(False).alias("_existing"))
     if existing is not None:
-        there = existing.select("directory", "name").join(clashing, "directory", "left_semi")
+        there = existing.withColumn("_family", family(F.col("name"))).join(families.where("_busy"), key, "left_semi")
         extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in planned.schema if f.name not in ("directory", "name")]
-        busy = busy.unionByName(there.select("directory", "name", *extra).withColumn("_existing", F.lit(True)))
+        busy = busy.unionByName(there.select("directory", "name", "_family", *extra).withColumn("_existing", F.lit(True)))
     schema = calm.schema
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -55,7 +83,7 @@ def assign(planned: DataFrame, order: list[str], existing: DataFrame | None = No
         own = pdf[~pdf["_existing"]].sort_values(order, kind="stable")
         return own.assign(final_name=claim(own["name"].tolist(), taken))[[f.name for f in schema]]
 
-    return calm.unionByName(busy.groupBy("directory").applyInPandas(settle, schema))
+    return calm.unionByName(busy.groupBy(*key).applyInPandas(settle, schema))
 
 
 def chunks(planned: DataFrame, order: list, size: int, bucket: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SCHEMA_VERSION = 1
 ENTRY = "type string, seq long, source string, destination string, source_size long, source_hash string, kind string, final_destination string, move_kind string, reason string, `group` int, moved long, failed long, skipped long, ended_at timestamp"
@@ -23,6 +24,15 @@ def lines(text: DataFrame, key: str = "run_id", body: str = "text") -> DataFrame
     return text.select(key, F.posexplode(F.split(body, "\n")).alias("n", "line")).where("line <> ''").select(key, (F.col("n") + 1).alias("line_no"), "line")
 
 
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, line_no, line) of the journal files at ``path``, read line by line: a journal of any length is split as other text is."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.jsonl)?$", 1).alias("run_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    placed = raw.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "block").orderBy("at")))
+    before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = raw.groupBy("run_id", "block").agg(F.count("*").alias("c")).select("run_id", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    return placed.join(starts, ["run_id", "block"]).where("line <> ''").select("run_id", (F.col("start") + F.col("n")).cast("int").alias("line_no"), "line")
+
+
 def parse(numbered: DataFrame, key: str = "run_id") -> DataFrame:
     """Entries of ``lines``, with ``corrupt`` (the raw text) where a line isn't one."""
     e = F.from_json("line", f"{ENTRY}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -48,15 +58,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:  # readers leave empty files out
         if f.isFile() and f.getLen() == 0:
             raise JournalError(f"{f.getPath().getName()}: no header")
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.jsonl)?$", 1).alias("run_id"), F.col("value").alias("text"))
-    numbered = lines(whole)
-    wrong = whole.select("run_id").join(state(numbered), "run_id", "left").where("header_ok is null or not header_ok or newer or bad_line is not null").limit(1).collect()
-    if wrong:
-        r = wrong[0]
-        raise JournalError(f"{r.run_id}: " + ("no header" if not r.header_ok else "written by a newer version" if r.newer else f"line {r.bad_line} can't be read"))
+    numbered = file_lines(spark, path)
+    for r in state(numbered).where("not header_ok or newer or bad_line is not null").limit(1).collect():
+        raise JournalError(f"{r.run_id}: {fault(r)}")
     return parse(numbered).where("corrupt is null").drop("corrupt")
 
 
+def fault(r) -> str | None:
+    """What is wrong with a row of ``state``; None if the journal can be read."""
+    return "no header" if not r.header_ok else "written by a newer version" if r.newer else f"line {r.bad_line} can't be read" if r.bad_line is not None else None
+
+
 def newest_first(directory: str) -> list[Path]:
     """Journal files by name, newest first; none if there is no such directory."""
     d = Path(directory)

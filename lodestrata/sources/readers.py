@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import mmap
 import re
 import struct
 import xml.etree.ElementTree as ET
@@ -404,15 +405,37 @@ def video_metadata(data: bytes) -> dict:
 METADATA_STRUCT = T.StructType().add("naive", T.TimestampNTZType()).add("offset_s", "integer").add("lat", "double").add("lon", "double").add("kind", "string").add("status", "string")
 
 
+def _metadata_at(path: str, media_kind: str) -> dict:
+    """A file's metadata; the file is mapped, so only the boxes and directories that are looked at are read."""
+    read = video_metadata if media_kind == "video" else image_metadata
+    with open(path, "rb") as f:
+        if not f.seek(0, 2):
+            return {"kind": None} | read(b"")
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            return {"kind": None} | read(data)
+
+
+@F.pandas_udf(METADATA_STRUCT)
+def content_metadata_udf(content: pd.Series, media_kind: pd.Series) -> pd.DataFrame:
+    """``metadata_udf`` over contents in a column; a null one is unreadable."""
+    rows = [_UNREAD if c is None else {"kind": None} | (video_metadata if k == "video" else image_metadata)(bytes(c)) for c, k in zip(content, media_kind, strict=True)]
+    return _metadata_frame(rows)
+
+
+_UNREAD = {"naive": None, "offset_s": None, "lat": None, "lon": None, "kind": None, "status": "unreadable"}
+
+
+def _metadata_frame(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["naive", "offset_s", "lat", "lon", "kind", "status"])
+    return out.astype({"naive": "datetime64[us]", "offset_s": "Int32", "lat": "float64", "lon": "float64"})
+
+
 @F.pandas_udf(METADATA_STRUCT)
 def metadata_udf(path: pd.Series, media_kind: pd.Series) -> pd.DataFrame:
     rows = []
     for p, k in zip(path, media_kind, strict=True):
         try:
-            with open(p, "rb") as f:
-                data = f.read()
-            rows.append({"kind": None} | (video_metadata(data) if k == "video" else image_metadata(data)))
+            rows.append(_metadata_at(p, k))
         except OSError:
-            rows.append({"naive": None, "offset_s": None, "lat": None, "lon": None, "kind": None, "status": "unreadable"})
-    out = pd.DataFrame(rows, columns=["naive", "offset_s", "lat", "lon", "kind", "status"])
-    return out.astype({"naive": "datetime64[us]", "offset_s": "Int32", "lat": "float64", "lon": "float64"})
+            rows.append(_UNREAD)
+    return _metadata_frame(rows)

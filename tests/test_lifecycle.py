@@ -42,22 +42,23 @@ def test_preview_commit_verify_undo(spark, library, tmp_path):
     root = tmp_path / "in"
     shutil.copytree(library, root)
     before = tree(root)
+    _, _, raw, copies, _ = generator.PROFILES["awkward"]
     s = settings(output_dir=str(tmp_path / "out"), require_exif=True)
     made = lifecycle.plan(spark, [str(root)], s, generator.places(spark))
-    assert tree(root) == before and made.counts["duplicate_files"] == 12 and made.counts["duplicate_groups"] == 12
-    assert made.counts["sidecars_found"] == 1 and made.counts["sidecar_orphans"] == 1
+    assert tree(root) == before and made.counts["duplicate_files"] == made.counts["duplicate_groups"] == copies
+    assert made.counts["sidecars_found"] == raw and made.counts["sidecar_orphans"] == 1
     rows = {os.path.relpath(r.source, root): r for r in made.rows.collect()}
     assert len({r.destination for r in rows.values()}) == len(rows) == made.counts["scanned"] - made.counts["hash_skipped"]
-    assert rows["awkward/UPPER.JPG"].date_source == "exif" and "/2021-05-06/2021-05-06-070809" in rows["awkward/UPPER.JPG"].destination
+    assert rows["awkward/LOUD.JPG"].date_source == "exif" and "/2021-05-06/2021-05-06-070809" in rows["awkward/LOUD.JPG"].destination
     assert rows["raw/DSC_0000.cr2"].date_source == "sidecar" and len(rows["raw/DSC_0000.cr2"].companions) == 1
     assert all(rows[f"undated/scan_{i}.jpg"].unsorted for i in range(3))
     assert len([*reports.plan_lines(made, 3)]) >= 4
 
     done, at = lifecycle.commit(made, ["organise"])
-    assert done.failed == done.unprocessed == 0 and done.moved == len(rows) + 1 and done.sidecars == 1
+    assert done.failed == done.unprocessed == 0 and done.moved == len(rows) + raw and done.sidecars == raw
     out = tree(tmp_path / "out")
     manifests = [p for p in out if p.endswith(manifest.NAME)]
-    assert len(manifests) == 12 and len(out) == len(rows) + 1 + 12
+    assert len(manifests) == copies and len(out) == len(rows) + raw + copies
     verdicts, code = lifecycle.check_duplicates(spark, str(tmp_path / "out/duplicates"))
     assert code == 0 and {r.verdict for r in verdicts.collect()} == {"confirmed"}
 
