@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,12 @@ def zone_offset(text: Column) -> Column:
     return F.when(text == "Z", 0).otherwise(offset_seconds(text))
 
 
+def zone(text: Column) -> Column:
+    """struct(kind, offset_s) of Z, a signed offset or the name of a zone: fixed, named or refused."""
+    seconds = zone_offset(text)
+    return F.struct(F.when(seconds.isNotNull(), "fixed").when(text.isin(*sorted(available_timezones())), "named").otherwise("refused").alias("kind"), seconds.alias("offset_s"))
+
+
 def wall_clock(text: Column) -> Column:
     """struct(naive, offset_s): the digits by the first pattern that fits, and a trailing offset where there is one."""
     tail = F.regexp_extract(text, r":\d{2}(Z|[+-]\d{2}(?::?\d{2})?)$", 1)

@@ -85,3 +85,8 @@ def groups(classified: DataFrame, path: str = "path") -> DataFrame:
 def group_directory(number: Column, root: str = "duplicates") -> Column:
     """duplicates/NNN, of three digits at least."""
     return F.concat(F.lit(f"{root}/"), F.format_string("%03d", number))
+
+
+def keyed(rows: DataFrame, key: Column, member: Column) -> DataFrame:
+    """(key, n, first) of rows grouped by any key; rows whose key can't be had (null) are one row of their own, the errors."""
+    return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(member).alias("first"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
@@ -42,6 +42,22 @@ def parse_bool(text: str) -> bool:
     raise SettingsError(f"{text!r} is neither true nor false")
 
 
+def list_of(text: Column) -> Column:
+    """``parse_list`` as an expression."""
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def bool_of(text: Column) -> Column:
+    """``parse_bool`` as an expression; null where that refuses."""
+    low = F.lower(F.trim(text))
+    return F.when(low.isin("1", "true", "yes", "on"), True).when(low.isin("0", "false", "no", "off"), False)
+
+
+def number_of(text: Column) -> Column:
+    """A whole number of digits alone, blanks around it aside; null for anything else."""
+    return F.when(F.trim(text).rlike("^[0-9]+$"), F.trim(text).try_cast("long"))
+
+
 def validate(key: str, value, where: str = "") -> object:
     """Returns the value if the key allows it."""
 

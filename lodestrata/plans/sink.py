@@ -6,7 +6,7 @@ import hashlib
 import os
 import shutil
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from pathlib import Path
 
 from ..operators.ledger import ATTEMPTS, candidate
@@ -38,11 +38,15 @@ def _copied(source: str, at: str) -> bool:
     temp = f"{at}.part-{os.getpid()}"
     h = hashlib.sha256()
     with open(source, "rb") as src, open(temp, "xb") as dst:
-        while block := src.read(1 << 17):
-            h.update(block)
-            dst.write(block)
-        dst.flush()
-        os.fsync(dst.fileno())
+        try:
+            while block := src.read(1 << 17):
+                h.update(block)
+                dst.write(block)
+            dst.flush()
+            os.fsync(dst.fileno())
+        except BaseException:
+            os.unlink(temp)
+            raise
     try:
         if full_digest(temp) != h.hexdigest():
             raise OSError(f"{at}: the copy differs")
@@ -62,11 +66,11 @@ class Outcome:
     skipped: int = 0
     sidecars: int = 0
     unprocessed: int = 0
-    landed: dict[str, str] = field(default_factory=dict)
 
 
 def execute(rows: Iterable, journal: Writer, chunk_size: int = 100, go_on: Callable[[int], bool] = lambda n: True, manifests: Manifests | None = None) -> Outcome:
-    """Moves rows (source, destination, size, hash, group, companions) in order; ``go_on`` is asked before each chunk.
+    """Moves rows (source, destination, size, hash, group, companions) in order; ``go_on`` is asked before each chunk; what is left
+    when it says no is counted as unprocessed.
 
     An intent is on disk before its move and an outcome after it. Companions follow to where their
     parent landed. A failure costs one file; a journal that can't be written stops the run, and a
@@ -89,11 +93,12 @@ def execute(rows: Iterable, journal: Writer, chunk_size: int = 100, go_on: Calla
         else:
             journal.append("duplicate_moved", seq=seq, group=group, source=source, destination=at)
         out.moved += 1
-        out.landed[source] = at
         return at
 
+    rows = iter(rows)
     for n, row in enumerate(rows):
         if chunk_size and n % chunk_size == 0 and not go_on(n // chunk_size):
+            out.unprocessed += 1 + sum(1 for _ in rows)
             break
         group = row["group"] if "group" in row else None
         if group is not None and group in stopped:

@@ -29,3 +29,8 @@ def runs(journal: DataFrame) -> DataFrame:
     done = F.min_by(F.struct("moved", "failed", "skipped"), F.when(F.col("type") == "run_completed", F.col("line_no")))
     g = journal.groupBy("run_id").agg(F.count_if(F.col("type").isin("move_committed", "duplicate_moved")).alias("n_restorable"), (~F.bool_or(F.coalesce(F.col("type") == "run_completed", F.lit(False)))).alias("interrupted"), done.alias("d"))
     return g.select("run_id", "n_restorable", "interrupted", "d.moved", "d.failed", "d.skipped").orderBy(F.desc("run_id"))
+
+
+def latest(journal: DataFrame) -> DataFrame:
+    """``runs`` of the newest run only; run ids sort by when they began."""
+    return runs(journal.join(journal.agg(F.max("run_id").alias("run_id")), "run_id", "left_semi"))

@@ -5,15 +5,22 @@ Documents stand for files: their path is source/lang/doc_id, their content the t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import atexit
+import os
+import shutil
+import uuid
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import lifecycle
 from .functions import dates, geo, names, paths
 from .operators import cascade, ledger, pairing, tallies, verify
 from .plans import settings, target, undo
-from .runtime import ready
-from .sources import generator, journal, manifest
+from .runtime import ready, shared_dir
+from .sources import generator, journal, manifest, media, readers
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -99,13 +106,13 @@ def a9_duplicate_counters(spark, sf_dir):
     return tallies.duplicates(_groups(spark, sf_dir))
 
 
-@query("""SELECT page_id, e AS extension, CASE WHEN e IN ('html', 'htm') THEN 'image' WHEN e IN ('example', 'php') THEN 'video' WHEN e = 'xmp' THEN 'sidecar' END AS kind FROM
+@query("""SELECT page_id, e AS extension, CASE WHEN e IN ('html', 'htm') THEN 'image' WHEN e IN ('example', 'php') THEN 'video' WHEN e IN ('net', 'com') THEN 'sidecar' END AS kind FROM
 (SELECT page_id, lower(regexp_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '^.+\\.([^.]*)$', 1)) AS e FROM pages)""")
 def f1_kind_filter(spark, sf_dir):
     """extensions without case, and the kind by configured lists."""
     name = paths.file_name(F.regexp_replace("url", "[?#].*$", ""))
     e = paths.extension(name)
-    return table(spark, sf_dir, "pages").select("page_id", e.alias("extension"), paths.kind(e, ("html", "htm"), ("example", "php"), ("xmp",)).alias("kind"))
+    return table(spark, sf_dir, "pages").select("page_id", e.alias("extension"), paths.kind(e, ("html", "htm"), ("example", "php"), ("html", "php", "net", "com")).alias("kind"))
 
 
 @query("""SELECT page_id, len(list_filter(p, lambda x: regexp_matches(x, '^m\\.'))) > 0 OR regexp_matches(array_to_string(p, '/'), '^[^/]*/es(/|$)') AS skipped,
@@ -165,20 +172,19 @@ def x9_collision_candidate(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", names.collision_candidate(F.concat("p_type", F.lit(".jpg")), n).alias("with_ext"), names.collision_candidate(F.col("p_type"), n).alias("without"))
 
 
-@query("SELECT doc_id, replace(replace(text, chr(10), '\\n'), chr(13), '\\r') AS escaped FROM documents WHERE NOT coalesce(regexp_matches(text, '[\\x00-\\x09\\x0b\\x0c\\x0e-\\x1f\\x7f]'), false)")
-def x11_manifest_escape(spark, sf_dir):
-    """X11: newlines and carriage returns in whole texts; ``x11_manifest_escape_all`` has the other controls too."""
-    d = table(spark, sf_dir, "documents").where(~F.coalesce(F.col("text").rlike(r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f]"), F.lit(False)))
-    return d.select("doc_id", names.manifest_escape(F.col("text")).alias("escaped"))
+_ESCAPED = "replace(replace(t, chr(10), '\\n'), chr(13), '\\r')"
+for _c in (*range(1, 10), 11, 12, *range(14, 32), *range(127, 160)):
+    _ESCAPED = f"replace({_ESCAPED}, chr({_c}), '\\u{{{_c:x}}}')"
 
 
-@query()
-def x11_manifest_escape_all(spark, sf_dir):
-    r"""X11: every document, with the controls that ``x11_manifest_escape`` and its SQL leave out, as \u{hex}."""
-    return table(spark, sf_dir, "documents").select("doc_id", names.manifest_escape(F.col("text")).alias("escaped"))
+@query(f"SELECT doc_id, {_ESCAPED} AS escaped FROM (SELECT doc_id, text || chr((doc_id % 159 + 1)::INT) || 'x' AS t FROM documents)")
+def x11_manifest_escape(spark, sf_dir):
+    r"""X11: whole texts, each with one of the characters from U+0001 to U+009F put to it, so that every \u{hex} is met."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", names.manifest_escape(F.concat("text", F.char(F.col("doc_id") % 159 + 1), F.lit("x"))).alias("escaped"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN strlen(text) <= 160 THEN text ELSE left(text, list_max(list_filter(range(40, 161), lambda k: strlen(left(text, k)) <= 160))) || '… (' || strlen(text) || ' bytes)' END AS short FROM documents")
 def x12_elide(spark, sf_dir):
     """Texts over 160 bytes, cut on a character's edge."""
     return table(spark, sf_dir, "documents").select("doc_id", names.elide(F.col("text")).alias("short"))
@@ -210,12 +216,33 @@ def d4_instants(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", s.cast("long").alias("offset_s"), dates.instant(F.col("ts"), s).alias("utc"))
 
 
-@query()
+# The days on which Lisbon's clocks went forward or back.
+_SHIFTS = ("2018-03-25", "2018-10-28", "2019-03-31", "2019-10-27", "2020-03-29", "2020-10-25", "2021-03-28", "2021-10-31", "2022-03-27", "2022-10-30", "2023-03-26", "2023-10-29", "2024-03-31", "2024-10-27")
+
+
+@query(f"""WITH e AS (SELECT event_id, (CASE WHEN event_id % 2 = 0 THEN ([{', '.join(f"TIMESTAMP '{d}'" for d in _SHIFTS)}])[(event_id // 2 % 14 + 1)::INT] + INTERVAL (event_id * 37 % 14400) SECOND ELSE TIMESTAMP '2018-01-01' + INTERVAL (event_id * 7919 % 220752000) SECOND END)::TIMESTAMP AS t FROM events),
+y AS (SELECT *, make_date(year(t), 3, 31) AS m, make_date(year(t), 10, 31) AS o FROM e),
+s AS (SELECT event_id, t, (m - dayofweek(m)::INT)::TIMESTAMP + INTERVAL 1 HOUR AS a, (o - dayofweek(o)::INT)::TIMESTAMP + INTERVAL 1 HOUR AS b FROM y),
+z AS (SELECT event_id, t, event_id % 3 AS k, CASE WHEN t >= a AND t < b THEN 3600 ELSE 0 END AS i, CASE WHEN t >= a AND t < b + INTERVAL 1 HOUR THEN 3600 ELSE 0 END AS w FROM s)
+SELECT event_id, CASE k WHEN 0 THEN 'wall_clock' WHEN 1 THEN 'instant' ELSE 'zoned' END AS kind, (CASE k WHEN 1 THEN t + INTERVAL (i) SECOND ELSE t END)::TIMESTAMP AS local_ts, (CASE k WHEN 0 THEN w WHEN 1 THEN i ELSE 7200 END)::INT AS offset_s, CASE k WHEN 2 THEN 'recorded' ELSE 'configured' END AS tz_source FROM z""")
 def d5_zone_offsets(spark, sf_dir):
-    """Readings in a named zone, gaps and overlaps included."""
-    e = table(spark, sf_dir, "events")
-    kind = F.element_at(F.array(F.lit("wall_clock"), F.lit("zoned"), F.lit("instant")), (F.col("event_id") % 3 + 1).cast("int"))
-    return e.select("event_id", dates.resolve(kind, F.col("ts"), F.lit(3600), "Europe/Lisbon").alias("r")).select("event_id", "r.local_ts", "r.offset_s", "r.tz_source")
+    """Readings in a named zone by their kind, half of them in the hours around a change of clocks, gaps and overlaps included."""
+    n = F.col("event_id")
+    shift = F.element_at(F.array(*[F.lit(d).cast("timestamp_ntz") for d in _SHIFTS]), (F.floor(n / 2) % 14 + 1).cast("int"))
+    ts = F.when(n % 2 == 0, shift + F.make_dt_interval(secs=n * 37 % 14400)).otherwise(F.lit("2018-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=n * 7919 % 220752000))
+    offset = F.when(n % 3 == 1, 0).when(n % 3 == 2, 7200)
+    e = table(spark, sf_dir, "events").select("event_id", ts.alias("t"), offset.alias("o")).withColumn("kind", dates.container_kind(F.col("o")))
+    return e.select("event_id", "kind", dates.resolve(F.col("kind"), F.col("t"), F.col("o"), "Europe/Lisbon").alias("r")).select("event_id", "kind", "r.local_ts", "r.offset_s", "r.tz_source")
+
+
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'fixed' WHEN 1 THEN 'fixed' WHEN 2 THEN 'fixed' WHEN 3 THEN 'named' ELSE 'refused' END AS kind, CASE event_id % 7 WHEN 0 THEN 0 WHEN 1 THEN (event_id % 12) * 3600 + (event_id % 4) * 900 WHEN 2 THEN -(event_id % 12) * 3600 END::BIGINT AS offset_s FROM events""")
+def d3_zones(spark, sf_dir):
+    """D3: Z, signed offsets and names of zones; anything else is refused."""
+    n = F.col("event_id")
+    hours = F.lpad((n % 12).cast("string"), 2, "0")
+    text = F.when(n % 7 == 0, "Z").when(n % 7 == 1, F.concat(F.lit("+"), hours, F.lit(":"), F.lpad((n % 4 * 15).cast("string"), 2, "0"))).when(n % 7 == 2, F.concat(F.lit("-"), hours)).when(n % 7 == 3, F.element_at(F.array(*map(F.lit, ("Europe/Lisbon", "UTC", "Asia/Tokyo"))), (n % 3 + 1).cast("int"))).when(n % 7 == 4, F.concat(hours, F.lit(":00"))).when(n % 7 == 5, "+25:00").otherwise("Mars/Base")
+    z = dates.zone(text)
+    return table(spark, sf_dir, "events").select("event_id", z["kind"].alias("kind"), z["offset_s"].cast("long").alias("offset_s"))
 
 
 def _dated(spark, sf_dir):
@@ -243,19 +270,21 @@ def d13_date_priority(spark, sf_dir):
 
 def _planned(spark, sf_dir):
     d = _dated(spark, sf_dir).withColumns({"original_stem": F.col("o_orderpriority"), "ext": F.lit("jpg"), "place": F.lit(None).cast("string"), "country": F.lit(None).cast("string"), "lat": F.lit(1.0), "lon": F.when(F.col("o_orderkey") % 2 == 0, 2.0)})
-    return target.target(d, target.Layout(embedded_only=True))
+    beyond = F.col("ts") + F.expr("make_ym_interval(8100)")
+    return target.target(d.withColumn("ts", F.when(F.col("o_orderkey") % 100 == 5, beyond).otherwise(F.col("ts"))), target.Layout(embedded_only=True))
 
 
-@query(f"""WITH {DATED} SELECT o_orderkey, CASE WHEN date_source IN ('exif', 'sidecar') THEN strftime(ts, '%Y-%m-%d') ELSE 'unsorted' END AS directory,
-CASE WHEN date_source IN ('exif', 'sidecar') THEN strftime(ts, '%Y-%m-%d-%H%M%S') ELSE CASE WHEN ts IS NOT NULL THEN regexp_replace(replace(o_orderpriority, ' ', '-'), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') ELSE 'unknown' END END || '.jpg' AS name,
-date_source NOT IN ('exif', 'sidecar') AS unsorted, o_orderkey % 2 = 0 AS has_location FROM p""")
+@query(f"""WITH {DATED}, r AS (SELECT *, date_source IN ('exif', 'sidecar') AS own, ts IS NOT NULL AND o_orderkey % 100 = 5 AS beyond FROM p), d AS (SELECT *, own AND NOT beyond AS dated FROM r)
+SELECT o_orderkey, CASE WHEN dated THEN strftime(ts, '%Y-%m-%d') ELSE 'unsorted' END AS directory,
+CASE WHEN dated THEN strftime(ts, '%Y-%m-%d-%H%M%S') ELSE CASE WHEN ts IS NOT NULL AND NOT own THEN regexp_replace(replace(o_orderpriority, ' ', '-'), '[^\\p{{L}}\\p{{N}}_-]', '_', 'g') ELSE 'unknown' END END || '.jpg' AS name,
+NOT dated AS unsorted, o_orderkey % 2 = 0 AS has_location FROM d""")
 def e2_target_path(spark, sf_dir):
-    """Dated or unsorted targets under the embedded-only policy."""
+    """Dated or unsorted targets under the embedded-only policy; a hundredth of the dates lies beyond the year 9999."""
     return _planned(spark, sf_dir).select("o_orderkey", "directory", "name", "unsorted", "has_location")
 
 
 @query(f"""WITH {DATED}, t AS (SELECT count(*) FILTER (date_source = 'exif') AS n_exif, count(*) FILTER (date_source = 'sidecar') AS n_sidecar, count(*) FILTER (date_source = 'filesystem') AS n_filesystem, count(*) FILTER (date_source = 'unreadable') AS n_unreadable,
-count(*) FILTER (date_source = 'unsupported') AS n_unsupported, count(*) FILTER (date_source = 'none') AS n_none, count(*) FILTER (date_source NOT IN ('exif', 'sidecar')) AS n_unsorted FROM p)
+count(*) FILTER (date_source = 'unsupported') AS n_unsupported, count(*) FILTER (date_source = 'none') AS n_none, count(*) FILTER (date_source NOT IN ('exif', 'sidecar') OR o_orderkey % 100 = 5) AS n_unsorted FROM p)
 SELECT *, n_filesystem + n_unreadable + n_unsupported AS from_filesystem, n_exif + n_sidecar + n_filesystem + n_unreadable + n_unsupported AS dated, ((n_filesystem + n_unreadable + n_unsupported) * 100 // (n_exif + n_sidecar + n_filesystem + n_unreadable + n_unsupported))::BIGINT AS percent,
 (n_filesystem + n_unreadable + n_unsupported) * 100 > 20 * (n_exif + n_sidecar + n_filesystem + n_unreadable + n_unsupported) AS warns FROM t""")
 def a7_date_warning(spark, sf_dir):
@@ -359,12 +388,15 @@ def j4_nearest(spark, sf_dir):
     return geo.nearest(at, generator.places(spark), "c_custkey").select("c_custkey", "place")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 200 <= 90 THEN (c_custkey % 200) + 0.5 * (c_custkey % 2) END::DOUBLE AS lat FROM customer WHERE c_custkey % 200 <> 90 OR c_custkey % 2 = 0")
+@query("""WITH c AS (SELECT c_custkey, (CASE WHEN c_custkey % 3 = 1 THEN -1 ELSE 1 END * (c_custkey % 97 + 0.5 * (c_custkey % 2)))::DOUBLE AS lat, (CASE WHEN c_custkey % 5 = 1 THEN -1 ELSE 1 END * (c_custkey % 191 + 0.25))::DOUBLE AS lon FROM customer)
+SELECT c_custkey, CASE WHEN ok THEN lat END AS lat, CASE WHEN ok THEN lon END AS lon FROM (SELECT *, abs(lat) <= 90 AND abs(lon) <= 180 AND c_custkey % 50 <> 7 AS ok FROM c)""")
 def m5_iso6709(spark, sf_dir):
-    """Latitudes out of ISO 6709 strings, altitude ignored."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 200 <> 90 or c_custkey % 2 = 0")
-    lat = F.format_string("%+d.%d", F.col("c_custkey") % 200, (F.col("c_custkey") % 2 * 5).cast("int"))
-    return c.select("c_custkey", geo.iso6709(F.concat(lat, F.lit("+010.25"), F.when(F.col("c_custkey") % 3 == 0, "+35.6").otherwise(""), F.lit("/")))["lat"].alias("lat"))
+    """Coordinates out of ISO 6709 strings, altitude ignored; both or none, and none of a string without a second sign."""
+    k = F.col("c_custkey")
+    lat = F.concat(F.when(k % 3 == 1, "-").otherwise("+"), (k % 97).cast("string"), F.when(k % 2 == 1, ".5").otherwise(""))
+    lon = F.concat(F.when(k % 50 == 7, "").when(k % 5 == 1, "-").otherwise("+"), F.lpad((k % 191).cast("string"), 3, "0"), F.lit(".25"))
+    at = geo.iso6709(F.concat(F.when(k % 50 == 7, "+1").otherwise(lat), F.when(k % 50 == 7, "").otherwise(lon), F.when((k % 7 == 3) & (k % 50 != 7), "+35.6").otherwise(""), F.lit("/")))
+    return table(spark, sf_dir, "customer").select("c_custkey", at.alias("at")).select("c_custkey", "at.lat", "at.lon")
 
 
 @query("SELECT c_custkey, (CASE WHEN c_custkey % 2 = 1 THEN -1 ELSE 1 END * (c_custkey % 90 + (c_custkey % 60) / 60.0::DOUBLE + (c_custkey % 50) / 3600.0::DOUBLE))::DOUBLE AS degrees FROM customer")
@@ -408,28 +440,31 @@ def e10_verify_steps(spark, sf_dir):
     return verify.verify_steps(steps, listing).select("p_partkey", "status")
 
 
-@query("SELECT doc_id, octet_length(encode(text))::BIGINT AS size FROM documents")
-def m3_keyed_digest(spark, sf_dir):
-    """M3: the independent digest; checked by size here as its key is private to the engine."""
-    f = files(spark, sf_dir)
-    ok = F.length(verify.keyed_digest(F.coalesce("content", F.lit(b"")))) == 128
-    return f.select("doc_id", F.when(ok, F.octet_length("content")).cast("long").alias("size"))
-
-
 @query()
-def m3_keyed_digest_value(spark, sf_dir):
-    """M3: the independent digest itself."""
+def m3_keyed_digest(spark, sf_dir):
+    """M3: the independent digest; DuckDB has no SHA-512, so it is tested against Python's."""
     return files(spark, sf_dir).select("doc_id", verify.keyed_digest(F.col("content")).alias("digest"))
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS seq, event_id % 10 = 9 AS corrupt FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 10 <> 9 THEN json_extract(props, '$.k')::BIGINT END AS seq, CASE WHEN event_id % 10 <> 9 THEN 'move_failed' END AS type, CASE WHEN event_id % 10 <> 9 THEN event_type END AS reason, CASE WHEN event_id % 10 = 9 THEN '{"type":"move' END AS corrupt FROM events""")
 def c1_journal_lines(spark, sf_dir):
-    """Journal lines as entries, torn ones kept as text."""
-    whole = F.concat(F.lit('{"type":"move_failed","seq":'), F.get_json_object("props", "$.k"), F.lit(',"reason":"x"}'))
-    line = F.when(F.col("event_id") % 10 == 9, F.substring(whole, 1, 12)).otherwise(whole)
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.lit(2).alias("line_no"), line.alias("line"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    parsed = journal.parse(e).select("run_id", "seq", F.col("corrupt").isNotNull().alias("corrupt"))
-    return parsed.join(e.select("run_id", "k"), "run_id").select(F.col("run_id").alias("event_id"), F.when(F.col("corrupt"), F.col("k")).otherwise(F.col("seq")).alias("seq"), "corrupt")
+    """Journal lines as entries; torn ones are kept as text, and nothing of them is an entry's."""
+    whole = F.concat(F.lit('{"type":"move_failed","seq":'), F.get_json_object("props", "$.k"), F.lit(',"reason":"'), "event_type", F.lit('"}'))
+    line = F.when(F.col("event_id") % 10 == 9, F.substring(whole, 1, 13)).otherwise(whole)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), F.lit(2).alias("line_no"), line.alias("line"))
+    return journal.parse(e).select(F.col("run_id").alias("event_id"), "seq", "type", "reason", "corrupt")
+
+
+@query("""WITH e AS (SELECT user_id % 50 AS run_id, event_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id % 50) AS n FROM events),
+g AS (SELECT run_id, any_value(n) AS n, min(r) FILTER (event_id % 1000 = 13) AS bad FROM e GROUP BY 1)
+SELECT run_id, run_id % 7 <> 3 AS header_ok, run_id % 11 = 5 AND run_id % 7 <> 3 AS newer, coalesce(bad = n, false) AS torn, CASE WHEN bad < n THEN bad + 2 END::INT AS bad_line FROM g""")
+def s7_journals(spark, sf_dir):
+    """Whole journals, each with its header, empty lines and torn lines; only a last line may be torn."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), "event_id")
+    line = F.when(F.col("event_id") % 1000 == 13, '{"type":"run').otherwise(F.concat(F.lit('{"type":"move_failed","seq":'), F.col("event_id").cast("string"), F.lit("}")))
+    body = e.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    version = F.when(F.col("run_id") % 7 == 3, "{").when(F.col("run_id") % 11 == 5, '{"schema_version":9}').otherwise('{"schema_version":1}')
+    return journal.state(journal.lines(body.select("run_id", F.concat(version, F.lit("\n\n"), "body", F.lit("\n")).alias("text"))))
 
 
 @query("""SELECT c_nationkey AS group_id, max('out/' || c_custkey) FILTER (c_custkey = m) AS original, count(*)::BIGINT AS n FROM (SELECT *, max(c_custkey) OVER (PARTITION BY c_nationkey) AS m FROM customer) GROUP BY 1""")
@@ -482,3 +517,285 @@ def x10_companion_name(spark, sf_dir):
     parent = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("/"), "o_orderstatus", F.lit(".jpg"))
     how = F.when(F.col("o_orderkey") % 2 == 0, "full_name").otherwise("stem")
     return table(spark, sf_dir, "orders").select("o_orderkey", pairing.beside(parent, F.lit("in/a.XMP"), how).alias("destination"))
+
+
+@query("SELECT p_partkey, CASE WHEN coalesce(n, '') = '' THEN 'unknown' ELSE regexp_replace(n, '^\\.', '_') END AS component FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '.' || p_name WHEN 2 THEN '..' || p_brand WHEN 3 THEN NULL ELSE p_name || '.' END AS n FROM part)")
+def x6_one_component(spark, sf_dir):
+    """Names that are one safe component; empty, missing and dotted ones among them."""
+    k = F.col("p_partkey") % 5
+    n = F.when(k == 0, "").when(k == 1, F.concat(F.lit("."), "p_name")).when(k == 2, F.concat(F.lit(".."), "p_brand")).when(k == 4, F.concat("p_name", F.lit(".")))
+    return table(spark, sf_dir, "part").select("p_partkey", names.one_component(n).alias("component"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'the pattern is empty' WHEN 1 THEN 'the pattern is absolute' WHEN 2 THEN 'the pattern holds ..' END AS refused, p_partkey % 9 IN (3, 4, 8) AS is_template FROM part""")
+def x17_pattern_refusals(spark, sf_dir):
+    """Patterns that are refused, and which are templates of file names."""
+    made = ["", "/abs/{date}", "a/../{date}", "{date}-{time}", "{{kept}} {original_stem}", "{nope}", "{date", "sub/{date}", "plain"]
+    pattern = F.element_at(F.array(*map(F.lit, made)), (F.col("p_partkey") % 9 + 1).cast("int"))
+    tail = F.when(F.col("p_partkey") % 9 > 0, F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")).otherwise("")
+    whole = F.concat(pattern, tail)
+    return table(spark, sf_dir, "part").select("p_partkey", names.refusal(whole).alias("refused"), names.is_template(whole).alias("is_template"))
+
+
+@query("""SELECT o_orderkey, o_orderpriority || '|' || o_orderstatus AS l, CASE WHEN o_orderkey % 6 IN (0, 1) THEN true WHEN o_orderkey % 6 IN (2, 3) THEN false END AS b, CASE WHEN o_orderkey % 4 < 2 THEN o_custkey END::BIGINT AS n FROM orders""")
+def x16_values(spark, sf_dir):
+    """Lists, booleans and whole numbers as variables spell them; null where they can't be read."""
+    k = F.col("o_orderkey")
+    b = F.element_at(F.array(*map(F.lit, (" YES", "1", "off ", "False", "maybe", ""))), (k % 6 + 1).cast("int"))
+    n = F.concat(F.when(k % 4 == 1, " ").when(k % 4 == 2, "-").when(k % 4 == 3, "x").otherwise(""), F.col("o_custkey").cast("string"))
+    found = settings.list_of(F.concat(F.lit(" "), "o_orderpriority", F.lit(" ,, "), "o_orderstatus", F.lit(",")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(found, "|").alias("l"), settings.bool_of(b).alias("b"), settings.number_of(n).alias("n"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 < 2 THEN 'unsupported' WHEN p_partkey % 3 = 0 THEN 'filesystem' WHEN p_partkey % 3 = 1 OR p_partkey % 2 = 0 THEN 'unreadable' ELSE 'unsupported' END AS source FROM part""")
+def f13_fallback(spark, sf_dir):
+    """Why a file's own date is missing; one of under two bytes is no known kind, whatever its reader says."""
+    k = F.col("p_partkey")
+    status = F.when(k % 3 == 0, "absent").when(k % 3 == 1, "unreadable").otherwise("error")
+    return table(spark, sf_dir, "part").select("p_partkey", dates.fallback_source(status, k % 2 == 0, F.col("p_size") % 4).alias("source"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN list_contains(string_split(p_type, ' '), 'BRUSHED') ELSE false END AS inside FROM part""")
+def f6_metadata_directory(spark, sf_dir):
+    """files below the engine's own directory; a file of its name, or a root, is none."""
+    deep = F.concat_ws("/", F.replace("p_type", F.lit(" "), F.lit("/")), F.lit("x.jpg"))
+    rel = F.when(F.col("p_partkey") % 4 == 0, deep).otherwise("BRUSHED")
+    return table(spark, sf_dir, "part").select("p_partkey", paths.in_metadata_dir(rel, "BRUSHED").alias("inside"))
+
+
+_EXTS = ("jpg", "JPEG", "heic", "Mov", "mp4", "xmp", "AAE", "thm", "txt", "")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN e IN ('jpg', 'jpeg', 'heic') THEN 'image' WHEN e IN ('mov', 'mp4') THEN 'video' WHEN e IN ('xmp', 'aae', 'thm') THEN 'sidecar' END AS kind FROM (SELECT p_partkey, lower(([{', '.join(f"'{x}'" for x in _EXTS)}])[(p_partkey % 10 + 1)::INT]) AS e FROM part)""")
+def s3_media_lists(spark, sf_dir):
+    """The built-in lists of media and companions."""
+    ext = F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    name = F.concat(F.regexp_replace("p_name", "[ .]", "_"), F.when(ext == "", "").otherwise(F.concat(F.lit("."), ext)))
+    return table(spark, sf_dir, "part").select("p_partkey", paths.kind(paths.extension(name)).alias("kind"))
+
+
+@query("SELECT run_id, run_id::INT % 2 = 1 AS interrupted FROM (SELECT max((o_custkey % 20)::VARCHAR) AS run_id FROM orders)")
+def w6_latest_run(spark, sf_dir):
+    """The newest run, by its name."""
+    return undo.latest(_journal(spark, sf_dir)).select("run_id", "interrupted")
+
+
+@query(f"WITH {FILES}, k AS (SELECT path, CASE WHEN length(text) >= 16 THEN sha256(left(text, 16)) END AS key FROM f JOIN documents USING (doc_id)) SELECT key, count(*)::BIGINT AS n, min(path) AS first FROM k GROUP BY key")
+def a4_keyed_groups(spark, sf_dir):
+    """A4: files grouped by any key; those without one are counted together, never lost."""
+    f = files(spark, sf_dir).withColumn("text", F.decode("content", "UTF-8"))
+    return cascade.keyed(f, F.when(F.length("text") >= 16, F.sha2(F.encode(F.substring("text", 1, 16), "UTF-8"), 256)), F.col("path"))
+
+
+@query(f"""WITH {FILES}, g AS (SELECT sha256(c) AS h, ({FIRST}).f AS o, row_number() OVER (ORDER BY sha256(c)) - 1 AS k FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT path, CASE WHEN o IS NOT NULL THEN 'duplicates/' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '/manifest.txt' END AS manifest FROM f LEFT JOIN g ON path = o WHERE c IS NOT NULL""")
+def j6_manifests_of_originals(spark, sf_dir):
+    """The manifest that a file's move is noted in, where it heads a group of copies."""
+    return manifest.of_originals(files(spark, sf_dir).where("content is not null").select("path"), _groups(spark, sf_dir))
+
+
+_XMP = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'
+_BOUND = 'xmlns:exif="http://ns.adobe.com/exif/1.0/" xmlns:photoshop="http://ns.adobe.com/photoshop/1.0/" xmlns:xmp="http://ns.adobe.com/xap/1.0/"'
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_orderdate + INTERVAL (o_orderkey % 86400) SECOND AS t FROM orders)
+SELECT o_orderkey, (CASE k WHEN 1 THEN date_trunc('day', t) WHEN 2 THEN date_trunc('minute', t) WHEN 5 THEN NULL ELSE t END)::TIMESTAMP AS naive, CASE k WHEN 0 THEN 28800 WHEN 3 THEN 0 WHEN 7 THEN 0 WHEN 8 THEN -12600 END::INT AS offset_s,
+CASE k WHEN 1 THEN 'photoshop:DateCreated' WHEN 2 THEN 'xmp:CreateDate' WHEN 3 THEN 'xmp:CreateDate' WHEN 5 THEN NULL WHEN 7 THEN 'xmp:CreateDate' ELSE 'exif:DateTimeOriginal' END AS property, CASE WHEN k <> 5 THEN k <> 1 END AS has_time_of_day, CASE k WHEN 5 THEN 'undated' ELSE 'ok' END AS status FROM o""")
+def s10_xmp(spark, sf_dir):
+    """sidecars' dates; attributes and elements, namespaces bound, rebound and unbound, torn XML, values that can't be read."""
+    k = F.col("o_orderkey") % 9
+    ts = F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
+    day, minute, full = (F.date_format(ts, f) for f in ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss"))
+
+    def about(attributes, inside="", names_=_BOUND) -> Column:
+        return F.concat(F.lit(f"{_XMP}<rdf:Description {names_} "), attributes, F.lit(">"), inside if isinstance(inside, Column) else F.lit(inside), F.lit("</rdf:Description>"))
+
+    def attribute(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f'{name}="'), value, F.lit('" '))
+
+    created = F.concat(F.lit("<photoshop:DateCreated> "), day, F.lit("</photoshop:DateCreated>"))
+    end = F.lit("</rdf:RDF></x:xmpmeta>")
+    text = (
+        F.when(k == 0, F.concat(about(attribute("exif:DateTimeOriginal", F.concat(full, F.lit("+08:00")))), end))
+        .when(k == 1, F.concat(about(F.lit(""), created), end))
+        .when(k == 2, F.concat(about(attribute("xmp:CreateDate", minute), names_=""), end))
+        .when(k == 3, F.concat(about(attribute("xmp:CreateDate", F.concat(full, F.lit("Z"))), created), end))
+        .when(k == 4, F.concat(about(attribute("e:DateTimeOriginal", full), names_='xmlns:e="http://ns.adobe.com/exif/1.0/"'), end))
+        .when(k == 5, F.concat(about(attribute("exif:DateTimeOriginal", full), names_='xmlns:exif="http://example.org/other/"'), end))
+        .when(k == 6, F.concat(about(attribute("exif:DateTimeOriginal", full)), F.lit("<broken <")))
+        .when(k == 7, F.concat(about(F.concat(attribute("exif:DateTimeOriginal", F.lit("no date")), attribute("xmp:CreateDate", F.concat(full, F.lit("Z"))))), end))
+        .otherwise(F.concat(about(F.lit(""), F.concat(F.lit("<exif:DateTimeOriginal>"), full, F.lit("-03:30</exif:DateTimeOriginal>"))), end))
+    )
+    return table(spark, sf_dir, "orders").select("o_orderkey", readers.xmp_udf(F.encode(text, "UTF-8")).alias("x")).select("o_orderkey", "x.*")
+
+
+def _hex(n: Column | int, width: int = 8) -> Column:
+    return F.lit(f"{n:0{width}X}") if isinstance(n, int) else F.lpad(F.hex(n.cast("long")), width, "0")
+
+
+def _ascii(text: Column | str) -> Column:
+    return F.hex(F.encode(F.lit(text) if isinstance(text, str) else text, "UTF-8"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderdate + INTERVAL (o_orderkey % 86400) SECOND AS t, o_orderdate + INTERVAL 1 DAY AS c FROM orders)
+SELECT o_orderkey, (CASE WHEN k IN (0, 5) THEN t WHEN k IN (1, 2) THEN c END)::TIMESTAMP AS naive, CASE WHEN k IN (0, 1) THEN 28800 END::INT AS offset_s,
+CASE WHEN k <> 6 THEN (CASE WHEN o_orderkey % 2 = 1 THEN -1 ELSE 1 END * (o_orderkey % 90 + (o_orderkey % 60) / 60::DOUBLE + (o_orderkey % 59) / 3600::DOUBLE))::DOUBLE END AS lat, CASE WHEN k <> 6 THEN (CASE WHEN o_orderkey % 3 = 1 THEN -1 ELSE 1 END * (o_orderkey % 179 + (o_orderkey % 60) / 60::DOUBLE + (o_orderkey % 59) / 3600::DOUBLE))::DOUBLE END AS lon,
+CASE WHEN k IN (3, 6) THEN 'unreadable' WHEN k = 4 THEN 'absent' ELSE 'ok' END AS status FROM o""")
+def s11_exif(spark, sf_dir):
+    """EXIF of photographs; a value that can't be decoded falls to CreateDate, one that is no date doesn't, torn directories are unreadable."""
+    n = F.col("o_orderkey")
+    k = n % 7
+    ts = F.date_format(F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)"), "yyyy:MM:dd HH:mm:ss")
+    created = F.date_format(F.expr("o_orderdate + interval 1 day"), "yyyy:MM:dd HH:mm:ss")
+    entry = lambda tag, kind, count, value: F.concat(F.lit(tag), _hex(kind, 4), _hex(count), value)
+    original = F.when(k.isin(0, 5), ts).when(k == 3, "not a date at all..").otherwise(created)
+    first = F.concat(F.when(k.isin(1, 4), "0001").otherwise("9003"), F.when(k == 2, "0007").otherwise("0002"), _hex(20), _hex(80))
+    second = F.concat(F.when(k == 4, "0002").otherwise("9004"), F.lit("0002"), _hex(20), _hex(100))
+    third = F.concat(F.when(k.isin(0, 1), "9011").otherwise("0003"), F.lit("0002"), _hex(7), _hex(120))
+    exif = F.concat(F.lit("0003"), first, second, third, _hex(0), _ascii(original), F.lit("00"), _ascii(created), F.lit("00"), _ascii("+08:00"), F.lit("0000"))
+    ref = lambda odd, low, high: F.concat(_ascii(F.when(odd, low).otherwise(high)), F.lit("000000"))
+    parts = lambda degrees: F.concat(_hex(degrees), _hex(1), _hex(n % 60), _hex(1), _hex(n % 59), _hex(1))
+    gps = F.concat(F.lit("0004"), entry("0001", 2, 2, ref(n % 2 == 1, "S", "N")), entry("0002", 5, 3, _hex(182)), entry("0003", 2, 2, ref(n % 3 == 1, "W", "E")), entry("0004", 5, 3, _hex(206)), _hex(0), parts(n % 90), parts(n % 179))
+    main = F.concat(F.lit("4D4D002A00000008" + "0002" + "87690004"), _hex(1), F.when(k == 6, _hex(60000)).otherwise(_hex(38)), F.lit("88250004"), _hex(1), _hex(128), _hex(0))
+    jpeg = F.concat(F.lit("FFD8FFE100EE"), _ascii("Exif"), F.lit("0000"), main, exif, gps, F.lit("FFD9"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", readers.content_metadata_udf(F.unhex(jpeg), F.lit("image")).alias("m")).select("o_orderkey", "m.naive", "m.offset_s", "m.lat", "m.lon", "m.status")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderdate + INTERVAL (o_orderkey % 86400) SECOND AS t FROM orders)
+SELECT o_orderkey, (CASE WHEN k = 4 THEN NULL ELSE t END)::TIMESTAMP AS naive, CASE WHEN k IN (0, 3) THEN 32400 WHEN k <> 4 THEN 0 END::INT AS offset_s, CASE WHEN k NOT IN (3, 4) THEN (o_orderkey % 90)::DOUBLE + 0.5 END AS lat, CASE WHEN k NOT IN (3, 4) THEN -((o_orderkey % 180)::DOUBLE + 0.25) END AS lon,
+CASE WHEN k IN (0, 3) THEN 'zoned' WHEN k <> 4 THEN 'instant' END AS kind, CASE WHEN k = 4 THEN 'absent' ELSE 'ok' END AS status FROM o""")
+def s12_video(spark, sf_dir):
+    """Films; their creation date, else the header's instant, the last valid place, and no place without a date."""
+    n = F.col("o_orderkey")
+    k = n % 6
+    ts = F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
+    box = lambda kind, body: F.concat(_hex((F.length(body) / 2).cast("long") + 8), kind if isinstance(kind, Column) else _ascii(kind), body)
+    seconds = F.timestamp_diff("SECOND", F.lit("1904-01-01").cast("timestamp_ntz"), ts)
+    header = box("mvhd", F.concat(_hex(0), F.when(k == 4, _hex(0)).otherwise(_hex(seconds)), _hex(0)))
+    wall = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k.isin(0, 3), F.concat(wall, F.lit("+0900"))).when(k == 5, F.concat(wall, F.lit("+0000"))).when(k == 2, "some day in May")
+    place = F.concat(F.lit("+"), (n % 90).cast("string"), F.lit(".5-"), F.lpad((n % 180).cast("string"), 3, "0"), F.lit(".25/"))
+    place = F.when(k == 3, "+91.5-010.25/").otherwise(place)
+    value = lambda text: box("data", F.concat(_hex(1), _hex(0), _ascii(text)))
+    keys = box("keys", F.concat(_hex(0), _hex(2), box("mdta", _ascii("com.apple.quicktime.creationdate")), box("mdta", _ascii("com.apple.quicktime.location.ISO6709"))))
+    dated = F.when(said.isNotNull(), box(_hex(1), value(said))).otherwise("")
+    items = box("ilst", F.concat(dated, box(_hex(2), value(place))))
+    film = F.concat(box("ftyp", _ascii("qt  ")), box("moov", F.concat(header, box("meta", F.concat(keys, items)))), box("mdat", _ascii("frames")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", readers.content_metadata_udf(F.unhex(film), F.lit("video")).alias("m")).select("o_orderkey", "m.naive", "m.offset_s", "m.lat", "m.lon", "m.kind", "m.status")
+
+
+# ---- effects: a small library of files, one or more a nation, is written, organised and taken back --------------
+
+
+def _library(spark, sf_dir) -> tuple[str, str]:
+    """Writes the nations' files in the shared folder, which has to be a mounted one; returns the library and where it is to go.
+
+    in/<region>/<nation>.jpg for each, a copy in in/copies/deep for every third, an XMP beside every fourth,
+    two notes and a file that a pattern hides.
+    """
+    root = shared_dir(spark)
+    if not root.startswith(("file:", "/")):
+        raise ValueError(f"{root} isn't mounted here")
+    at = os.path.join(root.removeprefix("file://").removeprefix("file:"), f"library-{uuid.uuid4().hex}")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_nationkey", "n_name", "n_regionkey", "r_name").collect()  # every row is a file that the driver writes
+
+    def put(rel: str, data: bytes, when: datetime) -> None:
+        path = os.path.join(at, "in", rel)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
+        os.utime(path, (when.timestamp(), when.timestamp()))
+
+    for r in nations:
+        when = datetime(2020, 1, 1, 1 + r.n_regionkey, tzinfo=timezone.utc) + timedelta(days=r.n_regionkey)
+        put(f"{r.r_name}/{r.n_name}.jpg", r.n_name.encode(), when)
+        if r.n_nationkey % 3 == 0:
+            put(f"copies/deep/{r.n_name}.jpg", r.n_name.encode(), when)
+        if r.n_nationkey % 4 == 1:
+            put(f"{r.r_name}/{r.n_name}.XMP", generator.xmp(datetime(2021, 6, 1, 12, 34, 56) + timedelta(days=r.n_nationkey)), when)
+    put("notes.txt", b"not media", datetime(2020, 1, 1, tzinfo=timezone.utc))
+    put("hidden/deep/x.jpg", b"hidden", datetime(2020, 1, 1, tzinfo=timezone.utc))
+    return os.path.join(at, "in"), os.path.join(at, "out")
+
+
+def _committed(spark, sf_dir):
+    """The library organised: where it was, where it went, the plan, the outcome, its journal."""
+    source, out = _library(spark, sf_dir)
+    v = settings.merge({"command_line": {"output_dir": out, "default_timezone": "UTC", "skip_patterns": ["hidden"], "chunk_size": 7}})
+    made = lifecycle.plan(spark, [source], v)
+    done, log = lifecycle.commit(made, ["organise"])
+    return source, out, made, done, log
+
+
+def _tree(spark, root: str) -> DataFrame:
+    """(path, digest) of the files below a folder, the engine's own left out; one row for each that ``_library`` wrote or a move made."""
+    found = []
+    for d, _, files_ in os.walk(root):
+        if paths.METADATA_DIR not in d.split("/"):
+            found += [(os.path.relpath(os.path.join(d, n), root), None if n == manifest.NAME else readers.full_digest(os.path.join(d, n))) for n in files_]
+    return spark.createDataFrame(found, "path string, digest string")
+
+
+_N = "n AS (SELECT n_nationkey AS k, n_name AS n, n_regionkey AS g, r_name AS r, TIMESTAMP '2020-01-01' + INTERVAL (n_regionkey) DAY + INTERVAL (1 + n_regionkey) HOUR AS t, TIMESTAMP '2021-06-01 12:34:56' + INTERVAL (n_nationkey) DAY AS x FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"""WITH {_N} SELECT r || '/' || n || '.jpg' AS path, 'image' AS kind, length(n)::BIGINT AS size, t::TIMESTAMP AS modified, 'ok' AS status FROM n
+UNION ALL SELECT 'copies/deep/' || n || '.jpg', 'image', length(n), t, 'ok' FROM n WHERE k % 3 = 0 UNION ALL SELECT r || '/' || n || '.XMP', 'sidecar', {len(generator.xmp(datetime(2021, 6, 1, 12, 34, 56)))}, t, 'ok' FROM n WHERE k % 4 = 1 UNION ALL SELECT 'hidden', NULL, NULL, NULL, 'excluded'""")
+def s1_scan(spark, sf_dir):
+    """A walk over directories of files; what a pattern hides is one row, bystanders are none."""
+    source, _ = _library(spark, sf_dir)
+    found = media.scan(spark, [source], ["hidden"])
+    return found.select(F.col("rel_path").alias("path"), "kind", "size", F.col("mtime").cast("timestamp_ntz").alias("modified"), "status")
+
+
+_MOVED = f"""{_N}, h AS (SELECT k, sha256(n) AS h, row_number() OVER (ORDER BY sha256(n)) - 1 AS grp FROM n WHERE k % 3 = 0),
+d AS (SELECT *, CASE WHEN k % 4 = 1 THEN x ELSE t END AS s FROM n), c AS (SELECT *, row_number() OVER (PARTITION BY strftime(s, '%Y-%m-%d-%H%M%S') ORDER BY string_split(r || '/' || n || '.jpg', '/')) - 1 AS dup FROM d),
+f AS (SELECT *, strftime(s, '%Y-%m-%d') || '/' || strftime(s, '%Y-%m-%d-%H%M%S') || CASE WHEN dup > 0 THEN '-' || dup ELSE '' END AS stem FROM c)"""
+
+
+@query(f"""WITH {_MOVED} SELECT stem || '.jpg' AS path, sha256(n) AS digest FROM f UNION ALL SELECT 'duplicates/' || lpad(grp::VARCHAR, 3, '0') || '/' || n || '.jpg', sha256(n) FROM h JOIN n USING (k) UNION ALL SELECT 'duplicates/' || lpad(grp::VARCHAR, 3, '0') || '/manifest.txt', NULL FROM h
+UNION ALL SELECT stem || '.xmp', sha256('{generator.xmp(datetime(2021, 6, 1, 12, 34, 56)).decode().replace("2021-06-01T12:34:56", "' || strftime(x, '%Y-%m-%dT%H:%M:%S') || '")}') FROM f WHERE k % 4 = 1""")
+def e5_committed_tree(spark, sf_dir):
+    """The files of a library after a run that moved it in chunks, companions beside their parents, with what they hold."""
+    return _tree(spark, _committed(spark, sf_dir)[1])
+
+
+@query(f"""WITH {_N}, e AS (SELECT 'move_intent' AS type, count(*) + count(*) FILTER (k % 3 = 0) + count(*) FILTER (k % 4 = 1) AS n FROM n UNION ALL SELECT 'move_committed', count(*) + count(*) FILTER (k % 4 = 1) FROM n UNION ALL SELECT 'duplicate_moved', count(*) FILTER (k % 3 = 0) FROM n UNION ALL SELECT 'run_completed', 1)
+SELECT type, n::BIGINT AS n, CASE WHEN type = 'run_completed' THEN 1 + 2 * (SELECT n FROM e WHERE type = 'move_intent') + 1 ELSE NULL END::INT AS line FROM e""")
+def k3_journal(spark, sf_dir):
+    """What a run's journal holds; an intent before each outcome, and one completion on its last line."""
+    e = journal.read(spark, str(_committed(spark, sf_dir)[4]))
+    return e.groupBy("type").agg(F.count("*").alias("n"), F.max(F.when(F.col("type") == "run_completed", F.col("line_no"))).alias("line"))
+
+
+@query(f"""WITH {_N} SELECT r || '/' || n || '.jpg' AS path, sha256(n) AS digest FROM n UNION ALL SELECT 'copies/deep/' || n || '.jpg', sha256(n) FROM n WHERE k % 3 = 0 UNION ALL SELECT 'notes.txt', sha256('not media') UNION ALL SELECT 'hidden/deep/x.jpg', sha256('hidden')
+UNION ALL SELECT r || '/' || n || '.XMP', sha256('{generator.xmp(datetime(2021, 6, 1, 12, 34, 56)).decode().replace("2021-06-01T12:34:56", "' || strftime(x, '%Y-%m-%dT%H:%M:%S') || '")}') FROM n WHERE k % 4 = 1 UNION ALL SELECT 'left behind: ' || 'duplicates/' || lpad((row_number() OVER (ORDER BY sha256(n)) - 1)::VARCHAR, 3, '0') || '/manifest.txt', NULL FROM n WHERE k % 3 = 0""")
+def e11_taken_back(spark, sf_dir):
+    """The files after the run was taken back; all are where they were, emptied directories are gone, manifests stay."""
+    source, out, _, _, log = _committed(spark, sf_dir)
+    lifecycle.take_back(spark, str(log.parent), commit=True)
+    left = _tree(spark, out).select(F.concat(F.lit("left behind: "), "path").alias("path"), "digest")
+    return _tree(spark, source).union(left)
+
+
+@query(f"WITH {_N} SELECT 'first' AS run, (count(*) + count(*) FILTER (k % 3 = 0) + count(*) FILTER (k % 4 = 1))::BIGINT AS n_restorable, false AS interrupted FROM n UNION ALL SELECT 'second', (count(*) + count(*) FILTER (k % 3 = 0) + count(*) FILTER (k % 4 = 1))::BIGINT, false FROM n")
+def s8_recorded_runs(spark, sf_dir):
+    """The runs that a folder of journals records, newest first; a run and the one that took it back."""
+    log = _committed(spark, sf_dir)[4]
+    lifecycle.take_back(spark, str(log.parent), commit=True)
+    found = lifecycle.recorded_runs(spark, str(log.parent))
+    rows = [("first" if r["run_id"] == log.stem else "second", r["n_restorable"], r["interrupted"]) for r in found if r["error"] is None]
+    return spark.createDataFrame(rows, "run string, n_restorable long, interrupted boolean")
+
+
+@query(f"""WITH {_N}, h AS (SELECT row_number() OVER (ORDER BY sha256(n)) - 1 AS g FROM n WHERE k % 3 = 0) SELECT lpad(g::VARCHAR, 3, '0') AS group_id, 1::BIGINT AS n_copies, CASE WHEN g = 0 THEN 0 ELSE 1 END::BIGINT AS n_matching, CASE WHEN g = 0 THEN 'mismatch' ELSE 'confirmed' END AS verdict FROM h""")
+def j7_verified(spark, sf_dir):
+    """Groups of copies on disk held against their originals by the keyed digest; the first group's copy was altered."""
+    out = _committed(spark, sf_dir)[1]
+    first = os.path.join(out, "duplicates", "000")
+    for n in os.listdir(first):
+        if n != manifest.NAME:
+            with open(os.path.join(first, n), "ab") as f:
+                f.write(b"!")
+    return lifecycle.check_duplicates(spark, os.path.join(out, "duplicates"))[0]

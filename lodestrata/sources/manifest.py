@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import manifest_escape
+from ..operators.cascade import group_directory
 
 # The comment lines that carry paths.
 KEPT, MOVED = "# Original kept at: ", "# Original moved to: "
@@ -37,6 +38,12 @@ def render(groups: DataFrame) -> DataFrame:
     return groups.select("group_id", F.concat(head, F.lit("#\n"), body, F.lit("\n")).alias("text"))
 
 
+def of_originals(files: DataFrame, groups: DataFrame, duplicates_dir: str = "duplicates") -> DataFrame:
+    """(path, manifest) of ``files(path)``: the manifest of the group that a file heads, of ``groups(original, number)``, or null."""
+    at = F.concat(group_directory(F.col("number"), duplicates_dir), F.lit(f"/{NAME}"))
+    return files.join(groups.select(F.col("original").alias("path"), at.alias("manifest")), "path", "left").select("path", "manifest")
+
+
 def _escaped(path: str) -> str:
     """``manifest_escape`` for one path on the driver."""
     short = {"\n": "\\n", "\r": "\\r"}

@@ -95,7 +95,7 @@ def test_stopping_between_chunks_and_an_empty_directory(spark, tmp_path):
         (tmp_path / f"{i}.jpg").write_text(str(i))
     made = lifecycle.plan(spark, [str(tmp_path)], settings(chunk_size=2))
     done, _ = lifecycle.commit(made, go_on=lambda chunk: chunk < 1)
-    assert done.moved == 2
+    assert done.moved == 2 and done.unprocessed == 3
     (tmp_path / "none").mkdir()
     assert lifecycle.plan(spark, [str(tmp_path / "none")], settings()).counts["scanned"] == 0
 
