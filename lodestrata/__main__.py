@@ -16,13 +16,14 @@ from .plans.settings import SettingsError
 
 USER_FILE = Path("~/.config/lodestrata/config.toml")
 # Settings that the command line can give, and how each is read there.
-FLAGS = {"output_dir": str, "journal_dir": str, "chunk_size": int, "date_directory_format": str, "filename_format": str, "duplicates_dir": str, "unsorted_dir": str, "default_timezone": str, "filesystem_date_warning_percent": int}
+FLAGS = {"output_dir": str, "journal_dir": str, "chunk_size": int, "date_directory_format": str, "filename_format": str, "duplicates_dir": str, "unsorted_dir": str, "default_timezone": str, "filesystem_date_warning_percent": int, "hash_threads": int, "verbose": int}
 SWITCHES = {"include_location": argparse.BooleanOptionalAction, "require_exif": argparse.BooleanOptionalAction, "sidecars": argparse.BooleanOptionalAction, "no_prompt": "store_true"}
 
 
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("lodestrata", description=__doc__)
-    top.add_argument("--config", help="a settings file instead of the nearest project file")
+    top.add_argument("--config", help="a settings file instead of the user's and the nearest project's")
+    top.add_argument("--no-config", action="store_true", help="leave settings files out; variables still count")
     what = top.add_subparsers(dest="command", required=True)
     o = what.add_parser("organise", help="plan where files go; --commit moves them")
     o.add_argument("roots", nargs="+")
@@ -47,9 +48,10 @@ def arguments() -> argparse.ArgumentParser:
     j.add_argument("--journal-dir")
     v = what.add_parser("verify", help="hold duplicates against their originals")
     v.add_argument("directory")
-    c = what.add_parser("config", help="show settings and where they come from, or write a starter file")
-    c.add_argument("action", choices=("show", "path", "init"))
-    c.add_argument("path", nargs="?", default=conf.FILES[0])
+    c = what.add_parser("config", help="show settings and where they come from, what was looked for, check files, or write a starter file")
+    c.add_argument("action", choices=("show", "path", "validate", "init"))
+    c.add_argument("path", nargs="?", help="the file to check or to write")
+    c.add_argument("--project", action="store_true", help="write the starter into this directory instead of the user's")
     c.add_argument("--force", action="store_true")
     g = what.add_parser("generate", help="write a library of small media for trials")
     g.add_argument("directory")
@@ -58,19 +60,26 @@ def arguments() -> argparse.ArgumentParser:
     return top
 
 
-def resolve(args: argparse.Namespace) -> conf.Settings:
+def load(args: argparse.Namespace) -> conf.Loaded:
+    return conf.load(args.config, args.no_config, USER_FILE.expanduser(), Path.cwd())
+
+
+def resolve(args: argparse.Namespace, loaded: conf.Loaded | None = None) -> conf.Settings:
     """The settings of all layers for these arguments."""
-    layers = {}
-    user = USER_FILE.expanduser()
-    if user.is_file():
-        layers["user"] = conf.file_layer(user)
-    project = Path(args.config) if args.config else conf.find_project_file(Path.cwd())
-    if project:
-        layers["project"] = conf.file_layer(project)
-    layers["environment"] = conf.env_layer()
     own = {k: getattr(args, k, None) for k in (*FLAGS, *SWITCHES, "skip_patterns")}
-    layers["command_line"] = {k: conf.validate(k, x, "--" + k.replace("_", "-") + ": ") for k, x in own.items() if x is not None}
-    return conf.merge(layers)
+    return (loaded or load(args)).resolve({k: conf.validate(k, x, "--" + k.replace("_", "-") + ": ") for k, x in own.items() if x is not None})
+
+
+def configure(args: argparse.Namespace) -> list[str]:
+    """What the config commands print."""
+    if args.action == "init":
+        at = Path(args.path) if args.path else Path.cwd() / conf.FILES[0] if args.project else USER_FILE.expanduser()
+        conf.write_starter(at, args.force)
+        return [str(at)]
+    if args.action == "validate" and args.path:
+        return conf.validation_report(conf.load(args.path, variables={}))
+    loaded = load(args)
+    return conf.report(resolve(args, loaded)) if args.action == "show" else conf.search_report(loaded, args.no_config) if args.action == "path" else conf.validation_report(loaded)
 
 
 def session() -> SparkSession:
@@ -93,6 +102,11 @@ def organise(args: argparse.Namespace, settings: conf.Settings) -> int:
         places = spark.read.parquet(args.places) if args.places.endswith(".parquet") else spark.read.schema(schema).option("header", True).csv(args.places)
     made = lifecycle.plan(spark, args.roots, settings, places)
     dates, counts = made.dates(), dict(made.counts)
+    print(reports.banner(args.commit))
+    if v["verbose"]:
+        print("\n".join(conf.report(settings)))
+    for line in (*reports.duplicate_lines(made), *reports.orphan_lines(made.orphans)):
+        print(line)
     if not args.commit:
         for line in reports.plan_lines(made):
             print(line)
@@ -119,23 +133,22 @@ def main(argv: list[str] | None = None) -> int:
             for line in reports.verdict_lines(verdicts):
                 print(line)
             return code
+        if args.command == "config":
+            print("\n".join(configure(args)))
+            return 0
         settings = resolve(args)
         if args.command == "organise":
             return organise(args, settings)
-        if args.command == "config":
-            if args.action == "init":
-                conf.write_starter(args.path, args.force)
-            print("\n".join(conf.report(settings)) if args.action == "show" else args.path if args.action == "init" else conf.find_project_file(Path.cwd()) or "no project file")
-            return 0
         where = args.journal_dir or lifecycle.journal_dir(os.path.abspath(args.library), settings)
         if args.command == "undo":
-            done = lifecycle.take_back(session(), where, args.run, args.commit)
+            done = lifecycle.take_back(session(), where, args.run, args.commit, tell=lambda line: print(line))
             print("\n".join(reports.restored(done, args.commit)))
             return done.exit_code if args.commit else 0
         if args.action == "list":
             print("\n".join(reports.runs(lifecycle.recorded_runs(session(), where))))
         else:
-            print(lifecycle.pick_run(where, args.run).read_text(encoding="utf-8"), end="")
+            for line in reports.run_detail(*lifecycle.run_detail(session(), where, args.run)):
+                print(line)
         return 0
     except (SettingsError, ValueError, OSError, PySparkException) as e:
         print(f"lodestrata: {e}", file=sys.stderr)

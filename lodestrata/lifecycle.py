@@ -37,6 +37,8 @@ class Plan:
     counts: dict[str, int]
     output: str
     settings: Settings
+    #: Companions without a file: path and reason.
+    orphans: DataFrame | None = None
 
     def ordered(self) -> DataFrame:
         """Duplicates by group and member, then the rest by path."""
@@ -115,7 +117,7 @@ def plan(spark: SparkSession, roots: list[str], settings: Settings, places: Data
     listed = cut(media.scan(ready(spark), [os.path.abspath(r) for r in roots], v["skip_patterns"], v["sidecars"], **v["extensions"]).dropDuplicates(["path", "status"]))
     files = listed.where("status = 'ok' and kind <> 'sidecar'").select("path", "size", "extension", "kind", "mtime", "birthtime")
     paired = cut(pairing.pair(files, listed.where("status = 'ok' and kind = 'sidecar'").select("path")))
-    classified = cut(cascade.classify_paths(files))
+    classified = cut(cascade.classify_paths(files, threads=v["hash_threads"]))
     key = {"depth": F.size(paths.components(F.col("path"))), "key": F.translate("path", "/", "\0")}
     again = classified.where("role = 'duplicate'").join(cascade.groups(classified).select(F.col("hash").alias("known_hash"), "number"), "known_hash")
     group = (F.col("number") + _next_group(os.path.join(output, v["duplicates_dir"]))).cast("int")
@@ -141,7 +143,7 @@ def plan(spark: SparkSession, roots: list[str], settings: Settings, places: Data
     by_status = {r.status: r["count"] for r in listed.groupBy("status").count().collect()}
     role = classified.agg(F.count("*").alias("scanned"), F.count_if(F.col("role") == "original").alias("duplicate_groups"), F.count_if(F.col("role") == "duplicate").alias("duplicate_files"), F.count_if(F.col("role") == "skipped").alias("hash_skipped")).first().asDict()
     sides = paired.agg(F.count_if(F.col("parent").isNotNull()).alias("sidecars_found"), F.count_if(F.col("parent").isNull()).alias("sidecar_orphans")).first().asDict()
-    return Plan(rows, role | sides | {"scan_skipped": by_status.get("unreadable", 0), "excluded": by_status.get("excluded", 0)}, output, settings)
+    return Plan(rows, role | sides | {"scan_skipped": by_status.get("unreadable", 0), "excluded": by_status.get("excluded", 0)}, output, settings, paired.where("parent is null").select("path", "reason"))
 
 
 def _next_group(directory: str) -> int:
@@ -205,19 +207,26 @@ class Undone:
         return 1 if self.shortfall or self.unresolved else 0
 
 
-def take_back(spark: SparkSession, directory: str, run: str | None = None, commit: bool = False) -> Undone:
-    """Previews, or with ``commit`` carries out, the undoing of a run recorded in ``directory``; the restore is journaled too."""
+def take_back(spark: SparkSession, directory: str, run: str | None = None, commit: bool = False, tell=lambda line: None) -> Undone:
+    """Previews, or with ``commit`` carries out, the undoing of a run recorded in ``directory``; the restore is journaled too.
+
+    ``tell`` gets a line for each step of a preview and for each move without an outcome.
+    """
     path = pick_run(directory, run)
     root = header(path)["output_dir"]
     entries = cut(journal.read(ready(spark), str(path)))
     steps = [] if not entries.take(1) else undo.restore_plan(entries)
-    lost = undo.unresolved(entries).count()
+    lost = 0
+    for r in undo.unresolved(entries).orderBy("line_no").toLocalIterator():
+        lost += 1
+        tell(f"no outcome recorded: {r.source} -> {r.destination}")
     rows = (r.asDict() for r in steps.toLocalIterator()) if steps else iter(())
     if not commit:
         counts: dict[str, int] = {}
         for s in rows:
             status = sink.verify_step(s["destination"], s["size"], s["hash"])
             counts[status] = counts.get(status, 0) + 1
+            tell(f"{status}: {s['destination']} -> {s['source']}")
         return Undone(counts, lost, None)
     first = next(rows, None)
     if first is None:
@@ -234,6 +243,13 @@ def take_back(spark: SparkSession, directory: str, run: str | None = None, commi
     return Undone(counts, lost, ", ".join(short) or None, at)
 
 
+def run_detail(spark: SparkSession, directory: str, run: str | None = None):
+    """What ``reports.run_detail`` shows of a run, or of the newest: header, counters, steps, intents without an outcome."""
+    path = pick_run(directory, run)
+    entries = cut(journal.read(ready(spark), str(path)))
+    return header(path), undo.runs(entries).first(), undo.restore_plan(entries), undo.unresolved(entries)
+
+
 def recorded_runs(spark: SparkSession, directory: str) -> list[dict]:
     """The runs in ``directory``, newest first; one that can't be read is a row with what is wrong. All journals are read at once."""
     found = journal.newest_first(directory)

@@ -42,15 +42,20 @@ def classify(files: DataFrame, content: str = "content", path: str = "path", k:
     return _roles(read, path)
 
 
-def classify_paths(files: DataFrame, k: int = K) -> DataFrame:
+def classify_paths(files: DataFrame, k: int = K, threads: int | None = None) -> DataFrame:
     """``classify`` for ``files(path, size)`` that are still on disk: each step opens only what the step before left open.
 
-    Adds ``skip_reason``; files that can't be read or whose size has changed are skipped.
+    Adds ``skip_reason``; files that can't be read or whose size has changed are skipped. At most ``threads``
+    tasks read files at a time, where that is given.
     """
-    shared = files.join(_repeated(files, "size"), "size", "left_semi").select("path", "size").withColumn("p", partial_digest_udf(k)("path", "size"))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(threads) if threads else df
+
+    shared = dealt(files.join(_repeated(files, "size"), "size", "left_semi").select("path", "size")).withColumn("p", partial_digest_udf(k)("path", "size"))
     part = cut(shared.select("path", "size", F.col("p.digest").alias("_part"), F.col("p.reason").alias("_why")))
     again = part.where(F.col("size") > k).join(_repeated(part.where("_part is not null"), "size", "_part"), ["size", "_part"], "left_semi")
-    full = cut(again.select("path", full_digest_udf("path").alias("f")).select("path", F.col("f.digest").alias("_digest"), F.col("f.reason").alias("_later")))
+    full = cut(dealt(again.select("path")).select("path", full_digest_udf("path").alias("f")).select("path", F.col("f.digest").alias("_digest"), F.col("f.reason").alias("_later")))
     met = files.join(part.drop("size"), "path", "left").join(full, "path", "left")
     met = met.withColumns({"covers_whole": F.col("size") <= k, "_full": F.when(F.col("size") <= k, F.col("_part")).otherwise(F.col("_digest")), "skip_reason": F.coalesce("_why", "_later")})
     return _roles(met.drop("_why", "_later", "_digest"), "path", F.col("skip_reason").isNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tomllib
 from dataclasses import dataclass, field
@@ -23,6 +24,14 @@ DEFAULTS = {
 LAYERS = ("default", "user", "project", "environment", "command_line")
 PREFIX, FILES = "LODESTRATA_", ("lodestrata.toml", ".lodestrata.toml")
 SAFETY = ("commit", "force", "no_journal")
+NUMBERS = ("chunk_size", "hash_threads", "verbose", "filesystem_date_warning_percent")
+#: What each setting is for, as the starter file says it.
+MEANING = {
+    "output_dir": "where files are filed; the first input directory if unset", "chunk_size": "files moved between two questions; 0 asks once", "hash_threads": "tasks that read files at a time, 1 to 1024", "no_prompt": "go on without asking between chunks",
+    "verbose": "1 and more show the settings of a run", "journal_dir": "where runs are recorded; below the output if unset", "date_directory_format": "directories of dated files, by strftime", "filename_format": "names of dated files: {date} {time} {location} {ext} {original_stem}",
+    "include_location": "put the nearest place into names", "duplicates_dir": "where copies go", "unsorted_dir": "where files without a date go", "skip_patterns": "globs of what is left alone", "default_timezone": "zone of clocks without an offset: a name, an offset or Z",
+    "require_exif": "file by recorded dates only", "sidecars": "let companions travel with their files", "filesystem_date_warning_percent": "warn when more dated files than this have only the file system's date", "extensions": "what counts as image, video and sidecar; a list replaces its default",
+}
 
 
 class SettingsError(ValueError):
@@ -71,6 +80,19 @@ def validate(key: str, value, where: str = "") -> object:
     default = DEFAULTS[key]
     if isinstance(default, bool) and not isinstance(value, bool):
         raise bad("must be true or false")
+    if isinstance(default, list) and not (isinstance(value, list) and all(isinstance(x, str) for x in value)):
+        raise bad("must be a list of strings")
+    if (default is None and key not in NUMBERS or isinstance(default, str)) and not isinstance(value, str):
+        raise bad("must be a string")
+    if key == "extensions":
+        if not isinstance(value, dict):
+            raise bad("must be a table of image, video and sidecar lists")
+        for kind, found in value.items():
+            if kind not in DEFAULTS["extensions"]:
+                raise bad(f"no such list: {kind}")
+            if not isinstance(found, list) or not all(isinstance(x, str) and x.strip(". ") for x in found):
+                raise bad(f"{kind} must be a list of extensions")
+        return {kind: [x.strip().lstrip(".").lower() for x in found] for kind, found in value.items()}
     if key in ("chunk_size", "verbose", "hash_threads", "filesystem_date_warning_percent"):
         low, high = {"hash_threads": (1, 1024), "filesystem_date_warning_percent": (0, 100)}.get(key, (0, 1 << 62))
         if isinstance(value, bool) or not isinstance(value, int) or not low <= value <= high:
@@ -160,14 +182,99 @@ def check_safety(flags: dict[str, bool], acknowledged: bool = False) -> None:
         raise SettingsError("committing without a journal has to be acknowledged")
 
 
+@dataclass
+class Loaded:
+    """Layers below the command line as (name, file or None, settings), lowest first; files looked for, with whether they were there."""
+
+    layers: list[tuple[str, Path | None, dict]] = field(default_factory=list)
+    searched: list[tuple[Path, bool]] = field(default_factory=list)
+
+    def resolve(self, command_line: dict | None = None) -> Settings:
+        """All layers merged; ``source`` names the layer, with its file where it has one."""
+        out = merge({name: values for name, _, values in self.layers} | {"command_line": command_line or {}})
+        files = {name: path for name, path, _ in self.layers if path}
+        out.source = {k: f"{name} {files[name]}" if name in files else name for k, name in out.source.items()}
+        return out
+
+
+def load(explicit: str | Path | None = None, no_config: bool = False, user: Path | None = None, start: str | Path | None = None, variables: dict[str, str] | None = None) -> Loaded:
+    """Reads the layers in ascending priority: the user's file, the nearest project file, the environment.
+
+    A file named on the command line replaces both files; ``no_config`` leaves files out, and the two
+    contradict each other. The environment always counts.
+    """
+    out = Loaded()
+    if explicit and no_config:
+        raise SettingsError("--config and --no-config contradict each other")
+    if explicit:
+        out.layers.append(("project", Path(explicit), file_layer(explicit)))
+        out.searched.append((Path(explicit), True))
+    elif not no_config:
+        if user is not None:
+            out.searched.append((user, user.is_file()))
+            if user.is_file():
+                out.layers.append(("user", user, file_layer(user)))
+        if start is not None:
+            found = find_project_file(start)
+            for d in (p := Path(start).resolve(), *p.parents):
+                for name in FILES:
+                    if found is None or found not in [x for x, _ in out.searched]:
+                        out.searched.append((d / name, d / name == found))
+            if found:
+                out.layers.append(("project", found, file_layer(found)))
+    if environment := env_layer(variables):
+        out.layers.append(("environment", None, environment))
+    return out
+
+
+def _toml(value) -> str:
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, list):
+        return "[" + ", ".join(map(_toml, value)) + "]"
+    return json.dumps(value, ensure_ascii=False) if isinstance(value, str) else str(value)
+
+
 def report(settings: Settings) -> list[str]:
-    return [f"{k} = {settings.values[k]!r}  ({settings.source[k]})" for k in DEFAULTS]
+    """The settings as a settings file that means the same, each with the layer that decided it; unset ones as comments."""
+    out = ["# The settings of this run, and where each comes from."]
+    for k in DEFAULTS:
+        v, source = settings.values[k], settings.source.get(k, "default")
+        if k == "extensions":
+            out += ["", "[extensions]", *(f"{kind} = {_toml(v[kind])}  # from: {source}" for kind in v)]
+        else:
+            out.append(f"# {k} is unset  # from: {source}" if v is None else f"{k} = {_toml(v)}  # from: {source}")
+    return out
+
+
+def search_report(loaded: Loaded, no_config: bool = False) -> list[str]:
+    """Every file that was looked for, and whether it was there."""
+    if no_config:
+        return ["No settings files were looked for: --no-config was given. Variables still count."]
+    if not loaded.searched:
+        return ["No settings files could be looked for."]
+    n = sum(found for _, found in loaded.searched)
+    last = "None was found, so the built-in defaults hold." if not n else f"{n} file{'s' if n > 1 else ''} read, lowest priority first."
+    return ["Looked for, in order:", *(f"  {'found' if found else 'missing':<8} {path}" for path, found in loaded.searched), last]
+
+
+def validation_report(loaded: Loaded) -> list[str]:
+    """The files that were read without a fault; a fault has stopped the run before."""
+    files = [path for _, path, _ in loaded.layers if path]
+    return [*(f"  ok  {p}" for p in files), f"{len(files)} settings file{'s' if len(files) > 1 else ''} read without a fault."] if files else ["No settings file was read, so there was nothing to check."]
 
 
 def write_starter(path: str | Path, force: bool = False) -> None:
-    lines = [f"# {k} = {str(v).lower() if isinstance(v, bool) else repr(v).replace(chr(39), chr(34))}" for k, v in DEFAULTS.items() if v is not None and k != "extensions"]
-    with open(path, "w" if force else "x") as f:
-        f.write("\n".join(lines) + "\n")
+    """A settings file with every key at its default, commented out, under what it is for."""
+    out = ["# Settings; take the # off a line to change it.", ""]
+    for k, v in DEFAULTS.items():
+        if k == "extensions":
+            out += [f"# {MEANING[k]}", "# [extensions]", *(f"# {kind} = {_toml(some)}" for kind, some in v.items())]
+        else:
+            out += [f"# {MEANING[k]}", f"# {k} = {_toml(v) if v is not None else ''}".rstrip() + ("" if v is not None else "  (unset)"), ""]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w" if force else "x", encoding="utf-8") as f:
+        f.write("\n".join(out) + "\n")
 
 
 def deciding(layers: DataFrame) -> DataFrame:

@@ -17,6 +17,57 @@ def _line(label: str, value) -> str:
     return f"  {label:<26}{value}"
 
 
+def banner(commit: bool) -> str:
+    return "Moving files; every move is recorded first" if commit else "Preview: nothing is changed without --commit"
+
+
+def duplicate_lines(made, most: int = 1000):
+    """Each group of copies: its digest, the file that stays and those that go; after ``most`` lines, how many are left."""
+    copies = made.rows.where("phase = 0")
+    total, group = copies.count(), None
+    for r in islice(copies.orderBy("group", "depth", "key").toLocalIterator(), most):
+        if r.group != group:
+            group = r.group
+            yield f"Group {r.group:03d}  {r.hash[:16]}  {r.size} bytes, {r.copies + 1} files"
+            yield f"    stays {r.original}"
+        yield f"    goes  {r.source}"
+    if total > most:
+        yield f"    ... and {total - most} more copies"
+
+
+# Why a companion has no file.
+REASONS = {"no_parent": "no file of that name", "ambiguous": "more than one file of that name"}
+
+
+def orphan_lines(orphans, most: int = 1000):
+    """Companions that stay where they are, with the reason."""
+    if orphans is None:
+        return
+    for r in islice(orphans.orderBy("path").toLocalIterator(), most):
+        yield f"Left alone: {r.path} ({REASONS.get(r.reason, r.reason)})"
+
+
+def run_detail(head: dict, run, steps, unresolved, most: int = 1000):
+    """A recorded run: when and how it was called, its counters, each step that can be taken back, each intent without an outcome."""
+    yield f"Run {head.get('run_id')}"
+    yield _line("Started:", head.get("started_at"))
+    yield _line("Output:", head.get("output_dir"))
+    yield _line("Arguments:", " ".join(head.get("argv") or []))
+    if run is None:
+        yield "  Nothing is recorded"
+        return
+    yield _line("Can be restored:", run.n_restorable)
+    yield "  Interrupted: it has no completion" if run.interrupted else _line("Moved, failed, skipped:", f"{run.moved}, {run.failed}, {run.skipped}")
+    for r in islice(steps.toLocalIterator(), most):
+        yield f"  {r.destination} -> {r.source}" + (f"  {names_abbreviated(r.hash)}" if r.hash else "")
+    for r in islice(unresolved.toLocalIterator(), most):
+        yield f"  no outcome recorded: {r.source} -> {r.destination}"
+
+
+def names_abbreviated(digest: str) -> str:
+    return digest[:12]
+
+
 def plan_lines(made, most: int = 1000):
     """One line a planned move, read from the plan as it is printed; after ``most`` lines, how many are left."""
     total = made.rows.count()

@@ -8,6 +8,7 @@ a pattern hides are pruned before they are opened. Content is never read here.
 from __future__ import annotations
 
 import json
+import logging
 import os
 import re
 import stat
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import paths
 from ..runtime import ready
 
+_log = logging.getLogger(__name__)
+
 SCHEMA = "path string, root string, rel_path string, size long, extension string, kind string, mtime timestamp, birthtime timestamp, status string"
 
 
@@ -38,7 +41,7 @@ class _Reader(DataSourceReader):
         self.companions = json.loads(options.get("sidecars", "true"))
 
     def partitions(self) -> list[InputPartition]:
-        """One for each top-level entry of each root that is a directory; other roots are left out with a warning row's silence."""
+        """One for each top-level entry of each root that is a directory; other roots are left out, as ``scan`` has warned."""
         out = []
         for root in self.roots:
             if os.path.isdir(root):
@@ -99,7 +102,13 @@ class MediaSource(DataSource):
 
 
 def scan(spark: SparkSession, roots: list[str], skip: list[str] = (), sidecars: bool = True, **extensions: list[str]) -> DataFrame:
-    """The files under ``roots`` (an overlap lists a file twice), with rows for what was excluded or unreadable."""
+    """The files under ``roots`` (an overlap lists a file twice), with rows for what was excluded or unreadable.
+
+    A root that is no directory is left out with a warning and counted nowhere.
+    """
+    for root in roots:
+        if not os.path.isdir(root):
+            _log.warning("%s is not a directory and is left out", root)
     ready(spark).dataSource.register(MediaSource)
     for p in skip:
         paths.glob_regex(p)

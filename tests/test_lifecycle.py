@@ -110,10 +110,74 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["organise", "in", "--commit", "--no-journal"]) == 1
     assert cli.main(["organise", "in", "--commit", "--output-dir", "out", "--no-prompt"]) == 0
     assert cli.main(["journal", "list", "out"]) == 0 and "files" in capsys.readouterr().out
+    assert cli.main(["journal", "show", "out"]) == 0
+    shown = capsys.readouterr().out
+    assert "Can be restored:" in shown and "Moved, failed, skipped:" in shown and shown.count(" -> ") == len([p for p in tree(tmp_path / "out") if not p.endswith(manifest.NAME) and ".lodestrata" not in p])
     assert cli.main(["verify", "out/duplicates"]) == 0
     assert cli.main(["undo", "out", "--commit"]) == 0 and tree(tmp_path / "in") == before
-    assert cli.main(["config", "init"]) == 0 and cli.main(["config", "init"]) == 1
-    assert cli.main(["config", "show"]) == 0 and "chunk_size = 100" in capsys.readouterr().out
+    assert cli.main(["config", "show"]) == 0 and "chunk_size = 100  # from: default" in capsys.readouterr().out
     assert cli.main(["organise", "in", "--chunk-size", "-1"]) == 1
     with pytest.raises(SettingsError):
         lifecycle.refuse_unsafe(True, False, False)
+
+
+def test_settings_are_loaded_in_order(tmp_path, monkeypatch, capsys):
+    """The user's file, the nearest project's, variables; a named file replaces both, and can't be named and refused at once."""
+    user, project, named = tmp_path / "home/config.toml", tmp_path / "lodestrata.toml", tmp_path / "named.toml"
+    monkeypatch.setattr(cli, "USER_FILE", user)
+    (tmp_path / "sub").mkdir()
+    monkeypatch.chdir(tmp_path / "sub")
+    assert cli.main(["config", "path"]) == 0 and "None was found" in capsys.readouterr().out
+    assert cli.main(["config", "validate"]) == 0 and "nothing to check" in capsys.readouterr().out
+    assert cli.main(["config", "init"]) == 0 and user.is_file() and cli.main(["config", "init"]) == 1 and cli.main(["config", "init", "--force"]) == 0
+    assert cli.main(["config", "init", "--project"]) == 0 and (tmp_path / "sub/lodestrata.toml").is_file()
+    (tmp_path / "sub/lodestrata.toml").unlink()
+    text = user.read_text()
+    assert all(f"# {k}" in text for k in conf.DEFAULTS if k != "extensions") and "# [extensions]" in text and conf.file_layer(user) == {}
+    user.write_text('chunk_size = 5\nunsorted_dir = "later"')
+    project.write_text('chunk_size = 6\n[extensions]\nvideo = [".MP4"]')
+    named.write_text("verbose = 1")
+    capsys.readouterr()
+    assert cli.main(["config", "show"]) == 0
+    shown = capsys.readouterr().out
+    assert f"chunk_size = 6  # from: project {project}" in shown and f'unsorted_dir = "later"  # from: user {user}' in shown and 'video = ["mp4"]' in shown and "# output_dir is unset  # from: default" in shown
+    assert cli.main(["--config", str(named), "config", "show"]) == 0
+    shown = capsys.readouterr().out
+    assert "chunk_size = 100  # from: default" in shown and "verbose = 1" in shown and "later" not in shown
+    monkeypatch.setenv("LODESTRATA_CHUNK_SIZE", "9")
+    assert cli.main(["--no-config", "config", "show"]) == 0
+    shown = capsys.readouterr().out
+    assert "chunk_size = 9  # from: environment" in shown and "later" not in shown
+    assert cli.main(["--no-config", "config", "path"]) == 0 and "--no-config" in capsys.readouterr().out
+    assert cli.main(["--no-config", "--config", str(named), "config", "show"]) == 1 and "contradict" in capsys.readouterr().err
+    assert cli.main(["config", "path"]) == 0
+    found = capsys.readouterr().out
+    assert f"found    {user}" in found and f"found    {project}" in found and "missing" in found and "2 files read" in found
+    assert cli.main(["config", "validate"]) == 0 and "2 settings files read" in capsys.readouterr().out
+    assert cli.main(["config", "validate", str(named)]) == 0 and str(named) in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("line", ['chunk_size = "5"', "chunk_size = -1", "hash_threads = 0", "hash_threads = 1025", "output_dir = 3", "skip_patterns = 'x'", "skip_patterns = [1]", "skip_patterns = ['[']", "extensions = 3", "[extensions]\naudio = ['mp3']", "[extensions]\nvideo = [3]", "[extensions]\nvideo = ['.']", "sidecars = 1", "default_timezone = 'Mars/Base'", "unsorted_dir = '/x'", "commit = true", "nothing = 1"])
+def test_settings_are_checked(tmp_path, line):
+    (tmp_path / "x.toml").write_text(line)
+    with pytest.raises(SettingsError, match="x.toml"):
+        conf.file_layer(tmp_path / "x.toml")
+
+
+def test_reports_of_a_plan(spark, library, tmp_path, caplog):
+    root = tmp_path / "in"
+    shutil.copytree(library, root)
+    made = lifecycle.plan(spark, [str(root), str(tmp_path / "nowhere")], settings(output_dir=str(tmp_path / "out"), hash_threads=2))
+    assert "nowhere is not a directory" in caplog.text and made.counts["scan_skipped"] == 0
+    lines = [*reports.duplicate_lines(made)]
+    copies = generator.PROFILES["awkward"][3]
+    assert sum(x.startswith("Group ") for x in lines) == copies and sum("    goes" in x for x in lines) == copies and sum("    stays" in x for x in lines) == copies
+    assert any("orphan.xmp (no file of that name)" in x for x in reports.orphan_lines(made.orphans))
+    done, at = lifecycle.commit(made)
+    with open(at, "a") as f:
+        f.write('{"type":"move_intent","seq":999,"source":"/a","destination":"/b"}\n')
+    told = []
+    back = lifecycle.take_back(spark, str(at.parent), tell=told.append)
+    assert back.unresolved == 1 and "no outcome recorded: /a -> /b" in told and sum(x.startswith("intact: ") for x in told) == done.moved
+    shown = [*reports.run_detail(*lifecycle.run_detail(spark, str(at.parent)))]
+    assert "  no outcome recorded: /a -> /b" in shown and any("Can be restored:" in x for x in shown)
