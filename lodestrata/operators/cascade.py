@@ -92,6 +92,18 @@ def group_directory(number: Column, root: str = "duplicates") -> Column:
     return F.concat(F.lit(f"{root}/"), F.format_string("%03d", number))
 
 
+def work(classified: DataFrame, k: int = K) -> DataFrame:
+    """One row: files and bytes at the start, those whose ends are read, and those that are read whole."""
+    size = F.col("size")
+    ends = F.col("partial_digest").isNotNull()
+    whole = ends & (size > k) & F.col("known_hash").isNotNull()
+    read = F.when(size <= k, size).when(size <= 2 * k, k).otherwise(2 * k)
+    total = lambda rows, n: F.coalesce(F.sum(F.when(rows, n)), F.lit(0)).cast("long")
+    return classified.where("size is not null").agg(
+        F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"), F.count_if(ends).alias("partial_files"), total(ends, read).alias("partial_bytes"), F.count_if(whole).alias("full_files"), total(whole, size).alias("full_bytes")
+    )
+
+
 def keyed(rows: DataFrame, key: Column, member: Column) -> DataFrame:
     """(key, n, first) of rows grouped by any key; rows whose key can't be had (null) are one row of their own, the errors."""
     return rows.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(member).alias("first"))

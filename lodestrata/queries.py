@@ -81,6 +81,15 @@ def a5_duplicate_roles(spark, sf_dir):
     return cascade.classify(files(spark, sf_dir), k=K).select("doc_id", "known_hash", "role", "copies")
 
 
+@query(f"""WITH {FILES}, g AS (SELECT *, octet_length(c) AS size, count(*) OVER (PARTITION BY octet_length(c)) AS ns, sha256(CASE WHEN octet_length(c) <= {2 * K} THEN c[1:{K}] ELSE c[1:{K}] || c[-{K}:] END) AS pd FROM f WHERE c IS NOT NULL),
+h AS (SELECT *, count(*) OVER (PARTITION BY size, pd) AS np FROM g)
+SELECT count(*)::BIGINT AS n_files, coalesce(sum(size), 0)::BIGINT AS n_bytes, count(*) FILTER (ns > 1)::BIGINT AS partial_files, coalesce(sum(CASE WHEN size <= {K} THEN size WHEN size <= {2 * K} THEN {K} ELSE {2 * K} END) FILTER (ns > 1), 0)::BIGINT AS partial_bytes,
+count(*) FILTER (ns > 1 AND size > {K} AND np > 1)::BIGINT AS full_files, coalesce(sum(size) FILTER (ns > 1 AND size > {K} AND np > 1), 0)::BIGINT AS full_bytes FROM h""")
+def a5_cascade_work(spark, sf_dir):
+    """A1-A5: files and bytes that each step of the cascade is left with; what is gone before a step is never read."""
+    return cascade.work(cascade.classify(files(spark, sf_dir), k=K), K)
+
+
 @query(f"WITH {FILES} SELECT sha256(c) AS hash, octet_length(c)::BIGINT AS size, count(*)::BIGINT AS copies, ({FIRST}).f AS original, (row_number() OVER (ORDER BY sha256(c)) - 1)::BIGINT AS number FROM f WHERE c IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
 def a5_duplicate_groups(spark, sf_dir):
     """Duplicate groups with their originals and numbers."""
