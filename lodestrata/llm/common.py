@@ -162,7 +162,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         small = large.join(low, large.a == low.u)
         new = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("u", "m")).distinct()
         new = scratch.write(new)
-        mark = new.agg(F.count("*"), F.sum(F.hash("a", "b").cast("decimal(20)"))).first()
+        mark = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38)")), F.sum(F.xxhash64("b", "a").cast("decimal(38)"))).first()
         scratch.drop(now, least, large, low)
         now = new
         if mark == last:

@@ -15,9 +15,11 @@ the payload.
 
 from __future__ import annotations
 
+import mmap
 import os
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -81,7 +83,7 @@ def write_segment(docs: list[np.ndarray], bits: int) -> bytes:
 
 
 class Segment:
-    """Random access to a segment's documents and ids."""
+    """Random access to a segment's documents and ids; over a mapped file only the pages of what is asked for are read."""
 
     def __init__(self, data: bytes):
         magic, version, self.bits, self.docs, self.ids, block = _HEAD.unpack_from(data)
@@ -93,6 +95,11 @@ class Segment:
         self.blocks = np.frombuffer(data, "<u8", n_blocks + 1, at)
         self.data, self.at = data, at + 8 * (n_blocks + 1)
 
+    @classmethod
+    def open(cls, path: str) -> Segment:
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
     def slice(self, lo: int, hi: int) -> np.ndarray:
         """Ids lo..hi, unpacking only the blocks that hold them."""
         if hi <= lo:
@@ -235,7 +242,7 @@ def _rows(it: Iterator[pa.RecordBatch], *names: str):
 def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` and writes the segments in ascending doc_id order; returns the container.
 
-    Null texts are empty; null doc_ids come first; rows of one doc_id are ordered by text. The range
+    Null texts are empty; null doc_ids come last; rows of one doc_id are ordered by text. The range
     exchange deals documents, not keys' groups, so no source or copy group matters to it.
     """
 
@@ -259,7 +266,7 @@ def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch)
         if held:
             yield out()
 
-    sorted_docs = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    sorted_docs = only(docs, "doc_id", "text").repartitionByRange(last := F.col("doc_id").asc_nulls_last()).sortWithinPartitions(last, "text")
     return scratch.write(sorted_docs.mapInArrow(lean(encode), CONTAINER))
 
 
@@ -284,8 +291,22 @@ def read_back(container: DataFrame) -> DataFrame:
     return rows.join(base, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def export(container: DataFrame, target: str) -> None:
-    """Writes the segments as plain files ``part-seq.lstk`` under a folder that this machine can write to."""
-    for row in container.orderBy("part", "seq").toLocalIterator():
-        with open(f"{target}/{row.part:06d}-{row.seq:06d}.lstk", "xb") as f:
-            f.write(bytes(row.segment))
+def export(container: DataFrame, target: str) -> DataFrame:
+    """Writes the segments as plain files ``part-seq.lstk`` under a folder that every executor mounts; (file, docs, ids, bytes) of each.
+
+    The executors write, each segment under a name of its own that is then put in place, so a task that
+    runs again does no harm. The files are written before this returns; ``Segment.open`` reads them.
+    """
+
+    def write(it):
+        for part, seq, docs, ids, data in _rows(it, "part", "seq", "docs", "ids", "segment"):
+            name = f"{part:06d}-{seq:06d}.lstk"
+            own = f"{target}/.{name}.{uuid.uuid4().hex}"
+            with open(own, "xb") as f:
+                f.write(data)
+            os.replace(own, f"{target}/{name}")
+            yield pa.record_batch([[name], [docs], [ids], [len(data)]], names=["file", "docs", "ids", "bytes"])
+
+    os.makedirs(target, exist_ok=True)
+    written = container.select("part", "seq", "docs", "ids", "segment").mapInArrow(lean(write), "file string, docs long, ids long, bytes long").toArrow()  # a row a segment
+    return container.sparkSession.createDataFrame(written)

@@ -83,13 +83,16 @@ def test_token_store(spark, corpus, scratch, plain, tmp_path):
     container = token_store.store(corpus, tokenizer(), 2, scratch)
     got = sorted(token_store.read_back(container).collect(), key=lambda r: r.start)
     want, at = [], 0
-    for doc_id, text in sorted(docs_of(corpus), key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or "")):
+    for doc_id, text in sorted(docs_of(corpus), key=lambda d: (d[0] is None, d[0] or 0, d[1] is not None, d[1] or "")):
         ids = [*plain(text), 2]
         want.append((doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert [tuple(r) for r in got] == want
-    token_store.export(container, str(tmp_path))
-    assert sum(token_store.Segment(p.read_bytes()).docs for p in tmp_path.iterdir()) == len(want)
+    listed = {r.file: r for r in token_store.export(container, str(tmp_path / "files")).collect()}
+    opened = {p.name: token_store.Segment.open(str(p)) for p in sorted((tmp_path / "files").iterdir())}
+    assert set(opened) == set(listed) and all(s.docs == listed[n].docs and s.ids == listed[n].ids for n, s in opened.items())
+    read = [s.doc(k) for s in opened.values() for k in range(s.docs)]
+    assert [(len(d), zlib.crc32(d.astype("<u4").tobytes())) for d in read] == [w[2:] for w in want]
     assert token_store.read_back(token_store.store(corpus.where("false"), tokenizer(), 2, scratch)).count() == 0
 
 

@@ -81,7 +81,7 @@ def test_pipeline_is_the_brute_force(spark, planted, tmp_path):
 
     t = Tokenizer.from_file(tokenizer())
     want, at = [], 0
-    for i, text in sorted(kept["mixing"], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+    for i, text in sorted(kept["mixing"], key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
