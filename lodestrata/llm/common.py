@@ -62,7 +62,7 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-        gc.collect()
+        give_back()
         self.spark._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
@@ -77,21 +77,32 @@ class Scratch:
             return
 
 
+def _libc() -> ctypes.CDLL | None:
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such calls
+        libc = ctypes.CDLL(None)
+        libc.mallopt, libc.malloc_trim  # noqa: B018
+        return libc
+    return None
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def lean(fn):
     """``fn`` for mapInArrow in a worker that gives memory back: large arrays are mapped one by one, and freed pages returned at a partition's end."""
 
     def run(it):
-        libc = None
-        with contextlib.suppress(OSError, AttributeError):  # another C library has no such calls
-            libc = ctypes.CDLL(None)
+        if libc := _libc():
             libc.mallopt(-3, 1 << 20)
         try:
             yield from fn(it)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if libc is not None:
-                libc.malloc_trim(0)
+            give_back()
 
     return run
 

@@ -16,16 +16,18 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, with_fields
+from .common import give_back, lean, with_fields
 
 #: Bounds of the sample: examples of each label, and bytes of their texts together.
 EXAMPLES, EXAMPLE_BYTES = 4000, 24 << 20
@@ -65,13 +67,14 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """The examples' unit vectors, and what their votes mean.
 
-    Words are numbered from the most common one down; the first have ``rows`` over all examples. Each other word w has segments ``word_at[w]..word_at[w + 1]``, one for each block that holds it; segment s has
-    the block ``block[s]``, its greatest weight ``most[s]`` and the postings ``at[s]..at[s + 1]``, which
-    are ``example`` and ``value``. ``top[w]`` is the greatest of all of a word's weights. Examples are numbered so that alike ones share blocks.
+    Words are numbered from the most common one down; the first are also ``rows`` over all examples. Word w
+    has segments ``word_at[w]..word_at[w + 1]``, one for each block that holds it; segment s has the
+    block ``block[s]``, its greatest weight ``most[s]`` and the postings ``at[s]..at[s + 1]``, which are
+    ``example`` and ``value``. ``top[w]`` is the greatest of all of a word's weights. Examples are
+    numbered so that alike ones share blocks.
     """
 
-    vocabulary: dict[bytes, int]
-    rows: np.ndarray
+    words: bytes
     weight: np.ndarray
     word_at: np.ndarray
     block: np.ndarray
@@ -87,37 +90,55 @@ class Index:
     bare: float
     without: np.ndarray | None
     knots: np.ndarray = field(default_factory=lambda: np.array([[0.0, 0.0], [1.0, 1.0]]))
-
     #: The index on the executors, once it is there; ``without`` and the first knots go with it.
     shared: Broadcast | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"shared": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("shared", "vocabulary", "rows")}
+
+    @cached_property
+    def vocabulary(self) -> dict[bytes, int]:
+        """Words' numbers; made where texts are judged."""
+        return {w: i for i, w in enumerate(self.words.split())}
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """The weights of the COMMON first words in all examples; made where texts are judged."""
+        n = min(len(self.weight), COMMON)
+        out, ends = np.zeros((n, len(self.ids))), self.at[self.word_at[: n + 1]]
+        out[np.repeat(np.arange(n), np.diff(ends)), self.example[: ends[-1]]] = self.value[: ends[-1]]
+        return out
 
     def share(self, sc: SparkContext) -> Broadcast:
         """Broadcasts the index, whose size EXAMPLES and EXAMPLE_BYTES bound, once."""
-        if self.shared is None:
+        if self.__dict__.get("shared") is None:
             self.shared = sc.broadcast(self)
         return self.shared
 
     @classmethod
-    def build(cls, ids: list[int], labels: list[int], families: list[int], words: pa.ListArray, counts: np.ndarray, totals: tuple[int, int]) -> Index:
-        """From each example's distinct words and the counts of all in a row; ``totals`` are the rows of label 0 and 1 in the population."""
+    def build(cls, ids: list[int], labels: list[int], families: list[int], sizes: np.ndarray, coded: pa.DictionaryArray, counts: np.ndarray, totals: tuple[int, int]) -> Index:
+        """From how many distinct words each example has, these in a row and their counts; ``totals`` are the rows of label 0 and 1 in the population."""
         y = np.array(labels, "i8")
         shares = np.where(y == 1, totals[1] / max((y == 1).sum(), 1), totals[0] / max((y == 0).sum(), 1))
         prior = totals[1] / max(1, sum(totals))
-        coded = words.flatten().dictionary_encode()
-        word, own = coded.indices.to_numpy().astype("i8"), np.repeat(np.arange(len(y)), np.diff(words.offsets.to_numpy()))
+        own = np.repeat(np.arange(len(y), dtype="i4"), sizes)
         size = len(coded.dictionary)
+        word = coded.indices.to_numpy()
         common = np.argsort(-np.bincount(word, minlength=size), kind="stable")
-        number = np.empty(size, "i8")
+        number = np.empty(size, "i4")
         number[common] = np.arange(size)
-        word = number[word]
+        word, joined = number[word], b" ".join(coded.dictionary.take(pa.array(common)).to_pylist())
+        del coded, number
         # Copies of one document would make its rare words look telling: families count, not documents.
         kin, kin_at = np.unique(np.stack([np.array(families, "i8").reshape(len(y)), y]), axis=1, return_inverse=True)
-        pairs = np.unique(word * max(1, kin.shape[1]) + kin_at[own])
-        a = np.bincount(pairs // max(1, kin.shape[1]), weights=kin[1][pairs % max(1, kin.shape[1])], minlength=size)
-        b = np.bincount(pairs // max(1, kin.shape[1]), minlength=size) - a
+        n = max(1, kin.shape[1])
+        pairs = word * np.int64(n)
+        pairs += kin_at[own]
+        pairs.sort()
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] if len(pairs) else pairs
+        a = np.bincount(pairs // n, weights=kin[1][pairs % n], minlength=size)
+        b = np.bincount(pairs // n, minlength=size) - a
+        del pairs
         n1, n0 = float(kin[1].sum()), float((1 - kin[1]).sum())
         weight = _weights(a, b, n1, n0)
         without = np.stack([_weights(a, np.maximum(b - 1, 0), n1, n0 - 1), _weights(np.maximum(a - 1, 0), b, n1 - 1, n0)])
@@ -126,20 +147,17 @@ class Index:
         value /= np.where(norm > 0, norm, 1)[own]
         bare = norm == 0
         # Numbered by label, then by their heaviest word.
-        first = np.full(len(y), -1)
         order = np.lexsort((value, own))
+        first = np.full(len(y), -1)
         first[own[order]] = word[order]
-        rank = np.empty(len(y), "i8")
         by = np.lexsort((np.array(ids, "i8"), first, y))
+        rank = np.empty(len(y), "i4")
         rank[by] = np.arange(len(y))
-        own = rank[own]
-        rows = np.zeros((min(size, COMMON), len(y)), "f4")
-        held = word < len(rows)
-        rows[word[held], own[held]] = value[held]
-        held = (value > 0) & ~held
-        word, own, value = word[held], own[held], value[held]
+        held = np.flatnonzero(value > 0)
+        word, own, value = word[held], rank[own[held]], value[held].astype("f4")
         order = np.lexsort((own, word))
-        word, own, value = word[order], own[order], value[order].astype("f4")
+        word, own, value = word[order], own[order], value[order]
+        del order, held
         new = np.ones(len(word), bool)
         new[1:] = (word[1:] != word[:-1]) | (own[1:] // BLOCK != own[:-1] // BLOCK)
         start = np.flatnonzero(new)
@@ -148,8 +166,7 @@ class Index:
         top = np.zeros(size, "f4")
         np.maximum.at(top, word[start], most)
         of_bare = float(((shares * y)[bare].sum() + prior) / (shares[bare].sum() + 1))
-        vocabulary = {w: i for i, w in enumerate(coded.dictionary.take(pa.array(common)).to_pylist())}
-        return cls(vocabulary, rows, weight, word_at, (own[start] // BLOCK).astype("i4"), most, np.append(start, len(word)).astype("i8"), own.astype("i4"), value, top, np.array(ids, "i8")[by], y[by].astype("f8"), shares[by], prior, of_bare, without)
+        return cls(joined, weight, word_at, (own[start] // BLOCK).astype("i4"), most, np.append(start, len(word)).astype("i8"), own, value, top, np.array(ids, "i8")[by], y[by].astype("f8"), shares[by], prior, of_bare, without)
 
     def vector(self, text: str | None, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and weights of a text's unit vector over the known words; none if it has none that weighs.
@@ -169,8 +186,6 @@ class Index:
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each vector the k examples of greatest cosine above 0, ties by number, as (numbers, cosines); the vector's example in ``but`` is passed over."""
-        if self.rows.dtype != np.float64:
-            self.rows = self.rows.astype("f8")  # weights are single precision, sums are not
         for lo in range(0, len(vectors), TEXTS):
             some = vectors[lo : lo + TEXTS]
             weights = np.zeros((len(some), len(self.rows)))
@@ -298,11 +313,15 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_by
             some = [Counter(t) for t in texts]
             yield pa.record_batch([b.column("doc_id"), b.column("y"), pa.array(map(family, texts), pa.int64()), pa.array([list(c) for c in some], pa.list_(pa.binary())), pa.array([list(c.values()) for c in some], pa.list_(pa.int32()))], names=["doc_id", "y", "family", "words", "counts"])
 
-    got = taken.select("doc_id", "y", "text").mapInArrow(lean(bags), BAGS).toArrow().sort_by("doc_id").combine_chunks()
+    got = taken.select("doc_id", "y", "text").mapInArrow(lean(bags), BAGS).orderBy("doc_id").toArrow()
     ids, y, families = (got.column(c).to_pylist() for c in ("doc_id", "y", "family"))
-    words, counts = (pa.concat_arrays([pa.array([], got.schema.field(c).type), *got.column(c).chunks]) for c in ("words", "counts"))
-    index = Index.build(ids, y, families, words, counts.flatten().to_numpy().astype("f8"), (totals.get(0, 0), totals.get(1, 0)))
-    del got, words, counts
+    sizes, counts = pc.list_value_length(got.column("words")).to_numpy(), pc.list_flatten(got.column("counts")).to_numpy()
+    coded = pc.list_flatten(got.column("words")).combine_chunks().dictionary_encode()
+    del got
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    index = Index.build(ids, y, families, sizes, coded, counts, (totals.get(0, 0), totals.get(1, 0)))
+    del coded, counts
+    give_back()
     shared, number = index.share(spark.sparkContext), {int(k): i for i, k in enumerate(index.ids)}
 
     def alone(it):
@@ -317,6 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, example_by
     judged = taken.select("doc_id", "text").mapInArrow(lean(alone), "doc_id long, vote double").where("vote is not null").collect()
     index.knots = index.calibrated(np.array([number[r.doc_id] for r in judged], "i8"), np.array([r.vote for r in judged], "f8"))
     index.without = None
+    give_back()
     sample.unpersist()
     return index
 
