@@ -276,7 +276,7 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
     def windows(it):
         for number, *rest, found in _rows(it, "chunk", *body, "found"):
             j = Judged(Chunk(*rest), found)
-            yield ask(number, WINDOW, spans_for(total / 26), j.keys, j.checks)
+            yield ask(number, WINDOW, spans_for(total / 4), j.keys, j.checks)  # how many are left is not known yet: at most four times as many keys in a range
 
     second = scratch.write(answer(read.select("chunk", *body, "found").mapInArrow(lean(windows), ASKED), _reduce))
     scratch.release()
