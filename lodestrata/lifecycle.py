@@ -15,6 +15,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +25,7 @@ from .operators import cascade, ledger, pairing, tallies, verify
 from .plans import sink, target, undo
 from .plans.settings import Settings, SettingsError
 from .runtime import cut, ready
-from .sources import journal, manifest, media, readers
+from .sources import journal, manifest, media, readers, xmp
 
 ORDER = ["phase", "group", "depth", "key"]
 
@@ -66,16 +67,24 @@ def journal_dir(output: str, settings: Settings) -> str:
     return settings.values["journal_dir"] or os.path.join(output, paths.METADATA_DIR, "journal")
 
 
-@F.pandas_udf(readers.XMP_STRUCT)
-def _xmp_at(path: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(xmp.STRUCT)
+def _xmp_at(path: pa.Array) -> pa.Array:
     def content(p: str) -> bytes | None:
         try:
             with open(p, "rb") as f:
-                return f.read(readers.XMP_LIMIT + 1)
+                return f.read(xmp.LIMIT + 1)
         except OSError:
             return None
 
-    return readers.xmp_udf.func(path.map(content))
+    return xmp.read(content(p) for p in path.to_pylist())
+
+
+#: Tasks that read files at a time unless the settings say otherwise: more wait for the device rather than use it.
+READERS = 8
+
+
+def readers_at_once(spark: SparkSession, settings: Settings) -> int:
+    return settings.values["hash_threads"] or max(1, min(spark.sparkContext.defaultParallelism, READERS))
 
 
 def _listing(batches):
@@ -117,7 +126,7 @@ def plan(spark: SparkSession, roots: list[str], settings: Settings, places: Data
     listed = cut(media.scan(ready(spark), [os.path.abspath(r) for r in roots], v["skip_patterns"], v["sidecars"], **v["extensions"]).dropDuplicates(["path", "status"]))
     files = listed.where("status = 'ok' and kind <> 'sidecar'").select("path", "size", "extension", "kind", "mtime", "birthtime")
     paired = cut(pairing.pair(files, listed.where("status = 'ok' and kind = 'sidecar'").select("path")))
-    classified = cut(cascade.classify_paths(files, threads=v["hash_threads"]))
+    classified = cut(cascade.classify_paths(files, threads=readers_at_once(spark, settings)))
     key = {"depth": F.size(paths.components(F.col("path"))), "key": F.translate("path", "/", "\0")}
     again = classified.where("role = 'duplicate'").join(cascade.groups(classified).select(F.col("hash").alias("known_hash"), "number"), "known_hash")
     group = (F.col("number") + _next_group(os.path.join(output, v["duplicates_dir"]))).cast("int")

@@ -1,8 +1,9 @@
 """The duplicate cascade: sizes, then digests of heads and tails, then digests of whole contents.
 
 A size that occurs once needs no digest, and whole contents count only where size and partial digest
-agree. Files on disk (``classify_paths``) are opened no further than that; contents in a table
-(``classify``), which a scan reads anyhow, are digested there so that only narrow rows move.
+agree. Files on disk (``classify_paths``) are opened no further than that. Contents in a table
+(``classify``) are scanned twice: for sizes and ends, and again for the whole contents of those rows
+alone whose size and ends another row shares. Only narrow rows move.
 """
 
 from __future__ import annotations
@@ -28,18 +29,44 @@ def band(size: Column, k: int) -> Column:
     return F.when(size <= k, "whole").when(size <= 2 * k, "head").otherwise("head_tail")
 
 
+#: So many shared (size, ends) are sent to the second scan as they are, 64 bytes each; more of them as bits.
+EXACT = 1 << 20
+#: Bits for each of them, and at most: 32 MB.
+BITS, MOST_BITS = 32, 1 << 28
+
+
 def classify(files: DataFrame, content: str = "content", path: str = "path", k: int = K) -> DataFrame:
-    """Adds size, partial_digest, covers_whole, known_hash, copies, original_path and role to ``files``.
+    """The other columns of ``files`` with size, partial_digest, covers_whole, known_hash, copies, original_path, role and digested.
 
     ``role`` is unique, original (first of its group by depth, then path components), duplicate or, for
-    null content, skipped. Digests are taken where the content is scanned, so that only narrow rows
-    are shuffled unless the caller keeps the content. Counts are aggregates joined back, so a size that
-    a third of all files share is combined before it is shuffled.
+    null content, skipped; ``digested`` says that the second scan took the whole content's digest. Both scans'
+    rows are checkpointed without their contents, so what reads the result scans no content. Counts are
+    aggregates joined back, so a size that a third of all files share is combined before it is shuffled.
     """
-    head = F.sha2(partial_bytes(F.col(content), k), 256)
-    size = F.octet_length(content).cast("long")
-    read = files.withColumns({"size": size, "covers_whole": size <= k, "_part": head, "_full": F.when(size <= k, head).otherwise(F.sha2(F.col(content), 256))})
-    return _roles(read, path)
+    size, head = F.octet_length(content).cast("long"), F.sha2(partial_bytes(F.col(content), k), 256)
+    rest = [F.col(c) for c in files.columns if c != content]
+    first = cut(files.select(*rest, size.alias("size"), head.alias("_part")))
+    again = _repeated(first.where(F.col("size") > k), "size", "_part")
+    n = again.count()
+    left = files.select(*rest, content, size.alias("size"), head.alias("_part")).where(F.col("size") > k)
+    left = left.join(F.broadcast(again), ["size", "_part"], "left_semi") if n <= EXACT else _likely(left, again, n)
+    whole = F.sha2(F.col(content), 256).alias("_full")
+    second = cut(left.select(*rest, "size", "_part", whole)) if n else first.withColumn("_full", F.lit(None).cast("string")).where("false")
+    met = second.select("size", "_part").distinct()
+    ends = F.when(F.col("size") <= k, F.col("_part")).alias("_full")
+    once = first.join(met, ["size", "_part"], "left_anti").select(*rest, "size", "_part", ends, F.lit(False).alias("digested"))
+    read = once.union(second.withColumn("digested", F.lit(True)).select(once.columns))
+    return _roles(read.withColumn("covers_whole", F.col("size") <= k), path)
+
+
+def _likely(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    """The rows whose (size, _part) are among ``keys``, and a few others: keys are bits of a map of bounded size, which is what is broadcast."""
+    bits = min(MOST_BITS, -(-n * BITS // 32768) * 32768)
+    place = F.pmod(F.xxhash64("size", "_part"), F.lit(bits)) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map"))
+    met = rows.withColumns({"_bucket": F.bitmap_bucket_number(place), "_bit": F.bitmap_bit_position(place)}).join(F.broadcast(maps), "_bucket")
+    byte = F.conv(F.hex(F.expr("substring(_map, CAST(_bit DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0).select(*rows.columns)
 
 
 def classify_paths(files: DataFrame, k: int = K, threads: int | None = None) -> DataFrame:
@@ -93,15 +120,15 @@ def group_directory(number: Column, root: str = "duplicates") -> Column:
 
 
 def work(classified: DataFrame, k: int = K) -> DataFrame:
-    """One row: files and bytes at the start, those whose ends are read, and those that are read whole."""
+    """One row: files and bytes in all, those whose ends were digested, those left with a size that others share, and those digested whole."""
     size = F.col("size")
-    ends = F.col("partial_digest").isNotNull()
-    whole = ends & (size > k) & F.col("known_hash").isNotNull()
     read = F.when(size <= k, size).when(size <= 2 * k, k).otherwise(2 * k)
     total = lambda rows, n: F.coalesce(F.sum(F.when(rows, n)), F.lit(0)).cast("long")
+    shared, whole = F.col("partial_digest").isNotNull(), F.col("digested")
     return classified.where("size is not null").agg(
-        F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_bytes"), F.count_if(ends).alias("partial_files"), total(ends, read).alias("partial_bytes"), F.count_if(whole).alias("full_files"), total(whole, size).alias("full_bytes")
-    )
+        F.count("*").alias("n_files"), total(F.lit(True), size).alias("n_bytes"), total(F.lit(True), read).alias("ends_bytes"),
+        F.count_if(shared).alias("partial_files"), total(shared, read).alias("partial_bytes"), F.count_if(whole).alias("full_files"), total(whole, size).alias("full_bytes"),
+    )
 
 
 def keyed(rows: DataFrame, key: Column, member: Column) -> DataFrame:

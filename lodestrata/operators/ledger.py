@@ -5,10 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..runtime import cut
-from .numbering import numbered
+from .numbering import numbered, ranked
 
 ATTEMPTS = 10_000
 
@@ -20,11 +18,11 @@ def candidate(name: str, attempt: int) -> str:
     return f"{name[:at]}-{attempt}{name[at:]}" if at > 0 else f"{name}-{attempt}"
 
 
-def claim(names: list[str], taken: set[str]) -> list[str]:
-    """The names in order, each as the first candidate that is free; after ATTEMPTS the name itself, unclaimed."""
+def claim(names: list[str], taken: set[str], most: int = ATTEMPTS) -> list[str]:
+    """The names in order, each as the first candidate that is free; after ``most`` the name itself, unclaimed."""
     out, tried = [], {}
     for name in names:
-        for k in range(tried.get(name, 0), ATTEMPTS):
+        for k in range(tried.get(name, 0), most):
             if (c := candidate(name, k)) not in taken:
                 taken.add(c)
                 tried[name] = k + 1
@@ -35,55 +33,82 @@ def claim(names: list[str], taken: set[str]) -> list[str]:
     return out
 
 
+def _split(name: Column) -> tuple[Column, Column]:
+    """A name before the number that candidates put to it, and after."""
+    split = r"(?s)^(.+)(\.[^.]*)\z"
+    whole = name.rlike(split)
+    return F.when(whole, F.regexp_extract(name, split, 1)).otherwise(name), F.when(whole, F.regexp_extract(name, split, 2)).otherwise("")
+
+
 def candidate_column(name: Column, attempt: Column) -> Column:
     """``candidate`` as an expression."""
-    split = r"^(.+)(\.[^.]*)$"
-    whole = name.rlike("(?s)" + split)
-    stem, ext = F.when(whole, F.regexp_extract(name, "(?s)" + split, 1)).otherwise(name), F.when(whole, F.regexp_extract(name, "(?s)" + split, 2)).otherwise("")
+    stem, ext = _split(name)
     return F.when(attempt == 0, name).otherwise(F.concat(stem, F.lit("-"), attempt.cast("string"), ext))
 
 
+#: Numbers that candidates can have, 1 to ATTEMPTS - 1: no zero before them, at most four digits.
+_NUMBER = "-[1-9][0-9]{0,3}"
+
+
 def family(name: Column) -> Column:
     """The name without any numbers that candidates could have put to it: a name's candidates are of its own family."""
-    return F.regexp_replace(name, r"(?s)^(.+?)(?:-[0-9]+)+(\.[^.]*)?$", "$1$2")
+    stem, ext = _split(name)
+    return F.concat(F.regexp_replace(stem, rf"(?s)^(.+?)(?:{_NUMBER})+\z", "$1"), ext)
+
+
+def parent(name: Column) -> Column:
+    """(name, attempt) of which this name is a candidate; null if it is none's."""
+    stem, ext = _split(name)
+    parts = rf"(?s)^(.+)({_NUMBER})\z"
+    made = F.struct(F.concat(F.regexp_extract(stem, parts, 1), ext).alias("name"), (-F.regexp_extract(stem, parts, 2).try_cast("int")).alias("attempt"))
+    return F.when(stem.rlike(parts), made)
+
+
+def _gaps(existing: DataFrame, names: DataFrame) -> DataFrame:
+    """For each of ``names(directory, name)`` some of whose candidates exist, ascending: how many free ones come before each of them.
+
+    The n-th free candidate has the attempt n + the gaps that are n or less. No more than ATTEMPTS gaps make a row.
+    """
+    own = existing.select("directory", "name", F.lit(0).alias("attempt"))
+    above = existing.select("directory", parent(F.col("name")).alias("x")).where("x is not null").select("directory", "x.name", "x.attempt")
+    held = own.union(above).join(names, ["directory", "name"], "left_semi").groupBy("directory", "name").agg(F.sort_array(F.collect_set("attempt")).alias("_held"))
+    return held.select("directory", "name", F.expr("transform(_held, (a, i) -> a - i)").alias("_gaps"))
 
 
 def assign(planned: DataFrame, order: list[str], existing: DataFrame | None = None) -> DataFrame:
     """Adds ``final_name`` to ``planned(directory, name)``; ``existing(directory, name)`` is what the directories hold already.
 
-    A claim can only meet claims of its own family of names (the name with or without numbers put to it).
-    Where a family is one name only, the n-th row by ``order`` has its n-th candidate, counted in pieces
-    of a range exchange, so a name that a third of all rows have is no single task. Only the other families go
-    through the sequential ledger, one family of one directory at a time, as their claims decide later ones.
+    Rows of one name claim its candidates, and those of another name claim them too only if that name is itself a candidate, as
+    ``a-1.jpg`` is of ``a.jpg``, and both are planned. Elsewhere the n-th row of a name by ``order`` has the n-th candidate that
+    doesn't exist: places are counted in pieces of a range exchange, so a name that a third of all rows have is no single task,
+    and the candidate follows from the gaps between existing ones. Only families with such a pair go through the sequential
+    ledger, one family of one directory at a time, without the rows that can't get a candidate any more.
     """
-    mine = planned.withColumn("_family", family(F.col("name")))
-    held = mine.select("directory", "_family", "name", F.lit(0).alias("_there"))
+    places = ranked(planned.withColumn("_family", family(F.col("name"))), ["directory", "name"], order, "_n")
+    names = places.select("directory", "name", "_family").distinct()
+    below = names.select("directory", "_family", parent(F.col("name"))["name"].alias("name")).where("name is not null")
+    busy = below.join(names.select("directory", "name"), ["directory", "name"], "left_semi").select("directory", "_family").distinct().withColumn("_busy", F.lit(True))
+    placed = places.join(busy, ["directory", "_family"], "left")
+    calm, attempt = placed.where("_busy is null"), F.col("_n")
     if existing is not None:
-        held = held.union(existing.select("directory", family(F.col("name")), "name", F.lit(1)))
-    key = ["directory", "_family"]
-    families = held.groupBy(*key).agg((F.min("name") != F.max("name")).alias("_busy"), F.max("_there").alias("_there"))
-    marked = cut(mine.join(families, key).repartitionByRange("directory", "name", *order).withColumn("_piece", F.spark_partition_id()))
-    calm = marked.where("not _busy")
-    per = calm.groupBy("directory", "name", "_piece").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("directory", "name").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.select("directory", "name", "_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("directory", "name", "_piece").orderBy(*order)) - 1
-    calm = calm.withColumn("_place", place).join(starts, ["directory", "name", "_piece"])
-    attempt = F.col("_start") + F.col("_place") + F.col("_there")
-    calm = calm.withColumn("final_name", F.when(attempt < ATTEMPTS, candidate_column(F.col("name"), attempt)).otherwise(F.col("name"))).select(*planned.columns, "final_name")
-    busy = marked.where("_busy").select(*planned.columns, "_family", F.lit(False).alias("_existing"))
+        calm = calm.join(_gaps(existing, names), ["directory", "name"], "left")
+        attempt = F.col("_n") + F.coalesce(F.expr("size(filter(_gaps, g -> g <= _n))"), F.lit(0))
+    final = F.when(attempt < ATTEMPTS, candidate_column(F.col("name"), attempt)).otherwise(F.col("name"))
+    columns = [*planned.columns, "final_name"]
+    out = calm.withColumn("final_name", final).select(columns).union(placed.where(f"_busy and _n >= {ATTEMPTS}").withColumn("final_name", F.col("name")).select(columns))
+    own = placed.where(f"_busy and _n < {ATTEMPTS}").select(*planned.columns, "_family", F.lit(False).alias("_existing"))
     if existing is not None:
-        there = existing.withColumn("_family", family(F.col("name"))).join(families.where("_busy"), key, "left_semi")
+        there = existing.withColumn("_family", family(F.col("name"))).join(busy, ["directory", "_family"], "left_semi")
         extra = [F.lit(None).cast(f.dataType).alias(f.name) for f in planned.schema if f.name not in ("directory", "name")]
-        busy = busy.unionByName(there.select("directory", "name", "_family", *extra).withColumn("_existing", F.lit(True)))
-    schema = calm.schema
+        own = own.unionByName(there.select("directory", "name", "_family", *extra).withColumn("_existing", F.lit(True)))
+    schema, most = out.schema, ATTEMPTS
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         taken = set(pdf.loc[pdf["_existing"], "name"])
         own = pdf[~pdf["_existing"]].sort_values(order, kind="stable")
-        return own.assign(final_name=claim(own["name"].tolist(), taken))[[f.name for f in schema]]
+        return own.assign(final_name=claim(own["name"].tolist(), taken, most))[[f.name for f in schema]]
 
-    return calm.unionByName(busy.groupBy(*key).applyInPandas(settle, schema))
+    return out.unionByName(own.groupBy("directory", "_family").applyInPandas(settle, schema))
 
 
 def chunks(planned: DataFrame, order: list, size: int, bucket: Column) -> DataFrame:

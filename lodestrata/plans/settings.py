@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names, paths
+from ..sources.clocks import parse_offset
 
 # The keys and their defaults.
 DEFAULTS = {
@@ -67,6 +69,23 @@ def number_of(text: Column) -> Column:
     return F.when(F.trim(text).rlike("^[0-9]+$"), F.trim(text).try_cast("long"))
 
 
+def _zone(text: str) -> None:
+    """Refuses what is neither Z, an offset nor the name of a zone."""
+    if text == "Z" or text[:1] in ("+", "-") and parse_offset(text) is not None:
+        return
+    if not text or text[0] in "+-":
+        raise ValueError(f"{text!r} is no offset and no zone")
+    ZoneInfo(text)
+
+
+def _extension_list(kind: str, found) -> list[str]:
+    if kind not in DEFAULTS["extensions"]:
+        raise ValueError(f"no such list: {kind}")
+    if not isinstance(found, list) or not all(isinstance(x, str) and x.strip(". ") for x in found):
+        raise ValueError(f"{kind} must be a list of extensions")
+    return [x.strip().lstrip(".").lower() for x in found]
+
+
 def validate(key: str, value, where: str = "") -> object:
     """Returns the value if the key allows it."""
 
@@ -87,13 +106,11 @@ def validate(key: str, value, where: str = "") -> object:
     if key == "extensions":
         if not isinstance(value, dict):
             raise bad("must be a table of image, video and sidecar lists")
-        for kind, found in value.items():
-            if kind not in DEFAULTS["extensions"]:
-                raise bad(f"no such list: {kind}")
-            if not isinstance(found, list) or not all(isinstance(x, str) and x.strip(". ") for x in found):
-                raise bad(f"{kind} must be a list of extensions")
-        return {kind: [x.strip().lstrip(".").lower() for x in found] for kind, found in value.items()}
-    if key in ("chunk_size", "verbose", "hash_threads", "filesystem_date_warning_percent"):
+        try:
+            return {kind: _extension_list(kind, found) for kind, found in value.items()}
+        except ValueError as e:
+            raise bad(str(e)) from e
+    if key in NUMBERS:
         low, high = {"hash_threads": (1, 1024), "filesystem_date_warning_percent": (0, 100)}.get(key, (0, 1 << 62))
         if isinstance(value, bool) or not isinstance(value, int) or not low <= value <= high:
             raise bad(f"must be a whole number from {low} to {high}")
@@ -108,7 +125,7 @@ def validate(key: str, value, where: str = "") -> object:
             for p in value:
                 paths.glob_regex(p)
         elif key == "default_timezone":
-            ZoneInfo(value) if value not in ("Z",) and value[:1] not in "+-" else None
+            _zone(value)
     except (ValueError, KeyError, OSError) as e:
         raise bad(str(e)) from e
     return value
@@ -116,37 +133,79 @@ def validate(key: str, value, where: str = "") -> object:
 
 def file_layer(path: str | Path) -> dict:
     """A TOML file's settings; errors name the file, line and column."""
+    found, faults = read_file(Path(path).read_text())
+    if faults:
+        line, column, why = faults[0]
+        raise SettingsError(f"{path}: {why}" + (f" (line {line}, column {column})" if line else ""))
+    return {key: value for key, value, _ in found}
+
+
+_KEY = re.compile(r"""^[ \t]*["']?([A-Za-z0-9_-]+)["']?[ \t]*=""", re.M)
+_TABLE = re.compile(r"^[ \t]*\[[ \t]*([A-Za-z0-9_-]+)[ \t]*\]", re.M)
+_PLACE = re.compile(r"^(.*?) \(at (?:line (\d+), column (\d+)|end of document)\)$", re.S)
+
+
+def read_file(text: str) -> tuple[list[tuple[str, object, int | None]], list[tuple[int | None, int | None, str]]]:
+    """A settings file's (key, value, line), and what is wrong with it as (line, column, why); TOML that can't be read has one fault and no keys."""
     try:
-        found = tomllib.loads(Path(path).read_text())
+        held = tomllib.loads(text)
     except tomllib.TOMLDecodeError as e:
-        raise SettingsError(f"{path}: {e}") from e
-    for key in SAFETY:
-        if key in found:
-            raise SettingsError(f"{path}: {key} can only be given on the command line")
-    return {k: validate(k, v, f"{path}: ") for k, v in found.items()}
+        m = _PLACE.match(str(e))
+        lines = text.split("\n")
+        line, column = (int(m[2]), int(m[3])) if m and m[2] else (len(lines), len(lines[-1]) + 1)
+        return [], [(line, column, m[1] if m else str(e))]
+    at = {}
+    for pattern in (_KEY, _TABLE):
+        for m in pattern.finditer(text):
+            at.setdefault(m[1], (text.count("\n", 0, m.start(1)) + 1, m.start(1) - text.rfind("\n", 0, m.start(1))))
+    found, faults = [], []
+    for key, value in held.items():
+        line, column = at.get(key, (None, None))
+        try:
+            if key in SAFETY:
+                raise SettingsError(f"{key} can only be given on the command line")
+            found.append((key, validate(key, value), line))
+        except SettingsError as e:
+            faults.append((line, column, str(e)))
+    return found, faults
+
+
+def variable(name: str, text: str) -> tuple[str, object] | None:
+    """(key, value) of one variable, None if it hasn't the prefix; lists are parted by commas, and an empty text is an empty list.
+
+    ``..._EXTENSIONS_IMAGE`` and its like give one list of ``extensions``.
+    """
+    if not name.startswith(PREFIX):
+        return None
+    key = name.removeprefix(PREFIX).lower()
+    table, _, kind = key.partition("_")
+    if table == "extensions" and kind in DEFAULTS["extensions"]:
+        return table, validate(table, {kind: parse_list(text)}, f"{name}: ")
+    if key in SAFETY:
+        raise SettingsError(f"{name}: {key} can only be given on the command line")
+    if key not in DEFAULTS or key == "extensions":
+        raise SettingsError(f"{name}: no such setting")
+    default = DEFAULTS[key]
+    if isinstance(default, bool):
+        value = parse_bool(text)
+    elif isinstance(default, list):
+        value = parse_list(text)
+    elif key in NUMBERS:
+        if not re.fullmatch(r"\s*[0-9]+\s*", text):
+            raise SettingsError(f"{name}: {text!r} is no whole number")
+        value = int(text)
+    else:
+        value = text
+    return key, validate(key, value, f"{name}: ")
 
 
 def env_layer(variables: dict[str, str] | None = None) -> dict:
     """Settings from variables with the prefix; a name that is no setting is an error."""
-    out = {}
+    out: dict = {}
     for name, text in (os.environ if variables is None else variables).items():
-        if not name.startswith(PREFIX):
-            continue
-        key = name.removeprefix(PREFIX).lower()
-        if key in SAFETY or key not in DEFAULTS or key == "extensions":
-            raise SettingsError(f"{name}: no such setting")
-        default = DEFAULTS[key]
-        if isinstance(default, bool):
-            value = parse_bool(text)
-        elif isinstance(default, list):
-            value = parse_list(text)
-        elif key in ("chunk_size", "verbose", "hash_threads", "filesystem_date_warning_percent"):
-            if not text.strip().isdigit():
-                raise SettingsError(f"{name}: {text!r} is no whole number")
-            value = int(text)
-        else:
-            value = text
-        out[key] = validate(key, value, f"{name}: ")
+        if said := variable(name, text):
+            key, value = said
+            out[key] = {**out.get(key, {}), **value} if key == "extensions" else value
     return out
 
 
@@ -235,33 +294,34 @@ def _toml(value) -> str:
     return json.dumps(value, ensure_ascii=False) if isinstance(value, str) else str(value)
 
 
+def columns(head: tuple[str, ...], rows: list[tuple[str, ...]]) -> list[str]:
+    """Rows under their heads, each column as wide as its widest cell."""
+    wide = [max(len(r[i]) for r in (head, *rows)) for i in range(len(head))]
+    return ["  ".join(cell.ljust(n) for cell, n in zip(r, wide, strict=True)).rstrip() for r in (head, *rows)]
+
+
 def report(settings: Settings) -> list[str]:
-    """The settings as a settings file that means the same, each with the layer that decided it; unset ones as comments."""
-    out = ["# The settings of this run, and where each comes from."]
+    """A table of the settings: key, value ("-" if unset), the layer that decided it, and its file."""
+    rows = []
     for k in DEFAULTS:
-        v, source = settings.values[k], settings.source.get(k, "default")
-        if k == "extensions":
-            out += ["", "[extensions]", *(f"{kind} = {_toml(v[kind])}  # from: {source}" for kind in v)]
-        else:
-            out.append(f"# {k} is unset  # from: {source}" if v is None else f"{k} = {_toml(v)}  # from: {source}")
-    return out
+        layer, _, file = settings.source.get(k, "default").partition(" ")
+        values = {f"{k}.{kind}": v for kind, v in settings.values[k].items()} if k == "extensions" else {k: settings.values[k]}
+        rows += [(name, "-" if v is None else _toml(v), layer, file) for name, v in values.items()]
+    return columns(("SETTING", "VALUE", "LAYER", "FILE"), rows)
 
 
 def search_report(loaded: Loaded, no_config: bool = False) -> list[str]:
-    """Every file that was looked for, and whether it was there."""
-    if no_config:
-        return ["No settings files were looked for: --no-config was given. Variables still count."]
-    if not loaded.searched:
-        return ["No settings files could be looked for."]
-    n = sum(found for _, found in loaded.searched)
-    last = "None was found, so the built-in defaults hold." if not n else f"{n} file{'s' if n > 1 else ''} read, lowest priority first."
-    return ["Looked for, in order:", *(f"  {'found' if found else 'missing':<8} {path}" for path, found in loaded.searched), last]
+    """A table of the layers' files in ascending priority: path, layer, whether it was read and how many settings it gave."""
+    read = {path: (name, len(values)) for name, path, values in loaded.layers if path}
+    rows = [(str(path), *((read[path][0], "read", str(read[path][1])) if path in read else ("-", "absent", "0"))) for path, _ in loaded.searched]
+    given = sum(len(values) for name, path, values in loaded.layers if path is None)
+    rows.append(("(variables)", "environment", "read", str(given)))
+    return columns(("PATH", "LAYER", "STATE", "SETTINGS"), ([("(files)", "-", "off", "0")] if no_config else []) + rows)
 
 
 def validation_report(loaded: Loaded) -> list[str]:
-    """The files that were read without a fault; a fault has stopped the run before."""
-    files = [path for _, path, _ in loaded.layers if path]
-    return [*(f"  ok  {p}" for p in files), f"{len(files)} settings file{'s' if len(files) > 1 else ''} read without a fault."] if files else ["No settings file was read, so there was nothing to check."]
+    """A table of the files that were checked, each with its layer and the settings that it gives; a fault has stopped the run before."""
+    return columns(("CHECKED", "LAYER", "SETTINGS"), [(str(path), name, ", ".join(values) or "-") for name, path, values in loaded.layers if path])
 
 
 def write_starter(path: str | Path, force: bool = False) -> None:
@@ -281,3 +341,42 @@ def deciding(layers: DataFrame) -> DataFrame:
     """(key, value, layer) of ``layers(layer, priority, key, value)``: the highest layer with a value."""
     said = F.when(F.col("value").isNotNull(), F.col("priority"))
     return layers.groupBy("key").agg(F.max_by("value", said).alias("value"), F.max_by("layer", said).alias("layer"))
+
+
+class _Rows:
+    """A table function: a layer's text as rows of settings, one row for each fault."""
+
+    def eval(self, layer: str, text: str):
+        if text is None:
+            return
+        if layer != "environment":
+            found, faults = read_file(text)
+            yield from ((key, _said(value), line, None, None) for key, value, line in found)
+            yield from ((None, None, line, column, why) for line, column, why in faults)
+            return
+        for n, one in enumerate(text.split("\n"), 1):
+            name, equals, value = one.partition("=")
+            if not equals:
+                continue
+            try:
+                if said := variable(name, value):
+                    yield said[0], _said(said[1]), n, None, None
+            except SettingsError as e:
+                yield None, None, n, 1, str(e)
+
+
+def _said(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+
+ROWS = "key string, value string, line int, column int, error string"
+
+
+def rows_of(layers: DataFrame) -> DataFrame:
+    """Adds key, value (as JSON), line, column and error to ``layers(layer, text)``: a row for each setting that a text gives and each fault of it.
+
+    The layer ``environment`` has a variable on each line, the others are TOML. A null or empty text gives no row; what a text
+    says is judged by itself, so equal texts give equal rows.
+    """
+    made = F.udtf(_Rows, returnType=ROWS)
+    return layers.lateralJoin(made(F.col("layer").outer(), F.col("text").outer()))

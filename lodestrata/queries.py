@@ -17,10 +17,10 @@ from pyspark.sql.window import Window
 
 from . import lifecycle
 from .functions import dates, geo, names, paths
-from .operators import cascade, ledger, pairing, tallies, verify
+from .operators import cascade, ledger, numbering, pairing, tallies, verify
 from .plans import settings, target, undo
 from .runtime import ready, shared_dir
-from .sources import generator, journal, manifest, media, readers
+from .sources import generator, journal, manifest, media, readers, xmp
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -78,16 +78,16 @@ o AS (SELECT kh, size, count(*) AS n, {FIRST} AS o FROM k WHERE kh IS NOT NULL G
 SELECT doc_id, k.kh AS known_hash, CASE WHEN k.size IS NULL THEN 'skipped' WHEN coalesce(n, 1) = 1 THEN 'unique' WHEN path = o.f THEN 'original' ELSE 'duplicate' END AS role, coalesce(n, 1)::BIGINT AS copies FROM k LEFT JOIN o ON k.kh = o.kh AND k.size = o.size""")
 def a5_duplicate_roles(spark, sf_dir):
     """Every file with its role in the cascade."""
-    return cascade.classify(files(spark, sf_dir), k=K).select("doc_id", "known_hash", "role", "copies")
+    return _classified(spark, sf_dir).select("doc_id", "known_hash", "role", "copies")
 
 
 @query(f"""WITH {FILES}, g AS (SELECT *, octet_length(c) AS size, count(*) OVER (PARTITION BY octet_length(c)) AS ns, sha256(CASE WHEN octet_length(c) <= {2 * K} THEN c[1:{K}] ELSE c[1:{K}] || c[-{K}:] END) AS pd FROM f WHERE c IS NOT NULL),
 h AS (SELECT *, count(*) OVER (PARTITION BY size, pd) AS np FROM g)
-SELECT count(*)::BIGINT AS n_files, coalesce(sum(size), 0)::BIGINT AS n_bytes, count(*) FILTER (ns > 1)::BIGINT AS partial_files, coalesce(sum(CASE WHEN size <= {K} THEN size WHEN size <= {2 * K} THEN {K} ELSE {2 * K} END) FILTER (ns > 1), 0)::BIGINT AS partial_bytes,
+SELECT count(*)::BIGINT AS n_files, coalesce(sum(size), 0)::BIGINT AS n_bytes, coalesce(sum(CASE WHEN size <= {K} THEN size WHEN size <= {2 * K} THEN {K} ELSE {2 * K} END), 0)::BIGINT AS ends_bytes, count(*) FILTER (ns > 1)::BIGINT AS partial_files, coalesce(sum(CASE WHEN size <= {K} THEN size WHEN size <= {2 * K} THEN {K} ELSE {2 * K} END) FILTER (ns > 1), 0)::BIGINT AS partial_bytes,
 count(*) FILTER (ns > 1 AND size > {K} AND np > 1)::BIGINT AS full_files, coalesce(sum(size) FILTER (ns > 1 AND size > {K} AND np > 1), 0)::BIGINT AS full_bytes FROM h""")
 def a5_cascade_work(spark, sf_dir):
-    """A1-A5: files and bytes that each step of the cascade is left with; what is gone before a step is never read."""
-    return cascade.work(cascade.classify(files(spark, sf_dir), k=K), K)
+    """A1-A5: files and bytes that the cascade's steps are left with, and what they digested: the ends of all in the first scan, whole contents in the second."""
+    return cascade.work(_classified(spark, sf_dir), K)
 
 
 @query(f"WITH {FILES} SELECT sha256(c) AS hash, octet_length(c)::BIGINT AS size, count(*)::BIGINT AS copies, ({FIRST}).f AS original, (row_number() OVER (ORDER BY sha256(c)) - 1)::BIGINT AS number FROM f WHERE c IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1")
@@ -96,16 +96,21 @@ def a5_duplicate_groups(spark, sf_dir):
     return _groups(spark, sf_dir)
 
 
+def _classified(spark, sf_dir):
+    return cascade.classify(files(spark, sf_dir), k=K)
+
+
 def _groups(spark, sf_dir):
-    return cascade.groups(cascade.classify(files(spark, sf_dir), k=K))
+    return cascade.groups(_classified(spark, sf_dir))
 
 
 @query(f"""WITH {FILES}, g AS (SELECT sha256(c) AS h, count(*) AS n, ({FIRST}).f AS o, row_number() OVER (ORDER BY sha256(c)) - 1 AS k FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
 SELECT path, 'duplicates/' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '/' || string_split(path, '/')[-1] AS destination FROM f JOIN g ON sha256(c) = h WHERE path <> o""")
 def e3_plan_duplicates(spark, sf_dir):
     """Where each duplicate goes."""
-    dup = cascade.classify(files(spark, sf_dir), k=K).where("role = 'duplicate'").select("path", F.col("known_hash").alias("hash"))
-    g = _groups(spark, sf_dir).select("hash", "number")
+    c = _classified(spark, sf_dir)
+    dup = c.where("role = 'duplicate'").select("path", F.col("known_hash").alias("hash"))
+    g = cascade.groups(c).select("hash", "number")
     return dup.join(g, "hash").select("path", F.concat(cascade.group_directory(F.col("number")), F.lit("/"), paths.file_name(F.col("path"))).alias("destination"))
 
 
@@ -423,19 +428,36 @@ def w4_ledger(spark, sf_dir):
     return ledger.assign(o, ["o_orderkey"]).select("o_orderkey", "directory", "final_name")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 10 AS k, strftime(o_orderdate, '%Y-%m') AS d, day(o_orderdate) AS t, CASE o_orderkey % 10 WHEN 7 THEN 'a' WHEN 8 THEN 'a-1' WHEN 9 THEN 'a-1-1' ELSE strftime(o_orderdate, '%Y-%m-%d-') || CASE WHEN o_orderkey % 3 = 0 THEN '000102' ELSE '123456-Place-PL' END END AS b FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY d, b ORDER BY o_orderkey) - 1 AS r, count(*) FILTER (k = 7) OVER (PARTITION BY d) AS na, count(*) FILTER (k = 8) OVER (PARTITION BY d) AS nb FROM o),
+x AS (SELECT *, CASE WHEN k = 7 THEN r WHEN k = 8 THEN r + (na > 1)::INT WHEN k = 9 THEN r + (nb + (na > 1)::INT > 1)::INT
+WHEN t % 2 = 1 AND t % 3 = 0 THEN CASE WHEN r = 0 THEN 1 ELSE r + 2 END WHEN t % 2 = 1 THEN r + 1 WHEN t % 3 = 0 AND r >= 2 THEN r + 1 ELSE r END AS a FROM n)
+SELECT o_orderkey, d AS directory, b || CASE WHEN a > 0 THEN '-' || a ELSE '' END || '.jpg' AS final_name FROM x""")
+def w4_natural_names(spark, sf_dir):
+    """Names as templates make them beside files that exist, and names that are others' candidates: a.jpg, a-1.jpg, a-1-1.jpg."""
+    k = F.col("o_orderkey") % 10
+    stem = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd-"), F.when(F.col("o_orderkey") % 3 == 0, "000102").otherwise("123456-Place-PL"))
+    name = F.concat(F.when(k == 7, "a").when(k == 8, "a-1").when(k == 9, "a-1-1").otherwise(stem), F.lit(".jpg"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("directory"), F.dayofmonth("o_orderdate").alias("t"), name.alias("name"), F.greatest(k, F.lit(6)).alias("turn"))
+    named = o.where("turn = 6").select("directory", "name", "t").distinct()
+    there = named.where("t % 2 = 1").select("directory", "name").union(named.where("t % 3 = 0").select("directory", ledger.candidate_column(F.col("name"), F.lit(2))))
+    return ledger.assign(o.drop("t"), ["turn", "o_orderkey"], there).select("o_orderkey", "directory", "final_name")
+
+
 @query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 100)::BIGINT AS chunk FROM orders")
 def w7_chunks(spark, sf_dir):
     """Rows in chunks of a hundred."""
     return ledger.chunks(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")], 100, F.floor(F.col("o_orderkey") / 65536))
 
 
-@query("""WITH o AS (SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 5 <> 0 THEN sha256('v' || n_nationkey) END AS d FROM nation), c AS (SELECT c_nationkey AS group_id, CASE WHEN c_custkey % 97 = 0 THEN 'x' ELSE sha256('v' || c_nationkey) END AS d FROM customer WHERE c_nationkey <> 3)
+@query("""WITH o AS (SELECT n_nationkey AS group_id, CASE WHEN n_nationkey % 5 <> 0 THEN sha256('v' || n_nationkey) END AS d FROM nation), c AS (SELECT g AS group_id, CASE WHEN c_custkey % 97 = 0 THEN 'x' ELSE sha256('v' || g) END AS d FROM (SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN 4 ELSE c_nationkey END AS g FROM customer))
 SELECT o.group_id, count(c.d)::BIGINT AS n_copies, count(*) FILTER (o.d = c.d)::BIGINT AS n_matching, CASE WHEN any_value(o.d) IS NULL THEN 'original_missing' WHEN count(*) FILTER (o.d = c.d) < count(c.d) THEN 'mismatch' ELSE 'confirmed' END AS verdict FROM o LEFT JOIN c USING (group_id) GROUP BY 1""")
 def a11_verdicts(spark, sf_dir):
-    """Groups whose copies match, don't, or have lost their original."""
+    """Groups whose copies match, don't, or have lost their original; a group without copies."""
     digest = lambda k: F.sha2(F.concat(F.lit("v"), k.cast("string")), 256)
     o = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("group_id"), F.when(F.col("n_nationkey") % 5 != 0, digest(F.col("n_nationkey"))).alias("digest"))
-    c = table(spark, sf_dir, "customer").where("c_nationkey <> 3").select(F.col("c_nationkey").alias("group_id"), F.when(F.col("c_custkey") % 97 == 0, "x").otherwise(digest(F.col("c_nationkey"))).alias("digest"))
+    of = F.when(F.col("c_nationkey") == 3, 4).otherwise(F.col("c_nationkey"))
+    c = table(spark, sf_dir, "customer").select(of.alias("group_id"), F.when(F.col("c_custkey") % 97 == 0, "x").otherwise(digest(of)).alias("digest"))
     return verify.group_verdicts(o, c)
 
 
@@ -468,22 +490,63 @@ def c1_journal_lines(spark, sf_dir):
 g AS (SELECT run_id, any_value(n) AS n, min(r) FILTER (event_id % 1000 = 13) AS bad FROM e GROUP BY 1)
 SELECT run_id, run_id % 7 <> 3 AS header_ok, run_id % 11 = 5 AND run_id % 7 <> 3 AS newer, coalesce(bad = n, false) AS torn, CASE WHEN bad < n THEN bad + 2 END::INT AS bad_line FROM g""")
 def s7_journals(spark, sf_dir):
-    """Whole journals, each with its header, empty lines and torn lines; only a last line may be torn."""
+    """Journals written as files and read by lines, each with its header, empty lines and torn lines; only a last line may be torn."""
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run_id"), "event_id")
     line = F.when(F.col("event_id") % 1000 == 13, '{"type":"run').otherwise(F.concat(F.lit('{"type":"move_failed","seq":'), F.col("event_id").cast("string"), F.lit("}")))
-    body = e.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     version = F.when(F.col("run_id") % 7 == 3, "{").when(F.col("run_id") % 11 == 5, '{"schema_version":9}').otherwise('{"schema_version":1}')
-    return journal.state(journal.lines(body.select("run_id", F.concat(version, F.lit("\n\n"), "body", F.lit("\n")).alias("text"))))
+    heads = e.select("run_id").distinct().select("run_id", F.posexplode(F.array(version, F.lit(""))).alias("at", "line"))
+    at = _scratch(spark, "journals")
+    heads.select("run_id", (F.col("at") - 2).cast("long").alias("at"), "line").union(e.select("run_id", "event_id", line)).repartition("run_id").sortWithinPartitions("run_id", "at").select("run_id", F.col("line").alias("value")).write.partitionBy("run_id").text(at)
+    state = journal.state(journal.file_lines(spark, at, r"run_id=([^/]+)/[^/]+$"))
+    return state.withColumn("run_id", F.col("run_id").cast("long"))
+
+
+def _scratch(spark, name: str) -> str:
+    """A new folder below the shared one, gone at the end of the process."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(at)
+
+    def gone():
+        try:
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session is gone at exit, and its folder with it
+            return
+
+    atexit.register(gone)
+    return at
+
+
+def _mounted(at: str) -> str:
+    """A folder's path on the machines that share it; refused where it isn't mounted."""
+    if not at.startswith(("file:", "/")):
+        raise ValueError(f"{at} isn't mounted here")
+    return at.removeprefix("file://").removeprefix("file:")
+
+
+def _manifests(spark, sf_dir):
+    """Lines of the manifests of customers by nation, with where the original went."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("group_id"), "c_custkey", F.concat(F.lit("in/\t"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("path"))
+    g = c.groupBy("group_id").agg(F.max("c_custkey").alias("m")).select("group_id", F.col("group_id").alias("number"), F.lit("ab").alias("hash"), F.lit(1).alias("size"), F.lit("in/kept").alias("original"), "m")
+    moved = g.select("group_id", F.lit(1 << 40).alias("line_no"), F.concat(F.lit(f"  {manifest.MOVED}out/"), F.col("m").cast("string"), F.lit(" \r")).alias("line"))
+    return manifest.lines(g, c).union(moved)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS group_id, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer), h AS (SELECT DISTINCT group_id FROM c)
+SELECT group_id, n + 5 AS line_no, 'in/\\u{9}' || lpad(c_custkey::VARCHAR, 9, '0') AS line FROM c UNION ALL SELECT group_id, unnest([1, 2, 3, 4, 5]), unnest(['# Duplicate group ' || lpad(group_id::VARCHAR, 3, '0'), '# SHA-256: ab', '# File size: 1 bytes', '# Original kept at: in/kept', '#']) FROM h""")
+def k4_manifest_lines(spark, sf_dir):
+    """K4: manifests as lines in order, placed by ranges; no group is gathered."""
+    return _manifests(spark, sf_dir).where("line_no < 1000000000")
 
 
 @query("""SELECT c_nationkey AS group_id, max('out/' || c_custkey) FILTER (c_custkey = m) AS original, count(*)::BIGINT AS n FROM (SELECT *, max(c_custkey) OVER (PARTITION BY c_nationkey) AS m FROM customer) GROUP BY 1""")
 def s9_manifest(spark, sf_dir):
-    """Manifests written and read back; "moved to" wins."""
-    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("group_id")).agg(F.max("c_custkey").alias("m"), F.collect_list(F.concat(F.lit("in/"), F.col("c_custkey").cast("string"))).alias("duplicates"))
-    g = c.select("group_id", F.col("group_id").alias("number"), F.lit("ab").alias("hash"), F.lit(1).alias("size"), F.lit("in/kept").alias("original"), "duplicates", "m")
-    texts = manifest.render(g).join(g.select("group_id", "m"), "group_id")
-    moved = texts.select("group_id", F.concat("text", F.lit(f"{manifest.MOVED}out/"), F.col("m").cast("string"), F.lit("\n")).alias("text"))
-    return manifest.parse(moved).select("group_id", "original", F.size("duplicates").cast("long").alias("n"))
+    """Manifests written in segments and read back by lines; "moved to" wins, white space around lines doesn't count."""
+    at = _scratch(spark, "manifests")
+    manifest.write(_manifests(spark, sf_dir), _mounted(at)).count()
+    lines = manifest.read(spark, f"{at}/*/{manifest.NAME}")
+    n = manifest.members(lines).groupBy("group_id").agg(F.count("*").alias("n"))
+    return manifest.originals(lines).join(n, "group_id").select(F.col("group_id").cast("int").alias("group_id"), "original", "n")
 
 
 @query("""WITH l AS (SELECT 'k' || (o_orderkey % 100) AS key, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS priority, o_orderstatus AS layer, max(CASE WHEN o_orderkey % 7 > 2 THEN o_orderpriority END) AS value FROM orders GROUP BY 1, 2, 3)
@@ -496,6 +559,40 @@ def c4_settings(spark, sf_dir):
     return settings.deciding(layers)
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 12 AS k, o_orderkey % 2000 AS n FROM orders), r AS (
+SELECT o_orderkey, 'project' AS layer, unnest(['chunk_size', 'verbose']) AS key, unnest([n::VARCHAR, (n % 3)::VARCHAR]) AS value, unnest([1, 3]) AS line, NULL::INT AS "column", false AS fault FROM o WHERE k IN (0, 1)
+UNION ALL SELECT o_orderkey, 'project', CASE WHEN n BETWEEN 1 AND 1024 THEN 'hash_threads' END, CASE WHEN n BETWEEN 1 AND 1024 THEN n::VARCHAR END, 2, CASE WHEN n NOT BETWEEN 1 AND 1024 THEN 3 END, n NOT BETWEEN 1 AND 1024 FROM o WHERE k = 2
+UNION ALL SELECT o_orderkey, 'project', NULL, NULL, 1, 15 + length(n::VARCHAR), true FROM o WHERE k = 3
+UNION ALL SELECT o_orderkey, 'user', NULL, NULL, 2, 1, true FROM o WHERE k = 4
+UNION ALL SELECT o_orderkey, 'user', 'extensions', '{"video": ["mp' || n || '", "mov"]}', 1, NULL, false FROM o WHERE k = 5
+UNION ALL SELECT o_orderkey, 'user', NULL, NULL, 1, 1, true FROM o WHERE k = 6
+UNION ALL SELECT o_orderkey, 'environment', 'extensions', '{"image": []}', 1, NULL, false FROM o WHERE k = 7
+UNION ALL SELECT o_orderkey, 'environment', CASE WHEN n % 24 > 0 THEN 'default_timezone' END, CASE WHEN n % 24 > 0 THEN '"+' || lpad((n % 24)::VARCHAR, 2, '0') || ':30"' END, 2, CASE WHEN n % 24 = 0 THEN 1 END, n % 24 = 0 FROM o WHERE k = 8
+UNION ALL SELECT o_orderkey, 'environment', unnest(['sidecars', NULL]), unnest([CASE WHEN n % 2 = 0 THEN 'false' ELSE 'true' END, NULL]), unnest([1, 2]), unnest([NULL, 1]), unnest([false, true]) FROM o WHERE k = 9
+UNION ALL SELECT o_orderkey, 'environment', 'skip_patterns', '["a' || n || '", "b"]', 1, NULL, false FROM o WHERE k = 10)
+SELECT * FROM r""")
+def s14_settings_rows(spark, sf_dir):
+    """What settings files and variables say, a row a setting, and their faults with line and column; no text, no row."""
+    o = table(spark, sf_dir, "orders")
+    k, n = F.col("o_orderkey") % 12, (F.col("o_orderkey") % 2000).cast("string")
+    few = (F.col("o_orderkey") % 2000) % 24
+    text = (
+        F.when(k.isin(0, 1), F.concat(F.lit("chunk_size = "), n, F.lit("\n# between\nverbose = "), (F.col("o_orderkey") % 2000 % 3).cast("string")))
+        .when(k == 2, F.concat(F.lit("# bounds\n  hash_threads = "), n))
+        .when(k == 3, F.concat(F.lit("chunk_size = "), n, F.lit(" 1")))
+        .when(k == 4, F.concat(F.lit("\nno_such_setting = "), n))
+        .when(k == 5, F.concat(F.lit('[extensions]\nvideo = [".MP'), n, F.lit('", "mov"]')))
+        .when(k == 6, F.lit("commit = true"))
+        .when(k == 7, F.lit("LODESTRATA_EXTENSIONS_IMAGE="))
+        .when(k == 8, F.concat(F.lit("HOME=/\nLODESTRATA_DEFAULT_TIMEZONE=+"), F.when(few == 0, "banana").otherwise(F.concat(F.lpad(few.cast("string"), 2, "0"), F.lit(":30")))))
+        .when(k == 9, F.concat(F.lit("LODESTRATA_SIDECARS="), F.when(F.col("o_orderkey") % 2 == 0, "no").otherwise(" ON "), F.lit("\nLODESTRATA_NO_JOURNAL=1")))
+        .when(k == 10, F.concat(F.lit("LODESTRATA_SKIP_PATTERNS= a"), n, F.lit(" ,, b")))
+    )
+    layer = F.when(k < 4, "project").when(k < 7, "user").otherwise("environment")
+    rows = settings.rows_of(o.select("o_orderkey", layer.alias("layer"), text.alias("text")))
+    return rows.select("o_orderkey", "layer", "key", "value", "line", "column", F.col("error").isNotNull().alias("fault"))
+
+
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN '[FS: UNREADABLE]' WHEN 'click' THEN '[EXIF]' WHEN 'view' THEN '[SIDECAR]' ELSE '[NO DATE]' END AS tag, '[tz:' || event_type || ']' AS zone FROM events")
 def x15_tags(spark, sf_dir):
     """Tags of dates and zones."""
@@ -508,16 +605,16 @@ def x15_tags(spark, sf_dir):
 SELECT count(*)::BIGINT AS n_files, coalesce(sum(octet_length(c)), 0)::BIGINT AS bytes, count(*) FILTER (c IS NOT NULL AND n > 1)::BIGINT AS in_groups, count(*) FILTER (c IS NULL)::BIGINT AS skipped FROM g""")
 def a10_summary(spark, sf_dir):
     """A10: one row over the whole cascade."""
-    c = cascade.classify(files(spark, sf_dir), k=K)
+    c = _classified(spark, sf_dir)
     return c.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("copies") > 1).alias("in_groups"), F.count_if(F.col("role") == "skipped").alias("skipped"))
 
 
 @query(f"WITH {FILES} SELECT path, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY len(string_split(path, '/')), string_split(path, '/'))::BIGINT AS place FROM f")
 def w3_path_order(spark, sf_dir):
-    """Files in the order of paths, within their root."""
-    f = files(spark, sf_dir).select("path")
-    w = Window.partitionBy(F.element_at(paths.components(F.col("path")), 1)).orderBy(*paths.path_key(F.col("path")))
-    return f.select("path", F.row_number().over(w).cast("long").alias("place"))
+    """Files in the order of paths, within their root; a root of any size is spread over ranges."""
+    key = dict(zip(("depth", "parts"), paths.path_key(F.col("path")), strict=True))
+    f = files(spark, sf_dir).select("path", F.element_at(paths.components(F.col("path")), 1).alias("root")).withColumns(key)
+    return numbering.ranked(f, ["root"], list(key), "n").select("path", (F.col("n") + 1).alias("place"))
 
 
 @query("SELECT l.o_orderkey AS o_orderkey, l.d || '/' || l.s || CASE WHEN l.o_orderkey % 2 = 0 THEN '.jpg.xmp' ELSE '.xmp' END AS destination FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y') AS d, o_orderstatus AS s FROM orders) l")
@@ -589,11 +686,11 @@ def w6_latest_run(spark, sf_dir):
     return undo.latest(_journal(spark, sf_dir)).select("run_id", "interrupted")
 
 
-@query(f"WITH {FILES}, k AS (SELECT path, CASE WHEN length(text) >= 16 THEN sha256(left(text, 16)) END AS key FROM f JOIN documents USING (doc_id)) SELECT key, count(*)::BIGINT AS n, min(path) AS first FROM k GROUP BY key")
+@query(f"WITH {FILES}, k AS (SELECT path, CASE WHEN octet_length(c) >= 16 THEN sha256(c) END AS key FROM f) SELECT key, count(*)::BIGINT AS n, min(path) AS first FROM k GROUP BY key")
 def a4_keyed_groups(spark, sf_dir):
-    """A4: files grouped by any key; those without one are counted together, never lost."""
-    f = files(spark, sf_dir).withColumn("text", F.decode("content", "UTF-8"))
-    return cascade.keyed(f, F.when(F.length("text") >= 16, F.sha2(F.encode(F.substring("text", 1, 16), "UTF-8"), 256)), F.col("path"))
+    """A4: files grouped by any key, the digest of the whole text; those without one are counted together, never lost."""
+    f = files(spark, sf_dir)
+    return cascade.keyed(f, F.when(F.octet_length("content") >= 16, F.sha2("content", 256)), F.col("path"))
 
 
 @query(f"""WITH {FILES}, g AS (SELECT sha256(c) AS h, ({FIRST}).f AS o, row_number() OVER (ORDER BY sha256(c)) - 1 AS k FROM f WHERE c IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
@@ -607,17 +704,25 @@ _XMP = '<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.or
 _BOUND = 'xmlns:exif="http://ns.adobe.com/exif/1.0/" xmlns:photoshop="http://ns.adobe.com/photoshop/1.0/" xmlns:xmp="http://ns.adobe.com/xap/1.0/"'
 
 
-@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 9 AS k, o_orderdate + INTERVAL (o_orderkey % 86400) SECOND AS t FROM orders)
-SELECT o_orderkey, (CASE k WHEN 1 THEN date_trunc('day', t) WHEN 2 THEN date_trunc('minute', t) WHEN 5 THEN NULL ELSE t END)::TIMESTAMP AS naive, CASE k WHEN 0 THEN 28800 WHEN 3 THEN 0 WHEN 7 THEN 0 WHEN 8 THEN -12600 END::INT AS offset_s,
-CASE k WHEN 1 THEN 'photoshop:DateCreated' WHEN 2 THEN 'xmp:CreateDate' WHEN 3 THEN 'xmp:CreateDate' WHEN 5 THEN NULL WHEN 7 THEN 'xmp:CreateDate' ELSE 'exif:DateTimeOriginal' END AS property, CASE WHEN k <> 5 THEN k <> 1 END AS has_time_of_day, CASE k WHEN 5 THEN 'undated' ELSE 'ok' END AS status FROM o""")
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 18 AS k, o_orderdate + INTERVAL (o_orderkey % 86400) SECOND AS t FROM orders), p AS (SELECT *, CASE WHEN k IN (1) THEN 'photoshop:DateCreated' WHEN k IN (2, 3, 7, 11, 14) THEN 'xmp:CreateDate' WHEN k NOT IN (5, 15, 16) THEN 'exif:DateTimeOriginal' END AS property FROM o)
+SELECT o_orderkey, (CASE WHEN property IS NULL THEN NULL WHEN k = 1 THEN date_trunc('day', t) WHEN k = 2 THEN date_trunc('minute', t) ELSE t END)::TIMESTAMP AS naive, CASE WHEN k IN (0, 10, 17) THEN 28800 WHEN k IN (3, 7) THEN 0 WHEN k = 8 THEN -12600 END::INT AS offset_s,
+property, CASE WHEN property IS NOT NULL THEN k <> 1 END AS has_time_of_day, CASE WHEN property IS NULL THEN 'undated' ELSE 'ok' END AS status FROM p""")
 def s10_xmp(spark, sf_dir):
-    """sidecars' dates; attributes and elements, namespaces bound, rebound and unbound, torn XML, values that can't be read."""
-    k = F.col("o_orderkey") % 9
+    """sidecars' dates; attributes and elements, namespaces bound, rebound and unbound in scopes, torn XML, values that can't be read."""
+    k = F.col("o_orderkey") % 18
     ts = F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
     day, minute, full = (F.date_format(ts, f) for f in ("yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss"))
 
+    early = F.lit("1999-01-02T03:04:05")
+
+    def opened(attributes, names_=_BOUND) -> Column:
+        return F.concat(F.lit(f"{_XMP}<rdf:Description {names_} "), attributes, F.lit(">"))
+
     def about(attributes, inside="", names_=_BOUND) -> Column:
-        return F.concat(F.lit(f"{_XMP}<rdf:Description {names_} "), attributes, F.lit(">"), inside if isinstance(inside, Column) else F.lit(inside), F.lit("</rdf:Description>"))
+        return F.concat(opened(attributes, names_), inside if isinstance(inside, Column) else F.lit(inside), F.lit("</rdf:Description>"))
+
+    def element(name: str, value: Column) -> Column:
+        return F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
 
     def attribute(name: str, value: Column) -> Column:
         return F.concat(F.lit(f'{name}="'), value, F.lit('" '))
@@ -633,9 +738,18 @@ def s10_xmp(spark, sf_dir):
         .when(k == 5, F.concat(about(attribute("exif:DateTimeOriginal", full), names_='xmlns:exif="http://example.org/other/"'), end))
         .when(k == 6, F.concat(about(attribute("exif:DateTimeOriginal", full)), F.lit("<broken <")))
         .when(k == 7, F.concat(about(F.concat(attribute("exif:DateTimeOriginal", F.lit("no date")), attribute("xmp:CreateDate", F.concat(full, F.lit("Z"))))), end))
-        .otherwise(F.concat(about(F.lit(""), F.concat(F.lit("<exif:DateTimeOriginal>"), full, F.lit("-03:30</exif:DateTimeOriginal>"))), end))
+        .when(k == 8, F.concat(about(F.lit(""), element("exif:DateTimeOriginal", F.concat(full, F.lit("-03:30")))), end))
+        .when(k == 9, F.concat(about(F.concat(F.lit('lost:mark="1" '), attribute("exif:DateTimeOriginal", full))), end))
+        .when(k == 10, F.concat(opened(attribute("exif:DateTimeOriginal", F.concat(full, F.lit("+08:00")))), F.lit('<lost:History><rdf:li lost:when="')))
+        .when(k == 11, F.concat(about(attribute("xmp:CreateDate", full), F.concat(F.lit('<a xmlns:xmp="http://example.org/other/" '), attribute("xmp:CreateDate", early), F.lit("/>")), ""), end))
+        .when(k == 12, F.concat(about(attribute("exif:DateTimeOriginal", full), element("exif:DateTimeOriginal", early)), end))
+        .when(k == 13, F.concat(about(F.lit(""), F.concat(F.lit('<a xmlns:exif="http://example.org/other/"><b/></a>'), element("exif:DateTimeOriginal", full)), ""), end))
+        .when(k == 14, F.concat(about(F.lit(""), F.concat(F.lit('<CreateDate xmlns="http://ns.adobe.com/xap/1.0/"><!-- <a> --><![CDATA['), full, F.lit("]]></CreateDate>")), ""), end))
+        .when(k == 15, F.concat(about(F.lit(""), element("xmp:CreateDate", F.concat(F.lit("<rdf:li>"), full, F.lit("</rdf:li>")))), end))
+        .when(k == 16, F.concat(about(F.lit(""), F.concat(F.lit("<a></b>"), element("xmp:CreateDate", full))), end))
+        .otherwise(F.concat(about(attribute("exif:DateTimeOriginal", F.concat(full, F.lit("&#43;08:00")))), end))
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", readers.xmp_udf(F.encode(text, "UTF-8")).alias("x")).select("o_orderkey", "x.*")
+    return table(spark, sf_dir, "orders").select("o_orderkey", xmp.dates_of(F.encode(text, "UTF-8")).alias("x")).select("o_orderkey", "x.*")
 
 
 def _hex(n: Column | int, width: int = 8) -> Column:
@@ -702,10 +816,7 @@ def _library(spark, sf_dir) -> tuple[str, str]:
     in/<region>/<nation>.jpg for each, a copy in in/copies/deep for every third, an XMP beside every fourth,
     two notes and a file that a pattern hides.
     """
-    root = shared_dir(spark)
-    if not root.startswith(("file:", "/")):
-        raise ValueError(f"{root} isn't mounted here")
-    at = os.path.join(root.removeprefix("file://").removeprefix("file:"), f"library-{uuid.uuid4().hex}")
+    at = os.path.join(_mounted(shared_dir(spark)), f"library-{uuid.uuid4().hex}")
     atexit.register(shutil.rmtree, at, ignore_errors=True)
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_nationkey", "n_name", "n_regionkey", "r_name").collect()  # every row is a file that the driver writes
 

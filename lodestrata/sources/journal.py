@@ -24,9 +24,12 @@ def lines(text: DataFrame, key: str = "run_id", body: str = "text") -> DataFrame
     return text.select(key, F.posexplode(F.split(body, "\n")).alias("n", "line")).where("line <> ''").select(key, (F.col("n") + 1).alias("line_no"), "line")
 
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(run_id, line_no, line) of the journal files at ``path``, read line by line: a journal of any length is split as other text is."""
-    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.jsonl)?$", 1).alias("run_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+def file_lines(spark: SparkSession, path: str, named: str = r"([^/]+?)(?:\.jsonl)?$") -> DataFrame:
+    """(run_id, line_no, line) of the journal files at ``path``, read line by line: a journal of any length is split as other text is.
+
+    ``named`` finds a file's run in its path.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.regexp_extract(F.col("_metadata.file_path"), named, 1).alias("run_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     placed = raw.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "block").orderBy("at")))
     before = Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = raw.groupBy("run_id", "block").agg(F.count("*").alias("c")).select("run_id", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))

@@ -7,35 +7,95 @@ import os
 from collections.abc import Iterable
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.names import manifest_escape
 from ..operators.cascade import group_directory
+from ..operators.numbering import ranked
+from ..runtime import cut
+from .journal import file_lines
 
 # The comment lines that carry paths.
 KEPT, MOVED = "# Original kept at: ", "# Original moved to: "
 NAME = "manifest.txt"
 
 
-def parse(texts: DataFrame) -> DataFrame:
-    """(group_id, original, duplicates) of ``texts(group_id, text)``; the last "moved to" wins over "kept at"."""
-    rows = texts.select("group_id", F.posexplode(F.split("text", "\n")).alias("n", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
+_BLANK = r"[\p{IsWhite_Space}]+"
+
+
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, f"(?s)^{_BLANK}|{_BLANK}\\z", "")
+
+
+def originals(lines: DataFrame) -> DataFrame:
+    """(group_id, original) of ``lines(group_id, line_no, line)``: the last "moved to", or else the last "kept at"; white space around a line doesn't count."""
+    rows = lines.select("group_id", "line_no", _trimmed(F.col("line")).alias("line"))
 
     def last(prefix: str):
         is_it = F.col("line").startswith(prefix)
-        return F.max_by(F.when(is_it, F.substring("line", len(prefix) + 1, 1 << 20)), F.when(is_it, F.col("n")))
+        return F.max_by(F.when(is_it, F.expr(f"substring(line, {len(prefix) + 1})")), F.when(is_it, F.col("line_no")))
+
+    return rows.groupBy("group_id").agg(F.coalesce(last(MOVED), last(KEPT)).alias("original"))
+
+
+def members(lines: DataFrame) -> DataFrame:
+    """(group_id, line_no, path) of the lines that are neither empty nor comments, a row each however many a group has."""
+    rows = lines.select("group_id", "line_no", _trimmed(F.col("line")).alias("path"))
+    return rows.where((F.col("path") != "") & ~F.col("path").startswith("#"))
+
+
+def lines(groups: DataFrame, paths: DataFrame) -> DataFrame:
+    """(group_id, line_no, line) of the manifests of ``groups(group_id, number, hash, size, original)`` with ``paths(group_id, path)``.
+
+    Paths are escaped and in order. A group of any size is a row a line: its members are placed by ranges.
+    """
+    head = F.array(F.format_string("# Duplicate group %03d", "number"), F.concat(F.lit("# SHA-256: "), "hash"), F.format_string("# File size: %d bytes", "size"), F.concat(F.lit(KEPT), manifest_escape(F.col("original"))), F.lit("#"))
+    first = groups.select("group_id", F.posexplode(head).alias("n", "line")).select("group_id", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    body = ranked(paths.select("group_id", "path"), ["group_id"], ["path"], "n")
+    return first.union(body.select("group_id", F.col("n") + 6, manifest_escape(F.col("path"))))
+
+
+def write(lines: DataFrame, root: str) -> DataFrame:
+    """Writes root/<group_id>/manifest.txt of ``lines(group_id, line_no, line)``; returns (group_id, offset, bytes), a row for each segment.
+
+    The lines are cut into pieces by ranges, and each piece is written where it belongs in its file by the task that holds
+    it, so that a group of any size is written by many tasks. ``root`` is a folder that all executors share. A task that
+    runs again writes the same bytes to the same place.
+    """
+    size = F.octet_length("line").cast("long") + 1
+    marked = cut(lines.withColumn("_bytes", size).repartitionByRange("group_id", "line_no").withColumn("_piece", F.spark_partition_id()))
+    per = marked.groupBy("group_id", "_piece").agg(F.sum("_bytes").alias("_n"))
+    own = Window.partitionBy("group_id")
+    starts = per.select("group_id", "_piece", F.coalesce(F.sum("_n").over(own.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"), F.sum("_n").over(own).alias("_total"))
+    dealt = marked.join(starts, ["group_id", "_piece"]).repartition("group_id", "_piece").sortWithinPartitions("group_id", "_piece", "line_no")
+
+    def put(batches):
+        at = None
+        for pdf in batches:
+            for (group, piece), some in pdf.groupby(["group_id", "_piece"], sort=False):
+                if at is None or at[:2] != (group, piece):
+                    at = (group, piece, int(some["_offset"].iloc[0]))
+                data = ("\n".join(some["line"]) + "\n").encode()
+                os.makedirs(directory := os.path.join(root, str(group)), exist_ok=True)
+                fd = os.open(os.path.join(directory, NAME), os.O_WRONLY | os.O_CREAT, 0o644)
+                try:
+                    os.ftruncate(fd, int(some["_total"].iloc[0]))
+                    os.pwrite(fd, data, at[2])
+                    os.fsync(fd)
+                finally:
+                    os.close(fd)
+                yield pd.DataFrame({"group_id": [group], "offset": [at[2]], "bytes": [len(data)]})
+                at = (group, piece, at[2] + len(data))
 
-    plain = F.when(~F.col("line").startswith("#"), F.struct("n", "line"))
-    g = rows.groupBy("group_id").agg(F.coalesce(last(MOVED), last(KEPT)).alias("original"), F.array_sort(F.collect_list(plain)).alias("d"))
-    return g.select("group_id", "original", F.col("d.line").alias("duplicates"))
+    return dealt.select("group_id", "_piece", "line_no", "line", "_offset", "_total").mapInPandas(put, f"group_id {lines.schema['group_id'].dataType.simpleString()}, offset long, bytes long")
 
 
-def render(groups: DataFrame) -> DataFrame:
-    """(group_id, text) of ``groups(group_id, number, hash, size, original, duplicates)``, paths escaped, in order."""
-    head = F.format_string("# Duplicate group %03d\n# SHA-256: %s\n# File size: %d bytes\n" + KEPT + "%s\n", "number", "hash", "size", manifest_escape(F.col("original")))
-    body = F.concat_ws("\n", F.transform(F.array_sort("duplicates"), manifest_escape))
-    return groups.select("group_id", F.concat(head, F.lit("#\n"), body, F.lit("\n")).alias("text"))
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(group_id, line_no, line) of the manifests at ``path``, each in a directory of its group's name, read line by line."""
+    return file_lines(spark, path, r"([^/]+)/[^/]+$").select(F.col("run_id").alias("group_id"), "line_no", "line")
 
 
 def of_originals(files: DataFrame, groups: DataFrame, duplicates_dir: str = "duplicates") -> DataFrame:
@@ -54,7 +114,7 @@ def original_of(lines: Iterable[str]) -> str | None:
     """The original's path: the last "moved to", else the last "kept at"."""
     kept = moved = None
     for line in lines:
-        line = line.rstrip("\n")
+        line = line.strip()
         if line.startswith(MOVED):
             moved = line.removeprefix(MOVED)
         elif line.startswith(KEPT):

@@ -1,4 +1,4 @@
-"""Readers of media files: digests by byte range, XMP, EXIF in JPEG, TIFF and HEIF, ISO base media.
+"""Readers of media files: digests by byte range, EXIF in JPEG, TIFF and HEIF, ISO base media.
 
 Each is a pandas UDF over paths that opens the file where it runs; malformed input is a status, never
 an exception.
@@ -7,26 +7,19 @@ an exception.
 from __future__ import annotations
 
 import hashlib
-import io
 import mmap
 import re
 import struct
-import xml.etree.ElementTree as ET
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DIGEST = T.StructType().add("digest", "string").add("reason", "string")
-BUFFER, XMP_LIMIT = 128 * 1024, 10 << 20
+from .clocks import parse_offset, parse_wall_clock
 
-# The properties of XMP that hold dates, best first: rank, prefix, namespace, name.
-XMP_DATES = (
-    (0, "exif", "http://ns.adobe.com/exif/1.0/", "DateTimeOriginal"),
-    (1, "photoshop", "http://ns.adobe.com/photoshop/1.0/", "DateCreated"),
-    (2, "xmp", "http://ns.adobe.com/xap/1.0/", "CreateDate"),
-)
+DIGEST = T.StructType().add("digest", "string").add("reason", "string")
+BUFFER = 128 * 1024
 
 
 def partial_digest(path: str, scanned: int, k: int) -> str:
@@ -76,93 +69,6 @@ def full_digest_udf(path: pd.Series) -> pd.DataFrame:
     return _each(full_digest, path)
 
 
-def parse_offset(text: str) -> int | None:
-    m = re.fullmatch(r"([+-])(\d{2}):?(\d{2})?", text)
-    if not m or int(m[2]) > 23 or int(m[3] or 0) > 59:
-        return None
-    return (-1 if m[1] == "-" else 1) * (int(m[2]) * 3600 + int(m[3] or 0) * 60)
-
-
-def parse_wall_clock(text: str) -> tuple[datetime, int | None] | None:
-    """The four spellings of a wall clock, two of them with an offset."""
-    for fmt in ("%Y:%m:%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S"):
-        try:
-            return datetime.strptime(text, fmt), None
-        except ValueError:
-            continue
-    m = re.fullmatch(r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})(Z|[+-]\d{2}(?::?\d{2})?)", text)
-    offset = (0 if m[2] == "Z" else parse_offset(m[2])) if m else None
-    if offset is None:
-        return None
-    try:
-        return datetime.strptime(m[1].replace(" ", "T"), "%Y-%m-%dT%H:%M:%S"), offset
-    except ValueError:
-        return None
-
-
-def parse_xmp_value(text: str) -> tuple[datetime, int | None, bool] | None:
-    """A date in XMP: (naive, offset, whether it has a time of day)."""
-    m = re.fullmatch(r"(\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2})(\.\d+)?([Zz]|[+-]\d{2}:\d{2})", text)
-    if m:
-        offset = 0 if m[3] in "Zz" else parse_offset(m[3])
-        try:
-            naive = datetime.strptime(m[1].upper().replace(" ", "T"), "%Y-%m-%dT%H:%M:%S")
-        except ValueError:
-            naive = None
-        if naive is not None and offset is not None:
-            return naive + timedelta(microseconds=int((m[2] or ".0")[1:7].ljust(6, "0"))), offset, True
-    if found := parse_wall_clock(text):
-        return *found, True
-    for fmt, timed in (("%Y-%m-%dT%H:%M", True), ("%Y-%m-%d %H:%M", True), ("%Y-%m-%d", False)):
-        try:
-            return datetime.strptime(text, fmt), None, timed
-        except ValueError:
-            continue
-    return None
-
-
-def parse_xmp(data: bytes) -> tuple[datetime, int | None, str, bool] | None:
-    """The best date of a sidecar: with a time of day before without, then by property, then the first seen.
-
-    A property is known by its namespace, or by its customary prefix where that prefix is unbound. What
-    was read before malformed XML counts.
-    """
-    unbound = {p: ns for _, p, ns, _ in XMP_DATES if f"xmlns:{p}=".encode() not in data}
-    if unbound:  # binds customary prefixes that lost their declarations
-        declared = "".join(f' xmlns:{p}="{ns}"' for p, ns in unbound.items()).encode()
-        data = re.sub(rb"<(?![?!/])([^\s/>]+)", lambda m: m[0] + declared, data, count=1)
-    known = {f"{{{ns}}}{name}": (rank, f"{p}:{name}") for rank, p, ns, name in XMP_DATES}
-    found, best = [], None
-    try:
-        for _, el in ET.iterparse(io.BytesIO(data), events=("end",)):
-            found += [(known[k], v) for k, v in el.attrib.items() if k in known]
-            if el.tag in known and el.text:
-                found.append((known[el.tag], el.text))
-            el.clear()
-    except ET.ParseError:
-        pass
-    for (rank, name), value in found:
-        if got := parse_xmp_value(value.strip()):
-            key = (not got[2], rank)
-            if best is None or key < best[0]:
-                best = key, (got[0], got[1], name, got[2])
-    return best[1] if best else None
-
-
-XMP_STRUCT = T.StructType().add("naive", T.TimestampNTZType()).add("offset_s", "integer").add("property", "string").add("has_time_of_day", "boolean").add("status", "string")
-
-
-@F.pandas_udf(XMP_STRUCT)
-def xmp_udf(content: pd.Series) -> pd.DataFrame:
-    rows = []
-    for c in content:
-        got = parse_xmp(bytes(c)) if c is not None and len(c) <= XMP_LIMIT else None
-        status = "missing" if c is None else "too_large" if len(c) > XMP_LIMIT else "ok" if got else "undated"
-        rows.append((*(got or (None, None, None, None)), status))
-    out = pd.DataFrame(rows, columns=["naive", "offset_s", "property", "has_time_of_day", "status"])
-    return out.astype({"naive": "datetime64[us]", "offset_s": "Int32", "has_time_of_day": "boolean"})
-
-
 # ---- EXIF -----------------------------------------------------------------------------------------
 
 # TIFF field types' sizes and the tags that are read.
@@ -224,6 +130,9 @@ def find_exif(data: bytes) -> bytes | None:
     if data[:2] == b"\xff\xd8":
         at = 2
         while at + 4 <= len(data) and data[at] == 0xFF:
+            if data[at + 1] == 0xFF:  # a fill byte
+                at += 1
+                continue
             marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
             if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
                 return data[at + 10 : at + 2 + size]

@@ -4,6 +4,7 @@ import os
 import random
 import struct
 import unicodedata
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -12,10 +13,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrata.functions import dates, geo, names, paths
-from lodestrata.operators import cascade, ledger, pairing, verify
+from lodestrata.operators import cascade, ledger, numbering, pairing, verify
 from lodestrata.plans import settings as conf
 from lodestrata.plans import sink, undo
-from lodestrata.sources import generator, journal, manifest, media, readers
+from lodestrata.sources import generator, journal, manifest, media, readers, xmp
 
 
 def one(spark, **cols):
@@ -34,6 +35,52 @@ def test_ledger_over_frames(spark):
     assert [r.final_name for r in got] == ["a.jpg", "a-1.jpg", "a-1-1.jpg", "a-1.jpg"]
 
 
+NAMES = ["a.jpg", "a-1.jpg", "a-2.jpg", "a-1-1.jpg", "a-01.jpg", "a", "a-1", ".a", ".a-1", "a-1.b-2", "a.b-2", "2021-10-12-123456.jpg", "2021-10-12.jpg", "2021-10.jpg", "b-9999.x", "b-10000.x", "b.x", "c-\n", "x.", "x-1."]
+
+
+def test_ledger_is_the_sequential_one(spark):
+    """Many directories of random names, planned and existing, at once; the n-th row by order claims what it would claim one by one."""
+    r = random.Random(11)
+    planned, there, want, k = [], [], {}, 0
+    for d in range(150):
+        some = r.sample(NAMES, r.randint(1, 6))
+        held = {r.choice([n, ledger.candidate(n, r.randint(0, 4))]) for n in r.choices(NAMES, k=r.randint(0, 8))}
+        own = r.choices(some, k=r.randint(1, 14))
+        for n, got in zip(own, ledger.claim(own, set(held)), strict=True):
+            planned.append((f"d{d}", n, k, "x"))
+            want[k] = got
+            k += 1
+        there += [(f"d{d}", n) for n in held] + [(f"e{d}", n) for n in held]
+    df = spark.createDataFrame(planned, "directory string, name string, k int, more string").repartition(5)
+    got = ledger.assign(df, ["k"], spark.createDataFrame(there, "directory string, name string"))
+    assert got.columns == ["directory", "name", "k", "more", "final_name"] and {x.k: x.final_name for x in got.collect()} == want
+    alone = ledger.assign(df, ["k"])
+    per = {}
+    for d, n, i, _ in planned:
+        per.setdefault(d, []).append((i, n))
+    assert {x.k: x.final_name for x in alone.collect()} == {i: g for rows in per.values() for (i, _), g in zip(rows, ledger.claim([n for _, n in rows], set()), strict=True)}
+
+
+def test_ledger_runs_out(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "ATTEMPTS", 4)
+    for names_ in (["a.jpg"] * 6, ["a.jpg"] * 6 + ["a-1.jpg"] * 6):
+        df = spark.createDataFrame([("d", n, i) for i, n in enumerate(names_)], "directory string, name string, k int")
+        there = spark.createDataFrame([("d", "a-2.jpg")], "directory string, name string")
+        got = {r.k: r.final_name for r in ledger.assign(df, ["k"], there).collect()}
+        assert [got[i] for i in range(len(names_))] == ledger.claim(names_, {"a-2.jpg"}, 4)
+
+
+def test_names_of_the_template_are_no_family(spark, monkeypatch):
+    """Names as the engine makes them never come to the sequential ledger, whatever their numbers."""
+    monkeypatch.setattr(ledger, "claim", lambda *a: 1 / 0)
+    rows = [(f"2021-{m:02d}-{d:02d}", f"2021-{m:02d}-{d:02d}-{h:02d}3456{p}.jpg") for m in (1, 10, 12) for d in (1, 10, 11) for h in (0, 9, 12) for p in ("", "-Rio-BR") for _ in range(3)]
+    rows += [("d", n) for n in ("IMG-1234.jpg", "IMG-1235.jpg", "IMG-1235.jpg", "IMG_0001.jpg")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "directory string, name string, k int")
+    got = ledger.assign(df, ["k"], spark.createDataFrame([("d", "IMG.jpg"), ("d", "IMG-1234.jpg")], "directory string, name string")).collect()
+    assert len({(r.directory, r.final_name) for r in got}) == len(rows)
+    assert {r.final_name for r in got if r.directory == "d"} == {"IMG-1234-1.jpg", "IMG-1235.jpg", "IMG-1235-1.jpg", "IMG_0001.jpg"}
+
+
 @given(st.lists(st.sampled_from(["a.jpg", "a-1.jpg", "a", ".a", "a-1-1.jpg", "b.x.y"]), max_size=30))
 def test_ledger_never_repeats(some):
     out = ledger.claim(some, set())
@@ -50,6 +97,41 @@ def test_cascade_bands_and_conservation(spark):
     assert out["p/2"].known_hash is None and out["p/6"].known_hash is not None
 
 
+def brute_roles(rows, k):
+    """(path -> (role, copies)) of (path, content) by whole contents alone."""
+    of = {}
+    for p, c in rows:
+        if c is not None:
+            of.setdefault(c, []).append(p)
+    first = {c: min(ps, key=lambda p: (p.count("/"), p.split("/"))) for c, ps in of.items()}
+    return sorted((p, "skipped" if c is None else "unique" if len(of[c]) == 1 else "original" if p == first[c] else "duplicate", 1 if c is None else len(of[c])) for p, c in rows)
+
+
+@pytest.mark.parametrize("exact", [1 << 20, 0])
+def test_whole_contents_only_where_ends_agree(spark, monkeypatch, exact):
+    """Shared ends as they are, and as bits; digests are taken of nothing else, and the result scans no content."""
+    monkeypatch.setattr(cascade, "EXACT", exact)
+    r = random.Random(2)
+    rows = [(f"d{i % 7}/{i}", r.choice([b"head", b"HEAD"]) + bytes([r.randrange(3)]) * r.choice([0, 1, 9, 9, 40]) + b"tail") for i in range(300)] + [(f"u{i}", b"head%03d" % i + b"-" * 30 + b"tail") for i in range(200)] + [("n", None), ("e1", b""), ("e2", b"")]
+    df = spark.createDataFrame([(p, c if c is None else bytearray(c), i) for i, (p, c) in enumerate(rows)], "path string, content binary, i int").repartition(6)
+    got = cascade.classify(df, k=4)
+    assert "Scan ExistingRDD" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "content" not in plan and "sha2" not in plan
+    found = got.collect()
+    assert "content" not in got.columns and {x.i for x in found} == set(range(len(rows)))
+    assert sorted((x.path, x.role, x.copies) for x in found) == brute_roles(rows, 4)
+    ends = Counter((len(c), c[:4] + c[-4:]) for _, c in rows if c is not None and len(c) > 8) + Counter((len(c), c[:4]) for _, c in rows if c is not None and 4 < len(c) <= 8)
+    left = {i for i, (_, c) in enumerate(rows) if c is not None and len(c) > 4 and ends[len(c), c[:4] + c[-4:] if len(c) > 8 else c[:4]] > 1}
+    digested = {x.i for x in found if x.digested}
+    assert digested == left if exact else left <= digested and len(digested) < len(left) + 20
+    w = cascade.work(got, 4).first()
+    assert w.full_files == len(digested) and w.full_bytes == sum(len(rows[i][1]) for i in digested) and w.n_files == 502
+
+
+def test_nothing_to_classify(spark):
+    df = spark.createDataFrame([], "path string, content binary")
+    assert cascade.classify(df).count() == 0 and cascade.work(cascade.classify(df)).first().n_files == 0
+
+
 def test_original_is_shallowest_then_by_component(spark):
     df = spark.createDataFrame([("a/b/x", bytearray(b"1")), ("a-b", bytearray(b"1")), ("z", bytearray(b"1"))], "path string, content binary")
     assert {r.path: r.role for r in cascade.classify(df).collect()} == {"a/b/x": "duplicate", "a-b": "original", "z": "duplicate"}
@@ -148,15 +230,6 @@ def test_settings_layers(tmp_path):
         conf.check_safety({"commit": True, "no_journal": True})
 
 
-def test_xmp():
-    p = readers.parse_xmp
-    attr = b'<x:xmpmeta xmlns:x="adobe:ns:meta/"><r:RDF xmlns:r="r"><r:D xmlns:q="http://ns.adobe.com/xap/1.0/" q:CreateDate="2020-01-02T03:04:05+01:00" photoshop:DateCreated="2019-01-01"/></r:RDF></x:xmpmeta>'
-    assert p(attr) == (datetime(2020, 1, 2, 3, 4, 5), 3600, "xmp:CreateDate", True)
-    el = b'<a xmlns:exif="http://ns.adobe.com/exif/1.0/"><exif:DateTimeOriginal>2018:05:06 07:08:09</exif:DateTimeOriginal><broken'
-    assert p(el)[0] == datetime(2018, 5, 6, 7, 8, 9)
-    assert p(b"") is None and p(b"<a/>") is None
-
-
 def jpeg(original: bytes, offset: bytes | None = None) -> bytes:
     entries = [(0x9003, original + b"\0")] + ([(0x9011, offset + b"\0")] if offset else [])
     body, at = b"", 26 + 2 + 12 * len(entries) + 4
@@ -223,12 +296,17 @@ def test_malformed_heif_never_raises(data, at):
     assert readers.image_metadata(whole[:at] + data + whole[at + len(data) :])["status"] in ("ok", "absent", "unreadable", "unsupported")
 
 
+def test_fill_bytes_before_a_marker():
+    data = jpeg(b"2024:01:02 03:04:05")
+    assert readers.find_exif(data[:2] + b"\xff\xff" + data[2:]) == readers.find_exif(data) is not None
+
+
 @given(st.binary(max_size=200))
 def test_malformed_media_never_raises(data):
     for prefix in (b"", b"\xff\xd8", b"II*\0\x08\0\0\0", b"\0\0\0\x08ftyp"):
         assert readers.image_metadata(prefix + data)["status"] in ("ok", "absent", "unreadable", "unsupported")
         assert readers.video_metadata(prefix + data)["status"] in ("ok", "absent", "unreadable", "unsupported")
-    readers.parse_xmp(data)
+    xmp.parse(data)
 
 
 def test_scan_lists_what_is_there(spark, tmp_path):
@@ -290,9 +368,51 @@ def test_verdicts_and_manifest(spark):
     v = verify.group_verdicts(o, c)
     assert {r.group_id: r.verdict for r in v.collect()} == {1: "confirmed", 2: "original_missing", 3: "mismatch", 4: "confirmed"}
     assert verify.exit_code(v) == 1 and verify.exit_code(v.where("group_id in (1, 4)")) == 0 and verify.exit_code(v.where("false")) == 0
-    g = spark.createDataFrame([(1, 7, "ab", 3, "in/k\n", ["in/b", "in/a"])], "group_id int, number int, hash string, size int, original string, duplicates array<string>")
-    r = manifest.parse(manifest.render(g)).first()
-    assert r.original == "in/k\\n" and r.duplicates == ["in/a", "in/b"]
+
+
+def test_manifests_are_written_in_segments(spark, tmp_path):
+    """A group with most of the rows lies in several pieces, and its file is the same as if it had been written at once."""
+    g = spark.createDataFrame([(1, 7, "ab", 3, "in/k\n"), (2, 1000, "cd", 4, "in/\té")], "group_id int, number int, hash string, size int, original string")
+    m = spark.createDataFrame([(1, f"in/é{i:05d}") for i in range(3000)] + [(2, "in/b"), (2, "in/a\r")], "group_id int, path string").repartition(7)
+    lines = manifest.lines(g, m)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = manifest.write(lines, str(tmp_path / "m")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([r for r in parts if r.group_id == 1]) > 1
+    want = "".join(f"{x}\n" for x in ("# Duplicate group 007", "# SHA-256: ab", "# File size: 3 bytes", "# Original kept at: in/k\\n", "#", *(f"in/é{i:05d}" for i in range(3000))))
+    assert (tmp_path / "m/1/manifest.txt").read_text() == want
+    assert (tmp_path / "m/2/manifest.txt").read_text().splitlines()[3:] == ["# Original kept at: in/\\u{9}é", "#", "in/a\\r", "in/b"]
+    back = manifest.read(spark, str(tmp_path / "m/*/manifest.txt"))
+    assert {r.group_id: r.original for r in manifest.originals(back).collect()} == {"1": "in/k\\n", "2": "in/\\u{9}é"}
+    assert [r.path for r in manifest.members(back).where("group_id = '1'").orderBy("line_no").collect()] == [f"in/é{i:05d}" for i in range(3000)]
+
+
+def test_white_space_around_manifest_lines(spark, tmp_path):
+    text = " # Original kept at: in/a \r\n\t# Original moved to: out/b\t\r\n# Original kept at: in/c\r\n#\r\n\u2003in/x y \r\n\r\n"
+    (tmp_path / "9").mkdir()
+    (tmp_path / "9/manifest.txt").write_bytes(text.encode())
+    lines = manifest.read(spark, str(tmp_path / "*/manifest.txt"))
+    assert [tuple(r) for r in manifest.originals(lines).collect()] == [("9", "out/b")]
+    assert [r.path for r in manifest.members(lines).collect()] == ["in/x y"]
+    assert manifest.original_of(text.splitlines()) == "out/b" and manifest.original_of([" # Original kept at: a\t\r\n"]) == "a"
+
+
+def test_ranks_of_a_hot_group(spark):
+    r = random.Random(3)
+    rows = [("hot" if i % 3 else f"g{i % 5}", r.randrange(500), i) for i in range(900)] + [(None, 1, 900), (None, 0, 901)]
+    df = spark.createDataFrame(rows, "g string, x int, i int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = numbering.ranked(df, ["g"], ["x", "i"], "n")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = {x.i: x.n for x in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.columns == ["g", "x", "i", "n"] and "_piece" in plan
+    for g in {x[0] for x in rows}:
+        assert [found[i] for _, _, i in sorted((x for x in rows if x[0] == g), key=lambda x: x[1:])] == list(range(sum(x[0] == g for x in rows)))
 
 
 def test_elide_keeps_whole_characters(spark):

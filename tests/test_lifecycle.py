@@ -1,4 +1,5 @@
 import os
+import re
 import shutil
 from pathlib import Path
 
@@ -115,20 +116,26 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert "Can be restored:" in shown and "Moved, failed, skipped:" in shown and shown.count(" -> ") == len([p for p in tree(tmp_path / "out") if not p.endswith(manifest.NAME) and ".lodestrata" not in p])
     assert cli.main(["verify", "out/duplicates"]) == 0
     assert cli.main(["undo", "out", "--commit"]) == 0 and tree(tmp_path / "in") == before
-    assert cli.main(["config", "show"]) == 0 and "chunk_size = 100  # from: default" in capsys.readouterr().out
+    assert cli.main(["config", "show"]) == 0 and cells(capsys.readouterr().out)["chunk_size"] == ["100", "default"]
     assert cli.main(["organise", "in", "--chunk-size", "-1"]) == 1
     with pytest.raises(SettingsError):
         lifecycle.refuse_unsafe(True, False, False)
 
 
+def cells(out):
+    """A printed table's rows by their first cell, without the head."""
+    rows = [re.split(r"  +", line) for line in out.splitlines()[1:]]
+    return {r[0]: r[1:] for r in rows}
+
+
 def test_settings_are_loaded_in_order(tmp_path, monkeypatch, capsys):
     """The user's file, the nearest project's, variables; a named file replaces both, and can't be named and refused at once."""
     user, project, named = tmp_path / "home/config.toml", tmp_path / "lodestrata.toml", tmp_path / "named.toml"
     monkeypatch.setattr(cli, "USER_FILE", user)
     (tmp_path / "sub").mkdir()
     monkeypatch.chdir(tmp_path / "sub")
-    assert cli.main(["config", "path"]) == 0 and "None was found" in capsys.readouterr().out
-    assert cli.main(["config", "validate"]) == 0 and "nothing to check" in capsys.readouterr().out
+    assert cli.main(["config", "path"]) == 0 and all(c[1] == "absent" for p, c in cells(capsys.readouterr().out).items() if p != "(variables)")
+    assert cli.main(["config", "validate"]) == 0 and cells(capsys.readouterr().out) == {}
     assert cli.main(["config", "init"]) == 0 and user.is_file() and cli.main(["config", "init"]) == 1 and cli.main(["config", "init", "--force"]) == 0
     assert cli.main(["config", "init", "--project"]) == 0 and (tmp_path / "sub/lodestrata.toml").is_file()
     (tmp_path / "sub/lodestrata.toml").unlink()
@@ -139,31 +146,66 @@ def test_settings_are_loaded_in_order(tmp_path, monkeypatch, capsys):
     named.write_text("verbose = 1")
     capsys.readouterr()
     assert cli.main(["config", "show"]) == 0
-    shown = capsys.readouterr().out
-    assert f"chunk_size = 6  # from: project {project}" in shown and f'unsorted_dir = "later"  # from: user {user}' in shown and 'video = ["mp4"]' in shown and "# output_dir is unset  # from: default" in shown
+    shown = cells(capsys.readouterr().out)
+    assert shown["chunk_size"] == ["6", "project", str(project)] and shown["unsorted_dir"] == ['"later"', "user", str(user)] and shown["extensions.video"][0] == '["mp4"]' and shown["output_dir"] == ["-", "default"]
     assert cli.main(["--config", str(named), "config", "show"]) == 0
-    shown = capsys.readouterr().out
-    assert "chunk_size = 100  # from: default" in shown and "verbose = 1" in shown and "later" not in shown
+    shown = cells(capsys.readouterr().out)
+    assert shown["chunk_size"] == ["100", "default"] and shown["verbose"] == ["1", "project", str(named)] and shown["unsorted_dir"][0] == '"unsorted"'
     monkeypatch.setenv("LODESTRATA_CHUNK_SIZE", "9")
     assert cli.main(["--no-config", "config", "show"]) == 0
-    shown = capsys.readouterr().out
-    assert "chunk_size = 9  # from: environment" in shown and "later" not in shown
-    assert cli.main(["--no-config", "config", "path"]) == 0 and "--no-config" in capsys.readouterr().out
+    shown = cells(capsys.readouterr().out)
+    assert shown["chunk_size"] == ["9", "environment"] and shown["unsorted_dir"][0] == '"unsorted"'
+    assert cli.main(["--no-config", "config", "path"]) == 0 and cells(capsys.readouterr().out) == {"(files)": ["-", "off", "0"], "(variables)": ["environment", "read", "1"]}
     assert cli.main(["--no-config", "--config", str(named), "config", "show"]) == 1 and "contradict" in capsys.readouterr().err
     assert cli.main(["config", "path"]) == 0
-    found = capsys.readouterr().out
-    assert f"found    {user}" in found and f"found    {project}" in found and "missing" in found and "2 files read" in found
-    assert cli.main(["config", "validate"]) == 0 and "2 settings files read" in capsys.readouterr().out
-    assert cli.main(["config", "validate", str(named)]) == 0 and str(named) in capsys.readouterr().out
+    found = cells(capsys.readouterr().out)
+    assert found[str(user)] == ["user", "read", "2"] and found[str(project)] == ["project", "read", "2"] and any(c[1] == "absent" for c in found.values())
+    assert cli.main(["config", "validate"]) == 0 and set(cells(capsys.readouterr().out)) == {str(user), str(project)}
+    assert cli.main(["config", "validate", str(named)]) == 0 and cells(capsys.readouterr().out) == {str(named): ["project", "verbose"]}
 
 
-@pytest.mark.parametrize("line", ['chunk_size = "5"', "chunk_size = -1", "hash_threads = 0", "hash_threads = 1025", "output_dir = 3", "skip_patterns = 'x'", "skip_patterns = [1]", "skip_patterns = ['[']", "extensions = 3", "[extensions]\naudio = ['mp3']", "[extensions]\nvideo = [3]", "[extensions]\nvideo = ['.']", "sidecars = 1", "default_timezone = 'Mars/Base'", "unsorted_dir = '/x'", "commit = true", "nothing = 1"])
+@pytest.mark.parametrize("line", ['chunk_size = "5"', "chunk_size = -1", "hash_threads = 0", "hash_threads = 1025", "output_dir = 3", "skip_patterns = 'x'", "skip_patterns = [1]", "skip_patterns = ['[']", "extensions = 3", "[extensions]\naudio = ['mp3']", "[extensions]\nvideo = [3]", "[extensions]\nvideo = ['.']", "sidecars = 1", "default_timezone = 'Mars/Base'", "default_timezone = '+banana'", "default_timezone = '+99:99'", "default_timezone = ''", "unsorted_dir = '/x'", "commit = true", "nothing = 1"])
 def test_settings_are_checked(tmp_path, line):
     (tmp_path / "x.toml").write_text(line)
     with pytest.raises(SettingsError, match="x.toml"):
         conf.file_layer(tmp_path / "x.toml")
 
 
+def test_lists_out_of_variables():
+    got = conf.env_layer({"LODESTRATA_EXTENSIONS_IMAGE": "", "LODESTRATA_EXTENSIONS_VIDEO": " .MP4, mov ,", "LODESTRATA_SKIP_PATTERNS": "", "LODESTRATA_DEFAULT_TIMEZONE": "+0530"})
+    assert got == {"extensions": {"image": [], "video": ["mp4", "mov"]}, "skip_patterns": [], "default_timezone": "+0530"}
+    made = conf.merge({"environment": got}).values["extensions"]
+    assert made["image"] == [] and made["sidecar"] == ["xmp", "aae", "thm"]
+    for name in ("EXTENSIONS", "EXTENSIONS_AUDIO", "EXTENSIONS_"):
+        with pytest.raises(SettingsError):
+            conf.env_layer({f"LODESTRATA_{name}": "x"})
+
+
+@pytest.mark.parametrize(("text", "fine"), [("Z", True), ("+08:00", True), ("-0330", True), ("+08", True), ("Asia/Tokyo", True), ("+banana", False), ("+99:99", False), ("", False), ("-", False), ("08:00", False), ("../etc/passwd", False)])
+def test_zones_are_checked(text, fine):
+    if fine:
+        assert conf.env_layer({"LODESTRATA_DEFAULT_TIMEZONE": text}) == {"default_timezone": text}
+    else:
+        with pytest.raises(SettingsError):
+            conf.env_layer({"LODESTRATA_DEFAULT_TIMEZONE": text})
+
+
+def test_settings_as_rows(spark):
+    layers = [
+        ("user", "# mine\nchunk_size = 5\n  nope = 1\nverbose = -1\n[extensions]\nvideo = ['.MP4']\n"), ("project", "verbose = \n"), ("project", "commit = true"), ("project", 'output_dir = "a'), ("environment", "HOME=/\nLODESTRATA_SIDECARS=no\nLODESTRATA_NOPE=1\nLODESTRATA_EXTENSIONS_IMAGE="), ("user", None), ("user", ""),
+    ]
+    rows = conf.rows_of(spark.createDataFrame(layers, "layer string, text string")).select("layer", "key", "value", "line", "column", "error").collect()
+    fine = {tuple(r)[:4] for r in rows if r.error is None}
+    assert fine == {("user", "chunk_size", "5", 2), ("user", "extensions", '{"video": ["mp4"]}', 5), ("environment", "sidecars", "false", 2), ("environment", "extensions", '{"image": []}', 4)}
+    faults = sorted((r.layer, r.line, r.column, r.error.split(":")[0]) for r in rows if r.error)
+    assert faults == [("environment", 3, 1, "LODESTRATA_NOPE"), ("project", 1, 1, "commit can only be given on the command line"), ("project", 1, 11, "Invalid value"), ("project", 1, 16, "Unterminated string"), ("user", 3, 3, "nope"), ("user", 4, 1, "verbose")]
+
+
+def test_readers_at_once(spark):
+    most = spark.sparkContext.defaultParallelism
+    assert lifecycle.readers_at_once(spark, settings()) == min(most, 8) and lifecycle.readers_at_once(spark, settings(hash_threads=40)) == 40
+
+
 def test_reports_of_a_plan(spark, library, tmp_path, caplog):
     root = tmp_path / "in"
     shutil.copytree(library, root)
