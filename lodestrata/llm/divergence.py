@@ -10,8 +10,9 @@ UTF-8 order gives the pairs' sums and each group's candidates, ties in order.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable
+from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ DOCUMENTS = 30
 TERMS = 50
 #: What counts are smoothed by, and the scale of shares.
 SMOOTH, SCALE = 5, 1_000_000_000
-#: Counters that a task holds before it writes its tries.
-HELD = 1 << 19
+#: Counters of documents that a task holds before it writes its tries: 8 bytes each, and a term at most.
+HELD = 1 << 22
 #: Leaves of one row, and of a prefix range, about.
 PIECE, RANGE = 4096, 1 << 18
 #: Numbers of a block of shares (terms x sources) that a task holds.
@@ -56,66 +57,105 @@ def _same(a: bytes, b: bytes) -> int:
     return i
 
 
-class Leaf:
-    """What a trie knows of a term: documents, and occurrences by source."""
+def forks(terms: list[bytes]) -> np.ndarray:
+    """How many bytes each of the ascending terms shares with the one before it."""
+    out = np.zeros(len(terms), "<u4")
+    if len(terms) > 1:
+        heads = np.array(terms, f"S{_HEAD}").view("u1").reshape(len(terms), _HEAD)
+        differ = heads[1:] != heads[:-1]
+        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), _HEAD)
+        for i in np.flatnonzero(out == _HEAD).tolist():  # the first bytes don't tell
+            out[i] = _same(terms[i - 1], terms[i])
+    return out
+
 
-    __slots__ = ("documents", "counts")
+_HEAD = 16
 
-    def __init__(self, documents: int = 0, counts: dict[str, int] | None = None):
-        self.documents, self.counts = documents, counts if counts is not None else {}
 
-    def add(self, other: Leaf) -> None:
-        self.documents += other.documents
-        for s, n in other.counts.items():
-            self.counts[s] = self.counts.get(s, 0) + n
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and the sums of their ``n``."""
+    if not len(key):
+        return key, n
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[at], np.add.reduceat(n, at)
 
 
 class Trie:
-    """A radix trie as its leaves in preorder, in plain arrays; leaf i forks off the path to leaf i - 1 after ``shared[i]`` bytes."""
-
-    def __init__(self, sources, shared, sizes, tails, documents, widths, source, count):
-        self.sources, self.tails = list(sources), tails
-        self.shared, self.sizes, self.widths, self.source = (np.frombuffer(x, "<u4") for x in (shared, sizes, widths, source))
-        self.documents, self.count = np.frombuffer(documents, "<i8"), np.frombuffer(count, "<i8")
-
-    @staticmethod
-    def pack(leaves: list[tuple[bytes, Leaf]]) -> tuple:
-        """The cells of a row that holds ``leaves``, which ascend."""
-        number: dict[str, int] = {}
-        shared, before = [], b""
-        for term, _ in leaves:
-            shared.append(_same(before, term))
-            before = term
-        tails = [t[n:] for (t, _), n in zip(leaves, shared, strict=True)]
-        source = [number.setdefault(s, len(number)) for _, leaf in leaves for s in leaf.counts]
-        u4 = lambda x: np.array(x, "<u4").tobytes()
-        count = [n for _, leaf in leaves for n in leaf.counts.values()]
-        return (list(number), u4(shared), u4([len(t) for t in tails]), b"".join(tails), np.array([x.documents for _, x in leaves], "<i8").tobytes(), u4([len(x.counts) for _, x in leaves]), u4(source), np.array(count, "<i8").tobytes())
-
-    def terms(self) -> Iterator[bytes]:
-        term, at = b"", 0
-        for n, size in zip(self.shared.tolist(), self.sizes.tolist(), strict=True):
-            term = term[:n] + self.tails[at : at + size]
-            at += size
-            yield term
-
-    def leaves(self) -> Iterator[tuple[bytes, Leaf]]:
-        at, source, count = 0, self.source.tolist(), self.count.tolist()
-        for term, documents, width in zip(self.terms(), self.documents.tolist(), self.widths.tolist(), strict=True):
-            yield term, Leaf(documents, {self.sources[s]: n for s, n in zip(source[at : at + width], count[at : at + width], strict=True)})
-            at += width
-
-
-def merged(tries: Iterator[Trie]) -> dict[bytes, Leaf]:
-    """The leaves of all tries, equal terms added up."""
-    out: dict[bytes, Leaf] = {}
-    for trie in tries:
-        for term, leaf in trie.leaves():
-            if (own := out.get(term)) is None:
-                out[term] = leaf
-            else:
-                own.add(leaf)
-    return out
+    """A radix trie as its leaves in preorder: terms ascend, leaf i has ``documents[i]`` and ``widths[i]`` counters, each of a number of ``sources``."""
+
+    def __init__(self, terms: list[bytes], documents: np.ndarray, widths: np.ndarray, sources: list[str], source: np.ndarray, count: np.ndarray):
+        self.terms, self.documents, self.widths, self.sources, self.source, self.count = terms, documents, widths, sources, source, count
+        self.ends = np.concatenate([[0], np.cumsum(widths, dtype="i8")])
+
+    def __len__(self) -> int:
+        return len(self.terms)
+
+    @classmethod
+    def of(cls, terms: list[bytes], documents: np.ndarray, sources: list[str], row: np.ndarray, source: np.ndarray, count: np.ndarray) -> Trie:
+        """From terms in any order, each once, and counters (number of the term, number of the source, count) with repeats."""
+        order = sorted(range(len(terms)), key=terms.__getitem__)
+        place = np.empty(len(terms), "i8")
+        place[order] = np.arange(len(terms))
+        key, count = summed(place[row] * max(len(sources), 1) + source, count)
+        row, source = key // max(len(sources), 1), key % max(len(sources), 1)
+        return cls([terms[i] for i in order], documents[order], np.bincount(row, minlength=len(terms)), sources, source, count)
+
+    @classmethod
+    def load(cls, sources, shared, sizes, tails, documents, widths, source, count) -> Trie:
+        """From the cells of a row: leaf i forks off the path to leaf i - 1 after ``shared[i]`` bytes and adds ``sizes[i]`` of ``tails``."""
+        u4 = [np.frombuffer(x, "<u4") for x in (shared, sizes, widths, source)]
+        terms, term, at = [], b"", 0
+        for n, size in zip(u4[0].tolist(), u4[1].tolist(), strict=True):
+            end = at + size
+            term = term[:n] + tails[at:end]
+            terms.append(term)
+            at = end
+        return cls(terms, np.frombuffer(documents, "<i8"), u4[2], list(sources), u4[3], np.frombuffer(count, "<i8"))
+
+    def pack(self, a: int = 0, b: int | None = None) -> tuple:
+        """The cells of a row that holds the leaves from ``a`` to ``b``, with those sources alone that they count."""
+        b = len(self) if b is None else b
+        terms, own = self.terms[a:b], slice(self.ends[a], self.ends[b])
+        shared = forks(terms)
+        used, source = np.unique(self.source[own], return_inverse=True)
+        tails = b"".join([t[n:] for t, n in zip(terms, shared.tolist(), strict=True)])
+        sizes = np.fromiter(map(len, terms), "<u4", len(terms)) - shared
+        cells = (shared, sizes, tails, self.documents[a:b].astype("<i8"), self.widths[a:b].astype("<u4"), source.astype("<u4"), self.count[own].astype("<i8"))
+        return ([self.sources[i] for i in used.tolist()], *(x if isinstance(x, bytes) else x.tobytes() for x in cells))
+
+    def rows(self) -> np.ndarray:
+        """The number of the leaf that each counter is of."""
+        return np.repeat(np.arange(len(self)), self.widths)
+
+    def kept(self, mask: np.ndarray) -> Trie:
+        """The leaves that ``mask`` holds."""
+        counters = mask[self.rows()]
+        return Trie([self.terms[i] for i in np.flatnonzero(mask).tolist()], self.documents[mask], self.widths[mask], self.sources, self.source[counters], self.count[counters])
+
+    def totals(self, a: int, b: int) -> dict[str, int]:
+        """Occurrences of the leaves from ``a`` to ``b`` by source."""
+        own = slice(self.ends[a], self.ends[b])
+        key, n = summed(self.source[own], self.count[own])
+        return {self.sources[s]: x for s, x in zip(key.tolist(), n.tolist(), strict=True)}
+
+
+def merged(tries: Iterable[Trie]) -> Trie:
+    """One trie of all leaves, equal terms added up."""
+    number: dict[bytes, int] = defaultdict(counter().__next__)
+    names: dict[str, int] = defaultdict(counter().__next__)
+    ids, documents, rows, source, count = ([np.zeros(0, "i8")] for _ in range(5))
+    for t in tries:
+        own = np.fromiter(map(number.__getitem__, t.terms), "i8", len(t))
+        ids.append(own)
+        documents.append(t.documents)
+        rows.append(own[t.rows()])
+        source.append(np.array([names[s] for s in t.sources], "i8")[t.source])
+        count.append(t.count)
+    held = np.zeros(len(number), "i8")
+    np.add.at(held, np.concatenate(ids), np.concatenate(documents))
+    return Trie.of(list(number), held, list(names), np.concatenate(rows), np.concatenate(source), np.concatenate(count))
 
 
 def _batch(types: str, rows: list[tuple]) -> pa.RecordBatch:
@@ -130,40 +170,43 @@ SLICE = f"range int, lang string, {TRIE}"
 KEPT = f"lang string, terms long, totals array<long>, {TRIE}"
 
 
+class Tally:
+    """Terms of one language as they are counted: numbers of terms, and for each document its source, distinct terms and their counts."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = defaultdict(counter().__next__)
+        self.sources: dict[str, int] = defaultdict(counter().__next__)
+        self.held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def add(self, source: str, words: list[bytes]) -> int:
+        """Adds a document; returns how many counters it is."""
+        ids, n = np.unique(np.fromiter(map(self.number.__getitem__, words), "i4", len(words)), return_counts=True)
+        self.held.append((self.sources[source], ids, n.astype("i4")))
+        return len(ids)
+
+    def trie(self) -> Trie:
+        ids, n = (np.concatenate([h[i] for h in self.held]) for i in (1, 2))
+        source = np.repeat([h[0] for h in self.held], [len(h[1]) for h in self.held])
+        return Trie.of(list(self.number), np.bincount(ids, minlength=len(self.number)), list(self.sources), ids, source, n.astype("i8"))
+
+
 def count(docs: DataFrame) -> DataFrame:
     """Tries of the documents of each task, in rows of at most PIECE leaves that begin at term ``lead``."""
 
     def work(it):
-        docs_of: dict[str, Counter] = defaultdict(Counter)
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        tallies: dict[str, Tally] = defaultdict(Tally)
 
         def flush():
-            by = defaultdict(dict)
-            for (lang, source), own in counts.items():
-                leaves, holding = by[lang], docs_of[lang]
-                for term, n in own.items():
-                    if (leaf := leaves.get(term)) is None:
-                        leaves[term] = Leaf(holding[term], {source: n})
-                    else:
-                        leaf.counts[source] = n
-                own.clear()
-            counts.clear()
-            docs_of.clear()
-            for lang, leaves in by.items():
-                order = sorted(leaves)
-                for a in range(0, len(order), PIECE):
-                    some = [(t, leaves[t]) for t in order[a : a + PIECE]]
-                    yield _batch(PART, [(lang, some[0][0], len(some), *Trie.pack(some))])
+            for lang in list(tallies):
+                trie = tallies.pop(lang).trie()
+                for a in range(0, len(trie), PIECE):
+                    b = min(a + PIECE, len(trie))
+                    yield _batch(PART, [(lang, trie.terms[a], b - a, *trie.pack(a, b))])
 
         since = 0
         for lang, source, text in _rows(it, "lang", "source", "text"):
-            own = terms(text)
-            if own:
-                c = counts[lang, source]
-                since -= len(c)
-                c.update(own)
-                since += len(c)
-                docs_of[lang].update(set(own))
+            if own := terms(text):
+                since += tallies[lang].add(source, own)
             if since >= HELD:
                 yield from flush()
                 since = 0
@@ -189,27 +232,24 @@ def merge(parts: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
 
     def deal(it):
         for lang, *cells in _rows(it, "lang", *_COLUMNS):
-            key, some = lang.encode(), list(Trie(*cells).leaves())
-            order = [t for t, _ in some]
-            at, r = 0, bisect_right(cuts, (key, order[0]))
-            while at < len(some):
-                end = bisect_left(order, cuts[r][1], at) if r < len(cuts) and cuts[r][0] == key else len(some)
+            key, trie = lang.encode(), Trie.load(*cells)
+            at, r = 0, bisect_right(cuts, (key, trie.terms[0]))
+            while at < len(trie):
+                end = bisect_left(trie.terms, cuts[r][1], at) if r < len(cuts) and cuts[r][0] == key else len(trie)
                 if end > at:
-                    yield _batch(SLICE, [(r, lang, *Trie.pack(some[at:end]))])
+                    yield _batch(SLICE, [(r, lang, *(cells if (at, end) == (0, len(trie)) else trie.pack(at, end)))])
                 at, r = end, r + 1
 
     def join(it):
         held, key = [], None
 
         def out():
-            found = merged(Trie(*c) for c in held)
-            kept = sorted(((t, x) for t, x in found.items() if x.documents >= documents), key=lambda r: r[0])
-            for a in range(0, len(kept), PIECE):
-                cells = Trie.pack(some := kept[a : a + PIECE])
-                totals = Counter()
-                for _, leaf in some:
-                    totals.update(leaf.counts)
-                yield _batch(KEPT, [(key[1], len(some), [totals[s] for s in cells[0]], *cells)])
+            trie = merged(Trie.load(*c) for c in held)
+            trie = trie.kept(trie.documents >= documents)
+            for a in range(0, len(trie), PIECE):
+                b = min(a + PIECE, len(trie))
+                cells, totals = trie.pack(a, b), trie.totals(a, b)
+                yield _batch(KEPT, [(key[1], b - a, [totals[s] for s in cells[0]], *cells)])
 
         for r, lang, *cells in _rows(it, "range", "lang", *_COLUMNS):
             if held and key != (r, lang):
@@ -221,7 +261,7 @@ def merge(parts: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
             yield from out()
 
     slices = parts.select("lang", *_COLUMNS).mapInArrow(lean(deal), SLICE)
-    return slices.repartitionByRange(ranges, "range").sortWithinPartitions("range", "lang").mapInArrow(lean(join), KEPT)
+    return slices.repartition(ranges, "range").sortWithinPartitions("range", "lang").mapInArrow(lean(join), KEPT)
 
 
 def shares(count: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
@@ -241,10 +281,10 @@ CANDIDATES = "lang string, source string, item string, value long"
 def _blocks(it):
     """For each block of kept terms: lang, its sources, terms, shares (terms x sources), shares in the whole language, and counts."""
     for lang, every, totals, kept, *cells in _rows(it, "lang", "every", "all_totals", "kept", *_COLUMNS):
-        trie, number = Trie(*cells), {s: i for i, s in enumerate(every)}
+        trie, number = Trie.load(*cells), {s: i for i, s in enumerate(every)}
         column = np.array([number[s] for s in trie.sources], "i8")
         total = np.array(totals, "i8")
-        names, row = list(trie.terms()), np.repeat(np.arange(len(trie.sizes)), trie.widths)
+        names, row = trie.terms, trie.rows()
         step = max(1, BLOCK // max(1, len(every)))
         for a in range(0, len(names), step):
             b = min(a + step, len(names))

@@ -1,12 +1,13 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestrata.llm import divergence
-from lodestrata.llm.divergence import Leaf, merged, shares, terms, Trie
+from lodestrata.llm.divergence import merged, shares, terms, Trie
 
 
 def brute(rows, documents, ranks):
@@ -38,28 +39,43 @@ def read(df):
     return [tuple(r) for r in df.select("text", "lang", "source").collect()]
 
 
-LEAVES = st.dictionaries(st.binary(max_size=6), st.tuples(st.integers(1, 9), st.dictionaries(st.sampled_from(["", "a", "é"]), st.integers(1, 2**40), min_size=1)), max_size=30)
+LEAVES = st.dictionaries(st.text("abé漢", max_size=30).map(str.encode), st.tuples(st.integers(1, 9), st.dictionaries(st.sampled_from(["", "a", "é"]), st.integers(1, 2**40), min_size=1)), max_size=30)
+
+
+def trie_of(table):
+    cells = [(i, s, n) for i, (_, c) in enumerate(table.values()) for s, n in c.items()]
+    sources = sorted({s for _, s, _ in cells})
+    row, source, n = (np.array([x[0] for x in cells], "i8"), np.array([sources.index(x[1]) for x in cells], "i8"), np.array([x[2] for x in cells], "i8"))
+    return Trie.of(list(table), np.array([d for d, _ in table.values()], "i8"), sources, row, source, n)
+
+
+def leaves(trie):
+    out = {}
+    for i, t in enumerate(trie.terms):
+        own = slice(trie.ends[i], trie.ends[i + 1])
+        out[t] = int(trie.documents[i]), {trie.sources[s]: int(n) for s, n in zip(trie.source[own], trie.count[own], strict=True)}
+    return out
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(LEAVES, max_size=4))
-def test_tries_keep_and_merge_their_leaves(tables):
-    packed = [Trie.pack([(t, Leaf(d, dict(c))) for t, (d, c) in sorted(x.items())]) for x in tables]
-    for x, cells in zip(tables, packed, strict=True):
-        assert [(t, leaf.documents, leaf.counts) for t, leaf in Trie(*cells).leaves()] == [(t, d, c) for t, (d, c) in sorted(x.items())]
-    found = merged(Trie(*c) for c in packed)
-    assert {t: leaf.documents for t, leaf in found.items()} == Counter({t: sum(x[t][0] for x in tables if t in x) for x in tables for t in x})
-    for t, leaf in found.items():
-        want = Counter()
-        for x in tables:
-            want.update(x.get(t, (0, {}))[1])
-        assert leaf.counts == want
+@given(st.lists(LEAVES, max_size=4), st.integers(0, 30), st.integers(0, 30))
+def test_tries_keep_and_merge_their_leaves(tables, a, b):
+    tries = [trie_of(x) for x in tables]
+    for x, t in zip(tables, tries, strict=True):
+        assert t.terms == sorted(x) and leaves(t) == x and leaves(Trie.load(*t.pack())) == x
+        a, b = sorted((min(a, len(x)), min(b, len(x))))
+        part = Trie.load(*t.pack(a, b))
+        assert leaves(part) == {w: x[w] for w in sorted(x)[a:b]}
+        assert t.totals(a, b) == sum((Counter(x[w][1]) for w in sorted(x)[a:b]), Counter())
+        assert leaves(t.kept(t.documents > 4)) == {w: v for w, v in x.items() if v[0] > 4}
+    found = leaves(merged(Trie.load(*t.pack()) for t in tries))
+    assert list(found) == sorted({w for x in tables for w in x})
+    for w, (documents, counts) in found.items():
+        assert documents == sum(x[w][0] for x in tables if w in x) and counts == sum((Counter(x[w][1]) for x in tables if w in x), Counter())
 
 
 @given(st.lists(st.tuples(st.integers(0, 10**13), st.integers(0, 10**14)), min_size=1), st.integers(1, 10**7))
 def test_shares_are_exact(pairs, kept):
-    import numpy as np
-
     n, total = (np.array(x, "i8") for x in zip(*[(min(p), max(p)) for p in pairs], strict=True))
     assert shares(n, total, kept).tolist() == [1 + 10**9 * (c + 5) // (t + 5 * kept) for c, t in zip(n.tolist(), total.tolist(), strict=True)]
 
@@ -70,7 +86,7 @@ def test_terms_are_letters_and_all_beyond_ascii():
     assert terms(None) == terms("") == terms("12 ,.") == []
 
 
-@pytest.mark.parametrize(("held", "piece", "least", "spread"), [(1 << 19, 4096, 3, 1 << 18), (40, 3, 2, 4), (7, 1, 1, 2), (1 << 19, 4096, 10**6, 1 << 18)])
+@pytest.mark.parametrize(("held", "piece", "least", "spread"), [(1 << 22, 4096, 3, 1 << 18), (40, 3, 2, 4), (7, 1, 1, 2), (1 << 22, 4096, 10**6, 1 << 18)])
 def test_audit(spark, corpus, scratch, monkeypatch, held, piece, least, spread):
     """Small limits make many tries, rows and prefix ranges; a bound that nothing reaches leaves all pairs at 0."""
     rows = corpus.where("n_chars is null or n_chars < 100000")
@@ -90,7 +106,7 @@ def test_ranges_are_cut_at_equal_terms(spark, scratch, monkeypatch):
     parts = scratch.write(divergence.count(df))
     assert len(divergence._cuts(parts, 12)) >= 10
     kept = divergence.merge(parts, 1).collect()
-    names = [(r.lang, t) for r in kept for t in Trie(*[r[c] for c in divergence._COLUMNS]).terms()]
+    names = [(r.lang, t) for r in kept for t in Trie.load(*[r[c] for c in divergence._COLUMNS]).terms]
     assert len(names) == len(set(names))
     got = sorted(map(tuple, divergence.audit(df, scratch, documents=2, ranks=7).collect()))
     assert got == brute(rows, 2, 7)
