@@ -31,8 +31,8 @@ TERMS = 50
 SMOOTH, SCALE = 5, 1_000_000_000
 #: Counters of documents that a task holds before it writes its tries: 8 bytes each, and a term at most.
 HELD = 1 << 22
-#: Leaves of one row, and of a prefix range, about.
-PIECE, RANGE = 4096, 1 << 18
+#: Leaves of one row, between two leads, and of a prefix range, about.
+PIECE, LEAD, RANGE = 4096, 64, 1 << 18
 #: Numbers of a block of shares (terms x sources) that a task holds.
 BLOCK = 1 << 20
 
@@ -160,12 +160,12 @@ def merged(tries: Iterable[Trie]) -> Trie:
 
 def _batch(types: str, rows: list[tuple]) -> pa.RecordBatch:
     """Rows as a batch with the columns of a DDL string."""
-    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
     fields = [f.split() for f in types.split(", ")]
     return pa.record_batch([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
 
 
-PART = f"lang string, lead binary, leaves long, {TRIE}"
+PART = f"lang string, leads array<binary>, leaves long, {TRIE}"
 SLICE = f"range int, lang string, {TRIE}"
 KEPT = f"lang string, terms long, totals array<long>, {TRIE}"
 
@@ -191,7 +191,7 @@ class Tally:
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """Tries of the documents of each task, in rows of at most PIECE leaves that begin at term ``lead``."""
+    """Tries of the documents of each task, in rows of at most PIECE leaves; ``leads`` are every LEAD-th of their terms."""
 
     def work(it):
         tallies: dict[str, Tally] = defaultdict(Tally)
@@ -201,7 +201,7 @@ def count(docs: DataFrame) -> DataFrame:
                 trie = tallies.pop(lang).trie()
                 for a in range(0, len(trie), PIECE):
                     b = min(a + PIECE, len(trie))
-                    yield _batch(PART, [(lang, trie.terms[a], b - a, *trie.pack(a, b))])
+                    yield _batch(PART, [(lang, trie.terms[a:b:LEAD], b - a, *trie.pack(a, b))])
 
         since = 0
         for lang, source, text in _rows(it, "lang", "source", "text"):
@@ -216,10 +216,10 @@ def count(docs: DataFrame) -> DataFrame:
 
 
 def _cuts(parts: DataFrame, ranges: int) -> list[tuple[str, bytes]]:
-    """Where prefix ranges begin, so that each holds about as many leaves: the least (lang, lead) of each piece of a range exchange."""
+    """Where prefix ranges begin, so that each holds about as many leaves: the least (lang, lead) of each part of a range exchange."""
     if ranges < 2:
         return []
-    leads = parts.select("lang", "lead").repartitionByRange(ranges, "lang", "lead").groupBy(F.spark_partition_id()).agg(F.min(F.struct("lang", "lead")).alias("x"))
+    leads = parts.select("lang", F.explode("leads").alias("lead")).repartitionByRange(ranges, "lang", "lead").groupBy(F.spark_partition_id()).agg(F.min(F.struct("lang", "lead")).alias("x"))
     return sorted(((r.x.lang, bytes(r.x.lead)) for r in leads.collect()), key=lambda c: (c[0].encode(), c[1]))[1:]
 
 

@@ -90,7 +90,7 @@ def test_terms_are_letters_and_all_beyond_ascii():
 def test_audit(spark, corpus, scratch, monkeypatch, held, piece, least, spread):
     """Small limits make many tries, rows and prefix ranges; a bound that nothing reaches leaves all pairs at 0."""
     rows = corpus.where("n_chars is null or n_chars < 100000")
-    for name, value in (("HELD", held), ("PIECE", piece), ("RANGE", spread)):
+    for name, value in (("HELD", held), ("PIECE", piece), ("LEAD", 2), ("RANGE", spread)):
         monkeypatch.setattr(divergence, name, value)
     got = divergence.audit(rows, scratch, documents=least, ranks=5)
     assert [tuple(f) for f in got.dtypes] == [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")]
