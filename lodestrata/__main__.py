@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 from . import lifecycle, reports
 from .plans import settings as conf
 from .plans.settings import SettingsError
+from .sources import gazetteer
 
 USER_FILE = Path("~/.config/lodestrata/config.toml")
 # Settings that the command line can give, and how each is read there.
@@ -30,7 +31,8 @@ def arguments() -> argparse.ArgumentParser:
     o.add_argument("--commit", action="store_true")
     o.add_argument("--no-journal", action="store_true")
     o.add_argument("--acknowledge-no-undo", action="store_true")
-    o.add_argument("--places", help="a CSV or Parquet table name, country, lat, lon")
+    o.add_argument("--places", help="places to name files by: Parquet or CSV (name, country, lat, lon), or a tab-separated gazetteer")
+    o.add_argument("--countries", help="the gazetteer's table of countries, to name them in full")
     o.add_argument("--skip", action="append", dest="skip_patterns")
     for key, kind in FLAGS.items():
         o.add_argument("--" + key.replace("_", "-"), type=kind)
@@ -48,6 +50,7 @@ def arguments() -> argparse.ArgumentParser:
     j.add_argument("--journal-dir")
     v = what.add_parser("verify", help="hold duplicates against their originals")
     v.add_argument("directory")
+    v.add_argument("--digest", choices=("sha512", "blake3"), default="sha512", help="blake3 reads parts of a large file side by side")
     c = what.add_parser("config", help="show settings and where they come from, what was looked for, check files, or write a starter file")
     c.add_argument("action", choices=("show", "path", "validate", "init"))
     c.add_argument("path", nargs="?", help="the file to check or to write")
@@ -98,8 +101,7 @@ def organise(args: argparse.Namespace, settings: conf.Settings) -> int:
     spark, v = session(), settings.values
     places = None
     if args.places:
-        schema = "name string, country string, lat double, lon double"
-        places = spark.read.parquet(args.places) if args.places.endswith(".parquet") else spark.read.schema(schema).option("header", True).csv(args.places)
+        places = gazetteer.load(spark, args.places, args.countries)
     made = lifecycle.plan(spark, args.roots, settings, places)
     dates, counts = made.dates(), dict(made.counts)
     print(reports.banner(args.commit))
@@ -110,7 +112,7 @@ def organise(args: argparse.Namespace, settings: conf.Settings) -> int:
     if not args.commit:
         for line in reports.plan_lines(made):
             print(line)
-        counts["organised"] = made.rows.where("phase = 1").count()
+        counts["organised"] = made.moves["organised"]
         print("\n".join([*reports.summary(counts, dates, v["filesystem_date_warning_percent"]), "Nothing was moved: this was a preview"]))
         return 0
     go_on = (lambda chunk: True) if v["no_prompt"] or not sys.stdin.isatty() else ask
@@ -129,7 +131,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{generator.write(args.directory, args.profile, args.seed)} files in {args.directory}")
             return 0
         if args.command == "verify":
-            verdicts, code = lifecycle.check_duplicates(session(), args.directory)
+            verdicts, code = lifecycle.check_duplicates(session(), args.directory, args.digest)
             for line in reports.verdict_lines(verdicts):
                 print(line)
             return code

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Sides of nested cells in degrees; each divides the one before it, the first 180.
-CELLS = (60.0, 12.0, 3.0, 1.0, 0.25, 0.05)
+from .kdtree import KdTree
 
 
 def valid(lat: Column, lon: Column) -> Column:
@@ -27,54 +27,92 @@ def iso6709(text: Column) -> Column:
     return F.struct(F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"))
 
 
-def squared_chord(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """The squared straight-line distance on the unit sphere: orders places as the great circle does."""
+#: Side of a cell in degrees, which divides 180; there are 16,200 cells.
+CELL = 2.0
+#: Points of a task, about, and places that are held against all cells at a time.
+TASK, BATCH = 100_000, 4096
 
-    def xyz(lat: Column, lon: Column):
-        a, b = F.radians(lat), F.radians(lon)
-        return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)
 
-    return sum((p - q) * (p - q) for p, q in zip(xyz(lat1, lon1), xyz(lat2, lon2), strict=True))
+def _cell(lat: Column, lon: Column) -> Column:
+    """Number of a point's cell, row by row from the south; the poles and the antimeridian are in their last cells."""
+    rows, columns = round(180 / CELL), round(360 / CELL)
+    row = F.least(F.floor((lat + 90) / CELL), F.lit(rows - 1))
+    return (row * columns + F.least(F.floor((lon + 180) / CELL), F.lit(columns - 1))).cast("int")
 
 
-def nearest(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
-    """(key, place, country) of the nearest of ``places(name, country, lat, lon)`` for each point with valid (lat, lon).
+def on_sphere(lat, lon) -> np.ndarray:
+    """Points on the unit sphere; their straight distances order as the great circle does."""
+    a, b = np.radians(np.asarray(lat, "f8")), np.radians(np.asarray(lon, "f8"))
+    return np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)], axis=1)
 
-    Branch and bound over nested cells, by joins: of the cells that hold places a point keeps those whose nearest
-    possible place is no farther than the farthest possible one of its best cell, and goes on to their
-    parts. Only places of the last cells are measured, so a point meets a few rows at each level,
-    however many places there are. Ties go to the first by name, then country.
-    """
-    spots = points.where(valid(F.col("lat"), F.col("lon"))).select("lat", "lon").distinct()
-    p = places.where(valid(F.col("lat"), F.col("lon"))).select(F.col("name").alias("place"), "country", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-    for k, size in enumerate(CELLS):
-        p = p.withColumn(f"c{k}", _cell(F.col("p_lat"), F.col("p_lon"), size))
-    at = spots.withColumn("c0", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(round(180 / CELLS[0]) * round(360 / CELLS[0]) - 1).cast("long"))))
-    for k, size in enumerate(CELLS):
-        cells = p.select(*[f"c{j}" for j in range(max(0, k - 1), k + 1)]).distinct()
-        met = at.join(cells, f"c{max(0, k - 1)}")
-        met = met.withColumn("angle", _angle(*_centre(F.col(f"c{k}"), size)))
-        reach = F.radians(F.lit(size * 0.70711))  # from a cell's centre to its corners at most
-        far = F.min("angle").over(Window.partitionBy("lat", "lon")) + reach
-        at = met.withColumn("far", far).where(F.col("angle") - reach <= F.col("far") + 1e-9).select("lat", "lon", f"c{k}")
-    last = f"c{len(CELLS) - 1}"
-    d = squared_chord(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon"))
-    best = at.join(p.select(last, "place", "country", "p_lat", "p_lon"), last).groupBy("lat", "lon").agg(F.min(F.struct(d.alias("d"), "place", "country")).alias("m"))
-    return points.join(best.select("lat", "lon", "m.place", "m.country"), ["lat", "lon"], "left").select(key, "place", "country")
-
-
-def _cell(lat: Column, lon: Column, size: float) -> Column:
-    """Number of a point's cell, row by row from the south; the poles and the antimeridian are in their last cells."""
-    rows, columns = round(180 / size), round(360 / size)
-    row = F.least(F.floor((lat + 90) / size), F.lit(rows - 1))
-    return row * columns + F.least(F.floor((lon + 180) / size), F.lit(columns - 1))
 
+def _centres(cells: np.ndarray) -> np.ndarray:
+    columns = round(360 / CELL)
+    return on_sphere((cells // columns + 0.5) * CELL - 90, (cells % columns + 0.5) * CELL - 180)
 
-def _centre(cell: Column, size: float) -> tuple[Column, Column]:
-    columns = F.lit(round(360 / size))
-    return (F.floor(cell / columns) + 0.5) * size - 90, (cell % columns + 0.5) * size - 180
 
+def _batches(it):
+    """(batch, places on the sphere) of at most BATCH places."""
+    for b in it:
+        for k in range(0, b.num_rows, BATCH):
+            some = b.slice(k, BATCH)
+            yield some, on_sphere(some.column("lat"), some.column("lon"))
 
-def _angle(lat: Column, lon: Column) -> Column:
-    d = squared_chord(F.col("lat"), F.col("lon"), lat, lon)
-    return 2 * F.asin(F.least(F.sqrt(d) / 2, F.lit(1.0)))
+
+def nearest(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """(key, place, country) of the nearest of ``places(name, country, lat, lon)`` for each point with valid (lat, lon).
+
+    Points go to their cell, once, and meet there a k-d tree of the places that can be nearest to any point of the
+    cell: if the place nearest to its centre is d away and its corners r, those within d + 2r of the centre. Only cells that
+    hold points are looked at; cells with many are dealt to several tasks. What the driver sees is a row a cell at most.
+    Ties go to the first by name, then country. Points that are invalid, or any if there is no place, have none.
+    """
+    fine = valid(F.col("lat"), F.col("lon"))
+    at = points.where(fine).select(key, "lat", "lon").withColumn("_cell", _cell(F.col("lat"), F.col("lon")))
+    held = {r._cell: r.n for r in at.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # at most 16,200 rows
+    cells = np.array(sorted(held), "i8")
+    known = places.where(valid(F.col("lat"), F.col("lon"))).select("name", "country", "lat", "lon")
+    centres, reach = _centres(cells), np.radians(CELL * 0.70711)
+
+    def closest(it):
+        best = np.full(len(cells), np.inf)
+        for _, x in _batches(it):
+            best = np.minimum(best, 2 - 2 * (x @ centres.T).max(axis=0))
+        some = np.flatnonzero(np.isfinite(best))
+        yield pa.record_batch([pa.array(some, pa.int32()), pa.array(best[some])], names=["i", "d"])
+
+    near = np.full(len(cells), np.inf)
+    for r in known.select("lat", "lon").mapInArrow(closest, "i int, d double").groupBy("i").agg(F.min("d").alias("d")).collect():
+        near[r.i] = r.d
+    # A squared distance by a product of unit vectors is off by some 1e-15; 1e-6 is 6 metres more than is needed.
+    limit = 1 - (np.sqrt(np.maximum(near, 0)) + 2 * reach + 1e-6) ** 2 / 2
+    parts = np.array([-(-held[c] // TASK) for c in cells.tolist()], "i4")
+
+    def meet(it):
+        for b, x in _batches(it):
+            row, i = np.nonzero(x @ centres.T >= limit)
+            n = parts[i]
+            part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, row = np.repeat(i, n), np.repeat(row, n)
+            own = b.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([pa.array(cells[i], pa.int32()), pa.array(part, pa.int32()), *own.columns], names=["_cell", "_part", *own.schema.names])
+
+    sent = known.mapInArrow(meet, "_cell int, _part int, name string, country string, lat double, lon double")
+    many = F.create_map(*[F.lit(x) for c, n in held.items() if n > TASK for x in (int(c), -(-n // TASK))]) if any(n > TASK for n in held.values()) else None
+    salt = F.pmod(F.xxhash64(key, "lat", "lon"), F.coalesce(many[F.col("_cell")], F.lit(1))) if many is not None else F.lit(0)
+    kind = f"`{key}` {points.schema[key].dataType.simpleString()}, place string, country string"
+
+    def look(own: pa.Table, there: pa.Table) -> pa.Table:
+        names = [key, "place", "country"]
+        if not there.num_rows or not own.num_rows:
+            nothing = pa.nulls(own.num_rows, pa.string())
+            return pa.table([own.column(key), nothing, nothing], names=names)
+        there = there.sort_by([("name", "ascending"), ("country", "ascending")])
+        spots, back = np.unique(np.stack([own.column("lat").to_numpy(), own.column("lon").to_numpy()], axis=1), axis=0, return_inverse=True)
+        found = KdTree(on_sphere(there.column("lat"), there.column("lon"))).nearest(on_sphere(spots[:, 0], spots[:, 1]))
+        chosen = there.take(pa.array(found[back.reshape(-1)]))
+        return pa.table([own.column(key), chosen.column("name"), chosen.column("country")], names=names)
+
+    dealt = at.withColumn("_part", salt.cast("int")).groupBy("_cell", "_part").cogroup(sent.groupBy("_cell", "_part")).applyInArrow(look, kind)
+    none = points.where(~fine).select(key, F.lit(None).cast("string").alias("place"), F.lit(None).cast("string").alias("country"))
+    return dealt.union(none)

@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import dates, geo, names, paths
-from .operators import cascade, ledger, pairing, tallies, verify
+from .operators import cascade, ledger, pairing, tallies, tree_digest, verify
 from .plans import sink, target, undo
 from .plans.settings import Settings, SettingsError
-from .runtime import cut, ready
+from .runtime import cut, measured, ready
 from .sources import journal, manifest, media, readers, xmp
 
 ORDER = ["phase", "group", "depth", "key"]
@@ -40,6 +40,8 @@ class Plan:
     settings: Settings
     #: Companions without a file: path and reason.
     orphans: DataFrame | None = None
+    #: How many rows there are (moves), and how many of them are filed (organised).
+    moves: dict[str, int] | None = None
 
     def ordered(self) -> DataFrame:
         """Duplicates by group and member, then the rest by path."""
@@ -123,10 +125,15 @@ def plan(spark: SparkSession, roots: list[str], settings: Settings, places: Data
     country, lat, lon)`` is given. Group numbers go on after the directories that an earlier run left.
     """
     v, output = settings.values, output_of(roots, settings)
-    listed = cut(media.scan(ready(spark), [os.path.abspath(r) for r in roots], v["skip_patterns"], v["sidecars"], **v["extensions"]).dropDuplicates(["path", "status"]))
+    entries = media.scan(ready(spark), [os.path.abspath(r) for r in roots], v["skip_patterns"], v["sidecars"], **v["extensions"]).dropDuplicates(["path", "status"])
+    listed, scanned = measured(entries, scan_skipped=F.count_if(F.col("status") == "unreadable"), excluded=F.count_if(F.col("status") == "excluded"))
     files = listed.where("status = 'ok' and kind <> 'sidecar'").select("path", "size", "extension", "kind", "mtime", "birthtime")
-    paired = cut(pairing.pair(files, listed.where("status = 'ok' and kind = 'sidecar'").select("path")))
-    classified = cut(cascade.classify_paths(files, threads=readers_at_once(spark, settings)))
+    parent = F.col("parent")
+    paired, sides = measured(pairing.pair(files, listed.where("status = 'ok' and kind = 'sidecar'").select("path")), sidecars_found=F.count_if(parent.isNotNull()), sidecar_orphans=F.count_if(parent.isNull()))
+    role = F.col("role")
+    classified, read = measured(
+        cascade.classify_paths(files, threads=readers_at_once(spark, settings)), scanned=F.count(F.lit(1)), duplicate_groups=F.count_if(role == "original"), duplicate_files=F.count_if(role == "duplicate"), hash_skipped=F.count_if(role == "skipped")
+    )
     key = {"depth": F.size(paths.components(F.col("path"))), "key": F.translate("path", "/", "\0")}
     again = classified.where("role = 'duplicate'").join(cascade.groups(classified).select(F.col("hash").alias("known_hash"), "number"), "known_hash")
     group = (F.col("number") + _next_group(os.path.join(output, v["duplicates_dir"]))).cast("int")
@@ -148,11 +155,9 @@ def plan(spark: SparkSession, roots: list[str], settings: Settings, places: Data
     existing = planned.select("directory").distinct().mapInPandas(_listing, "directory string, name string")
     settled = ledger.assign(planned, ORDER, existing)
     companions = pairing.for_parents(settled, paired)
-    rows = cut(settled.join(companions, "path").select("*", F.concat("directory", F.lit("/"), "final_name").alias("destination")).withColumnRenamed("path", "source").drop("directory", "name", "final_name"))
-    by_status = {r.status: r["count"] for r in listed.groupBy("status").count().collect()}
-    role = classified.agg(F.count("*").alias("scanned"), F.count_if(F.col("role") == "original").alias("duplicate_groups"), F.count_if(F.col("role") == "duplicate").alias("duplicate_files"), F.count_if(F.col("role") == "skipped").alias("hash_skipped")).first().asDict()
-    sides = paired.agg(F.count_if(F.col("parent").isNotNull()).alias("sidecars_found"), F.count_if(F.col("parent").isNull()).alias("sidecar_orphans")).first().asDict()
-    return Plan(rows, role | sides | {"scan_skipped": by_status.get("unreadable", 0), "excluded": by_status.get("excluded", 0)}, output, settings, paired.where("parent is null").select("path", "reason"))
+    rows = settled.join(companions, "path").select("*", F.concat("directory", F.lit("/"), "final_name").alias("destination")).withColumnRenamed("path", "source").drop("directory", "name", "final_name")
+    rows, moves = measured(rows, moves=F.count(F.lit(1)), organised=F.count_if(F.col("phase") == 1))
+    return Plan(rows, scanned | sides | read, output, settings, paired.where("parent is null").select("path", "reason"), moves)
 
 
 def _next_group(directory: str) -> int:
@@ -309,11 +314,26 @@ def _members(batches):
         yield pd.DataFrame(rows, columns=["group_id", "is_copy", "path"])
 
 
-def check_duplicates(spark: SparkSession, directory: str) -> tuple[DataFrame, int]:
-    """Verdicts of the group directories under ``directory``, by the digest that dedup does not use, and the exit code."""
+def _sized(batches):
+    """(path, size) of files that are there."""
+    for pdf in batches:
+        held = [(p, os.path.getsize(p)) for p in pdf["path"] if p is not None and os.path.isfile(p)]
+        yield pd.DataFrame(held, columns=["path", "size"])
+
+
+def check_duplicates(spark: SparkSession, directory: str, digest: str = "sha512") -> tuple[DataFrame, int]:
+    """Verdicts of the group directories under ``directory``, by a digest that dedup does not use, and the exit code.
+
+    ``sha512`` reads a file in one task; ``blake3`` reads parts of it in many.
+    """
     groups = sorted(e.path for e in os.scandir(directory) if e.is_dir())
     held = ready(spark).createDataFrame([(g,) for g in groups], "directory string").mapInPandas(_members, "group_id string, is_copy boolean, path string")
-    met = cut(held.withColumn("digest", _keyed_udf("path")))
+    if digest == "blake3":
+        held = cut(held)
+        taken = tree_digest.tree_digests(held.select("path").distinct().mapInPandas(_sized, "path string, size long"), tree_digest.KEY)
+        met = cut(held.join(taken.select("path", "digest"), "path", "left"))
+    else:
+        met = cut(held.withColumn("digest", _keyed_udf("path")))
     verdicts = cut(verify.group_verdicts(met.where("not is_copy"), met.where("is_copy")))
     return verdicts.orderBy("group_id"), verify.exit_code(verdicts)
 

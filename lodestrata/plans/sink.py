@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from ..operators.ledger import ATTEMPTS, candidate
+from ..functions import blake3
 from ..sources.journal import Writer
 from ..sources.manifest import Manifests
 from ..sources.readers import full_digest
@@ -127,14 +128,14 @@ def execute(rows: Iterable, journal: Writer, chunk_size: int = 100, go_on: Calla
 
 
 def verify_step(destination: str, size: int | None, digest: str | None) -> str:
-    """intact, missing, modified or unverifiable, cheapest test first."""
+    """intact, missing, modified or unverifiable, cheapest test first; a digest may be SHA-256 or BLAKE3."""
     if not os.path.lexists(destination):
         return "missing"
     if not os.path.isfile(destination) or os.path.islink(destination):
         return "unverifiable"
     if size is not None and os.path.getsize(destination) != size:
         return "modified"
-    if digest is not None and full_digest(destination) != digest:
+    if digest is not None and full_digest(destination) != digest and blake3.of_file(destination) != digest:
         return "modified"
     return "intact"
 

@@ -17,9 +17,9 @@ from pyspark.sql.window import Window
 
 from . import lifecycle
 from .functions import dates, geo, names, paths
-from .operators import cascade, ledger, numbering, pairing, tallies, verify
+from .operators import cascade, ledger, numbering, pairing, tallies, tree_digest, verify
 from .plans import settings, target, undo
-from .runtime import ready, shared_dir
+from .runtime import cut, ready, shared_dir
 from .sources import generator, journal, manifest, media, readers, xmp
 
 _QUERIES: dict = {}
@@ -486,6 +486,13 @@ def c1_journal_lines(spark, sf_dir):
     return journal.parse(e).select(F.col("run_id").alias("event_id"), "seq", "type", "reason", "corrupt")
 
 
+@query()
+def m2_tree_digests(spark, sf_dir):
+    """Tree digests of whole texts, plain and keyed; DuckDB has no such function."""
+    f = files(spark, sf_dir)
+    return f.select("doc_id", tree_digest.of_content(F.col("content")).alias("digest"), tree_digest.of_content(F.col("content"), tree_digest.KEY).alias("keyed"))
+
+
 @query("""WITH e AS (SELECT user_id % 50 AS run_id, event_id, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS r, count(*) OVER (PARTITION BY user_id % 50) AS n FROM events),
 g AS (SELECT run_id, any_value(n) AS n, min(r) FILTER (event_id % 1000 = 13) AS bad FROM e GROUP BY 1)
 SELECT run_id, run_id % 7 <> 3 AS header_ok, run_id % 11 = 5 AND run_id % 7 <> 3 AS newer, coalesce(bad = n, false) AS torn, CASE WHEN bad < n THEN bad + 2 END::INT AS bad_line FROM g""")
@@ -609,6 +616,33 @@ def a10_summary(spark, sf_dir):
     return c.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count_if(F.col("copies") > 1).alias("in_groups"), F.count_if(F.col("role") == "skipped").alias("skipped"))
 
 
+@query(f"""WITH f AS (SELECT doc_id, coalesce(source, 'none') || '/' || doc_id || '.jpg' AS path, encode(coalesce(text, '')) AS c, doc_id % 7 = 3 AS changed FROM documents),
+s AS (SELECT *, changed AND count(*) OVER (PARTITION BY octet_length(c)) > 1 AS lost FROM f), g AS (SELECT c, count(*) AS n, ({FIRST}).f AS o FROM s WHERE NOT changed GROUP BY c)
+SELECT doc_id, CASE WHEN lost THEN 'skipped' WHEN changed OR n = 1 THEN 'unique' WHEN path = o THEN 'original' ELSE 'duplicate' END AS role, CASE WHEN changed THEN 1 ELSE n END::BIGINT AS copies, lost AS noticed FROM s LEFT JOIN g USING (c)""")
+def f16_changed_files(spark, sf_dir):
+    """Documents as files on disk, some of which change after they are listed; the cascade notices where it opens them."""
+    at = _scratch(spark, "changed")
+    root = _mounted(at)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(f"{root}/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+    def put(how: str):
+        def run(batches):
+            for pdf in batches:
+                for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    with open(path, how) as f:
+                        f.write(content)
+                yield pdf[["doc_id"]]
+
+        return run
+
+    docs.mapInPandas(put("wb"), "doc_id long").count()
+    listed = cut(media.scan(spark, [root]).where("status = 'ok'").select("path", "size"))
+    docs.where("doc_id % 7 = 3").withColumn("content", F.encode(F.concat(F.decode("content", "UTF-8"), F.lit("!")), "UTF-8")).mapInPandas(put("wb"), "doc_id long").count()
+    found = cascade.classify_paths(listed, k=K)
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.jpg$", 1).cast("long").alias("doc_id"), "role", "copies", F.coalesce(F.col("skip_reason").contains("changed"), F.lit(False)).alias("noticed"))
+
+
 @query(f"WITH {FILES} SELECT path, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY len(string_split(path, '/')), string_split(path, '/'))::BIGINT AS place FROM f")
 def w3_path_order(spark, sf_dir):
     """Files in the order of paths, within their root; a root of any size is spread over ranges."""

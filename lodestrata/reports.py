@@ -21,18 +21,26 @@ def banner(commit: bool) -> str:
     return "Moving files; every move is recorded first" if commit else "Preview: nothing is changed without --commit"
 
 
+def _some(df, most: int, more: str, total: int | None = None):
+    """At most ``most`` rows, then, if there are others, how many: the text ``more`` with their number; they are counted only then."""
+    rows = df.toLocalIterator()
+    yield from islice(rows, most)
+    if next(rows, None) is not None:
+        yield more.format((df.count() if total is None else total) - most)
+
+
 def duplicate_lines(made, most: int = 1000):
     """Each group of copies: its digest, the file that stays and those that go; after ``most`` lines, how many are left."""
-    copies = made.rows.where("phase = 0")
-    total, group = copies.count(), None
-    for r in islice(copies.orderBy("group", "depth", "key").toLocalIterator(), most):
+    group = None
+    for r in _some(made.rows.where("phase = 0").orderBy("group", "depth", "key"), most, "    ... and {} more copies", made.counts["duplicate_files"]):
+        if isinstance(r, str):
+            yield r
+            continue
         if r.group != group:
             group = r.group
             yield f"Group {r.group:03d}  {r.hash[:16]}  {r.size} bytes, {r.copies + 1} files"
             yield f"    stays {r.original}"
         yield f"    goes  {r.source}"
-    if total > most:
-        yield f"    ... and {total - most} more copies"
 
 
 # Why a companion has no file.
@@ -40,15 +48,15 @@ REASONS = {"no_parent": "no file of that name", "ambiguous": "more than one file
 
 
 def orphan_lines(orphans, most: int = 1000):
-    """Companions that stay where they are, with the reason."""
+    """Companions that stay where they are, with the reason; after ``most`` lines, how many are left."""
     if orphans is None:
         return
-    for r in islice(orphans.orderBy("path").toLocalIterator(), most):
-        yield f"Left alone: {r.path} ({REASONS.get(r.reason, r.reason)})"
+    for r in _some(orphans.orderBy("path"), most, "Left alone: {} more"):
+        yield r if isinstance(r, str) else f"Left alone: {r.path} ({REASONS.get(r.reason, r.reason)})"
 
 
 def run_detail(head: dict, run, steps, unresolved, most: int = 1000):
-    """A recorded run: when and how it was called, its counters, each step that can be taken back, each intent without an outcome."""
+    """A recorded run: when and how it was called, its counters, each step that can be taken back, each intent without an outcome; of both at most ``most``, then how many are left."""
     yield f"Run {head.get('run_id')}"
     yield _line("Started:", head.get("started_at"))
     yield _line("Output:", head.get("output_dir"))
@@ -58,10 +66,10 @@ def run_detail(head: dict, run, steps, unresolved, most: int = 1000):
         return
     yield _line("Can be restored:", run.n_restorable)
     yield "  Interrupted: it has no completion" if run.interrupted else _line("Moved, failed, skipped:", f"{run.moved}, {run.failed}, {run.skipped}")
-    for r in islice(steps.toLocalIterator(), most):
-        yield f"  {r.destination} -> {r.source}" + (f"  {names_abbreviated(r.hash)}" if r.hash else "")
-    for r in islice(unresolved.toLocalIterator(), most):
-        yield f"  no outcome recorded: {r.source} -> {r.destination}"
+    for r in _some(steps, most, "  ... and {} more", run.n_restorable):
+        yield r if isinstance(r, str) else f"  {r.destination} -> {r.source}" + (f"  {names_abbreviated(r.hash)}" if r.hash else "")
+    for r in _some(unresolved, most, "  no outcome recorded: {} more"):
+        yield r if isinstance(r, str) else f"  no outcome recorded: {r.source} -> {r.destination}"
 
 
 def names_abbreviated(digest: str) -> str:
@@ -70,14 +78,14 @@ def names_abbreviated(digest: str) -> str:
 
 def plan_lines(made, most: int = 1000):
     """One line a planned move, read from the plan as it is printed; after ``most`` lines, how many are left."""
-    total = made.rows.count()
-    for r in islice(made.ordered().toLocalIterator(), most):
+    for r in _some(made.ordered(), most, "... and {} more", made.moves["moves"]):
+        if isinstance(r, str):
+            yield r
+            continue
         tags = "" if r.phase == 0 else " " + names.DATE_TAGS[r.date_source] + ("" if r.unsorted else f" [tz:{r.tz_source}]")
         yield f"{r.source} -> {r.destination}{tags}"
         for c in r.companions:
             yield f"    with {c.path}"
-    if total > most:
-        yield f"... and {total - most} more"
 
 
 def summary(counts: dict, dates, percent: int, journal=None) -> list[str]:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -58,3 +58,10 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def measured(df: DataFrame, **what: Column) -> tuple[DataFrame, dict]:
+    """``cut`` of ``df``, and aggregates over its rows that were taken in the pass that computed them."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(name) for name, c in what.items()]))
+    return out, seen.get

@@ -2,7 +2,8 @@
 
 ``spark.read.format("lodestrata_media").option("roots", json list).load()`` lists regular files without
 following links, whatever their names. Each top-level subtree of a root is a partition; directories that
-a pattern hides are pruned before they are opened. Content is never read here.
+a pattern hides are pruned before they are opened. Content is never read here. ``scan`` gives the same rows and
+splits the work further: executors list level by level until there are subtrees enough for all of them.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ import re
 import stat
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import reduce
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import paths
-from ..runtime import ready
+from ..runtime import cut, ready
 
 _log = logging.getLogger(__name__)
 
 SCHEMA = "path string, root string, rel_path string, size long, extension string, kind string, mtime timestamp, birthtime timestamp, status string"
+_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+_ARROW = [{"string": pa.string(), "long": pa.int64(), "timestamp": pa.timestamp("us", "UTC")}[f.split()[1]] for f in SCHEMA.split(", ")]
 
 
 class _Subtree(InputPartition):
@@ -62,31 +68,58 @@ class _Reader(DataSourceReader):
         if part.root:
             yield from self._walk(part.root, part.rel)
 
-    def _walk(self, root: str, rel: str) -> Iterator[tuple]:
+    def _entry(self, root: str, rel: str) -> tuple | None:
+        """The row of one entry; a directory that isn't hidden has the status ``directory``; None for what isn't listed."""
         path = os.path.join(root, rel)
+        name = rel.rsplit("/", 1)[-1]
         try:
             st = os.lstat(path)
-            is_dir = stat.S_ISDIR(st.st_mode)
-            if is_dir and rel.rsplit("/", 1)[-1] == paths.METADATA_DIR:
-                return
-            if self._hidden(rel):
-                yield (path, root, rel, None, None, None, None, None, "excluded")
-                return
-            if is_dir:
-                for name in sorted(os.listdir(path)):
-                    yield from self._walk(root, f"{rel}/{name}")
-                return
+        except OSError:
+            return (path, root, rel, None, None, None, None, None, "unreadable")
+        is_dir = stat.S_ISDIR(st.st_mode)
+        if is_dir and name == paths.METADATA_DIR:
+            return None
+        if self._hidden(rel):
+            return (path, root, rel, None, None, None, None, None, "excluded")
+        if is_dir:
+            return (path, root, rel, None, None, None, None, None, "directory")
+        ext = name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
+        if not stat.S_ISREG(st.st_mode) or not (kind := self._kind(ext)):
+            return None
+        birth = getattr(st, "st_birthtime", None)
+        at = [datetime.fromtimestamp(t, timezone.utc) if t is not None else None for t in (st.st_mtime, birth)]
+        return (path, root, rel, st.st_size, ext, kind, *at, "ok")
+
+    def level(self, root: str, rel: str) -> Iterator[tuple]:
+        """The rows of a directory's entries; one row for the directory itself if it can't be listed."""
+        path = os.path.join(root, rel)
+        try:
+            names = sorted(os.listdir(path))
         except OSError:
             yield (path, root, rel, None, None, None, None, None, "unreadable")
             return
-        if not stat.S_ISREG(st.st_mode):
-            return
-        name = rel.rsplit("/", 1)[-1]
-        ext = name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
-        if kind := self._kind(ext):
-            birth = getattr(st, "st_birthtime", None)
-            at = [datetime.fromtimestamp(t, timezone.utc) if t is not None else None for t in (st.st_mtime, birth)]
-            yield (path, root, rel, st.st_size, ext, kind, *at, "ok")
+        for name in names:
+            if row := self._entry(root, f"{rel}/{name}" if rel else name):
+                yield row
+
+    def below(self, root: str, rel: str) -> Iterator[tuple]:
+        """The rows of all that lies below a directory, however deep."""
+        open_ = [self.level(root, rel)]
+        while open_:
+            row = next(open_[-1], None)
+            if row is None:
+                open_.pop()
+            elif row[-1] == "directory":
+                open_.append(self.level(root, row[2]))
+            else:
+                yield row
+
+    def _walk(self, root: str, rel: str) -> Iterator[tuple]:
+        row = self._entry(root, rel) if rel else (None, root, "", None, None, None, None, None, "directory")
+        if row and row[-1] == "directory":
+            yield from self.below(root, rel)
+        elif row:
+            yield row
 
 
 class MediaSource(DataSource):
@@ -101,15 +134,45 @@ class MediaSource(DataSource):
         return _Reader(self.options)
 
 
-def scan(spark: SparkSession, roots: list[str], skip: list[str] = (), sidecars: bool = True, **extensions: list[str]) -> DataFrame:
+#: Levels that are listed one by one, at most, before what is left is dealt out as subtrees.
+LEVELS = 8
+
+
+def scan(spark: SparkSession, roots: list[str], skip: list[str] = (), sidecars: bool = True, subtrees: int | None = None, **extensions: list[str]) -> DataFrame:
     """The files under ``roots`` (an overlap lists a file twice), with rows for what was excluded or unreadable.
 
-    A root that is no directory is left out with a warning and counted nowhere.
+    A root that is no directory is left out with a warning and counted nowhere. Directories are listed level by level,
+    each level dealt to all tasks, until there are ``subtrees`` of them (four a task unless given); those are then walked as
+    tasks of their own. Only numbers of directories come to the driver, and no single directory at the top holds the rest up.
     """
     for root in roots:
         if not os.path.isdir(root):
             _log.warning("%s is not a directory and is left out", root)
-    ready(spark).dataSource.register(MediaSource)
     for p in skip:
         paths.glob_regex(p)
-    return spark.read.format("lodestrata_media").option("roots", json.dumps(list(roots))).option("skip", json.dumps(list(skip))).option("sidecars", json.dumps(sidecars)).option("extensions", json.dumps(extensions)).load()
+    ready(spark).dataSource.register(MediaSource)
+    tasks = spark.sparkContext.defaultParallelism
+    reader = _Reader({"roots": "[]", "skip": json.dumps(list(skip)), "sidecars": json.dumps(sidecars), "extensions": json.dumps(extensions)})
+
+    def listed(how):
+        def run(batches):
+            for b in batches:
+                for root, rel in zip(b.column("root").to_pylist(), b.column("rel_path").to_pylist(), strict=True):
+                    rows = how(root, rel)
+                    while some := list(islice(rows, 4096)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*some, strict=True), _ARROW, strict=True)], names=_NAMES)
+
+        return run
+
+    open_ = spark.createDataFrame([(r, "") for r in roots if os.path.isdir(r)], "root string, rel_path string")
+    found, left = [spark.createDataFrame([], SCHEMA)], len(roots)
+    for _ in range(LEVELS):
+        if not left or left >= (subtrees or 4 * tasks):
+            break
+        level = cut(open_.repartition(max(1, min(left, tasks))).mapInArrow(listed(reader.level), SCHEMA))
+        found.append(level.where("status <> 'directory'"))
+        open_ = level.where("status = 'directory'").select("root", "rel_path")
+        left = open_.count()
+    if left:
+        found.append(open_.repartition(min(left, 4 * tasks)).mapInArrow(listed(reader.below), SCHEMA))
+    return reduce(DataFrame.union, found)

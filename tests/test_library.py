@@ -322,6 +322,27 @@ def test_scan_lists_what_is_there(spark, tmp_path):
     assert readers.full_digest_udf.func(__import__("pandas").Series(["/nope"]))["digest"][0] is None
 
 
+def test_one_wide_directory_is_many_tasks(spark, tmp_path):
+    """A root with a single directory of many: split below it, with the rows that the source itself gives."""
+    for i in range(120):
+        d = tmp_path / "all" / f"{i:03d}"
+        (d / "deep/er").mkdir(parents=True)
+        (d / "a.jpg").write_text("x")
+        (d / "deep/er/b.mov").write_text("yy")
+        (d / "deep/skip").mkdir()
+        (d / "deep/skip/c.jpg").write_text("z")
+    (tmp_path / "all" / "top.png").write_text("1")
+    (tmp_path / "all" / "007" / "locked").symlink_to("/nowhere")
+    got = media.scan(spark, [str(tmp_path)], ["skip"], subtrees=40)
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    source = spark.read.format("lodestrata_media").option("roots", json.dumps([str(tmp_path)])).option("skip", '["skip"]').load()
+    assert rows == sorted(map(tuple, source.collect()), key=repr) and len(rows) == 361
+    assert source.rdd.getNumPartitions() == 1 and len({r.p for r in got.where("kind = 'video'").select(F.spark_partition_id().alias("p")).collect()}) > 4
+    assert media.scan(spark, [str(tmp_path / "nope")]).count() == 0
+    flat = sorted(map(tuple, media.scan(spark, [str(tmp_path)], ["skip"], subtrees=1).collect()), key=repr)
+    assert flat == rows == sorted(map(tuple, media.scan(spark, [str(tmp_path)], ["skip"], subtrees=10**6).collect()), key=repr)
+
+
 def test_commit_then_undo_restores_the_tree(spark, tmp_path):
     tree = {"in/a.jpg": "1", "in/b.jpg": "2", "in/b.xmp": "s", "in/c.jpg": "1"}
     for rel, text in tree.items():

@@ -114,7 +114,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["journal", "show", "out"]) == 0
     shown = capsys.readouterr().out
     assert "Can be restored:" in shown and "Moved, failed, skipped:" in shown and shown.count(" -> ") == len([p for p in tree(tmp_path / "out") if not p.endswith(manifest.NAME) and ".lodestrata" not in p])
-    assert cli.main(["verify", "out/duplicates"]) == 0
+    assert cli.main(["verify", "out/duplicates"]) == 0 == cli.main(["verify", "out/duplicates", "--digest", "blake3"])
     assert cli.main(["undo", "out", "--commit"]) == 0 and tree(tmp_path / "in") == before
     assert cli.main(["config", "show"]) == 0 and cells(capsys.readouterr().out)["chunk_size"] == ["100", "default"]
     assert cli.main(["organise", "in", "--chunk-size", "-1"]) == 1
@@ -215,11 +215,17 @@ def test_reports_of_a_plan(spark, library, tmp_path, caplog):
     copies = generator.PROFILES["awkward"][3]
     assert sum(x.startswith("Group ") for x in lines) == copies and sum("    goes" in x for x in lines) == copies and sum("    stays" in x for x in lines) == copies
     assert any("orphan.xmp (no file of that name)" in x for x in reports.orphan_lines(made.orphans))
+    for shown, most in ((reports.plan_lines(made, 2), 2), (reports.duplicate_lines(made, 1), 1), (reports.plan_lines(made, made.moves["moves"]), None)):
+        last = [*shown][-1]
+        assert ("more" in last) == (most is not None)
+    assert f"... and {made.moves['moves'] - 2} more" in [*reports.plan_lines(made, 2)] and [*reports.orphan_lines(made.orphans, 0)] == ["Left alone: 1 more"]
+    assert made.moves == {"moves": made.rows.count(), "organised": made.rows.where("phase = 1").count()}
     done, at = lifecycle.commit(made)
     with open(at, "a") as f:
         f.write('{"type":"move_intent","seq":999,"source":"/a","destination":"/b"}\n')
     told = []
     back = lifecycle.take_back(spark, str(at.parent), tell=told.append)
     assert back.unresolved == 1 and "no outcome recorded: /a -> /b" in told and sum(x.startswith("intact: ") for x in told) == done.moved
+    assert "  no outcome recorded: 1 more" in [*reports.run_detail(*lifecycle.run_detail(spark, str(at.parent)), most=0)]
     shown = [*reports.run_detail(*lifecycle.run_detail(spark, str(at.parent)))]
     assert "  no outcome recorded: /a -> /b" in shown and any("Can be restored:" in x for x in shown)
