@@ -3,11 +3,12 @@
 The probability of a token is a mixture of the uniform, unigram and bigram maximum-likelihood
 estimates. The weights depend on how often the context was seen in training, in buckets of powers of
 two, and are learned by expectation-maximisation on held-out counts: each training token is taken out
-of the counts that predict it. All training tokens enter, as a histogram of a fixed number of cells.
+of the counts that predict it. All training tokens enter, as a histogram whose cells follow the logarithm of their number.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -99,41 +100,62 @@ class Counts:
 
 def bucket(context: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else 1 + the floor of log2 of its count."""
-    return np.where(context > 0, np.minimum(1 + np.log2(np.maximum(context, 1)).astype("i8"), BUCKETS - 1), 0)
+    return np.where(context > 0, 1 + np.frexp(np.maximum(context, 1).astype("f8"))[1] - 1, 0).astype("i8")
 
 
-def _level(p: np.ndarray) -> np.ndarray:
-    """0 for p = 0, else a step of 1 / STEP octaves, finest at 1."""
-    with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(LEVELS - 1 + np.rint(STEP * np.log2(np.maximum(p, 1e-300))), 1, LEVELS - 1), 0).astype("i8")
+@dataclass(frozen=True)
+class Grid:
+    """Cells of the histogram: buckets of contexts and levels of probabilities, as many as the training tokens call for.
 
+    The least estimate that isn't 0 is one count among n, so levels follow the logarithm of n, and so do buckets: a
+    corpus of any size has each of its estimates in a level of its own octave.
+    """
+
+    buckets: int = BUCKETS
+    levels: int = LEVELS
+
+    @classmethod
+    def of(cls, n: int) -> Grid:
+        octaves = max(n, 1).bit_length()
+        return cls(max(BUCKETS, octaves + 1), max(LEVELS, math.ceil(STEP * octaves) + 2))
 
-def cells(c: Counts, trained: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def level(self, p: np.ndarray) -> np.ndarray:
+        """0 for p = 0, else a step of 1 / STEP octaves, finest at 1."""
+        with np.errstate(divide="ignore"):
+            return np.where(p > 0, self.levels - 1 + np.rint(STEP * np.log2(np.maximum(p, 1e-300))), 0).astype("i8")
+
+    def value(self) -> np.ndarray:
+        """The probability of each level."""
+        k = np.arange(self.levels)
+        return np.where(k > 0, 2.0 ** ((k - self.levels + 1) / STEP), 0.0)
+
+
+def cells(c: Counts, trained: np.ndarray, n: int, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
     """The histogram of (bucket, unigram level, bigram level) of training tokens, each without itself."""
     token, context, both = (x[trained] for x in (c.token, c.context, c.both))
     p1 = (token - 1) / max(n - 1, 1)
     p2 = (both - 1) / np.maximum(context - 1, 1)
-    return np.unique((bucket(context - 1) * LEVELS + _level(p1)) * LEVELS + _level(p2), return_counts=True)
+    return np.unique((bucket(context - 1) * grid.levels + grid.level(p1)) * grid.levels + grid.level(p2), return_counts=True)
 
 
-def learn(cell: np.ndarray, count: np.ndarray, v: int, rounds: int = 200) -> np.ndarray:
+def learn(cell: np.ndarray, count: np.ndarray, v: int, grid: Grid = Grid(), rounds: int = 200) -> np.ndarray:
     """Weights (bucket x uniform, unigram, bigram) by EM on the histogram; buckets without counts take the nearest fuller one's."""
-    b, p1, p2 = cell // LEVELS**2, cell // LEVELS % LEVELS, cell % LEVELS
-    value = np.where(np.arange(LEVELS) > 0, 2.0 ** ((np.arange(LEVELS) - LEVELS + 1) / STEP), 0.0)
+    b, p1, p2 = cell // grid.levels**2, cell // grid.levels % grid.levels, cell % grid.levels
+    value = grid.value()
     p = np.stack([np.full(len(cell), 1 / (v + 1)), value[p1], value[p2]], axis=1)
-    w = np.full((BUCKETS, 3), 1 / 3)
+    w = np.full((grid.buckets, 3), 1 / 3)
     w[0] = 0.5, 0.5, 0.0
     for _ in range(rounds):
         r = w[b] * p
         r *= (count / r.sum(axis=1))[:, None]
-        new = np.stack([np.bincount(b, r[:, k], BUCKETS) for k in range(3)], axis=1) + [1e-3, 1e-3, 0]
+        new = np.stack([np.bincount(b, r[:, k], grid.buckets) for k in range(3)], axis=1) + [1e-3, 1e-3, 0]
         new /= new.sum(axis=1, keepdims=True)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
-    seen = np.bincount(b, count, BUCKETS) > 0
+    seen = np.bincount(b, count, grid.buckets) > 0
     seen[0] = True
-    return w[[np.flatnonzero(seen[: i + 1])[-1] for i in range(BUCKETS)]]
+    return w[[np.flatnonzero(seen[: i + 1])[-1] for i in range(grid.buckets)]]
 
 
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -142,9 +164,9 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens
 def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Scores every row of ``docs(doc_id, text)``: base and interpolated log10 probability, token counts.
 
-    Null texts are empty and hold only their end. Rows without a doc_id are trained on. The weights
-    (32 x 3 numbers) and three totals are all that the driver sees, besides a histogram of at most
-    32 x 64 x 64 cells.
+    Null texts are empty and hold only their end. Rows without a doc_id are trained on; repeated rows count and are
+    scored each time; other columns, whatever their names, are left behind; an empty table gives no rows. The weights (a row for each bucket) and three totals are all that
+    the driver sees, besides the histogram: its cells (see ``Grid``) number 32 x 64 x 64 up to 2^31 tokens, and 48 x 98 x 98 at 2^47.
     """
     chunks = pack_chunks(docs, scratch, chunk_bytes=4 << 20)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0
@@ -164,14 +186,16 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
     read = chunks.join(gathered(answers, "found"), "chunk").select("doc_ids", "known", "ends", "data", "found")
     documents = int(docs.select("doc_id").where(~F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))).count())
 
+    grid = Grid.of(n)
+
     def histogram(it):
         for *rest, found in _rows(it, "doc_ids", "known", "ends", "data", "found"):
             t = Tokens.of(Chunk(*rest))
-            cell, count = cells(Counts.of(t, found, documents), t.trained, n)
+            cell, count = cells(Counts.of(t, found, documents), t.trained, n, grid)
             yield pa.record_batch([pa.array(cell), pa.array(count)], names=["cell", "n"])
 
     hist = read.mapInArrow(lean(histogram), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    weights = learn(np.array([r.cell for r in hist], "i8"), np.array([r.n for r in hist], "f8"), v)
+    weights = learn(np.array([r.cell for r in hist], "i8"), np.array([r.n for r in hist], "f8"), v, grid)
 
     def judge(it):
         for *rest, found in _rows(it, "doc_ids", "known", "ends", "data", "found"):
