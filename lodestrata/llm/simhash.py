@@ -1,8 +1,9 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-Fingerprints that differ in at most d bits, cut into d + 2 blocks, agree in at least two blocks; so every
-pair of blocks is a join key of about 64 / (d + 2) * 2 bits, close pairs share one of the keys, and what
-meets is verified by Hamming distance. Equal fingerprints are one row throughout. A meeting bucket
+Fingerprints that differ in at most d bits, cut into d + c blocks, agree in at least c of them; so every
+choice of c blocks is a join key of about 64 c / (d + c) bits, close pairs share one of the keys, and what
+meets is verified by Hamming distance. c follows the number of fingerprints, so that buckets don't grow with
+them. Equal fingerprints are one row throughout. A meeting bucket
 gives the edges of a spanning forest, never all its pairs; buckets beyond ``cap`` rows are cut into
 parts that meet two by two.
 """
@@ -10,6 +11,7 @@ parts that meet two by two.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +57,28 @@ def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(lean(run), with_fields(docs.select(*keep), "fp long"))
 
 
-def links(fps: DataFrame, bits: int = BITS, cap: int = CAP) -> DataFrame:
-    """Spanning edges (a, b) over distinct fingerprints ``fps(fp)`` that differ in at most ``bits`` bits."""
-    blocks = bits + 2
-    bounds = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(bounds, bounds[1:], strict=False)]
-    pairs = [masks[i] | masks[j] for i, j in combinations(range(blocks), 2)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in pairs]
+#: What making and moving a key costs, in comparisons.
+KEY_COST = 16
+
+
+def shared_blocks(n: int, bits: int = BITS) -> int:
+    """How many of bits + c blocks make a key, for n fingerprints: where keys and the comparisons they lead to are least in sum.
+
+    Two at least: fingerprints of one language agree in many bits, so single blocks make uneven buckets.
+    """
+    return min(range(2, 9), key=lambda c: comb(bits + c, c) * (KEY_COST + n / 2 ** (64 * c / (bits + c))))
+
+
+def masks(bits: int, c: int) -> list[int]:
+    """The bits of each key: every choice of c of bits + c blocks."""
+    bounds = [round(64 * i / (bits + c)) for i in range(bits + c + 1)]
+    blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(bounds, bounds[1:], strict=False)]
+    return [sum(some) for some in combinations(blocks, c)]
+
+
+def links(fps: DataFrame, bits: int = BITS, cap: int = CAP, c: int = 2) -> DataFrame:
+    """Spanning edges (a, b) over distinct fingerprints ``fps(fp)`` that differ in at most ``bits`` bits; keys are of ``c`` blocks."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(bits, c)]
     keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("k", "key"))
     tasks = split_hot(keyed, ["k", "key"], "fp", cap)
     group = ["k", "key", "lo", "hi"]
@@ -108,7 +125,7 @@ def group(docs: DataFrame, scratch: Scratch, *keep: str, bits: int = BITS, cap:
     """
     rows = scratch.write(fingerprints(docs, *dict.fromkeys(["doc_id", *keep])))
     fps = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = scratch.write(components(links(fps.select("fp"), bits, cap), scratch))
+    roots = scratch.write(components(links(fps.select("fp"), bits, cap, shared_blocks(fps.count(), bits)), scratch))
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = scratch.write(named.groupBy("root").agg(F.min("least").alias("component_id")))  # a plain table: a hot root's rows can then be split
     by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id", "root")
