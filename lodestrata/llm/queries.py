@@ -27,8 +27,8 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), "doc_id")
-    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), "doc_id", evidence=True)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

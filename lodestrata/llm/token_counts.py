@@ -18,7 +18,9 @@ from .common import batches, lean, with_fields
 from .token_store import WordEncoder
 
 LEAF = 32
-_GAP = re.compile("[ \n]+")
+#: White space that no token crosses.
+_BLANKS = " \t\n\x0b\x0c\r"
+_GAP = re.compile(f"[{_BLANKS}]+")
 
 
 class CountTree:
@@ -98,7 +100,7 @@ class Edit:
         self.last, at = tree.find(max(start, end - 1))
         stop = at + int(tree.node[0, tree.size + self.last])
         region = text[begin:start] + put + text[end:stop]
-        while stop < len(text) and region[-1:] not in (" ", "\n"):
+        while stop < len(text) and region[-1:] not in tuple(_BLANKS):
             self.last += 1
             more = int(tree.node[0, tree.size + self.last])
             region, stop = region + text[stop : stop + more], stop + more

@@ -365,7 +365,7 @@ def score(docs: DataFrame, index: Index, *keep: str, evidence: bool = False) ->
             seen.update(zip(new, (g[: 3 if evidence else 1] for g in own.judge(list(new.values()))), strict=True))
             got = [seen[k] for k in keys]
             s = np.array([g[0] for g in got], "f8")
-            more = [pa.array([[{"doc_id": int(own.ids[i]), "cosine": float(c), "toxic": int(own.labels[i])} for i, c in zip(best, cos, strict=True)] for _, best, cos in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))] if evidence else []
+            more = [pa.array([[{"doc_id": int(own.ids[i]), "cosine": min(float(c), 1.0), "toxic": int(own.labels[i])} for i, c in zip(best, cos, strict=True)] for _, best, cos in got], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))] if evidence else []
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(s), pa.array((s >= 0.5).astype("i4")), *more], names=[*keep, "score", "predicted", *["evidence"] * evidence])
 
     schema = with_fields(docs.select(*keep), "score double, predicted int" + f", evidence {EVIDENCE}" * evidence)
