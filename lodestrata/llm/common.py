@@ -121,6 +121,11 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def by_document() -> list:
+    """The order of rows by doc_id, nulls last, then by the first characters of their text, then its hash: rows that share an id, or have none, are many keys of a range exchange."""
+    return [F.col("doc_id").asc_nulls_last(), F.substring("text", 1, 64).asc_nulls_first(), F.xxhash64("text").asc()]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -153,18 +158,19 @@ def split_hot(df: DataFrame, key: list[str], member: str, cap: int) -> DataFrame
     return cut.select(*df.columns, "part", F.least("part", "_o").alias("lo"), F.greatest("part", "_o").alias("hi"))
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, root), root the smallest node reachable.
 
     Alternates large-star and small-star steps (each a min per node and one join) and writes the edges
-    to the scratch folder after each round, until the edges stop changing. No neighbour list is ever
+    to the scratch folder after each round, until the edges stop changing, however many rounds that takes (their
+    number follows the logarithm of the longest path). No neighbour list is ever
     gathered, so a hub costs rows and not memory. The minima are written before they are joined: only
     joins of plain shuffles are split when one node holds many of the edges.
     """
     kind = edges.schema["a"].dataType.simpleString()
     now = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
-    for _ in range(most):
+    while True:
         both = now.union(now.select("b", "a"))
         least = scratch.write(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("b > a").join(least, both.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < u").select("u", "m")).distinct()
@@ -179,8 +185,6 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         if mark == last:
             break
         last = mark
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots).select(F.col("node").cast(kind), F.col("root").cast(kind))
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, lean, shuffle_partitions, Scratch
+from .common import batches, by_document, lean, shuffle_partitions, Scratch
 from .token_store import _rows
 
 CHUNK_BYTES = 1 << 20
@@ -47,7 +47,7 @@ class Chunk:
 
 
 def pack_chunks(docs: DataFrame, scratch: Scratch, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``docs(doc_id, text)`` as a table of chunks, bucketed by chunk; with ``ordered``, chunks ascend with doc_id (nulls last), then text.
+    """``docs(doc_id, text)`` as a table of chunks, bucketed by chunk; with ``ordered``, chunks ascend with doc_id (nulls last), rows of one doc_id as ``by_document`` says.
 
     Null texts are empty. A text longer than a chunk is a chunk of its own. The buckets follow the bytes.
     """
@@ -55,8 +55,7 @@ def pack_chunks(docs: DataFrame, scratch: Scratch, ordered: bool = False, chunk_
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_partitions(docs.sparkSession), -(-total // BUCKET_BYTES))
     if ordered:
-        key = F.col("doc_id").asc_nulls_last()
-        rows = rows.repartitionByRange(buckets, key).sortWithinPartitions(key, "text")
+        rows = rows.repartitionByRange(buckets, *by_document()).sortWithinPartitions(*by_document())
 
     def run(it):
         part = TaskContext.get().partitionId()

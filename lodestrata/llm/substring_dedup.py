@@ -255,7 +255,7 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` the spans and the bytes kept.
 
     Null texts are empty. Rows without a doc_id come after all others; rows of one doc_id are ordered
-    by text. Chunks are cut along that order, so the first chunk with a window has its first occurrence.
+    by the start of their text, then its hash. Chunks are cut along that order, so the first chunk with a window has its first occurrence.
     """
     chunks = pack_chunks(docs, scratch, ordered=True)
     total = chunks.agg(F.sum("bytes")).first()[0] or 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batches, lean, only, running_total, Scratch
+from .common import batches, by_document, lean, only, running_total, Scratch
 
 MAGIC, VERSION, BLOCK = b"LSTK", 1, 4096
 _HEAD = struct.Struct("<4sHHQQQ")
@@ -242,8 +242,8 @@ def _rows(it: Iterator[pa.RecordBatch], *names: str):
 def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch) -> DataFrame:
     """Encodes ``docs(doc_id, text)`` and writes the segments in ascending doc_id order; returns the container.
 
-    Null texts are empty; null doc_ids come last; rows of one doc_id are ordered by text. The range
-    exchange deals documents, not keys' groups, so no source or copy group matters to it.
+    Null texts are empty; null doc_ids come last; rows of one doc_id are ordered as ``by_document`` says. The range
+    exchange deals documents, not keys' groups, so no source, copy group or repeated id matters to it.
     """
 
     def encode(it):
@@ -266,7 +266,7 @@ def store(docs: DataFrame, tokenizer: str, end_id: int | None, scratch: Scratch)
         if held:
             yield out()
 
-    sorted_docs = only(docs, "doc_id", "text").repartitionByRange(last := F.col("doc_id").asc_nulls_last()).sortWithinPartitions(last, "text")
+    sorted_docs = only(docs, "doc_id", "text").repartitionByRange(*by_document()).sortWithinPartitions(*by_document())
     return scratch.write(sorted_docs.mapInArrow(lean(encode), CONTAINER))
 
 

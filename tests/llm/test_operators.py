@@ -262,6 +262,24 @@ def test_op3_query_holds_out_and_agrees_with_labels(spark):
     assert sum(p for p, t in held if not t) <= 0.03 * len(held) and sum(p for p, t in held if t) >= 0.6 * sum(t for _, t in held)
 
 
+def test_op3_query_is_the_brute_force(spark, tmp_path):
+    """The registered query on a small table: every score by the definition, and as evidence the nearest examples, none of them held out."""
+    rows = made_up(150, 21)
+    docs, labels = tables(spark, rows, [(5000, "vile nasty wordal"), (5001, None), (5002, "unheard of")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in queries()["op3_toxicity"](spark, str(tmp_path)).collect()}
+    index = toxicity.fit(docs, labels)
+    train = sorted(learnt(rows), key=lambda r: index.ids.tolist().index(r[0]))
+    texts = [(i, t) for i, t, _ in rows] + [(5000, "vile nasty wordal"), (5001, None), (5002, "unheard of")]
+    for (i, _), want in zip(texts, brute_toxicity(train, [t for _, t in texts]), strict=True):
+        r = got[i]
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+        assert all(zlib.crc32(str(e.doc_id).encode()) % 5 and 0 < e.cosine <= 1 + 1e-9 for e in r.evidence)
+        assert [e.cosine for e in r.evidence] == sorted((e.cosine for e in r.evidence), reverse=True)
+    assert len(got) == len(texts) and got[5001].evidence == [] == got[5002].evidence and {e.toxic for e in got[5000].evidence[:3]} == {1}
+
+
 # ---- language model -------------------------------------------------------------------------------
 
 
@@ -333,6 +351,23 @@ def test_weights_are_distributions():
     assert np.allclose(w.sum(axis=1), 1) and (w >= 0).all() and w[0, 2] == 0
 
 
+def test_levels_and_buckets_follow_the_tokens():
+    """Made-up counts of a corpus of 10^12 tokens: rare words keep their own estimates, and contexts their own buckets."""
+    n = 10**12
+    grid = language_model.Grid.of(n)
+    token, context = np.array([2, 3, 9, 1, 10**6, 10**11]), np.array([2**31, 2**33, 2**38, 5, 1, n])
+    p = (token - 1) / (n - 1)
+    own = grid.value()[grid.level(p)]
+    assert own[3] == 0 and all(abs(math.log2(a / b)) <= 0.26 for a, b in zip(own[[0, 1, 2, 4, 5]], p[[0, 1, 2, 4, 5]], strict=True))
+    assert language_model.bucket(context).tolist() == [32, 34, 39, 3, 1, 40] and grid.buckets > 40
+    assert language_model.Grid.of(1000) == language_model.Grid() and grid.level(np.array([1.0])) == grid.levels - 1
+    counts = language_model.Counts(token, context, np.minimum(token, context))
+    cell, k = language_model.cells(counts, np.ones(6, bool), n, grid)
+    assert len(cell) == 6 and k.sum() == 6
+    w = language_model.learn(cell, k * 1e9, 10**8, grid)
+    assert np.allclose(w.sum(axis=1), 1) and len(w) == grid.buckets
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
 def test_key_packing(keys):
     a = np.sort(np.array(keys, "u8"))
@@ -419,6 +454,18 @@ def test_chat(spark, scratch):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_hot_and_long_conversations(spark, scratch):
+    """Snapshots of one conversation that hold most of the rows, a turn of 20,000 words, and a copy of the longest."""
+    long = " ".join(f"w{i}" for i in range(20_000))
+    turns = [(k, t, "user" if t % 2 else None, long if t == 3 else f"turn {t}") for k in range(40) for t in range(k + 1)]
+    turns += [(100, t, "user" if t % 2 else None, long if t == 3 else f"turn {t}") for t in range(40)] + [(200, t, "user" if t % 2 else None, f"turn {t}") for t in range(30)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
+    kept = chat.maximal(df, scratch)
+    got = {r.conv_id: r for r in chat.render(kept).collect()}
+    assert set(got) == {39, 200} and got[39].n_turns == 40 and got[200].n_turns == 30
+    assert got[39].chat == "".join(f"<|im_start|>user\n{long if t == 3 else f'turn {t}'}<|im_end|>\n" for t in range(40))
+
+
 # ---- simhash --------------------------------------------------------------------------------------
 
 
@@ -451,12 +498,28 @@ def test_simhash(spark, corpus, scratch):
     assert simhash.group(corpus.where("false"), scratch).count() == 0
 
 
-@pytest.mark.parametrize("cap", [3, 4096])
-def test_simhash_links_lose_nothing(spark, scratch, cap):
+@given(st.integers(1, 6), st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=4))
+def test_close_fingerprints_share_a_key_at_every_block_count(c, fp, flips):
+    other = fp
+    for b in flips:
+        other ^= 1 << b
+    masks = simhash.masks(4, c)
+    assert any(fp & m == other & m for m in masks) and len(masks) == math.comb(4 + c, c) and min(m.bit_count() for m in masks) >= 64 * c // (4 + c) - c
+
+
+def test_blocks_follow_the_fingerprints():
+    found = [simhash.shared_blocks(10**k) for k in range(3, 15)]
+    assert found == sorted(found) and found[0] == 2 and found[-1] > 3
+    for n, c in zip((10**k for k in range(3, 13)), found, strict=False):
+        assert n / 2 ** (64 * c / (4 + c)) < 4096  # a bucket of evenly spread fingerprints stays small
+
+
+@pytest.mark.parametrize(("cap", "c"), [(3, 2), (4096, 2), (3, 1), (4096, 3), (5, 4), (4096, 5)])
+def test_simhash_links_lose_nothing(spark, scratch, cap, c):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40)
     fps = sorted({int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 6), replace=False)) for b in base for _ in range(6)})
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), cap=cap)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), cap=cap, c=c)
     roots = {r.node: r.root for r in components(edges, scratch).collect()}
     lab = brute_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
     groups = lambda of: sorted(sorted(g) for g in {x: [f for f, y in zip(fps, of, strict=True) if y == x] for x in of}.values())
@@ -499,6 +562,30 @@ def test_token_counts(spark, corpus, plain):
     assert token_counts.apply(token_counts.build(df.where("false"), tokenizer()), tokenizer()).count() == 0
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\x0b", "\r\n", "\x0c "])
+def test_edits_encode_only_what_they_touch(plain, blank):
+    """Whatever parts the words: the touched leaves, one more for the boundary, and what is put in."""
+    encoder = token_store.WordEncoder.of(tokenizer())
+    text = blank.join(f"word{i % 97}x{i}" for i in range(3000))
+    tree = token_counts.build_tree(text, encoder)
+    parts = token_counts.leaves(text)
+    assert len(parts) > 3000 // token_counts.LEAF - 1
+    ends = np.cumsum([len(p) for p in parts])
+    for start, stop, put in ((0, 0, "x"), (7, 9, ""), (5000, 5000, "two words "), (9000, 9400, ""), (12_345, 12_346, blank), (len(text), len(text), " end"), (len(text) - 5, len(text), "")):
+        new, grown, encoded = token_counts.edit(text, token_counts.CountTree.load(tree.dump()), start, stop, put, encoder)
+        a, b = np.minimum(np.searchsorted(ends, [start, max(start, stop - 1)], "right"), len(parts) - 1)
+        assert new == text[:start] + put + text[stop:] and grown.tokens == len(plain(new)) and grown.chars == len(new)
+        assert encoded <= sum(len(p) for p in parts[a : b + 2]) + len(put)
+
+
+def test_op9_query_encodes_little_again(spark):
+    got = queries()["op9_token_counts"](spark, SF).agg(F.sum("n_encoded").alias("again"), F.sum("n_chars").alias("all"), F.count_if(F.col("n_encoded") > 6 * 2 * token_counts.LEAF * 40).alias("much")).first()
+    long = spark.createDataFrame([(1, "\t".join(f"w{i}" for i in range(20_000)))], "doc_id long, text string")
+    edits = F.array(*[F.struct(F.lit(i).alias("start"), F.lit(i + 3).alias("stop"), F.lit("new text").alias("put")) for i in (10, 50_000, 90_000)])
+    one = token_counts.apply(token_counts.build(long.withColumn("edits", edits), tokenizer()), tokenizer()).first()
+    assert got.again < got.all and got.much == 0 and one.n_encoded < 0.03 * one.n_chars and one.n_edits == 3
+
+
 # ---- embeddings -----------------------------------------------------------------------------------
 
 
@@ -569,6 +656,31 @@ def test_code_estimates_are_unbiased_and_bounded():
     assert (embedding_dedup.upper_bound(x @ rot.T, codes, factor, embedding_dedup.SIGMA) >= true - 1e-9).mean() > 0.999
 
 
+def test_quantised_vectors_are_bounded():
+    rng = np.random.default_rng(8)
+    for d in (1, 7, 64):
+        y = rng.standard_normal((50, d))
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        packed, step, lost = embedding_dedup.quantise(y)
+        back = embedding_dedup.restored(packed, step, d)
+        assert packed.shape == (50, -(-d // 2)) and np.allclose(np.linalg.norm(y - back, axis=1), lost) and (lost < 0.2).all()
+        assert (np.abs(y @ y.T - back @ y.T) <= lost[:, None] + 1e-12).all()
+
+
+def test_vectors_are_fetched_for_survivors_alone(spark, scratch, monkeypatch):
+    """At tens of tables, what goes to buckets holds no vector, and vectors move about once for each pair that is near."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((3000, 64))
+    x[1::30] = x[::30] + rng.standard_normal((100, 64)) * 0.2
+    written = []
+    monkeypatch.setattr(scratch, "write", lambda df, f=scratch.write: written.append(out := f(df)) or out)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.link(df, scratch, target=4).collect()
+    keyed, left = (next(t for t in written if t.columns == [f.split()[0] for f in ddl.split(", ")]) for ddl in (embedding_dedup.INDEXED, embedding_dedup.LEFT))
+    tables = keyed.selectExpr("max(length(keys) / width) as t").first().t
+    assert tables > 15 and "v" not in left.columns and left.count() < 2 * 3000 and sum(r.n_links for r in got) == 200
+
+
 # ---- the registered queries -----------------------------------------------------------------------
 
 
