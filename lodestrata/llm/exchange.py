@@ -94,28 +94,95 @@ def ask(chunk: int, kind: int, spans: int, keys: np.ndarray, checks: np.ndarray
     return pa.record_batch([pa.array([chunk] * len(own), pa.int64()), pa.array([kind] * len(own), pa.int32()), pa.array([i for i, _, _ in own], pa.int32()), *[pa.array(c, pa.binary()) for c in cols]], names=["chunk", "kind", "span", "keys", "checks", "counts"])
 
 
-def answer(asked: DataFrame, reduce: Callable[[int, list[tuple]], Iterator[tuple]]) -> DataFrame:
-    """``reduce(kind, rows)`` for each range; rows are (chunk, keys, checks, counts) bytes, it yields (chunk, bytes)."""
+class Answers:
+    """How a range answers the chunks that asked: rows are (chunk, keys, checks, counts) bytes, ascending by chunk.
+
+    ``reduce`` yields (chunk, bytes) for each row, and may add rows of negative chunks. Where there are too many chunks for
+    one task to hold their rows, ``merge`` makes one row (keys, checks, counts) of those of a group of neighbouring chunks, which
+    asks in their place, and ``spread`` hands the answer that it got on: called with the merged row's keys, checks and
+    answer, it returns what answers the group's rows one after the other.
+    """
+
+    def reduce(self, kind: int, rows: list[tuple]) -> Iterator[tuple[int, bytes]]:
+        raise NotImplementedError
+
+    def merge(self, kind: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        raise NotImplementedError
+
+    def spread(self, kind: int, keys: np.ndarray, checks: bytes, answer: bytes) -> Callable[[tuple], bytes]:
+        raise NotImplementedError
+
+
+#: Chunks whose rows one task holds for a range; more are asked for in groups of so many.
+GROUP = 1 << 16
 
-    def run(it):
-        held: list[tuple] = []
 
-        def flush():
-            kind, span = held[0][1], held[0][2]
-            out = list(reduce(kind, [(r[0], *r[3:]) for r in held]))
-            return pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([kind] * len(out), pa.int32()), pa.array([span] * len(out), pa.int32()), pa.array([a for _, a in out], pa.binary())], names=["chunk", "kind", "span", "answer"])
+def _grouped(rows: Iterator[tuple], n: int) -> Iterator[list[tuple]]:
+    """Lists of the rows that agree in their first ``n`` cells, which come together."""
+    held: list[tuple] = []
+    for row in rows:
+        if held and held[0][:n] != row[:n]:
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
 
-        for row in _rows(it, "chunk", "kind", "span", "keys", "checks", "counts"):
-            if held and held[0][1:3] != row[1:3]:
-                yield flush()
-                held = []
-            held.append(row)
-        if held:
-            yield flush()
+
+def _answered(rows: list[tuple]) -> pa.RecordBatch:
+    """(chunk, kind, span, answer) as a batch."""
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+    return pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "span", "answer"])
+
+
+def _at_once(asked: DataFrame, how: Answers) -> DataFrame:
+    def run(it):
+        for held in _grouped(_rows(it, "kind", "span", "chunk", "keys", "checks", "counts"), 2):
+            kind, span = held[0][:2]
+            yield _answered([(c, kind, span, a) for c, a in how.reduce(kind, [r[2:] for r in held])])
 
     return asked.repartition("kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(lean(run), ANSWERED)
 
 
+def answer(asked: DataFrame, how: Answers, scratch: Scratch, chunks: DataFrame) -> DataFrame:
+    """The answers of ``how`` to what the chunks asked.
+
+    A key that is in every chunk costs its range a row a chunk, so beyond GROUP chunks neighbouring ones are merged first: then a
+    range's task holds a row for each of a group's chunks, and another one a row for each group.
+    """
+    number, last = chunks.agg(F.count("*"), F.max("chunk")).first()
+    if number <= GROUP:
+        return _at_once(asked, how)
+    parts = max(1, GROUP * ((last >> 24) + 1) // number)  # a chunk's number begins with its bucket's
+    by = ["kind", "span", "group"]
+    asked = scratch.write(asked.withColumn("group", F.floor(F.shiftright("chunk", 24) / parts).cast("long")))
+
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, "chunk")
+
+    def merge(it):
+        for held in _grouped(_rows(it, *by, "chunk", "keys", "checks", "counts"), 3):
+            kind, span, group = held[0][:3]
+            keys, checks, counts = how.merge(kind, [r[3:] for r in held])
+            cells = [pack_keys(keys), *(b"" if x is None else x.tobytes() for x in (checks, counts))]
+            yield pa.record_batch([pa.array([group], pa.int64()), pa.array([kind], pa.int32()), pa.array([span], pa.int32()), *[pa.array([c], pa.binary()) for c in cells]], names=["chunk", "kind", "span", "keys", "checks", "counts"])
+
+    def spread(it):
+        state, on = None, None
+        for kind, span, group, chunk, keys, checks, found in _rows(it, *by, "chunk", "keys", "checks", "answer"):
+            if found is not None:
+                state, on = (kind, span, group), how.spread(kind, unpack_keys(keys), checks, found)
+            else:
+                assert state == (kind, span, group)
+                yield _answered([(chunk, kind, span, on((chunk, keys, checks)))])
+
+    merged = scratch.write(together(asked).mapInArrow(lean(merge), ASKED))
+    top = scratch.write(_at_once(merged, how))
+    got = merged.join(top, ["chunk", "kind", "span"]).select("kind", "span", F.col("chunk").alias("group"), F.lit(-1).cast("long").alias("chunk"), "keys", "checks", "answer")
+    rows = asked.select("kind", "span", "group", "chunk", "keys", "checks", F.lit(None).cast("binary").alias("answer")).union(got)
+    return together(rows).mapInArrow(lean(spread), ANSWERED).union(top.where("chunk < 0"))
+
+
 def gathered(answers: DataFrame, name: str) -> DataFrame:
     """One row a chunk: its answers of every kind in the order of ranges."""
     return answers.where("chunk >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("kind", "span", "answer"))).alias(name))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, Scratch
-from .exchange import ASKED, Chunk, answer, ask, from_small_ints, gathered, pack_chunks, small_ints, spans_for, unpack_keys
+from .exchange import ASKED, Answers, Chunk, answer, ask, from_small_ints, gathered, pack_chunks, small_ints, spans_for, unpack_keys
 from .token_store import _rows
 
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -68,15 +68,31 @@ def _distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.nda
     return u, np.bincount(at, weights=trained, minlength=len(u)).astype("<u4")
 
 
-def _reduce(kind: int, rows: list[tuple]):
+class Totals(Answers):
     """Training counts of each chunk's keys; and as chunk -1 how many distinct keys were trained on and their tokens."""
-    keys = [unpack_keys(r[1]) for r in rows]
-    u, at = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([np.frombuffer(r[3], "<u4") for r in rows]), minlength=len(u)).astype("i8")
-    ends = np.cumsum([len(k) for k in keys])
-    for r, a, b in zip(rows, ends - [len(k) for k in keys], ends, strict=True):
-        yield r[0], small_ints(total[at[a:b]])
-    yield -1, np.array([(total > 0).sum(), total.sum()], "<i8").tobytes()
+
+    @staticmethod
+    def _summed(rows: list[tuple]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        keys = [unpack_keys(r[1]) for r in rows]
+        u, at = np.unique(np.concatenate(keys), return_inverse=True)
+        # Chunks count in 32 bits, groups of them in 64.
+        counts = [np.frombuffer(r[3], "<u4" if len(r[3]) == 4 * len(k) else "<i8") for r, k in zip(rows, keys, strict=True)]
+        return keys, u, at, np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype("i8")
+
+    def reduce(self, kind, rows):
+        keys, u, at, total = self._summed(rows)
+        ends = np.cumsum([len(k) for k in keys])
+        for r, a, b in zip(rows, ends - [len(k) for k in keys], ends, strict=True):
+            yield r[0], small_ints(total[at[a:b]])
+        yield -1, np.array([(total > 0).sum(), total.sum()], "<i8").tobytes()
+
+    def merge(self, kind, rows):
+        _, u, _, total = self._summed(rows)
+        return u, None, total.astype("<i8")
+
+    def spread(self, kind, keys, checks, answer):
+        total = from_small_ints([answer])
+        return lambda row: small_ints(total[np.searchsorted(keys, unpack_keys(row[1]))])
 
 
 @dataclass
@@ -179,7 +195,7 @@ def score(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 u, n = _distinct(keys, t.trained)
                 yield ask(chunk, kind, spans, u, None, n)
 
-    answers = scratch.write(answer(chunks.select("chunk", "doc_ids", "known", "ends", "data").mapInArrow(lean(request), ASKED), _reduce))
+    answers = scratch.write(answer(chunks.select("chunk", "doc_ids", "known", "ends", "data").mapInArrow(lean(request), ASKED), Totals(), scratch, chunks))
     scratch.release()
     sums = [np.frombuffer(r.answer, "<i8") for r in answers.where("chunk < 0 and kind = 0").select("answer").collect()]  # one row a range
     v, n = (int(sum(s[i] for s in sums)) for i in (0, 1))

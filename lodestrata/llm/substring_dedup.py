@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, Scratch
-from .exchange import ASKED, Chunk, answer, ask, gathered, of_kind, pack_chunks, spans_for, unpack_keys
+from .exchange import ASKED, Answers, Chunk, answer, ask, gathered, of_kind, pack_chunks, spans_for, unpack_keys
 from .token_store import _rows
 
 LENGTH, GRAM = 100, 50
@@ -165,23 +165,57 @@ def _named(keys: np.ndarray, checks: np.ndarray):
 STAYS, COPY, MIXED = 0, 1, 2
 
 
-def _reduce(kind: int, rows: list[tuple]):
+class Firsts(Answers):
     """Of whole documents and windows: STAYS for the first chunk that has it, else COPY. Of anchors the same, or MIXED if their runs differ."""
-    sizes = [len(r[1]) // 8 for r in rows]
-    keys = np.concatenate([unpack_keys(r[1]) for r in rows])
-    answer = np.full(len(keys), COPY, "u1")
-    if kind == ANCHOR:
-        contexts = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])
+
+    def reduce(self, kind, rows):
+        sizes = [len(r[1]) // 8 for r in rows]
+        keys = np.concatenate([unpack_keys(r[1]) for r in rows])
+        answer = np.full(len(keys), COPY, "u1")
+        if kind == ANCHOR:
+            contexts = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])
+            first, mixed, at = self._anchors(keys, contexts)
+            answer[first] = STAYS  # rows come in the order of chunks, and the first place is the least
+            answer[mixed[at]] = MIXED
+        else:
+            _, _, first, _ = _named(keys, np.concatenate([np.frombuffer(r[2], "<u8") for r in rows]))
+            answer[first] = STAYS
+        ends = np.cumsum(sizes)
+        for r, a, b in zip(rows, ends - sizes, ends, strict=True):
+            yield r[0], answer[a:b].tobytes()
+
+    @staticmethod
+    def _anchors(keys: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct anchors: the first place, and whether contexts differ or one is 0; each entry's number."""
         _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        answer[first] = STAYS  # rows come in the order of chunks, and the first place is the least
-        mixed = np.bincount(at, weights=(contexts != contexts[first][at]) | (contexts == 0)) > 0
-        answer[mixed[at]] = MIXED
-    else:
-        _, _, first, _ = _named(keys, np.concatenate([np.frombuffer(r[2], "<u8") for r in rows]))
-        answer[first] = STAYS
-    ends = np.cumsum(sizes)
-    for r, a, b in zip(rows, ends - sizes, ends, strict=True):
-        yield r[0], answer[a:b].tobytes()
+        return first, np.bincount(at, weights=(contexts != contexts[first][at]) | (contexts == 0)) > 0, at
+
+    def merge(self, kind, rows):
+        keys = np.concatenate([unpack_keys(r[1]) for r in rows])
+        if kind == ANCHOR:
+            contexts = np.concatenate([np.frombuffer(r[3], "<u8") for r in rows])
+            first, mixed, _ = self._anchors(keys, contexts)
+            return keys[first], None, np.where(mixed, np.uint64(0), contexts[first])
+        return *_named(keys, np.concatenate([np.frombuffer(r[2], "<u8") for r in rows]))[:2], None
+
+    def spread(self, kind, keys, checks, answer):
+        """A group that has the first leaves it to its own first chunk."""
+        verdict, taken = np.frombuffer(answer, "u1"), np.zeros(len(keys), bool)
+        names = None if kind == ANCHOR else np.frombuffer(checks, "<u8")
+
+        def one(row: tuple) -> bytes:
+            own = unpack_keys(row[1])
+            if kind == ANCHOR:
+                at = np.searchsorted(keys, own)
+            else:  # where equal keys have several checks, on to the one that fits
+                at, own_names = np.searchsorted(keys, own), np.frombuffer(row[2], "<u8")
+                while (off := np.flatnonzero(names[at] != own_names)).size:
+                    at[off] += 1
+            out = np.where((verdict[at] == STAYS) & taken[at], COPY, verdict[at]).astype("u1")
+            taken[at] = True
+            return out.tobytes()
+
+        return one
 
 
 class Runs:
@@ -269,7 +303,7 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
             yield ask(number, ANCHOR, spans_for(total / 26), keys, None, contexts)
             yield ask(number, WHOLE, spans_for(total / 2048), r.whole, r.whole_checks)
 
-    first = scratch.write(answer(chunks.select("chunk", *body).mapInArrow(lean(anchors), ASKED), _reduce))
+    first = scratch.write(answer(chunks.select("chunk", *body).mapInArrow(lean(anchors), ASKED), Firsts(), scratch, chunks))
     scratch.release()
     read = chunks.join(gathered(first, "found"), "chunk")
 
@@ -278,7 +312,7 @@ def dedup(docs: DataFrame, scratch: Scratch, texts: bool = True) -> DataFrame:
             j = Judged(Chunk(*rest), found)
             yield ask(number, WINDOW, spans_for(total / 4), j.keys, j.checks)  # how many are left is not known yet: at most four times as many keys in a range
 
-    second = scratch.write(answer(read.select("chunk", *body, "found").mapInArrow(lean(windows), ASKED), _reduce))
+    second = scratch.write(answer(read.select("chunk", *body, "found").mapInArrow(lean(windows), ASKED), Firsts(), scratch, chunks))
     scratch.release()
 
     def finish(it):
