@@ -126,7 +126,7 @@ class WordEncoder:
     combining mark follows that could compose with one case only, and no added token, which is met in its
     own case only, is spelt in any case). Texts are cut at U+0009-000D and U+0020. New words of letters alone are encoded as one text and told apart by the tokens that end a
     word; letters with ASCII punctuation after them are those letters and that punctuation, which are
-    kept apart. Two generations of ``most`` pieces bound the memory.
+    kept apart and, joined, for as long as there are ``most`` of them. Two generations of ``most`` pieces bound the memory.
     """
 
     _held: dict[str, WordEncoder] = {}
@@ -145,6 +145,7 @@ class WordEncoder:
         self.added = sorted({t.content.encode().lower().decode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
+        self.signed: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -179,7 +180,10 @@ class WordEncoder:
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        found = list(map(new.get, pieces))
+        if len(self.signed) > self.most:
+            self.signed = {}
+        signed = self.signed
+        found = [new.get(p) or signed.get(p) for p in pieces] if signed else list(map(new.get, pieces))
         open_ = [i for i, f in enumerate(found) if f is None]
         cut, need = {}, set()
         for i in open_:
@@ -196,7 +200,10 @@ class WordEncoder:
             need = [w for w in need if w not in new]
         self._learn(need)
         for i in open_:
-            found[i] = new[cut[i][0]] + new[cut[i][1]] if i in cut else new[pieces[i]]
+            if i in cut:
+                found[i] = signed[pieces[i]] = new[cut[i][0]] + new[cut[i][1]]
+            else:
+                found[i] = new[pieces[i]]
         return found
 
     def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
