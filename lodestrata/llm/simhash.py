@@ -121,8 +121,11 @@ def group(docs: DataFrame, scratch: Scratch, *keep: str, bits: int = BITS, cap:
     """(``keep``, fp, component_id) for every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable.
 
     Null and wordless texts have fingerprint 0 and link like any other; null doc_ids never name a
-    component that has another id. One row a document; copies meet as one fingerprint.
+    component that has another id. One row a document; copies meet as one fingerprint. Columns to keep mustn't be called like those
+    added here.
     """
+    if clash := {"fp", "component_id", "root", "least"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
     rows = scratch.write(fingerprints(docs, *dict.fromkeys(["doc_id", *keep])))
     fps = scratch.write(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = scratch.write(components(links(fps.select("fp"), bits, cap, shared_blocks(fps.count(), bits)), scratch))

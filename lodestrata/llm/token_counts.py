@@ -152,7 +152,8 @@ def apply(trees: DataFrame, tokenizer: str) -> DataFrame:
 
     Takes what ``build`` returns. Returns the counts before and after, the edited text's length and the
     characters encoded again. A null list or edit is none; offsets are held to the text, a null start
-    is 0, a null stop the start, a null put the empty string.
+    is 0, a null stop the start, a null put the empty string. Each row is counted by itself: repeated rows give equal rows,
+    and an empty table an empty one.
     """
 
     def run(it):

@@ -349,8 +349,10 @@ def score(docs: DataFrame, index: Index, *keep: str, evidence: bool = False) ->
 
     A null, empty or wordless text, or one without a word of the examples, has no neighbour and gets
     the share of label 1 among examples without words. The text is the only input. Equal texts are
-    judged once for each task.
+    judged once for each task, so repeated rows score alike; columns to keep mustn't be called like those added here.
     """
+    if clash := {"score", "predicted", "evidence"} & set(keep):
+        raise ValueError(f"columns {sorted(clash)} are made here; rename them first")
     shared, knots = index.share(docs.sparkSession.sparkContext), index.knots
 
     def run(it):

@@ -764,3 +764,57 @@ def test_op10_query_on_planted_pairs(spark, tmp_path):
     lab = brute_components(len(ids), lambda i, j: link[i, j])
     least = {x: min(i for i, z in zip(ids, lab, strict=True) if z == x) for x in lab}
     assert all(got[i].component_id == least[x] and got[i].kept == (least[x] == i) for i, x in zip(ids, lab, strict=True))
+
+
+# ---- chunks in groups, and documents that share an id ------------------------------------------------
+
+
+def test_chunks_answer_alike_in_groups(spark, scratch, monkeypatch):
+    """Few chunks to a group: merged and spread again, every count, verdict and byte is that of one level."""
+    rng = np.random.default_rng(5)
+    hot = " ".join(f"hot{i}" for i in range(60))
+    docs = [(i, " ".join([*(f"w{int(x)}" for x in rng.integers(0, 400, 30)), *([hot] if i % 3 else []), *(["the the the"] * (i % 4))])) for i in range(300)] + [(1000, None), (None, hot)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(exchange, "BUCKET_BYTES", 9000)
+    monkeypatch.setattr(exchange, "RANGE_KEYS", 2000)
+    pack = exchange.pack_chunks
+    for module in (language_model, substring_dedup):
+        monkeypatch.setattr(module, "pack_chunks", lambda d, s, ordered=False, chunk_bytes=0: pack(d, s, ordered, 3000))
+    got = []
+    for most in (1 << 16, 7, 1):
+        monkeypatch.setattr(exchange, "GROUP", most)
+        model = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.score, 6)) for r in language_model.score(df, scratch).collect())
+        left = sorted((str(r.doc_id), r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.dedup(df, scratch).collect())
+        got.append((model, left))
+    assert got[0] == got[1] == got[2] and sum(r[1] for r in got[0][1]) > 10_000
+    want = {str(i): more for i, *more in brute_substrings(docs)}
+    assert all([n, s, h] == [want[i][1], want[i][2], want[i][3]] for i, n, s, h in got[0][1])
+
+
+def test_rows_without_ids_are_many_tasks(spark, scratch):
+    """Null and repeated ids are ranged by their texts: several tasks, and the order of ids as ever."""
+    rows = [(None, f"text number {i % 700} of many") for i in range(2000)] + [(7, f"another {i}") for i in range(2000)] + [(i, f"own {i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    chunks = exchange.pack_chunks(df, scratch, ordered=True, chunk_bytes=4000)
+    read = [(r.chunk, exchange.Chunk(r.doc_ids, r.known, r.ends, r.data)) for r in chunks.orderBy("chunk").collect()]
+    ids = [k for _, c in read for k in c.ids().to_pylist()]
+    assert ids == sorted(ids, key=lambda k: (k is None, k or 0)) and len(ids) == len(rows)
+    for key in (None, 7):
+        assert len({chunk >> 24 for chunk, c in read if key in c.ids().to_pylist()}) > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        container = token_store.store(df, tokenizer(), 2, scratch)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = [(r.part, token_store.np.frombuffer(r.known, "u1")) for r in container.select("part", "known").collect()]
+    assert len({p for p, known in parts if not known.all()}) > 1
+    back = [r.doc_id for r in token_store.read_back(container).orderBy("start").collect()]
+    assert back == sorted(back, key=lambda k: (k is None, k or 0)) and len(back) == len(rows)
+
+
+def test_clashing_names_are_refused(spark, corpus, scratch):
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(corpus, toxicity.fit(corpus, spark.createDataFrame([], "doc_id long, toxic int")), "score")
+    with pytest.raises(ValueError, match="fp"):
+        simhash.group(corpus, scratch, "fp")
