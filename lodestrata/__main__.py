@@ -115,7 +115,7 @@ def organise(args: argparse.Namespace, settings: conf.Settings) -> int:
         counts["organised"] = made.moves["organised"]
         print("\n".join([*reports.summary(counts, dates, v["filesystem_date_warning_percent"]), "Nothing was moved: this was a preview"]))
         return 0
-    go_on = (lambda chunk: True) if v["no_prompt"] or not sys.stdin.isatty() else ask
+    go_on = None if v["no_prompt"] or not sys.stdin.isatty() else ask
     done, at = lifecycle.commit(made, sys.argv[1:], go_on, not args.no_journal)
     counts |= {"organised": done.moved - done.sidecars, "sidecars_moved": done.sidecars, "unprocessed": done.unprocessed, "errors": done.failed}
     print("\n".join(reports.summary(counts, dates, v["filesystem_date_warning_percent"], at)))

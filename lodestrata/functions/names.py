@@ -174,6 +174,11 @@ def run_id(now: datetime | None = None, rng: random.Random | None = None) -> str
     return now.strftime("%Y%m%d-%H%M%S-") + "".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(6))
 
 
+def run_id_of(at: Column, number: Column) -> Column:
+    """The run id of a time and a number below 36^6, as an expression."""
+    return F.concat(F.date_format(at, "yyyyMMdd-HHmmss-"), F.lpad(F.lower(F.conv(number.cast("string"), 10, 36)), 6, "0"))
+
+
 # Tags of where a date or a time zone came from.
 DATE_TAGS = {"exif": "[EXIF]", "sidecar": "[SIDECAR]", "filesystem": "[FS]", "unreadable": "[FS: UNREADABLE]", "unsupported": "[FS: UNSUPPORTED]", "none": "[NO DATE]"}
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Extensions of the media and companion files that are organised.
 IMAGE = ("jpg", "jpeg", "png", "heic", "heif", "tiff", "tif", "raw", "cr2", "cr3", "nef", "arw", "dng", "orf", "rw2", "raf", "srw", "pef", "webp", "avif", "bmp")
@@ -91,6 +93,19 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+@F.arrow_udf(T.BooleanType())
+def usable(pattern: pa.Array) -> pa.Array:
+    """Whether ``glob_regex`` takes a pattern; null for null."""
+
+    def fine(p: str) -> bool:
+        try:
+            return bool(re.compile(glob_regex(p)))
+        except (PatternError, re.error):
+            return False
+
+    return pa.array([None if p is None else fine(p) for p in pattern.to_pylist()], pa.bool_())
+
+
 def _like(regex: str):
     return lambda x: x.rlike(regex)
 

@@ -1,7 +1,6 @@
 """Organise, undo and verify: the operators put together over directories of media.
 
-Executors scan, digest, read metadata and plan; the driver moves files one by one from an iterator over
-the plan, so that the journal is always ahead of the disk.
+Executors scan, digest, read metadata, plan, move files and take them back; what the driver sees of a run is a row a task.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import types as T
 
 from .functions import dates, geo, names, paths
 from .operators import cascade, ledger, pairing, tallies, tree_digest, verify
-from .plans import sink, target, undo
+from .plans import moves, sink, target, undo
 from .plans.settings import Settings, SettingsError
 from .runtime import cut, measured, ready
 from .sources import journal, manifest, media, readers, xmp
@@ -165,11 +164,12 @@ def _next_group(directory: str) -> int:
     return max((int(n) + 1 for n in held if re.fullmatch(r"\d+", n)), default=0)
 
 
-def commit(made: Plan, argv: list[str] = (), go_on=lambda chunk: True, journaled: bool = True) -> tuple[sink.Outcome, Path | None]:
+def commit(made: Plan, argv: list[str] = (), go_on=None, journaled: bool = True) -> tuple[sink.Outcome, Path | None]:
     """Carries a plan out; returns what happened and the journal's path.
 
-    Every group's manifest is on disk before the first move, written from an ordered iterator, one group
-    at a time. Without a journal nothing can be undone.
+    Every group's manifest is on disk before the first move. Tasks write the manifests, move the files and record what they
+    do, so the journal is ahead of the disk everywhere. ``go_on`` is asked before each chunk, if there is somebody to ask.
+    Without a journal nothing can be undone.
     """
     v = made.settings.values
     run, log, at = names.run_id(), None, None
@@ -178,13 +178,12 @@ def commit(made: Plan, argv: list[str] = (), go_on=lambda chunk: True, journaled
         where.mkdir(parents=True, exist_ok=True)
         at = where / f"{run}.jsonl"
         log = journal.Writer(at, run, datetime.now(timezone.utc).isoformat(), made.output, list(argv))
-    books = manifest.Manifests(os.path.join(made.output, v["duplicates_dir"]))
+    duplicates = os.path.join(made.output, v["duplicates_dir"])
     try:
-        books.begin(r.asDict() for r in made.rows.where("phase = 0").orderBy(*ORDER).toLocalIterator())
-        steps = ({**r.asDict(), "group": r.group if r.group >= 0 else None, "companions": [c.asDict() for c in r.companions]} for r in made.ordered().toLocalIterator())
-        done = sink.execute(steps, log or journal.Nowhere(), v["chunk_size"], go_on, books)
+        if made.counts["duplicate_files"]:
+            manifest.write(manifest.intended(made.rows.where("phase = 0")), duplicates).count()
+        done = moves.carry_out(made.rows, ORDER, log, duplicates, v["chunk_size"], go_on, made.moves["moves"])
     finally:
-        books.close()
         if log:
             log.close()
     return done, at
@@ -221,6 +220,13 @@ class Undone:
         return 1 if self.shortfall or self.unresolved else 0
 
 
+def _statuses(batches):
+    """Steps with whether what they would take back is as it was left."""
+    for pdf in batches:
+        found = [sink.verify_step(d, None if pd.isna(n) else int(n), h) for d, n, h in zip(pdf["destination"], pdf["size"], pdf["hash"], strict=True)]
+        yield pdf[["line_no", "source", "destination"]].assign(status=found)
+
+
 def take_back(spark: SparkSession, directory: str, run: str | None = None, commit: bool = False, tell=lambda line: None) -> Undone:
     """Previews, or with ``commit`` carries out, the undoing of a run recorded in ``directory``; the restore is journaled too.
 
@@ -234,23 +240,19 @@ def take_back(spark: SparkSession, directory: str, run: str | None = None, commi
     for r in undo.unresolved(entries).orderBy("line_no").toLocalIterator():
         lost += 1
         tell(f"no outcome recorded: {r.source} -> {r.destination}")
-    rows = (r.asDict() for r in steps.toLocalIterator()) if steps else iter(())
-    if not commit:
-        counts: dict[str, int] = {}
-        for s in rows:
-            status = sink.verify_step(s["destination"], s["size"], s["hash"])
-            counts[status] = counts.get(status, 0) + 1
-            tell(f"{status}: {s['destination']} -> {s['source']}")
-        return Undone(counts, lost, None)
-    first = next(rows, None)
-    if first is None:
+    if not steps or not steps.take(1):
         return Undone({}, lost, None)
+    if not commit:
+        kind = "line_no int, source string, destination string, status string"
+        looked = cut(steps.select("line_no", "source", "destination", "size", "hash").mapInPandas(_statuses, kind))
+        for s in looked.orderBy(F.desc("line_no")).toLocalIterator():
+            tell(f"{s.status}: {s.destination} -> {s.source}")
+        return Undone({r.status: r["count"] for r in looked.groupBy("status").count().collect()}, lost, None)
     own = names.run_id()
     at = Path(directory) / f"{own}.jsonl"
     log = journal.Writer(at, own, datetime.now(timezone.utc).isoformat(), root, ["undo", path.stem])
     try:
-        counts = sink.restore((s for part in ((first,), rows) for s in part), log, root)
-        log.append("run_completed", moved=counts["restored"] + counts["conflicted"], failed=counts["failed"], skipped=counts["skipped_missing"] + counts["skipped_modified"], ended_at=None)
+        counts = moves.take_back(steps, log, root)
     finally:
         log.close()
     short = [f"{counts[k]} {label}" for k, label in tallies.SHORTFALLS.items() if counts.get(k)]
@@ -269,7 +271,7 @@ def recorded_runs(spark: SparkSession, directory: str) -> list[dict]:
     found = journal.newest_first(directory)
     if not found:
         return []
-    numbered = cut(journal.file_lines(ready(spark), f"{directory}/*.jsonl"))
+    numbered = cut(journal.run_lines(ready(spark), f"{directory}/*.jsonl"))
     states = {r.run_id: r for r in journal.state(numbered).collect()}  # one row a run
     made = {r.run_id: r for r in undo.runs(journal.parse(numbered).where("corrupt is null")).collect()}
     out = []

@@ -337,10 +337,21 @@ def write_starter(path: str | Path, force: bool = False) -> None:
         f.write("\n".join(out) + "\n")
 
 
-def deciding(layers: DataFrame) -> DataFrame:
-    """(key, value, layer) of ``layers(layer, priority, key, value)``: the highest layer with a value."""
+def deciding(layers: DataFrame, *by: str) -> DataFrame:
+    """(``by``, key, value, layer) of ``layers(layer, priority, key, value)``: the highest layer with a value."""
     said = F.when(F.col("value").isNotNull(), F.col("priority"))
-    return layers.groupBy("key").agg(F.max_by("value", said).alias("value"), F.max_by("layer", said).alias("layer"))
+    return layers.groupBy(*by, "key").agg(F.max_by("value", said).alias("value"), F.max_by("layer", said).alias("layer"))
+
+
+def nearest_files(starts: DataFrame, listing: DataFrame) -> DataFrame:
+    """``starts(start)`` with ``file``: of ``listing(path)`` the settings file of the nearest directory at or above each, the plain name before the hidden one; null if there is none."""
+    name = paths.file_name(F.col("path"))
+    held = listing.where(name.isin(*FILES)).select(paths.directory(F.col("path")).alias("above"), F.struct(F.array_position(F.array(*map(F.lit, FILES)), name).alias("turn"), F.col("path").alias("file")).alias("f"))
+    held = held.groupBy("above").agg(F.min("f")["file"].alias("file"))
+    parts = paths.components(F.col("start"))
+    up = starts.select("start").distinct().select("start", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth")).withColumn("above", F.concat_ws("/", F.slice(parts, 1, F.col("depth"))))
+    found = up.join(held, "above").groupBy("start").agg(F.max_by("file", "depth").alias("file"))
+    return starts.join(found, "start", "left")
 
 
 class _Rows:

@@ -9,18 +9,18 @@ import atexit
 import os
 import shutil
 import uuid
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from . import lifecycle
+from . import lifecycle, reports
 from .functions import dates, geo, names, paths
 from .operators import cascade, ledger, numbering, pairing, tallies, tree_digest, verify
 from .plans import settings, target, undo
 from .runtime import cut, ready, shared_dir
-from .sources import generator, journal, manifest, media, readers, xmp
+from .sources import gazetteer, generator, journal, manifest, media, readers, xmp
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -556,6 +556,78 @@ def s9_manifest(spark, sf_dir):
     return manifest.originals(lines).join(n, "group_id").select(F.col("group_id").cast("int").alias("group_id"), "original", "n")
 
 
+@query("""WITH p AS (SELECT *, p_partkey % 9 AS k FROM part) SELECT p_partkey, CASE WHEN k < 8 THEN k < 5 END AS fine FROM p""")
+def f8_patterns(spark, sf_dir):
+    """F8: globs that can be used and those that are refused: empty ones, and a [ or a { that isn't closed."""
+    k, name = F.col("p_partkey") % 9, F.col("p_brand")
+    pattern = F.when(k == 0, F.concat(F.lit("*"), name)).when(k == 1, F.concat(F.lit("**/"), name, F.lit("/?"))).when(k == 2, F.concat(name, F.lit("[!ab]*"))).when(k == 3, F.concat(F.lit("{x,"), name, F.lit("}")))
+    pattern = pattern.when(k == 4, F.concat(F.lit("\\["), name)).when(k == 5, F.lit("")).when(k == 6, F.concat(name, F.lit("[ab"))).when(k == 7, F.concat(F.lit("{x,"), name))
+    return table(spark, sf_dir, "part").select("p_partkey", paths.usable(pattern).alias("fine"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate + INTERVAL (o_orderkey % 86400) SECOND, '%Y%m%d-%H%M%S-') || lpad(lower(to_base(o_orderkey * 7919 % 2176782336, 36)), 6, '0') AS run_id FROM orders""")
+def x14_run_ids(spark, sf_dir):
+    """Run ids of times and numbers."""
+    ts = F.expr("o_orderdate + make_dt_interval(0, 0, 0, o_orderkey % 86400)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", names.run_id_of(ts, F.col("o_orderkey") * 7919 % 36**6).alias("run_id"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer), s AS (SELECT k, CASE WHEN k % 5 = 0 THEN 1000 + k % 5 WHEN k % 3 = 0 THEN 100 + k % 7 WHEN k % 2 = 0 THEN k % 50 + 1 ELSE 100 END AS v, CASE WHEN k % 5 = 0 THEN 'environment' WHEN k % 3 = 0 THEN 'project' WHEN k % 2 = 0 THEN 'user' ELSE 'default' END AS layer FROM c)
+SELECT k AS c_custkey, 'chunk_size' AS key, v::VARCHAR AS value, layer FROM s UNION ALL SELECT k, 'unsorted_dir', CASE WHEN k % 2 = 0 THEN '"u' || k || '"' ELSE '"unsorted"' END, CASE WHEN k % 2 = 0 THEN 'user' ELSE 'default' END FROM c""")
+def c5_layer_order(spark, sf_dir):
+    """The order of layers: defaults, the user's file, the project's, variables; each setting by the highest that gives it."""
+    k = F.col("c_custkey")
+    number = lambda n: n.cast("string")
+    texts = F.array(
+        F.struct(F.lit("user").alias("layer"), F.when(k % 2 == 0, F.concat(F.lit("chunk_size = "), number(k % 50 + 1), F.lit('\nunsorted_dir = "u'), number(k), F.lit('"'))).alias("text")),
+        F.struct(F.lit("project").alias("layer"), F.when(k % 3 == 0, F.concat(F.lit("chunk_size = "), number(100 + k % 7))).alias("text")),
+        F.struct(F.lit("environment").alias("layer"), F.when(k % 5 == 0, F.concat(F.lit("HOME=/\nLODESTRATA_CHUNK_SIZE="), number(1000 + k % 5))).alias("text")),
+    )
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    said = settings.rows_of(c.select("c_custkey", F.explode(texts).alias("x")).select("c_custkey", "x.*")).where("error is null").select("c_custkey", "layer", "key", "value")
+    given = F.array(*[F.struct(F.lit("default").alias("layer"), F.lit(key).alias("key"), F.to_json(F.array(F.lit(settings.DEFAULTS[key]))).alias("value")) for key in ("chunk_size", "unsorted_dir")])
+    said = said.union(c.select("c_custkey", F.explode(given).alias("x")).select("c_custkey", "x.layer", "x.key", F.regexp_replace("x.value", r"^\[|\]$", "")))
+    turn = F.array_position(F.array(*map(F.lit, settings.LAYERS)), F.col("layer"))
+    return settings.deciding(said.withColumn("priority", turn), "c_custkey")
+
+
+@query("""WITH f AS (SELECT doc_id, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l FROM documents)
+SELECT doc_id, CASE l WHEN 'en' THEN s || '/en/lodestrata.toml' WHEN 'de' THEN s || '/de/.lodestrata.toml' ELSE CASE WHEN s LIKE '%2' THEN s || '/lodestrata.toml' ELSE '/lodestrata.toml' END END AS file FROM f""")
+def s16_project_files(spark, sf_dir):
+    """The settings file of the nearest directory at or above each file's, the plain name before the hidden one."""
+    f = files(spark, sf_dir).select("doc_id", "path")
+    starts = f.select("doc_id", F.concat(paths.directory(F.col("path")), F.lit("/"), (F.col("doc_id") % 10).cast("string"), F.lit("/deep")).alias("start"))
+    s, l = (F.element_at(paths.components(F.col("path")), i) for i in (1, 2))
+    found = F.array(F.lit("/lodestrata.toml"), F.when(s.like("%2"), F.concat(s, F.lit("/lodestrata.toml"))), F.when(l.isin("en", "de"), F.concat(s, F.lit("/"), l, F.lit("/.lodestrata.toml"))), F.when(l == "en", F.concat(s, F.lit("/en/lodestrata.toml"))), F.concat(s, F.lit("/"), l, F.lit("/other.toml")))
+    listing = f.select(F.explode(found).alias("path")).where("path is not null").distinct()
+    return settings.nearest_files(starts, listing).select("doc_id", "file")
+
+
+@query("""WITH c AS (SELECT *, c_custkey % 7 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, c_name AS name, CASE WHEN k = 3 THEN 'ZZ' ELSE n_name END AS country, (c_custkey % 180 - 89.5)::DOUBLE AS lat, (c_custkey % 360 - 179.25)::DOUBLE AS lon FROM c WHERE k NOT IN (1, 2)""")
+def s17_gazetteer(spark, sf_dir):
+    """Places of a tab-separated table with its countries; lakes and broken lines are left out."""
+    c = table(spark, sf_dir, "customer")
+    k, empty = F.col("c_custkey") % 7, F.lit("")
+    lat = F.when(k == 2, "n/a").otherwise((F.col("c_custkey") % 180 - 89.5).cast("string"))
+    country = F.when(k == 3, "ZZ").otherwise(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
+    fields = [F.col("c_custkey").cast("string"), F.col("c_name"), empty, empty, lat, (F.col("c_custkey") % 360 - 179.25).cast("string"), F.when(k == 1, "H").otherwise("P"), F.lit("PPL"), country, *[empty] * 9, F.lit("2020-01-01")]
+    at = _scratch(spark, "places")
+    c.select(F.concat_ws("\t", *fields).alias("value")).write.text(f"{at}/places")
+    named = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string"), F.lit("\tX\t1\tX\t"), "n_name").alias("value"))
+    spark.createDataFrame([("# ISO and so on",)], "value string").union(named).write.text(f"{at}/countries")
+    rows = gazetteer.read(spark, f"{at}/places", f"{at}/countries")
+    return rows.join(c.select("c_custkey", F.col("c_name").alias("name")), "name").select("c_custkey", "name", "country", "lat", "lon")
+
+
+@query(f"""WITH {FILES}, g AS (SELECT sha256(c) AS h, octet_length(c) AS s, count(*) AS n, ({FIRST}).f AS o, row_number() OVER (ORDER BY sha256(c)) - 1 AS k FROM f WHERE c IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT k AS number, 1 AS line_no, 'Group ' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END || '  ' || left(h, 16) || '  ' || s || ' bytes, ' || n || ' files' AS line FROM g UNION ALL SELECT k, 2, '    stays ' || o FROM g
+UNION ALL SELECT k, 2 + row_number() OVER (PARTITION BY k ORDER BY len(string_split(path, '/')), string_split(path, '/')), '    goes  ' || path FROM f JOIN g ON sha256(c) = h WHERE path <> o""")
+def k5_duplicate_report(spark, sf_dir):
+    """K5: the report of duplicates as lines in order, none left out."""
+    return reports.duplicate_rows(_classified(spark, sf_dir))
+
+
 @query("""WITH l AS (SELECT 'k' || (o_orderkey % 100) AS key, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END AS priority, o_orderstatus AS layer, max(CASE WHEN o_orderkey % 7 > 2 THEN o_orderpriority END) AS value FROM orders GROUP BY 1, 2, 3)
 SELECT key, arg_max(value, priority) FILTER (value IS NOT NULL) AS value, arg_max(layer, priority) FILTER (value IS NOT NULL) AS layer FROM l GROUP BY key""")
 def c4_settings(spark, sf_dir):
@@ -841,57 +913,71 @@ def s12_video(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", readers.content_metadata_udf(F.unhex(film), F.lit("video")).alias("m")).select("o_orderkey", "m.naive", "m.offset_s", "m.lat", "m.lon", "m.kind", "m.status")
 
 
-# ---- effects: a small library of files, one or more a nation, is written, organised and taken back --------------
+# ---- effects: a library of files, one or more a supplier, is written, organised and taken back, by tasks ----------
 
 
 def _library(spark, sf_dir) -> tuple[str, str]:
-    """Writes the nations' files in the shared folder, which has to be a mounted one; returns the library and where it is to go.
+    """Writes the suppliers' files in the shared folder, which has to be a mounted one; returns the library and where it is to go.
 
-    in/<region>/<nation>.jpg for each, a copy in in/copies/deep for every third, an XMP beside every fourth,
-    two notes and a file that a pattern hides.
+    in/<region>/<supplier>.jpg for each, a copy in in/copies/deep for every third, an XMP beside every fourth,
+    a note and a file that a pattern hides.
     """
     at = os.path.join(_mounted(shared_dir(spark)), f"library-{uuid.uuid4().hex}")
     atexit.register(shutil.rmtree, at, ignore_errors=True)
-    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_nationkey", "n_name", "n_regionkey", "r_name").collect()  # every row is a file that the driver writes
-
-    def put(rel: str, data: bytes, when: datetime) -> None:
-        path = os.path.join(at, "in", rel)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(data)
-        os.utime(path, (when.timestamp(), when.timestamp()))
-
-    for r in nations:
-        when = datetime(2020, 1, 1, 1 + r.n_regionkey, tzinfo=timezone.utc) + timedelta(days=r.n_regionkey)
-        put(f"{r.r_name}/{r.n_name}.jpg", r.n_name.encode(), when)
-        if r.n_nationkey % 3 == 0:
-            put(f"copies/deep/{r.n_name}.jpg", r.n_name.encode(), when)
-        if r.n_nationkey % 4 == 1:
-            put(f"{r.r_name}/{r.n_name}.XMP", generator.xmp(datetime(2021, 6, 1, 12, 34, 56) + timedelta(days=r.n_nationkey)), when)
-    put("notes.txt", b"not media", datetime(2020, 1, 1, tzinfo=timezone.utc))
-    put("hidden/deep/x.jpg", b"hidden", datetime(2020, 1, 1, tzinfo=timezone.utc))
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    k, name, region = F.col("s_suppkey"), F.col("s_name"), F.col("n_regionkey")
+    before, after = (F.lit(x) for x in generator.xmp(datetime(2021, 6, 1, 12, 34, 56)).decode().split("2021-06-01T12:34:56"))
+    day = F.date_format(F.expr("timestamp_ntz'2021-06-01 12:34:56' + make_dt_interval(CAST(s_suppkey AS INT))"), "yyyy-MM-dd'T'HH:mm:ss")
+    file = lambda rel, data: F.struct(rel.alias("rel"), data.alias("data"))
+    made = F.array(
+        file(F.concat("r_name", F.lit("/"), name, F.lit(".jpg")), name),
+        F.when(k % 3 == 0, file(F.concat(F.lit("copies/deep/"), name, F.lit(".jpg")), name)),
+        F.when(k % 4 == 1, file(F.concat("r_name", F.lit("/"), name, F.lit(".XMP")), F.concat(before, day, after))),
+    )
+    begun = int(datetime(2020, 1, 1, tzinfo=timezone.utc).timestamp())
+    rows = s.select(F.explode(F.array_compact(made)).alias("f"), (F.lit(begun) + 86400 * region + 3600 * (1 + region)).cast("long").alias("at")).select("f.rel", "f.data", "at")
+    rows = rows.union(spark.createDataFrame([("notes.txt", "not media", begun), ("hidden/deep/x.jpg", "hidden", begun)], rows.schema))
+
+    def put(batches):
+        for pdf in batches:
+            for rel, data, when in zip(pdf["rel"], pdf["data"], pdf["at"], strict=True):
+                path = os.path.join(at, "in", rel)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(data.encode())
+                os.utime(path, (when, when))
+            yield pdf[["rel"]]
+
+    rows.mapInPandas(put, "rel string").count()
     return os.path.join(at, "in"), os.path.join(at, "out")
 
 
 def _committed(spark, sf_dir):
     """The library organised: where it was, where it went, the plan, the outcome, its journal."""
     source, out = _library(spark, sf_dir)
-    v = settings.merge({"command_line": {"output_dir": out, "default_timezone": "UTC", "skip_patterns": ["hidden"], "chunk_size": 7}})
+    v = settings.merge({"command_line": {"output_dir": out, "default_timezone": "UTC", "skip_patterns": ["hidden"]}})
     made = lifecycle.plan(spark, [source], v)
-    done, log = lifecycle.commit(made, ["organise"])
+    made.settings.values["chunk_size"] = made.moves["moves"] // 3 + 1
+    done, log = lifecycle.commit(made, ["organise"], lambda chunk: True)
     return source, out, made, done, log
 
 
 def _tree(spark, root: str) -> DataFrame:
-    """(path, digest) of the files below a folder, the engine's own left out; one row for each that ``_library`` wrote or a move made."""
-    found = []
-    for d, _, files_ in os.walk(root):
-        if paths.METADATA_DIR not in d.split("/"):
-            found += [(os.path.relpath(os.path.join(d, n), root), None if n == manifest.NAME else readers.full_digest(os.path.join(d, n))) for n in files_]
-    return spark.createDataFrame(found, "path string, digest string")
+    """(path, digest) of the files below a folder, the engine's own left out, walked and digested by tasks; a manifest has no digest."""
+
+    def walk(batches):
+        for pdf in batches:
+            found = []
+            for top in pdf["top"]:
+                held = [(os.path.dirname(top), [os.path.basename(top)])] if os.path.isfile(top) else [(d, names_) for d, _, names_ in os.walk(top) if paths.METADATA_DIR not in d.split("/")]
+                found += [(os.path.relpath(os.path.join(d, n), root), None if n == manifest.NAME else readers.full_digest(os.path.join(d, n))) for d, names_ in held for n in names_]
+            yield pd.DataFrame(found, columns=["path", "digest"])
+
+    tops = [(os.path.join(root, n),) for n in (os.listdir(root) if os.path.isdir(root) else [])]
+    return spark.createDataFrame(tops, "top string").repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, "path string, digest string")
 
 
-_N = "n AS (SELECT n_nationkey AS k, n_name AS n, n_regionkey AS g, r_name AS r, TIMESTAMP '2020-01-01' + INTERVAL (n_regionkey) DAY + INTERVAL (1 + n_regionkey) HOUR AS t, TIMESTAMP '2021-06-01 12:34:56' + INTERVAL (n_nationkey) DAY AS x FROM nation JOIN region ON n_regionkey = r_regionkey)"
+_N = "n AS (SELECT s_suppkey AS k, s_name AS n, n_regionkey AS g, r_name AS r, TIMESTAMP '2020-01-01' + INTERVAL (n_regionkey) DAY + INTERVAL (1 + n_regionkey) HOUR AS t, TIMESTAMP '2021-06-01 12:34:56' + INTERVAL (s_suppkey) DAY AS x FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 
 
 @query(f"""WITH {_N} SELECT r || '/' || n || '.jpg' AS path, 'image' AS kind, length(n)::BIGINT AS size, t::TIMESTAMP AS modified, 'ok' AS status FROM n
@@ -908,7 +994,7 @@ d AS (SELECT *, CASE WHEN k % 4 = 1 THEN x ELSE t END AS s FROM n), c AS (SELECT
 f AS (SELECT *, strftime(s, '%Y-%m-%d') || '/' || strftime(s, '%Y-%m-%d-%H%M%S') || CASE WHEN dup > 0 THEN '-' || dup ELSE '' END AS stem FROM c)"""
 
 
-@query(f"""WITH {_MOVED} SELECT stem || '.jpg' AS path, sha256(n) AS digest FROM f UNION ALL SELECT 'duplicates/' || lpad(grp::VARCHAR, 3, '0') || '/' || n || '.jpg', sha256(n) FROM h JOIN n USING (k) UNION ALL SELECT 'duplicates/' || lpad(grp::VARCHAR, 3, '0') || '/manifest.txt', NULL FROM h
+@query(f"""WITH {_MOVED} SELECT stem || '.jpg' AS path, sha256(n) AS digest FROM f UNION ALL SELECT 'duplicates/' || CASE WHEN grp < 1000 THEN lpad(grp::VARCHAR, 3, '0') ELSE grp::VARCHAR END || '/' || n || '.jpg', sha256(n) FROM h JOIN n USING (k) UNION ALL SELECT 'duplicates/' || CASE WHEN grp < 1000 THEN lpad(grp::VARCHAR, 3, '0') ELSE grp::VARCHAR END || '/manifest.txt', NULL FROM h
 UNION ALL SELECT stem || '.xmp', sha256('{generator.xmp(datetime(2021, 6, 1, 12, 34, 56)).decode().replace("2021-06-01T12:34:56", "' || strftime(x, '%Y-%m-%dT%H:%M:%S') || '")}') FROM f WHERE k % 4 = 1""")
 def e5_committed_tree(spark, sf_dir):
     """The files of a library after a run that moved it in chunks, companions beside their parents, with what they hold."""
@@ -924,7 +1010,7 @@ def k3_journal(spark, sf_dir):
 
 
 @query(f"""WITH {_N} SELECT r || '/' || n || '.jpg' AS path, sha256(n) AS digest FROM n UNION ALL SELECT 'copies/deep/' || n || '.jpg', sha256(n) FROM n WHERE k % 3 = 0 UNION ALL SELECT 'notes.txt', sha256('not media') UNION ALL SELECT 'hidden/deep/x.jpg', sha256('hidden')
-UNION ALL SELECT r || '/' || n || '.XMP', sha256('{generator.xmp(datetime(2021, 6, 1, 12, 34, 56)).decode().replace("2021-06-01T12:34:56", "' || strftime(x, '%Y-%m-%dT%H:%M:%S') || '")}') FROM n WHERE k % 4 = 1 UNION ALL SELECT 'left behind: ' || 'duplicates/' || lpad((row_number() OVER (ORDER BY sha256(n)) - 1)::VARCHAR, 3, '0') || '/manifest.txt', NULL FROM n WHERE k % 3 = 0""")
+UNION ALL SELECT r || '/' || n || '.XMP', sha256('{generator.xmp(datetime(2021, 6, 1, 12, 34, 56)).decode().replace("2021-06-01T12:34:56", "' || strftime(x, '%Y-%m-%dT%H:%M:%S') || '")}') FROM n WHERE k % 4 = 1 UNION ALL SELECT 'left behind: ' || 'duplicates/' || CASE WHEN row_number() OVER (ORDER BY sha256(n)) <= 1000 THEN lpad((row_number() OVER (ORDER BY sha256(n)) - 1)::VARCHAR, 3, '0') ELSE (row_number() OVER (ORDER BY sha256(n)) - 1)::VARCHAR END || '/manifest.txt', NULL FROM n WHERE k % 3 = 0""")
 def e11_taken_back(spark, sf_dir):
     """The files after the run was taken back; all are where they were, emptied directories are gone, manifests stay."""
     source, out, _, _, log = _committed(spark, sf_dir)
@@ -943,7 +1029,7 @@ def s8_recorded_runs(spark, sf_dir):
     return spark.createDataFrame(rows, "run string, n_restorable long, interrupted boolean")
 
 
-@query(f"""WITH {_N}, h AS (SELECT row_number() OVER (ORDER BY sha256(n)) - 1 AS g FROM n WHERE k % 3 = 0) SELECT lpad(g::VARCHAR, 3, '0') AS group_id, 1::BIGINT AS n_copies, CASE WHEN g = 0 THEN 0 ELSE 1 END::BIGINT AS n_matching, CASE WHEN g = 0 THEN 'mismatch' ELSE 'confirmed' END AS verdict FROM h""")
+@query(f"""WITH {_N}, h AS (SELECT row_number() OVER (ORDER BY sha256(n)) - 1 AS g FROM n WHERE k % 3 = 0) SELECT CASE WHEN g < 1000 THEN lpad(g::VARCHAR, 3, '0') ELSE g::VARCHAR END AS group_id, 1::BIGINT AS n_copies, CASE WHEN g = 0 THEN 0 ELSE 1 END::BIGINT AS n_matching, CASE WHEN g = 0 THEN 'mismatch' ELSE 'confirmed' END AS verdict FROM h""")
 def j7_verified(spark, sf_dir):
     """Groups of copies on disk held against their originals by the keyed digest; the first group's copy was altered."""
     out = _committed(spark, sf_dir)[1]

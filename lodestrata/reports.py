@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from itertools import islice
 
-from .functions import names
+from pyspark.sql import functions as F
+
+from .functions import names, paths
+from .operators import cascade, numbering
 
 # The summary's labels, in order; those in the second table are left out while their figure is zero.
 ALWAYS = {"scanned": "Files scanned:", "organised": "Files organised:", "duplicate_groups": "Duplicate groups:", "duplicate_files": "Duplicate files:"}
@@ -43,6 +46,16 @@ def duplicate_lines(made, most: int = 1000):
         yield f"    goes  {r.source}"
 
 
+def duplicate_rows(classified):
+    """``duplicate_lines`` of classified files as rows (number, line_no, line), however many there are: no group is gathered."""
+    groups = cascade.groups(classified)
+    head = F.format_string("Group %03d  %s  %d bytes, %d files", "number", names.abbreviate(F.col("hash"), 16), "size", "copies")
+    first = groups.select("number", F.posexplode(F.array(head, F.concat(F.lit("    stays "), "original"))).alias("n", "line")).select("number", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    goes = classified.where("role = 'duplicate'").join(groups.select(F.col("hash").alias("known_hash"), "number"), "known_hash").select("number", "path", F.size(paths.components(F.col("path"))).alias("depth"), paths.components(F.col("path")).alias("parts"))
+    rest = numbering.ranked(goes, ["number"], ["depth", "parts"], "n").select("number", F.col("n") + 3, F.concat(F.lit("    goes  "), "path"))
+    return first.union(rest)
+
+
 # Why a companion has no file.
 REASONS = {"no_parent": "no file of that name", "ambiguous": "more than one file of that name"}
 

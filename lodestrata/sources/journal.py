@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,10 @@ ENTRY = "type string, seq long, source string, destination string, source_size l
 HEADER = "schema_version int, run_id string, started_at timestamp, version string, output_dir string, argv array<string>"
 
 
+#: The end of the name of a folder of segments that a run has left, if it was stopped.
+PARTS = ".parts"
+
+
 class JournalError(ValueError):
     """A journal that can't be trusted, with the line."""
 
@@ -36,6 +41,23 @@ def file_lines(spark: SparkSession, path: str, named: str = r"([^/]+?)(?:\.jsonl
     return placed.join(starts, ["run_id", "block"]).where("line <> ''").select("run_id", (F.col("start") + F.col("n")).cast("int").alias("line_no"), "line")
 
 
+def run_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file_lines`` of journals, with the segments that stopped runs left beside them after their own lines; a segment's torn last line goes."""
+    own = file_lines(spark, path)
+    held = str(Path(path).with_suffix("")) + PARTS + "/*.jsonl"
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(held)
+    if not [f for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [] if f.getLen()]:
+        return own
+    found = file_lines(spark, held, rf"([^/]+{re.escape(PARTS)}/[^/]+)$").select(F.regexp_replace("run_id", rf"{re.escape(PARTS)}/.*$", "").alias("run_id"), F.col("run_id").alias("segment"), "line_no", "line")
+    last = found.groupBy("segment").agg(F.max("line_no").alias("last"))
+    whole = found.join(last, "segment").where((F.col("line_no") < F.col("last")) | F.try_parse_json("line").isNotNull())
+    after = own.groupBy("run_id").agg(F.max("line_no").alias("own"))
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("segment", "line_no"))
+    more = whole.join(after, "run_id").select("run_id", (F.col("own") + place).cast("int").alias("line_no"), "line")
+    return own.union(more)
+
+
 def parse(numbered: DataFrame, key: str = "run_id") -> DataFrame:
     """Entries of ``lines``, with ``corrupt`` (the raw text) where a line isn't one."""
     e = F.from_json("line", f"{ENTRY}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -61,7 +83,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []:  # readers leave empty files out
         if f.isFile() and f.getLen() == 0:
             raise JournalError(f"{f.getPath().getName()}: no header")
-    numbered = file_lines(spark, path)
+    numbered = run_lines(spark, path)
     for r in state(numbered).where("not header_ok or newer or bad_line is not null").limit(1).collect():
         raise JournalError(f"{r.run_id}: {fault(r)}")
     return parse(numbered).where("corrupt is null").drop("corrupt")
@@ -82,6 +104,7 @@ class Writer:
     """Appends entries; each is one write and on disk before the call returns."""
 
     def __init__(self, path: str | Path, run_id: str, started_at: str, output_dir: str, argv: list[str]):
+        self.path = str(path)
         self.fd = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL | os.O_APPEND, 0o644)
         self._put({"schema_version": SCHEMA_VERSION, "run_id": run_id, "started_at": started_at, "version": "1", "output_dir": output_dir, "argv": argv})
 
@@ -92,10 +115,23 @@ class Writer:
     def append(self, what: str, /, **fields) -> None:
         self._put({"type": what, **fields})
 
+    def parts(self) -> str:
+        """The folder of this run's segments, made if it isn't there."""
+        os.makedirs(at := self.path.removesuffix(".jsonl") + PARTS, exist_ok=True)
+        return at
+
     def close(self) -> None:
         os.close(self.fd)
 
 
+class Segment(Writer):
+    """Entries that one task appends to a file of its own, without a header."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.fd = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_APPEND, 0o644)
+
+
 class Nowhere:
     """A journal for runs that were told, and acknowledged, to keep none."""
 

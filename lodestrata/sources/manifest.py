@@ -58,6 +58,20 @@ def lines(groups: DataFrame, paths: DataFrame) -> DataFrame:
     return first.union(body.select("group_id", F.col("n") + 6, manifest_escape(F.col("path"))))
 
 
+def intended(copies: DataFrame) -> DataFrame:
+    """(group_id, line_no, line) of the manifests of planned ``copies(group, depth, key, source, hash, size, copies, original)``: what is meant, before any move."""
+    of = F.format_string("%03d", "group").alias("group_id")
+    one = copies.groupBy("group").agg(F.first("hash").alias("hash"), F.first("size").alias("size"), F.first("copies").alias("copies"), F.first("original").alias("original"))
+    head = F.array(
+        F.format_string("# Duplicate group %03d", "group"), F.concat(F.lit("# SHA-256: "), "hash"), F.format_string("# File size: %d bytes", "size"), F.concat(F.lit(KEPT), manifest_escape(F.col("original"))),
+        F.format_string("# Meant for this directory: %d", "copies"), F.lit("#"),
+    )
+    first = one.select(of, F.posexplode(head).alias("n", "line")).select("group_id", (F.col("n") + 1).cast("long").alias("line_no"), "line")
+    body = ranked(copies.select("group", "depth", "key", "source"), ["group"], ["depth", "key"], "n").select(of, F.col("n") + 7, manifest_escape(F.col("source")))
+    last = one.select(of, F.posexplode(F.array(F.lit(""), F.lit("# Outcomes"))).alias("n", "line")).select("group_id", F.col("n") + F.lit(1 << 40), "line")
+    return first.union(body).union(last)
+
+
 def write(lines: DataFrame, root: str) -> DataFrame:
     """Writes root/<group_id>/manifest.txt of ``lines(group_id, line_no, line)``; returns (group_id, offset, bytes), a row for each segment.
 
@@ -104,8 +118,8 @@ def of_originals(files: DataFrame, groups: DataFrame, duplicates_dir: str = "dup
     return files.join(groups.select(F.col("original").alias("path"), at.alias("manifest")), "path", "left").select("path", "manifest")
 
 
-def _escaped(path: str) -> str:
-    """``manifest_escape`` for one path on the driver."""
+def escaped(path: str) -> str:
+    """``manifest_escape`` for one path."""
     short = {"\n": "\\n", "\r": "\\r"}
     return "".join(short.get(c) or (f"\\u{{{ord(c):x}}}" if ord(c) < 32 or 127 <= ord(c) < 160 else c) for c in path)
 
@@ -138,9 +152,9 @@ class Manifests:
             self.of[first["original"]] = group
             os.makedirs(os.path.dirname(self.path(group)), exist_ok=True)
             with open(self.path(group), "x", encoding="utf-8") as f:
-                f.write(f"# Duplicate group {group:03d}\n# SHA-256: {first['hash']}\n# File size: {first['size']} bytes\n{KEPT}{_escaped(first['original'])}\n# Meant for this directory: {first['copies']}\n#\n")
+                f.write(f"# Duplicate group {group:03d}\n# SHA-256: {first['hash']}\n# File size: {first['size']} bytes\n{KEPT}{escaped(first['original'])}\n# Meant for this directory: {first['copies']}\n#\n")
                 for r in itertools.chain([first], members):
-                    f.write(_escaped(r["source"]) + "\n")
+                    f.write(escaped(r["source"]) + "\n")
                 f.write("\n# Outcomes\n")
                 f.flush()
                 os.fsync(f.fileno())
@@ -158,12 +172,12 @@ class Manifests:
         self._append(self.file, line)
 
     def moved(self, group: int, source: str, at: str) -> None:
-        self.record(group, f"# moved: {_escaped(source)} -> {_escaped(at)}")
+        self.record(group, f"# moved: {escaped(source)} -> {escaped(at)}")
 
     def original_moved(self, source: str, at: str) -> None:
         """Notes where a group's original went, if ``source`` is one."""
         if source in self.of:
-            self.record(self.of[source], MOVED + _escaped(at))
+            self.record(self.of[source], MOVED + escaped(at))
 
     def close(self) -> None:
         if self.file:
