@@ -135,13 +135,13 @@ def _answered(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "span", "answer"])
 
 
-def _at_once(asked: DataFrame, how: Answers) -> DataFrame:
+def _at_once(asked: DataFrame, how: Answers, tasks: int) -> DataFrame:
     def run(it):
         for held in _grouped(_rows(it, "kind", "span", "chunk", "keys", "checks", "counts"), 2):
             kind, span = held[0][:2]
             yield _answered([(c, kind, span, a) for c, a in how.reduce(kind, [r[2:] for r in held])])
 
-    return asked.repartition("kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(lean(run), ANSWERED)
+    return asked.repartition(tasks, "kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(lean(run), ANSWERED)
 
 
 def answer(asked: DataFrame, how: Answers, scratch: Scratch, chunks: DataFrame) -> DataFrame:
@@ -150,9 +150,11 @@ def answer(asked: DataFrame, how: Answers, scratch: Scratch, chunks: DataFrame)
     A key that is in every chunk costs its range a row a chunk, so beyond GROUP chunks neighbouring ones are merged first: then a
     range's task holds a row for each of a group's chunks, and another one a row for each group.
     """
-    number, last = chunks.agg(F.count("*"), F.max("chunk")).first()
+    number, last, total = chunks.agg(F.count("*"), F.max("chunk"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # As many tasks as are told, not as few as their bytes would fit into: what a task sorts and holds is heap.
+    tasks = max(shuffle_partitions(asked.sparkSession), total // BUCKET_BYTES)
     if number <= GROUP:
-        return _at_once(asked, how)
+        return _at_once(asked, how, tasks)
     parts = max(1, GROUP * ((last >> 24) + 1) // number)  # a chunk's number begins with its bucket's
     by = ["kind", "span", "group"]
     asked = scratch.write(asked.withColumn("group", F.floor(F.shiftright("chunk", 24) / parts).cast("long")))
@@ -177,7 +179,7 @@ def answer(asked: DataFrame, how: Answers, scratch: Scratch, chunks: DataFrame)
                 yield _answered([(chunk, kind, span, on((chunk, keys, checks)))])
 
     merged = scratch.write(together(asked).mapInArrow(lean(merge), ASKED))
-    top = scratch.write(_at_once(merged, how))
+    top = scratch.write(_at_once(merged, how, tasks))
     got = merged.join(top, ["chunk", "kind", "span"]).select("kind", "span", F.col("chunk").alias("group"), F.lit(-1).cast("long").alias("chunk"), "keys", "checks", "answer")
     rows = asked.select("kind", "span", "group", "chunk", "keys", "checks", F.lit(None).cast("binary").alias("answer")).union(got)
     return together(rows).mapInArrow(lean(spread), ANSWERED).union(top.where("chunk < 0"))
