@@ -46,6 +46,31 @@ class Chunk:
         return pa.array(self.doc_ids, mask=~self.known)
 
 
+#: Bits of a chunk's number below those of the task that made it.
+PLACES = 40
+
+
+def _bucket_hash(x: np.ndarray) -> np.ndarray:
+    """The hash of 64-bit integers by which Spark deals rows to buckets: 32-bit Murmur3 with seed 42, signed."""
+    low, high = (x & 0xFFFFFFFF).astype("u4"), (x >> 32).astype("u4")
+    turn = lambda v, n: v << np.uint32(n) | v >> np.uint32(32 - n)
+    h = np.full(len(x), 42, "u4")
+    for k in (low, high):
+        h = turn(h ^ turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(by)
+    return (h ^ h >> np.uint32(16)).view("i4")
+
+
+def _numbers(part: int, buckets: int) -> Iterator[int]:
+    """Ascending numbers for the chunks of a task, such that all fall into one bucket: it then writes one file, not one a chunk."""
+    block = max(1 << 12, 16 * buckets)
+    for lo in range(part << PLACES, (part + 1) << PLACES, block):
+        x = np.arange(lo, lo + block, dtype="i8")
+        yield from x[_bucket_hash(x) % buckets == part % buckets].tolist()
+
+
 def pack_chunks(docs: DataFrame, scratch: Scratch, ordered: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``docs(doc_id, text)`` as a table of chunks, bucketed by chunk; with ``ordered``, chunks ascend with doc_id (nulls last), rows of one doc_id as ``by_document`` says.
 
@@ -59,11 +84,11 @@ def pack_chunks(docs: DataFrame, scratch: Scratch, ordered: bool = False, chunk_
 
     def run(it):
         part = TaskContext.get().partitionId()
-        for seq, some in enumerate(batches(((k, (t or "").encode()) for k, t in _rows(it, "doc_id", "text")), chunk_bytes, lambda r: len(r[1]) + 16)):
+        for number, some in zip(_numbers(part, buckets), batches(((k, (t or "").encode()) for k, t in _rows(it, "doc_id", "text")), chunk_bytes, lambda r: len(r[1]) + 16), strict=False):
             data = b"".join(t for _, t in some)
             ends = np.cumsum([len(t) for _, t in some]).astype("<i8")
             ids, known = np.array([k or 0 for k, _ in some], "<i8"), np.array([k is not None for k, _ in some], "u1")
-            yield pa.record_batch([pa.array([part << 24 | seq]), pa.array([ids.tobytes()]), pa.array([known.tobytes()]), pa.array([ends.tobytes()]), pa.array([data], pa.binary()), pa.array([len(data)])], names=["chunk", "doc_ids", "known", "ends", "data", "bytes"])
+            yield pa.record_batch([pa.array([number]), pa.array([ids.tobytes()]), pa.array([known.tobytes()]), pa.array([ends.tobytes()]), pa.array([data], pa.binary()), pa.array([len(data)])], names=["chunk", "doc_ids", "known", "ends", "data", "bytes"])
 
     return scratch.bucketed(rows.mapInArrow(lean(run), PACKED), buckets, "chunk")
 
@@ -135,13 +160,13 @@ def _answered(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["chunk", "kind", "span", "answer"])
 
 
-def _at_once(asked: DataFrame, how: Answers, tasks: int) -> DataFrame:
+def _at_once(asked: DataFrame, how: Answers) -> DataFrame:
     def run(it):
         for held in _grouped(_rows(it, "kind", "span", "chunk", "keys", "checks", "counts"), 2):
             kind, span = held[0][:2]
             yield _answered([(c, kind, span, a) for c, a in how.reduce(kind, [r[2:] for r in held])])
 
-    return asked.repartition(tasks, "kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(lean(run), ANSWERED)
+    return asked.repartition("kind", "span").sortWithinPartitions("kind", "span", "chunk").mapInArrow(lean(run), ANSWERED)
 
 
 def answer(asked: DataFrame, how: Answers, scratch: Scratch, chunks: DataFrame) -> DataFrame:
@@ -150,14 +175,12 @@ def answer(asked: DataFrame, how: Answers, scratch: Scratch, chunks: DataFrame)
     A key that is in every chunk costs its range a row a chunk, so beyond GROUP chunks neighbouring ones are merged first: then a
     range's task holds a row for each of a group's chunks, and another one a row for each group.
     """
-    number, last, total = chunks.agg(F.count("*"), F.max("chunk"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    # As many tasks as are told, not as few as their bytes would fit into: what a task sorts and holds is heap.
-    tasks = max(shuffle_partitions(asked.sparkSession), total // BUCKET_BYTES)
+    number, last = chunks.agg(F.count("*"), F.max("chunk")).first()
     if number <= GROUP:
-        return _at_once(asked, how, tasks)
-    parts = max(1, GROUP * ((last >> 24) + 1) // number)  # a chunk's number begins with its bucket's
+        return _at_once(asked, how)
+    parts = max(1, GROUP * ((last >> PLACES) + 1) // number)  # a chunk's number begins with its task's
     by = ["kind", "span", "group"]
-    asked = scratch.write(asked.withColumn("group", F.floor(F.shiftright("chunk", 24) / parts).cast("long")))
+    asked = scratch.write(asked.withColumn("group", F.floor(F.shiftright("chunk", PLACES) / parts).cast("long")))
 
     def together(df: DataFrame) -> DataFrame:
         return df.repartition(*by).sortWithinPartitions(*by, "chunk")
@@ -179,7 +202,7 @@ def answer(asked: DataFrame, how: Answers, scratch: Scratch, chunks: DataFrame)
                 yield _answered([(chunk, kind, span, on((chunk, keys, checks)))])
 
     merged = scratch.write(together(asked).mapInArrow(lean(merge), ASKED))
-    top = scratch.write(_at_once(merged, how, tasks))
+    top = scratch.write(_at_once(merged, how))
     got = merged.join(top, ["chunk", "kind", "span"]).select("kind", "span", F.col("chunk").alias("group"), F.lit(-1).cast("long").alias("chunk"), "keys", "checks", "answer")
     rows = asked.select("kind", "span", "group", "chunk", "keys", "checks", F.lit(None).cast("binary").alias("answer")).union(got)
     return together(rows).mapInArrow(lean(spread), ANSWERED).union(top.where("chunk < 0"))

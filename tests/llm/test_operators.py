@@ -792,6 +792,19 @@ def test_chunks_answer_alike_in_groups(spark, scratch, monkeypatch):
     assert all([n, s, h] == [want[i][1], want[i][2], want[i][3]] for i, n, s, h in got[0][1])
 
 
+def test_chunks_of_a_task_are_one_file(spark, scratch):
+    """Numbers are chosen by Spark's own hash, so that a task's chunks share a bucket; they ascend with the task."""
+    x = np.array([0, 1, 42, 2**31, 2**40 + 5, 2**62 + 12345], "i8")
+    want = [r.h for r in spark.createDataFrame([(i, int(v)) for i, v in enumerate(x)], "i int, v long").orderBy("i").select(F.hash("v").alias("h")).collect()]
+    assert exchange._bucket_hash(x).tolist() == want
+    df = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(3000)], "doc_id long, text string")
+    chunks = exchange.pack_chunks(df, scratch, ordered=True, chunk_bytes=4000)
+    per = chunks.select((F.col("chunk").bitwiseAND(0) + F.shiftright("chunk", exchange.PLACES)).alias("task"), F.input_file_name().alias("f"), "chunk").groupBy("task").agg(F.count_distinct("f").alias("files"), F.count("*").alias("n")).collect()
+    assert len(per) > 1 and all(r.files == 1 and r.n > 5 for r in per)
+    ids = [k for r in chunks.orderBy("chunk").collect() for k in exchange.Chunk(r.doc_ids, r.known, r.ends, r.data).ids().to_pylist()]
+    assert ids == list(range(3000))
+
+
 def test_rows_without_ids_are_many_tasks(spark, scratch):
     """Null and repeated ids are ranged by their texts: several tasks, and the order of ids as ever."""
     rows = [(None, f"text number {i % 700} of many") for i in range(2000)] + [(7, f"another {i}") for i in range(2000)] + [(i, f"own {i}") for i in range(100)]
@@ -801,7 +814,7 @@ def test_rows_without_ids_are_many_tasks(spark, scratch):
     ids = [k for _, c in read for k in c.ids().to_pylist()]
     assert ids == sorted(ids, key=lambda k: (k is None, k or 0)) and len(ids) == len(rows)
     for key in (None, 7):
-        assert len({chunk >> 24 for chunk, c in read if key in c.ids().to_pylist()}) > 1
+        assert len({chunk >> exchange.PLACES for chunk, c in read if key in c.ids().to_pylist()}) > 1
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         container = token_store.store(df, tokenizer(), 2, scratch)
