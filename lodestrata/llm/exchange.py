@@ -1,6 +1,6 @@
 """Counting keys over a corpus in blocks rather than rows.
 
-Documents are packed into chunks of a megabyte or a few, one row each, in a table bucketed by chunk. A chunk
+Documents are packed into chunks of some 200 kilobytes to a few megabytes, one row each, in a table bucketed by chunk. A chunk
 asks about its distinct 64-bit keys with one row of packed arrays for each range of keys; a range's
 task answers every chunk that asked. Keys are distinct within a chunk, so a key that is everywhere costs
 one entry a chunk, and ranges of hashed keys are even. Answers come back to the chunk's bucket
@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from .common import batches, by_document, lean, shuffle_partitions, Scratch
 from .token_store import _rows
 
-CHUNK_BYTES = 1 << 20
+#: Bytes of a chunk unless told: rows, and what twice as much is set aside for while they are made, stay below the half megabyte
+#: from which the JVM keeps an object in regions of its own.
+CHUNK_BYTES = 3 << 16
 #: Bytes of text in a bucket of chunks at least; more text makes more buckets, not larger ones.
 BUCKET_BYTES = 64 << 20
 #: Keys a range's task holds at a time, about.
