@@ -111,7 +111,8 @@ class Batch:
         least = low[at]
         begin = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)]))
         self.size = np.diff(np.append(begin, len(at)))
-        self.start, self.anchor = at[begin], least[begin]
+        # The least of many hashes is small: mixed once more, anchors are even over the ranges that answer for them.
+        self.start, self.anchor = at[begin], _mix(least[begin])
         stop = self.start + self.size - 1 + LENGTH
         span = (self.others[stop] - self.others[self.start]) * _held.down[1][self.start]
         self.context = np.maximum(_mix(span ^ (stop - self.start).astype("u8") * np.uint64(_BASE[0])), np.uint64(1))
@@ -123,7 +124,7 @@ class Batch:
             order = np.lexsort((place, gram[place]))
             place, value = place[order], gram[place[order]]
             near = (value[1:] == value[:-1]) & (place[1:] - place[:-1] <= LENGTH - GRAM + 1)
-            self.twice = np.isin(self.anchor, value[1:][near])
+            self.twice = np.isin(self.anchor, _mix(value[1:][near]))
 
     def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and 128-bit names of the windows of some runs."""

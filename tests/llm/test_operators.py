@@ -792,6 +792,15 @@ def test_chunks_answer_alike_in_groups(spark, scratch, monkeypatch):
     assert all([n, s, h] == [want[i][1], want[i][2], want[i][3]] for i, n, s, h in got[0][1])
 
 
+def test_anchors_are_even_over_ranges():
+    """Anchors are the least of fifty-one hashes; the keys that ask for them must not be."""
+    rng = np.random.default_rng(7)
+    data = rng.integers(97, 123, 200_000).astype("u1")
+    b = substring_dedup.Batch(data, np.array([0]), np.array([len(data)]), True)
+    per = np.bincount((np.unique(b.anchor) >> np.uint64(60)).astype("i8"), minlength=16)
+    assert per.min() > 0.8 * per.mean() and per.max() < 1.2 * per.mean()
+
+
 def test_chunks_of_a_task_are_one_file(spark, scratch):
     """Numbers are chosen by Spark's own hash, so that a task's chunks share a bucket; they ascend with the task."""
     x = np.array([0, 1, 42, 2**31, 2**40 + 5, 2**62 + 12345], "i8")
