@@ -27,8 +27,8 @@ def iso6709(text: Column) -> Column:
     return F.struct(F.when(ok, lat).alias("lat"), F.when(ok, lon).alias("lon"))
 
 
-#: Side of a cell in degrees, which divides 180; there are 16,200 cells.
-CELL = 2.0
+#: Side of a cell in degrees, which divides 180; there are 4,050 cells.
+CELL = 4.0
 #: Points of a task, about, and places that are held against all cells at a time.
 TASK, BATCH = 100_000, 4096
 
@@ -69,7 +69,7 @@ def nearest(points: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """
     fine = valid(F.col("lat"), F.col("lon"))
     at = points.where(fine).select(key, "lat", "lon").withColumn("_cell", _cell(F.col("lat"), F.col("lon")))
-    held = {r._cell: r.n for r in at.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # at most 16,200 rows
+    held = {r._cell: r.n for r in at.groupBy("_cell").agg(F.count("*").alias("n")).collect()}  # at most 4,050 rows
     cells = np.array(sorted(held), "i8")
     known = places.where(valid(F.col("lat"), F.col("lon"))).select("name", "country", "lat", "lon")
     centres, reach = _centres(cells), np.radians(CELL * 0.70711)
