@@ -123,3 +123,13 @@ def test_detect(spark, corpus, monkeypatch):
 def test_nothing_is_shuffled(spark):
     plan = queries.op11_periodic_runs(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_query_takes_texts_without_words(spark, tmp_path):
+    """Texts of no words among the ids whose texts go on over and over: the first word that would repeat is one modulo none."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    texts = ["", " \t\n", None, "one", "a b c " * 20, "\x0b\x0c \r"]
+    docs = [*zip(ids, texts * (len(ids) // len(texts)), strict=False), (None, ""), (1, " ")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op11_periodic_runs(spark, str(tmp_path)).collect()), key=repr)
+    assert got == sorted((by_definition(*d) for d in docs), key=repr) and len(got) > 100
