@@ -475,3 +475,20 @@ def test_ledger_is_the_sequential_claim(spark):
         df = None if existing is None else spark.createDataFrame(existing, "directory string, name string")
         got = {x.k: x.final_name for x in ledger.assign(planned, ["k"], df).collect()}
         assert got == want
+
+
+def test_ledger_without_bound(spark):
+    """Every row gets a name, also where candidates' numbers have five digits, and the same as one by one."""
+    r = random.Random(23)
+    names_ = [*NAMES, "b-10001.x", "b-10000-1.x", "a-1-1-1.jpg", "a-1-1-2.jpg", "a-3.jpg"]
+    rows, there, want = [("hot", "b.x", k) for k in range(10_010)] + [("hot", "b-10000.x", 10_010)], [("hot", "b-3.x")], {}
+    for d in range(120):
+        some = r.sample(names_, r.randint(1, 8))
+        rows += [(f"d{d}", r.choice(some), 20_000 + 100 * d + i) for i in range(r.randint(1, 30))]
+        there += [(f"d{d}", n) for n in {ledger.candidate(r.choice(names_), r.randint(0, 3)) for _ in range(r.randint(0, 5))}]
+    for d in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == d]
+        want |= {x[2]: n for x, n in zip(own, ledger.claim([x[1] for x in own], {n for e, n in there if e == d}, 1 << 40), strict=True)}
+    df = spark.createDataFrame(rows, "directory string, name string, k int").repartition(5)
+    got = ledger.assign(df, ["k"], spark.createDataFrame(there, "directory string, name string"), bounded=False).collect()
+    assert {x.k: x.final_name for x in got} == want and len({(x.directory, x.final_name) for x in got}) == len(rows)
