@@ -21,6 +21,10 @@ from pyspark.sql.window import Window
 
 from ..runtime import ready, shared_dir
 
+#: Row groups of 8 MB as compressed: Parquet's own would take 100 rows, however large, before it looks at their size, and a group's rows are read at once.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, **{f"parquet.{what}.row.check.{end}": 1 for what in ("page.size", "block.size") for end in ("min", "max")}}
+
+
 class Scratch:
     """Tables one query writes on its way; each can be dropped as soon as its successor is written.
 
@@ -46,7 +50,10 @@ class Scratch:
     def bucketed(self, df: DataFrame, buckets: int, key: str) -> DataFrame:
         """Writes ``df`` in buckets of ``key``, sorted by it; the catalogue names the table until ``close``."""
         self.named.append(name := f"lodestrata_{uuid.uuid4().hex}")
-        df.write.option("compression", "zstd").option("path", self.path()).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        out = df.write.option("compression", "zstd").option("path", self.path())
+        for k, v in LARGE_ROWS.items():
+            out = out.option(k, v)
+        out.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
         return self.spark.table(name)
 
     def close(self) -> None:

@@ -840,3 +840,14 @@ def test_clashing_names_are_refused(spark, corpus, scratch):
         toxicity.score(corpus, toxicity.fit(corpus, spark.createDataFrame([], "doc_id long, toxic int")), "score")
     with pytest.raises(ValueError, match="fp"):
         simhash.group(corpus, scratch, "fp")
+
+
+def test_chunk_tables_have_row_groups_of_a_few_chunks(spark, scratch):
+    """A row group is held at once where it is written and where it is read, so it doesn't follow how much text a task packs."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 48, 1, 1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 8192), i -> sha2(concat(id, ',', i), 512)), '')").alias("text"))
+    chunks = exchange.pack_chunks(docs, scratch, chunk_bytes=1 << 20)
+    assert chunks.agg(F.sum("bytes"), F.count("*")).first() == (48 << 20, 48)
+    found = [pq.ParquetFile(p.removeprefix("file://")).metadata for p in chunks.inputFiles()]
+    assert max(m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)) <= 16
